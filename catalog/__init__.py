@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ordered"]
+MODULES = ["ordered", "prepared"]
 
 
 def _merged(part: str) -> dict:
