@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ordered", "prepared"]
+MODULES = ["ordered", "prepared", "evaluated"]
 
 
 def _merged(part: str) -> dict:
