@@ -129,7 +129,7 @@ def _hst_sql():
         left join mass m on m.win = k.win - 1 and m.tree = k.tree and m.node = k.node),
       stop as (select seq, tree, n, arg_min(m * 2.0 ** level, level) as v from path where m <= {limit} * n or level = {depth} group by all),
       z as (select seq, 1 / (1 + sum(v) / ({trees} * any_value(n))) as score from stop group by seq)
-      select e.seq, round(coalesce(z.score, 0.0), 6) as score from e left join z using (seq)"""
+      select e.seq, round(z.score, 6) as score from e left join z using (seq)"""
 
 
 ORACLE = {"half_space_trees": _hst_sql()}

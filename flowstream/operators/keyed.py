@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowstream.session import fresh_path
+from flowstream.session import fresh_path, spread_by
 
 SEGMENT_ROWS = 1_000_000
 
@@ -35,7 +35,7 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], objec
         def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
             return advance(make(key), pdf.sort_values(seq, kind="stable"))
 
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        return spread_by(df, keys).groupBy(*keys).applyInPandas(whole, schema)
 
     out_type = T._parse_datatype_string(schema)
     with_state = T.StructType([*[T.StructField(f.name, f.dataType) for f in out_type.fields], T.StructField("_state", T.BinaryType())])
@@ -50,11 +50,15 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], objec
         tail = pd.DataFrame([{**dict(zip(keys, key)), "_state": pickle.dumps(state)}])
         return pd.concat([out.assign(_state=None), tail], ignore_index=True).reindex(columns=[*names, "_state"])
 
-    state = spark.createDataFrame([], T.StructType([*[df.schema[k] for k in keys], T.StructField("_state", T.BinaryType())]))
+    state_keys = [f"_s{i}" for i in range(len(keys))]
+    state = spark.createDataFrame([], T.StructType([*[T.StructField(n, df.schema[k].dataType) for n, k in zip(state_keys, keys)],
+                                                    T.StructField("_state", T.BinaryType())]))
     for s in range(segments + 1):
         rows = df.filter(F.col(seq).between(s * segment_rows, (s + 1) * segment_rows - 1))
-        done = rows.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(piece, with_state)
+        left, right = spread_by(rows, keys).groupBy(*keys), spread_by(state, state_keys).groupBy(*state_keys)
+        done = left.cogroup(right).applyInPandas(piece, with_state)
         done.write.parquet(f"{path}/part={s}")
-        state = spark.read.schema(with_state).parquet(f"{path}/part={s}").filter("_state is not null").select(*keys, "_state")
+        state = spark.read.schema(with_state).parquet(f"{path}/part={s}").filter("_state is not null")
+        state = state.select(*[F.col(k).alias(n) for n, k in zip(state_keys, keys)], "_state")
     result = spark.read.schema(with_state).parquet(*[f"{path}/part={s}" for s in range(segments + 1)])
     return result.filter("_state is null").drop("_state")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from flowstream.functions import partitions as part
 from flowstream.operators.ordering import BLOCK_ROWS, _keys
 from flowstream.operators.thresholds import _ddl
+from flowstream.session import spread_by
 
 
 class Scorer(Protocol):
@@ -189,7 +190,7 @@ def _plain(key) -> tuple:
 
 
 def window_scores(df: DataFrame, features: Sequence[str], scorer: Scorer, keys=None, seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
-    """Score of every row by the windows before its own; rows of the first window score 0."""
+    """Score of every row by the windows before its own; rows of the first window have no score (null)."""
     keys = _keys(keys)
     carried = list(dict.fromkeys([*keys, seq, *keep]))
     own = F.expr(f"`{seq}` div {scorer.window}")
@@ -203,11 +204,11 @@ def window_scores(df: DataFrame, features: Sequence[str], scorer: Scorer, keys=N
         mine = ages == 0
         out = pdf.loc[mine, carried]
         if mine.all() or not mine.any():
-            return out.assign(score=0.0)
+            return out.assign(score=np.nan)
         x = pdf[list(features)].to_numpy(dtype=float)
         return out.assign(score=scorer.score(x[~mine], ages[~mine], x[mine], _rng(scorer.seed, *_plain(key))))
 
-    return rows.groupBy(*keys, "_w").applyInPandas(run, f"{_ddl(df, carried)}, score double")
+    return spread_by(rows, [*keys, "_w"]).groupBy(*keys, "_w").applyInPandas(run, f"{_ddl(df, carried)}, score double")
 
 
 def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup: int, keys=None, seq: str = "seq",
@@ -215,7 +216,7 @@ def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup:
     """Train on the first ``warmup`` rows of each stream only, then score every row with that model.
 
     The model of a stream goes to each of its row blocks, so scoring is parallel also within a stream. For
-    window scorers the model is the bounded slice of warm-up rows itself. Warm-up 0 leaves nothing learned: score 0.
+    window scorers the model is the bounded slice of warm-up rows itself. Warm-up 0 leaves nothing learned, hence no score.
     """
     keys = _keys(keys)
     carried = list(dict.fromkeys([*keys, seq, *keep]))
@@ -234,7 +235,7 @@ def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup:
         pdf = pdf.sort_values(seq)
         out = pdf[carried]
         if pdf.empty or models.empty:
-            return out.assign(score=0.0)
+            return out.assign(score=np.nan)
         model = pickle.loads(models["model"].iloc[0])
         x = pdf[list(features)].to_numpy(dtype=float)
         if hasattr(scorer, "apply"):
@@ -243,9 +244,12 @@ def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup:
         return out.assign(score=scorer.score(model, np.ones(len(model), dtype=int), x, rng))
 
     models = rows.filter(F.col(seq) < warmup).groupBy(*by).applyInPandas(train, f"{_ddl(rows, by)}, model binary")
-    spread = rows.select(*by, "_blk").distinct().join(models, by)
     by_block = [*by, "_blk"]
-    return rows.groupBy(*by_block).cogroup(spread.groupBy(*by_block)).applyInPandas(score, f"{_ddl(df, carried)}, score double")
+    spread = rows.select(*by_block).distinct().join(models, by)
+    spread = spread.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by_block)], "model")
+    left = spread_by(rows, by_block).groupBy(*by_block)
+    right = spread_by(spread, [f"_m{i}" for i in range(len(by_block))]).groupBy(*[f"_m{i}" for i in range(len(by_block))])
+    return left.cogroup(right).applyInPandas(score, f"{_ddl(df, carried)}, score double")
 
 
 def prequential_score(df: DataFrame, features: Sequence[str], algorithms: dict[str, Scorer], warmup: int = 0, keys=None, seq: str = "seq",

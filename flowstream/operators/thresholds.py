@@ -27,7 +27,7 @@ def fixed_threshold(scores: DataFrame, threshold: float = 0.5, score: str = "sco
 def dspot(scores: DataFrame, keys: Sequence[str] = ("stream_id",), q: float = 1e-3, depth: int = 50, t_quantile: float = 0.98,
           warmup: int = 1000, bracket: str = "wide", refit_every: int = 1, keep: Sequence[str] = (), seq: str = "seq",
           score: str = "score", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """DSPOT per stream: ``pred``, ``threshold`` and ``trend`` for every score; warm-up rows give zeros.
+    """DSPOT per stream: ``pred``, ``threshold`` and ``trend`` for every score; warm-up rows and rows without a score give zeros.
 
     A grid of settings per stream comes from columns named q, depth, t_quantile (then part of the keys).
     """

@@ -8,11 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowstream.functions.columns import discretize, encode_index
+from flowstream.functions.columns import collapse_prediction, discretize, encode_index
 from flowstream.operators import evaluation as E
+from flowstream.operators import profile as P
 from flowstream.operators import thresholds as T
+from flowstream.operators.drift import drift_monitor
+from flowstream.operators.learners import prequential_classify
 from flowstream.operators.ordering import _keys, attack_regions, moving_average
+from flowstream.operators.ranking import consolidated_features, ovr_feature_importance
 from flowstream.operators.scoring import Scorer, prequential_score, window_scores
+from flowstream.plans.preparation import prepare
 from flowstream.session import written
 
 
@@ -70,3 +75,65 @@ def contamination_study(df: DataFrame, features: Sequence[str], scorer: Scorer,
     both = fixed.select(*keys, "seq", "score", "truth", F.col("pred").alias("pred_fixed")).join(
         alerts.select(*keys, "seq", F.col("pred").alias("pred_dspot"), "threshold", "trend"), [*keys, "seq"])
     return ContaminationStudy(moving_average(both, "score", 5, by=keys), attack_regions(df, "class_idx", normal_idx, keys))
+
+
+@dataclass
+class ClassificationRun:
+    predictions: DataFrame  # learner, seq, truth, pred (multiclass)
+    report: DataFrame       # learner, f1, precision, recall on attack / no attack
+    history: DataFrame
+    accuracy: DataFrame
+    regions: DataFrame
+
+
+def classification_experiment(df: DataFrame, features: Sequence[str], configured, window: int, window_rows: int, classes: int, warmup: int = 0,
+                              target: int | None = 1) -> ClassificationRun:
+    """All learners over one prepared stream (seq, class_idx, features); predictions are written once."""
+    preds = written(prequential_classify(df, features, configured, window_rows, classes), "predictions")
+    flat = preds.select("learner", "seq", encode_index(F.col("truth")).alias("truth"), collapse_prediction(F.col("pred")).alias("pred"))
+    return ClassificationRun(
+        predictions=preds,
+        report=E.cumulative_report(flat, warmup, target, ["learner"]),
+        history=E.prequential_history(preds, window, warmup, target, ["learner"]),
+        accuracy=E.cumulative_accuracy(preds),
+        regions=attack_regions(df, "class_idx", 0),
+    )
+
+
+@dataclass
+class DriftStudy:
+    detections: DataFrame   # stream_id, detector, seq
+    windows: DataFrame      # accuracy and friends per window
+
+
+def drift_study(df: DataFrame, features: Sequence[str], learner, window: int, window_rows: int, classes: int) -> DriftStudy:
+    """An adaptive tree test-then-train, both drift detectors on its errors, metrics per window."""
+    preds = written(prequential_classify(df, features, {"learner": learner}, window_rows, classes), "predictions")
+    preds = preds.withColumn("stream_id", F.lit("stream"))
+    return DriftStudy(drift_monitor(preds), E.windowed_metrics(preds, window))
+
+
+def feature_consensus(tables: Sequence[DataFrame], k: int = 25, **prepare_settings) -> DataFrame:
+    """Prepare every data set, keep its k best features, count the votes."""
+    picks = []
+    for i, t in enumerate(tables):
+        picks += [(f, i * 10_000 + j) for j, f in enumerate(prepare(t, top_n=k, **prepare_settings).features)]
+    spark = tables[0].sparkSession
+    return E.feature_votes(spark.createDataFrame(picks, "feature string, pos long"), k)
+
+
+@dataclass
+class ClassProfile:
+    signatures: DataFrame
+    importances: DataFrame
+    features: DataFrame
+    class_distances: DataFrame
+    feature_distances: DataFrame
+
+
+def class_profile(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], top_per_class: int = 10, **forest) -> ClassProfile:
+    """Class means, one-vs-rest importances with their union, and distances over the features kept."""
+    ranked = ovr_feature_importance(df, features, label, names, top_per_class, **forest)
+    kept = [r["feature"] for r in consolidated_features(ranked).collect()]
+    return ClassProfile(P.class_signature(df, features, label), ranked, consolidated_features(ranked), P.class_distance(df, kept, label),
+                        P.feature_distance(df, kept, label))

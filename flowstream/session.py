@@ -65,3 +65,9 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_r
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def spread_by(df: DataFrame, keys) -> DataFrame:
+    """Hash partitions for Python work on groups. The count is explicit because adaptive execution judges
+    partitions by bytes and would merge small groups that are heavy to compute into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
