@@ -43,8 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/flowstream/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/flowstream/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables this session wrote; call it when their results are no longer read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        for p in (path, f"{path}-state"):
+            target = jvm.org.apache.hadoop.fs.Path(p)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
