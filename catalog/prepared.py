@@ -82,7 +82,7 @@ def _scale(method):
 
 def quantile_passes(spark, d):
     """Quartiles with the passes for large tables forced on."""
-    qs = P.exact_quantiles(_lines(spark, d), NUMS[:3], [0.25, 0.5, 0.98], exact_rows=0, gather_rows=2000)
+    qs = P.exact_quantiles(_lines(spark, d), NUMS[:3], [0.25, 0.5, 0.98], exact_values=0, gather_values=20_000)
     rows = [(c, p, round(v, 6)) for c, vs in qs.items() for p, v in zip([0.25, 0.5, 0.98], vs)]
     return spark.createDataFrame(rows, "feature string, p double, value double")
 
@@ -103,6 +103,13 @@ def corr_matrix(spark, d):
     return m.select("a", "b", F.round("r", 6).alias("r"))
 
 
+def corr_matrix_wide(spark, d):
+    """All 2,016 pairs of the 64 embedding dimensions in one pass."""
+    cols = [f"f{i}" for i in range(64)]
+    e = table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    return P.correlation_matrix(e, cols).select("a", "b", F.round("r", 6).alias("r"))
+
+
 def drop_correlated(spark, d):
     kept = P.drop_correlated(_lines(spark, d), NUMS, 0.5)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
@@ -153,7 +160,7 @@ def prepared(spark, d):
 
 QUERIES = {f.__name__: f for f in [
     random_sample, balanced_sample, stratified_sample, class_quota, take_blocks, scenario, quantile_passes, clamp_infinity,
-    low_variance, corr_matrix, drop_correlated, label_dictionary, encode_labels, class_signature, class_distance,
+    low_variance, corr_matrix, corr_matrix_wide, drop_correlated, label_dictionary, encode_labels, class_signature, class_distance,
     feature_distance, top_k]}
 QUERIES |= {"impute_mean": _impute("media"), "impute_median": _impute("mediana"), "impute_mode": _impute("moda"),
             "impute_zero": _impute("0"), "scale_minmax": _scale("MinMaxScaler"), "scale_standard": _scale("StandardScaler"),
@@ -262,6 +269,9 @@ ORACLE = {
       v as (select {", ".join(f"var_pop({c}) / (max({c}) - min({c})) ** 2 as {c}" for c in NUMS[:5])} from z)
       select feature from (unpivot v on {", ".join(NUMS[:5])} into name feature value x) where x > 0.09""",
     "corr_matrix": f"{_corr_sql()} select a, b, case when b = 'const' or a = 'const' then null else round(r, 6) end as r from c",
+    "corr_matrix_wide": """with e as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings)
+      select 'f' || x.i as a, 'f' || y.i as b, round(abs(corr(x.v, y.v)), 6) as r
+      from e x join e y on x.vec_id = y.vec_id and x.i < y.i group by x.i, y.i""",
     "drop_correlated": f"""{_corr_sql()} select feature from (select unnest([{", ".join(repr(c) for c in NUMS)}]) as feature)
       where feature not in (select b from c where a <> 'const' and b <> 'const' and r > 0.5)""",
     "label_dictionary": """with f as (select case when event_type = 'view' then 'Benign' else event_type end as name,

@@ -155,7 +155,7 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float], target: int | No
     """
     by = _keys(by)
     ts = sorted(thresholds)
-    passed = F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda t: F.col(score) > t))
+    passed = sum((F.coalesce(F.col(score) > float(t), F.lit(False)).cast("int") for t in ts), F.lit(0))
     hist = df.groupBy(*by, passed.alias("_passed"), F.col(truth).alias("truth")).agg(F.count(F.lit(1)).alias("n"))
     grid = F.posexplode(F.array(*[F.lit(float(t)) for t in ts]))
     cells = hist.select("*", grid.alias("_i", "threshold"))

@@ -49,7 +49,6 @@ def with_seq(df: DataFrame, order_by: Sequence[str | Column], by=None, name: str
     table = table.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_at"))
     if by:
         starts = table.groupBy(*by).agg(F.min(name).alias("_start"))
-        cond = [table[c].eqNullSafe(starts[c]) for c in by]
         starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_start")
         cond = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
         table = join_checked(table, starts, cond).withColumn(name, F.col(name) - F.col("_start"))

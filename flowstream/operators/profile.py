@@ -9,22 +9,24 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col
 from flowstream.session import join_checked
 
-EXACT_ROWS = 1_000_000  # up to here Spark's exact percentile, beyond it bracketing
-GATHER_ROWS = 100_000
+EXACT_VALUES = 4_000_000   # rows x columns up to which Spark's exact percentile is used, beyond it bracketing
+GATHER_VALUES = 2_000_000  # values held at once when the last brackets are read
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exact_rows: int = EXACT_ROWS,
-                    gather_rows: int = GATHER_ROWS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exact_values: int = EXACT_VALUES,
+                    gather_values: int = GATHER_VALUES) -> dict[str, list[float | None]]:
     """Interpolated quantiles of many columns, exact at any size.
 
     Spark's exact ``percentile`` keeps all distinct values in one buffer, so it serves small tables
-    only. Beyond ``exact_rows`` each wanted order statistic is bracketed by ``approx_percentile``
+    only. Beyond ``exact_values`` each wanted order statistic is bracketed by ``approx_percentile``
     (whose rank error is bounded) and the bracket shrinks pass by pass until its rows fit in a small array.
     """
     if not cols:
@@ -32,7 +34,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exa
     value = {c: F.nanvl(col(c).cast("double"), F.lit(None)) for c in cols}
     n_rows = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     sizes = dict(zip(cols, n_rows))
-    if max(sizes.values()) <= exact_rows:
+    if max(sizes.values()) * len(cols) <= exact_values:
         row = df.agg(*[F.percentile(value[c], [float(p) for p in ps]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(ps) for i, c in enumerate(cols)}
     found: dict[tuple[str, int], float] = {}
@@ -42,7 +44,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exa
             at = p * (sizes[c] - 1)
             for k in {math.floor(at), math.ceil(at)} if sizes[c] else ():
                 open_[(c, k)] = {"lo": -math.inf, "hi": math.inf, "below": 0, "m": sizes[c]}
-    accuracy = 10_000
+    accuracy, gather_rows = 10_000, max(gather_values // max(len(open_), 1), 1)
     while open_:
         aggs, plan = [], []
         for i, ((c, k), s) in enumerate(open_.items()):
@@ -169,32 +171,65 @@ def drop_low_variance(df: DataFrame, cols: Sequence[str], threshold: float) -> l
     return kept
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], batch: int = 300) -> list[tuple[str, str, float | None]]:
-    """(a, b, |Pearson r|) for every a before b; undefined r is None.
+def _gram(df: DataFrame, cols: Sequence[str], means: Sequence[float]) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy): pairwise-complete sums of all column pairs.
 
-    All pairs come from one aggregation (several only when there are more than ``batch``), from sums over the
-    rows where both are present. Columns are centred first so the sums stay accurate.
+    Each task adds up matrix products of its batches and emits one row per pair, whatever its
+    number of rows.
+    """
+    k = len(cols)
+    centre = np.array(means)
+    first, second = np.triu_indices(k, 1)
+
+    def sums(batches):
+        n, x, xx, xy = (np.zeros((k, k)) for _ in range(4))
+        for pdf in batches:
+            m = pdf.to_numpy(dtype=float) - centre
+            there = ~np.isnan(m)
+            m, there = np.where(there, m, 0.0), there.astype(float)
+            n += there.T @ there
+            x += m.T @ there
+            xx += (m * m).T @ there
+            xy += m.T @ m
+        yield pd.DataFrame({"i": first, "j": second, "n": n[first, second], "x": x[first, second], "y": x[second, first],
+                            "xx": xx[first, second], "yy": xx[second, first], "xy": xy[first, second]})
+
+    parts = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(
+        sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], jvm_columns: int = 8) -> list[tuple[str, str, float | None]]:
+    """(a, b, |Pearson r|) for every a before b, over the rows where both are present; undefined r is None.
+
+    One pass over the data whatever the number of pairs: sums in generated code for a few columns,
+    matrix products per task for many. Columns are centred first so that the sums stay accurate.
     """
     means = df.agg(*[F.coalesce(F.avg(col(c)), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = []
-    for start in range(0, len(pairs), batch):
-        part = pairs[start:start + batch]
+    if len(cols) > jvm_columns:
+        got = {(r["i"], r["j"]): r for r in _gram(df, cols, list(means)).collect()}
+    else:
+        v = [(col(c) - F.lit(m)).cast("double") for c, m in zip(cols, means)]
+        centred = df.select(*[x.alias(f"v{i}") for i, x in enumerate(v)])
         aggs = []
-        for i, j in part:
-            x, y = col(cols[i]) - F.lit(means[i]), col(cols[j]) - F.lit(means[j])
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            aggs.append(F.struct(F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"),
-                                 F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy")).alias(f"p{i}_{j}"))
-        row = df.agg(*aggs).first()
-        for i, j in part:
-            s = row[f"p{i}_{j}"]
-            r = None
-            if s["n"] and s["vx"] and s["vy"]:
-                cov = s["xy"] / s["n"] - (s["x"] / s["n"]) * (s["y"] / s["n"])
-                r = min(abs(cov) / math.sqrt(s["vx"] * s["vy"]), 1.0)
-            out.append((cols[i], cols[j], r))
+        for i in range(len(cols)):
+            for j in range(i + 1, len(cols)):
+                x, y = F.col(f"v{i}"), F.col(f"v{j}")
+                xy = x * y
+                only = lambda e: F.when(xy.isNotNull(), e)  # noqa: E731, B023
+                aggs += [F.count(xy).cast("double"), F.sum(only(x)), F.sum(only(y)), F.sum(only(x * x)), F.sum(only(y * y)), F.sum(xy)]
+        row = list(centred.agg(*aggs).first())
+        pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+        got = {p: dict(zip(("n", "x", "y", "xx", "yy", "xy"), row[6 * t:6 * t + 6])) for t, p in enumerate(pairs)}
+    out = []
+    for (i, j), s in sorted(got.items()):
+        r, n = None, s["n"]
+        if n:
+            vx, vy = s["xx"] / n - (s["x"] / n) ** 2, s["yy"] / n - (s["y"] / n) ** 2
+            # a constant column keeps a variance of rounding size
+            if vx > 1e-24 * max(means[i] ** 2, 1e-300) and vy > 1e-24 * max(means[j] ** 2, 1e-300):
+                r = min(abs(s["xy"] / n - (s["x"] / n) * (s["y"] / n)) / math.sqrt(vx * vy), 1.0)
+        out.append((cols[i], cols[j], r))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,16 +17,24 @@ TREES, SEED = 50, 42  # fixed values
 
 def _vectors(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     flat = df.select(col(label).cast("double").alias("label"), *[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    # a table read as a few large splits would train on as few cores
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if flat.rdd.getNumPartitions() < cores:
+        flat = flat.repartition(cores)
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(flat).select("label", "features")
 
 
-def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = TREES, seed: int = SEED, depth: int = 8) -> list[tuple[str, float]]:
-    """(feature, importance), most important first, schema order on ties."""
+def _importances(vectors: DataFrame, features: Sequence[str], trees: int, seed: int, depth: int) -> list[tuple[str, float]]:
     rf = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxMemoryInMB=512)
-    values = rf.fit(_vectors(df, features, label)).featureImportances.toArray()
+    values = rf.fit(vectors).featureImportances.toArray()
     return sorted(zip(features, map(float, values)), key=lambda t: -t[1])
 
 
+def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = TREES, seed: int = SEED, depth: int = 8) -> list[tuple[str, float]]:
+    """(feature, importance), most important first, schema order on ties."""
+    return _importances(_vectors(df, features, label), features, trees, seed, depth)
+
+
 def rf_top_features(df: DataFrame, features: Sequence[str], label: str, n: int, **settings) -> list[str]:
     """The n most important features; all of them if there are no more than n."""
     if len(features) <= n:
@@ -33,19 +42,24 @@ def rf_top_features(df: DataFrame, features: Sequence[str], label: str, n: int,
     return [f for f, _ in rf_importances(df, features, label, **settings)[:n]]
 
 
-def ovr_feature_importance(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], top_per_class: int = 10,
-                           **settings) -> DataFrame:
-    """(class, rank, feature, importance): one forest per class against the rest. One fit per class of the label
-    dictionary, over vectors assembled and persisted once."""
-    classes = [r[0] for r in df.select(col(label)).distinct().orderBy(col(label)).collect()]
-    slim = df.select(col(label), *[col(c) for c in features]).persist()
-    rows = []
-    for c in classes:
-        binary = slim.withColumn("_is", (col(label) == c).cast("int"))
+def ovr_feature_importance(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], top_per_class: int = 10, trees: int = TREES,
+                           seed: int = SEED, depth: int = 8, parallelism: int = 4) -> DataFrame:
+    """(class, rank, feature, importance): one forest per class against the rest.
+
+    The vectors are assembled and persisted once; a few forests train at the same time, as MLlib's own
+    one-vs-rest does.
+    """
+    vectors = _vectors(df, features, label).persist()
+    classes = [int(r[0]) for r in vectors.select("label").distinct().orderBy("label").collect()]
+
+    def fit(c: int) -> list[tuple]:
+        binary = vectors.withColumn("label", (F.col("label") == c).cast("double"))
         name = names[c] if 0 <= c < len(names) else f"Ataque {c}"
-        for rank, (f, v) in enumerate(rf_importances(binary, features, "_is", **settings)[:top_per_class]):
-            rows.append((name, rank, f, v))
-    slim.unpersist()
+        return [(name, rank, f, v) for rank, (f, v) in enumerate(_importances(binary, features, trees, seed, depth)[:top_per_class])]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = [r for part in pool.map(fit, classes) for r in part]
+    vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "class string, rank int, feature string, importance double")
 
 

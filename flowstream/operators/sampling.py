@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import clean_label, col, stratify_column
-from flowstream.session import join_checked
+from flowstream.session import join_checked, written
 
 SEED = 42  # fixed value: the seed of every sample
 
@@ -93,7 +93,7 @@ def stratified_sample(df: DataFrame, n: int | None, id_cols: Sequence[str], key:
         sizes = df.filter(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("_size"))
         share = F.bround(F.col("_size") / F.lit(float(total)) * F.lit(float(n)), 0).cast("long")
         quota = sizes.select(col(key), share.alias("_quota"))
-        chosen = lowest_ranks(df, [key], quota, id_cols, seed)
+        chosen = written(lowest_ranks(df, [key], quota, id_cols, seed), "sample")
         got = quota.agg(F.coalesce(F.sum("_quota"), F.lit(0))).first()[0]
         if got < n:
             rest = df.join(chosen.select(*[col(c) for c in id_cols]), list(id_cols), "left_anti")

@@ -75,8 +75,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
     """Join that broadcasts ``small`` only after counting it; beyond the limit it is a shuffle join
-    (where adaptive execution splits skewed keys)."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+    (where adaptive execution splits skewed keys). ``small`` is written first, so that a side computed from a large
+    table is computed once."""
+    small = written(small, "side")
+    if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

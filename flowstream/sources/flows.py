@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +24,32 @@ def existing_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]
     return [hit for p in paths for hit in _glob(spark, p)]
 
 
-def _read_csv(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """All columns as text. Long lines are skipped, short lines are padded, bad bytes are dropped."""
-    options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "columnPruning": False}
-    header = spark.read.options(**options).csv(paths[0]).columns
-    raw = "_raw_line"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, raw]])
-    df = spark.read.schema(schema).options(columnNameOfCorruptRecord=raw, enforceSchema=True, **options).csv(paths)
-    bare = F.regexp_replace(F.col(raw), '"[^"]*"', "")
-    fields = F.size(F.split(bare, "\\Q" + sep + "\\E", -1))
-    too_long = F.col(raw).isNotNull() & (fields > len(header))
-    clean = [F.translate(col(c), "�", "").alias(c) for c in header]
-    return df.filter(~too_long).select(*clean, F.col("_metadata.file_name").alias("source_file"))
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p), jvm.java.nio.charset.StandardCharsets.UTF_8))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def _read_csv(spark: SparkSession, paths: list[str], header_line: str, sep: str) -> DataFrame:
+    """Files of one header, all columns as text. Lines with too many fields are skipped, short lines are padded
+    with nulls, undecodable bytes are dropped; header lines are not data."""
+    header = next(csv.reader([header_line.lstrip("\ufeff")], delimiter=sep))
+    names = [h or f"Unnamed: {i}" for i, h in enumerate(header)]
+    line = F.translate("value", "\ufffd", "")
+    raw = spark.read.text(paths).select("value", line.alias("line"), F.col("_metadata.file_name").alias("source_file"))
+    raw = raw.filter((F.col("value") != header_line) & (F.trim("value") != ""))
+    separators = lambda c: F.length(c) - F.length(F.replace(c, F.lit(sep)))
+    n = len(names)
+    # quoted separators are looked at only where there are too many of any kind
+    too_long = (separators(F.col("line")) >= n) & (separators(F.regexp_replace("line", '"[^"]*"', "")) >= n)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    parsed = raw.filter(~too_long).select(F.from_csv("line", schema.toDDL(), {"sep": sep, "mode": "PERMISSIVE"}).alias("r"), "source_file")
+    return parsed.select(*[F.col("r").getField(c).alias(c) for c in names], "source_file")
 
 
 def infer_types(df: DataFrame, skip: Sequence[str] = ()) -> dict[str, str]:
@@ -60,7 +75,7 @@ def read_flows(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv"
                sep: str = ",", strip_names: bool = True) -> DataFrame:
     """Tolerant scan of one or many flow files; ``source_file`` keeps the file identity.
 
-    For CSV, ``types`` maps column names to SQL types; without it the types are inferred.
+    CSV files of different headers are united by column name. For CSV, ``types`` maps column names to SQL types; without it the types are inferred.
     """
     found = existing_paths(spark, paths)
     if not found:
@@ -69,9 +84,11 @@ def read_flows(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv"
         df = spark.read.format(fmt).load(found)
         df = df.withColumn("source_file", F.col("_metadata.file_name"))
         return normalize_columns(df) if strip_names else df
-    df = _read_csv(spark, found, sep)
-    if strip_names:
-        df = normalize_columns(df)
+    by_header: dict[str, list[str]] = {}
+    for p in found:
+        by_header.setdefault(_first_line(spark, p), []).append(p)
+    tables = [_read_csv(spark, files, header, sep) for header, files in by_header.items()]
+    df = union_tables([normalize_columns(t) if strip_names else t for t in tables])
     kinds = types or infer_types(df, skip=["source_file"])
     casts = {c: F.trim(col(c)).try_cast(t) for c, t in kinds.items() if t != "string" and c in df.columns}
     return df.withColumns(casts)

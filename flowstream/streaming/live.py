@@ -31,7 +31,8 @@ def replay_files(df: DataFrame, ts: str, chunks: int = 4, close_after: str | Non
     ``max_files`` per trigger.
 
     ``close_after`` adds a last row that far behind the end, holding nothing but its time: it moves the
-    watermark past every real row so that a finite replay emits its last windows.
+    watermark past every real row so that a finite replay emits its last windows. (Spark starts its watermark at 1970,
+    so earlier times count as late.)
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "replay")
