@@ -8,7 +8,9 @@ from catalog.common import SQL_SEQ, SQL_SEQ_USER, SQL_TIME, events, flows, strea
 from flowstream.functions import columns as C
 from flowstream.operators import ordering as O
 from flowstream.operators import windowing as W
-from flowstream.sources.flows import class_report, union_tables
+from flowstream.plans.scenarios import benign_baseline, filter_and_label, overlay_attacks, window_dataset
+from flowstream.session import fresh_path
+from flowstream.sources.flows import class_report, read_flows, union_tables, write_table
 
 # Interval rules of the labelling query (both ends included, last match wins).
 RULES = [
@@ -192,8 +194,38 @@ def lenient_parse(spark, d):
     return kept.select("event_id", "num", text_time("t").alias("at"))
 
 
+def read_csv(spark, d):
+    """Flows written as CSV with untidy header names, then read back with inferred types."""
+    path = fresh_path(spark, "csv")
+    f = flows(spark, d).withColumnsRenamed({"Bytes": " Bytes", "Label": " Label "})
+    write_table(f.withColumn("Timestamp", text_time("Timestamp")), path, "csv")
+    got = read_flows(spark, f"{path}/*.csv").withColumn("Timestamp", C.parse_time(F.col("Timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    return got.select("event_id", text_time("Timestamp").alias("at"), F.col("Source Port").alias("port"), F.col("Bytes").alias("bytes"), "Label")
+
+
+def baseline(spark, d):
+    """The benign rows of two flow files, collected once and then loaded."""
+    path = fresh_path(spark, "files")
+    f = flows(spark, d).withColumn("Timestamp", text_time("Timestamp"))
+    write_table(f.filter("Protocol < 50"), f"{path}/a", "csv")
+    write_table(f.filter("Protocol >= 50"), f"{path}/b", "csv")
+    for _ in range(2):
+        got = benign_baseline(spark, [f"{path}/a/*.csv", f"{path}/b/*.csv", f"{path}/none.csv"], f"{path}/benign")
+    return got.select("event_id", F.col("Bytes").alias("bytes"), text_time("Timestamp").alias("at"))
+
+
+def dataset_chain(spark, d):
+    """Window the benign and the attack flows, overlay them, keep a period and label it by intervals."""
+    f = flows(spark, d).drop("event_id", "Protocol", "Source Port")
+    base = window_dataset(f.filter(C.is_benign(F.col("Label"))), "1 hour")
+    attacks = [window_dataset(f.filter(C.is_class(F.col("Label"), [c])), "1 hour") for c in SPARSE]
+    merged, _, _ = overlay_attacks(base, [a.filter("Label <> 'BENIGN'") for a in attacks])
+    out = filter_and_label(merged.drop("Label"), *RANGE, RULES, ts="Timestamp")
+    return out.select(text_time("Timestamp").alias("at"), F.round("Bytes", 4).alias("bytes"), "Label")
+
+
 QUERIES = {f.__name__: f for f in [
-    seq_index, seq_by_key, sort_by_time, class_counts, benign_filter, class_filter, window_summary, gap_fill,
+    read_csv, baseline, dataset_chain, seq_index, seq_by_key, sort_by_time, class_counts, benign_filter, class_filter, window_summary, gap_fill,
     window_entropy, window_mode, interval_label, interval_label_join, time_range, attack_regions,
     attack_regions_by_key, moving_average, rolling_mean, dedupe_first, dedupe_last, interleave, overlay,
     common_times, union_by_name, lenient_parse]}
@@ -236,7 +268,20 @@ def _interval_join_sql():
       from x left join r on x.ts between r.s and r.e group by x.event_id"""
 
 
+def _chain_sql():
+    case = " ".join(f"when g.w between timestamp '{s}' and timestamp '{e}' then '{n}'" for s, e, n in reversed(RULES))
+    hourly = lambda c: f"select date_trunc('hour', ts) as w, sum(value) as b from events where event_type = '{c}' group by 1"
+    return f"""with v as ({hourly('view')}), e as ({hourly(SPARSE[0])}), p as ({hourly(SPARSE[1])}),
+      g as (select unnest(generate_series(min(w), max(w), interval 1 hour)) as w from v)
+      select strftime(g.w, {SQL_TIME}) as at, round(coalesce(p.b, e.b, v.b, 0.0), 4) as bytes, case {case} else 'BENIGN' end as "Label"
+      from g left join v on v.w = g.w left join e on e.w = g.w left join p on p.w = g.w
+      where g.w between timestamp '{RANGE[0]}' and timestamp '{RANGE[1]}'"""
+
+
 ORACLE = {
+    "read_csv": f"""select event_id, strftime(ts, {SQL_TIME}) as at, user_id as port, value as bytes, label as "Label" from ({_FLOW})""",
+    "baseline": f"select event_id, value as bytes, strftime(ts, {SQL_TIME}) as at from events where event_type = 'view'",
+    "dataset_chain": _chain_sql(),
     "seq_index": f"select event_id, {SQL_SEQ} as seq from events",
     "seq_by_key": f"select event_id, user_id, {SQL_SEQ_USER} as seq from events",
     "sort_by_time": f"select event_id, event_type, strftime(ts, {SQL_TIME}) as at from events order by ts, event_id",

@@ -8,7 +8,6 @@ from catalog.common import SQL_SEQ, TRUTH_LEVEL, events, stream
 from flowstream.operators import drift as D
 from flowstream.operators import thresholds as T
 from flowstream.operators.ordering import attack_regions, moving_average, with_seq
-from flowstream.session import written
 
 # Fixed values of these queries.
 SETTINGS = {"q": 0.01, "depth": 20, "t_quantile": 0.95}
@@ -50,10 +49,7 @@ def dspot_sweep(spark, d):
 
 def contamination(spark, d):
     """Fixed and DSPOT decisions of all streams side by side, with the smoothed score."""
-    s = written(_days(spark, d), "scores")
-    fixed = T.contamination_evolution(s, "fixed", 120.0).select("stream_id", "seq", "score", "truth", F.col("pred").alias("pred_fixed"))
-    alerts = T.contamination_evolution(s, "dspot", warmup=WARMUP, **SETTINGS)
-    both = fixed.join(alerts.select("stream_id", "seq", F.col("pred").alias("pred_dspot"), "threshold", "trend"), ["stream_id", "seq"])
+    both = T.contamination_evolution(_days(spark, d), 120.0, warmup=WARMUP, **SETTINGS)
     return moving_average(both, "score", 5, by="stream_id")
 
 

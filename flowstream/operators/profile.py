@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col
-from flowstream.session import join_checked
+from flowstream.session import join_checked, written
 
 EXACT_VALUES = 4_000_000   # rows x columns up to which Spark's exact percentile is used, beyond it bracketing
+MAX_ITEMS = 2_000          # classes or features in a distance report
 GATHER_VALUES = 2_000_000  # values held at once when the last brackets are read
 
 
@@ -278,22 +279,28 @@ def class_signature(df: DataFrame, features: Sequence[str], label: str) -> DataF
 
 
 def scaled_signature(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Long form (class, feature, value): class means, min-max scaled per feature over the classes."""
+    """Long form (class, feature, value): class means, min-max scaled per feature over the classes.
+
+    Written, because distances read it twice.
+    """
     sig = class_signature(df, features, label)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), col(c).alias("m")) for c in features])
     long = sig.select("class", F.explode(pairs).alias("p")).select("class", "p.*")
     w = Window.partitionBy("feature")
     lo, hi = F.min("m").over(w), F.max("m").over(w)
     value = (F.col("m") - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return long.select("class", "feature", value.alias("value"))
+    return written(long.select("class", "feature", value.alias("value")), "signature")
 
 
 def pair_distance(signature: DataFrame, item: str, axis: str) -> DataFrame:
     """Euclidean distance of every two items over the shared axis.
 
-    The signature holds one row per class and feature (a report-sized table), so this joins
+    The signature holds one row per class and feature (a report-sized table, checked), so this joins
     class means, never rows of the data.
     """
+    items = signature.select(item).distinct().limit(MAX_ITEMS + 1).count()
+    if items > MAX_ITEMS:
+        raise ValueError(f"distances are for at most {MAX_ITEMS} classes or features")
     left = signature.select(F.col(item).alias("a"), axis, F.col("value").alias("x"))
     right = signature.select(F.col(item).alias("b"), axis, F.col("value").alias("y"))
     both = left.join(right, axis).filter(F.col("a") < F.col("b"))

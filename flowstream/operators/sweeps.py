@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +61,7 @@ def experiment_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
 def scorer_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: Sequence[dict], thresholds: Sequence[float] = tuple(THRESHOLDS),
                  warmup: int = 0, target: int | None = 1, keys: Sequence[str] = (), seq: str = "seq", truth: str = "truth",
                  threshold_mode: str = "independent") -> DataFrame:
-    """Best threshold per trial of one scorer.
+    """Trial table of one scorer: parameters, best threshold with its metrics, seconds.
 
     ``threshold_mode``: 'independent' tries all thresholds, 'shared' uses the scorer's own one, a
     number fixes it. For half-space trees the warm-up is the trial's window.
@@ -74,7 +75,10 @@ def scorer_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: S
             got = window_scores(df, features, scorer, keys, seq, [truth])
         else:
             got = freeze_after_warmup(df, features, scorer, warmup, keys, seq, [truth])
-        got = exclude_warmup(written(got, "trial"), skip, keys, seq)
+        started = time.time()
+        got = written(got, "trial")
+        seconds = time.time() - started
+        got = exclude_warmup(got, skip, keys, seq)
         if threshold_mode == "shared" and own:
             levels = [getattr(scorer, own)]
         elif isinstance(threshold_mode, (int, float)):
@@ -82,7 +86,7 @@ def scorer_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: S
         else:
             levels = list(thresholds)
         best = threshold_sweep(got, levels, target, keys, truth=truth)
-        best = best.withColumn("trial", F.lit(i)).withColumn("algorithm", F.lit(algorithm))
+        best = best.withColumn("trial", F.lit(i)).withColumn("algorithm", F.lit(algorithm)).withColumn("seconds", F.lit(seconds))
         parts.append(best.withColumn("params", F.lit(", ".join(f"{k}={v}" for k, v in params.items()))))
     out = parts[0]
     for p in parts[1:]:
@@ -90,8 +94,8 @@ def scorer_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: S
     # one line per trial: its best threshold (the lowest on ties)
     rank = F.struct(F.col("f1"), (-F.col("threshold")).alias("t"))
     cols = ["f1", "precision", "recall", "threshold"]
-    top = out.groupBy(*keys, "algorithm", "trial", "params").agg(F.max_by(F.struct(*cols), rank).alias("_b"))
-    return top.select(*keys, "algorithm", "trial", "params", "_b.*")
+    top = out.groupBy(*keys, "algorithm", "trial", "params", "seconds").agg(F.max_by(F.struct(*cols), rank).alias("_b"))
+    return top.select(*keys, "algorithm", "trial", "params", "_b.*", "seconds")
 
 
 def best_params(trials: DataFrame, by: Sequence[str] = ("algorithm",)) -> DataFrame:

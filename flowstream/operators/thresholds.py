@@ -65,14 +65,14 @@ def dspot_sweep(scores: DataFrame, grid: Sequence[tuple[float, int, float]], war
     return dspot_evaluation(rows, warmup, target, trial_keys, **settings)
 
 
-def contamination_evolution(scores: DataFrame, mode: str = "dspot", threshold: float = 0.5, keys: Sequence[str] = ("stream_id",),
-                            **settings) -> DataFrame:
-    """Scores, threshold, trend and decision of every contamination level in one table; the level is the stream key."""
-    if mode == "fixed":
-        out = fixed_threshold(scores, threshold).withColumn("trend", F.lit(0.0))
-    else:
-        out = dspot(scores, keys, keep=[c for c in scores.columns if c not in (*keys, "seq", "score")], **settings)
-    return out.withColumn("mode", F.lit(mode))
+def contamination_evolution(scores: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("stream_id",), **settings) -> DataFrame:
+    """Every contamination level (the stream key) in one table: score, fixed and DSPOT decision, threshold, trend.
+
+    Both decisions stand on the same row, so no join is needed to compare them.
+    """
+    kept = [c for c in scores.columns if c not in (*_keys(keys), "seq", "score")]
+    out = dspot(scores, keys, keep=kept, **settings).withColumnRenamed("pred", "pred_dspot")
+    return out.withColumn("pred_fixed", discretize(F.col("score"), threshold))
 
 
 def evt_excess_summary(scores: DataFrame, warmup: int, depth: int = 50, t_quantile: float = 0.98, keys: Sequence[str] = ("stream_id",),

@@ -67,13 +67,14 @@ def mode_label(df: DataFrame, label: str, by: Sequence[str], name: str = "label_
     return counts.groupBy(*by).agg(_mode_of(F.col("_v"), F.col("_c")).alias(name))
 
 
-def gap_fill(summary: DataFrame, ts: str, freq: str, label: str = "Label") -> DataFrame:
+def gap_fill(summary: DataFrame, ts: str, freq: str, label: str = "Label", bounds: tuple | None = None) -> DataFrame:
     """Add the missing buckets between the first and the last one: label BENIGN, everything else 0.
 
-    The spine of buckets comes from ``spark.range``, so it is produced in parallel.
+    The spine of buckets comes from ``spark.range``, so it is produced in parallel. ``bounds`` (first and last
+    bucket) saves reading the summary for them.
     """
     spark = summary.sparkSession
-    lo, hi = summary.agg(F.min(ts), F.max(ts)).first()
+    lo, hi = bounds or summary.agg(F.min(ts), F.max(ts)).first()
     if lo is None:
         return summary
     micros, n = spark.sql(
@@ -88,9 +89,11 @@ def gap_fill(summary: DataFrame, ts: str, freq: str, label: str = "Label") -> Da
 
 
 def window_summary(df: DataFrame, ts: str = "Timestamp", freq: str = "1 second", label: str = "Label",
-                   fill_gaps: bool = True) -> DataFrame:
+                   fill_gaps: bool = True, extra: dict[str, Column] | None = None) -> DataFrame:
     """Tumbling window summary: identifier columns to ``*_Entropy``, label to its mode, other numbers to sums.
 
+    ``extra`` adds aggregates of the caller's own, by result name.
+
     Two aggregations over the same window key, both combined before the shuffle, joined on the
     window (one row per window on either side).
     """
@@ -99,7 +102,8 @@ def window_summary(df: DataFrame, ts: str = "Timestamp", freq: str = "1 second",
     nums = [c for c in numeric_columns(df) if c not in ids and c not in (label, ts)]
     rows = df.filter(col(ts).isNotNull())
     sums = rows.groupBy(_window_start(ts, freq).alias("_w")).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in nums]
+        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in nums],
+        *[agg.alias(name) for name, agg in (extra or {}).items()],
     )
     counted = ids + ([label] if has_label else [])
     if counted:
@@ -111,10 +115,15 @@ def window_summary(df: DataFrame, ts: str = "Timestamp", freq: str = "1 second",
             aggs.append(F.min_by(F.when(mine, F.col("value")), key).alias(label))
         shape = counts.groupBy("_w").agg(*aggs)
         sums = sums.join(shape, "_w", "left")
-    out = sums.select(F.col("_w").alias(ts), *[col(c) for c in [*ids, *nums, *([label] if has_label else [])]])
+    out = sums.select(F.col("_w").alias(ts), *[col(c) for c in [*ids, *nums, *(extra or {}), *([label] if has_label else [])]])
     out = out.withColumnsRenamed({c: f"{c}_Entropy" for c in ids})
     out = fill_flow_nulls(out, label)
-    return gap_fill(out, ts, freq, label) if fill_gaps else out
+    if not fill_gaps:
+        return out
+    # the ends come from a scan of the time column alone
+    ends = rows.agg(F.array(F.min(col(ts)), F.max(col(ts))).alias("e")).select(F.explode("e").alias("t")).filter("t is not null")
+    starts = sorted(r[0] for r in ends.select(_window_start("t", freq)).collect())
+    return gap_fill(out, ts, freq, label, (starts[0], starts[-1])) if starts else out
 
 
 def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", label: str = "Label",

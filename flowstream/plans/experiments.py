@@ -70,10 +70,7 @@ def contamination_study(df: DataFrame, features: Sequence[str], scorer: Scorer,
     keys = _keys(keys)
     rows = df.withColumn("truth", encode_index(F.col("class_idx"), normal_idx))
     s = written(window_scores(rows, features, scorer, keys, keep=["truth"]), "scores")
-    fixed = T.contamination_evolution(s, "fixed", threshold, keys)
-    alerts = T.contamination_evolution(s, "dspot", keys=keys, warmup=warmup, **(dspot or {}))
-    both = fixed.select(*keys, "seq", "score", "truth", F.col("pred").alias("pred_fixed")).join(
-        alerts.select(*keys, "seq", F.col("pred").alias("pred_dspot"), "threshold", "trend"), [*keys, "seq"])
+    both = T.contamination_evolution(s, threshold, keys, warmup=warmup, **(dspot or {}))
     return ContaminationStudy(moving_average(both, "score", 5, by=keys), attack_regions(df, "class_idx", normal_idx, keys))
 
 
