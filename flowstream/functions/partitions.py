@@ -6,8 +6,11 @@ and a query row only needs where it stops.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
+TABLE_DEPTH = 12  # up to this depth the nodes of a tree are tabulated
 LEHMER = 2_147_483_647  # fixed value: modulus of the node hash
 
 
@@ -17,39 +20,76 @@ def node_hash(seed: int, tree: int, node: np.ndarray) -> np.ndarray:
     return (first + node * 40_503) * 69_621 % LEHMER
 
 
+def _start_ranges(seed: int, tree: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    s = node_hash(seed + 1, tree, np.arange(k)) / LEHMER
+    reach = 2 * np.maximum(s, 1 - s)
+    return s - reach, s + reach
+
+
+@lru_cache(maxsize=2048)
+def _half_space_table(seed: int, tree: int, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and cut of every inner node of one shallow tree. The shape does not depend on data,
+    so a worker makes it once for all windows."""
+    feature, cut = np.zeros(1 << depth, dtype=np.int64), np.zeros(1 << depth)
+    lo, hi = (r[None, :] for r in _start_ranges(seed, tree, k))
+    for level in range(depth):
+        nodes = np.arange(1 << level, 2 << level)
+        f = node_hash(seed, tree, nodes) % k
+        at = np.arange(len(nodes))
+        c = (lo[at, f] + hi[at, f]) / 2
+        feature[nodes], cut[nodes] = f, c
+        lo, hi = np.repeat(lo, 2, axis=0), np.repeat(hi, 2, axis=0)
+        hi[2 * at, f], lo[2 * at + 1, f] = c, c
+    return feature, cut
+
+
+def _half_space_steps(x: np.ndarray, seed: int, tree: int, depth: int):
+    """Node of every row at levels 0, 1, ..., depth."""
+    rows, k = np.arange(len(x)), x.shape[1]
+    node = np.ones(len(x), dtype=np.int64)
+    yield node
+    if depth <= TABLE_DEPTH:
+        feature, cut = _half_space_table(seed, tree, depth, k)
+        for _ in range(depth):
+            node = 2 * node + (x[rows, feature[node]] >= cut[node])
+            yield node
+        return
+    # deep trees have more nodes than rows: follow each row's own work range
+    lo, hi = (np.tile(r, (len(x), 1)) for r in _start_ranges(seed, tree, k))
+    for _ in range(depth):
+        f = node_hash(seed, tree, node) % k
+        cut = (lo[rows, f] + hi[rows, f]) / 2
+        right = x[rows, f] >= cut
+        lo[rows[right], f[right]] = cut[right]
+        hi[rows[~right], f[~right]] = cut[~right]
+        node = 2 * node + right
+        yield node
+
+
 def half_space_scores(train: np.ndarray, query: np.ndarray, trees: int, depth: int, size_limit: float, seed: int) -> np.ndarray:
     """Half-space trees: mass of the previous window's rows where a query row stops, times 2**level.
 
     A node halves the current work range of a hash-chosen feature. The sum over trees S becomes
     1 / (1 + S / (trees * rows)): 1/2 at uniform density, towards 1 in empty regions.
     """
-    n, k = train.shape
+    n = len(train)
     limit = size_limit * n
     both = np.vstack([train, query])
     total = np.zeros(len(query))
-    rows = np.arange(len(both))
     for tree in range(trees):
-        lo, hi = np.empty((len(both), k)), np.empty((len(both), k))
-        for f in range(k):
-            s = node_hash(seed + 1, tree, np.array([f]))[0] / LEHMER
-            reach = 2 * max(s, 1 - s)
-            lo[:, f], hi[:, f] = s - reach, s + reach
-        node = np.ones(len(both), dtype=np.int64)
         open_ = np.ones(len(query), dtype=bool)
-        for level in range(depth + 1):
-            ids, inverse = np.unique(node, return_inverse=True)
-            mass = np.bincount(inverse[:n], minlength=len(ids))[inverse[n:]]
+        for level, node in enumerate(_half_space_steps(both, seed, tree, depth)):
+            if level <= TABLE_DEPTH:
+                place = node - (1 << level)
+                mass = np.bincount(place[:n], minlength=1 << level)[place[n:]]
+            else:
+                ids, place = np.unique(node, return_inverse=True)
+                mass = np.bincount(place[:n], minlength=len(ids))[place[n:]]
             stop = open_ & ((mass <= limit) | (level == depth))
             total[stop] += mass[stop] * 2.0**level
             open_ &= ~stop
-            if level == depth or not open_.any():
+            if not open_.any():
                 break
-            f = node_hash(seed, tree, node) % k
-            cut = (lo[rows, f] + hi[rows, f]) / 2
-            right = both[rows, f] >= cut
-            lo[rows[right], f[right]] = cut[right]
-            hi[rows[~right], f[~right]] = cut[~right]
-            node = 2 * node + right
     return 1 / (1 + total / (trees * n))
 
 
