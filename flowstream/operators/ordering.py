@@ -8,6 +8,7 @@ per-block total across, so a single stream of any length never sits in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +43,11 @@ def with_seq(df: DataFrame, order_by: Sequence[str | Column], by=None, name: str
     table = table.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
         "_at", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # one row per sorted partition, so the broadcast is bounded by the partition count
+    # one row per sorted partition: counted once, small enough for the driver and for a broadcast
+    sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    parts = [r["_part"] for r in sizes]
+    offsets = list(zip(parts, accumulate((r["n"] for r in sizes), initial=0)))
+    offsets = df.sparkSession.createDataFrame(offsets, "_part long, _off long")
     table = table.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_at"))
     if by:
         starts = table.groupBy(*by).agg(F.min(name).alias("_start"))

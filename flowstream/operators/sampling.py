@@ -22,19 +22,27 @@ def random_rank(id_cols: Sequence[str], seed=SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in id_cols]))
 
 
-def lowest_ranks(df: DataFrame, strata: Sequence[str], quota: DataFrame, id_cols: Sequence[str], seed=SEED) -> DataFrame:
-    """Per stratum the ``_quota`` rows of lowest random rank. ``quota``: strata columns + ``_quota``."""
+def lowest_ranks(df: DataFrame, strata: Sequence[str], quota: DataFrame | int, id_cols: Sequence[str], seed=SEED) -> DataFrame:
+    """Per stratum the ``_quota`` rows of lowest random rank. ``quota``: strata columns + ``_quota``, or a number
+    when there are no strata."""
     keys = [col(s) for s in strata]
     rows = df.withColumn("_h", random_rank(id_cols, seed)).withColumn("_b", F.substring("_h", 1, 4))
     hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_upto", F.sum("_n").over(upto)).join(quota, list(strata))
+    hist = hist.withColumn("_upto", F.sum("_n").over(upto))
+    hist = hist.join(quota, list(strata)) if strata else hist.withColumn("_quota", F.lit(quota))
     need = F.col("_quota") - F.col("_upto") + F.col("_n")
     # the first digits that reach the quota; if none does, the stratum is taken whole
     reached = F.when(F.col("_upto") >= F.col("_quota"), F.struct("_b", need.alias("need")))
     cuts = hist.groupBy(*keys).agg(F.min(reached).alias("_at"), F.max("_quota").alias("_quota")).filter("_quota > 0")
     cuts = cuts.select(*keys, F.col("_at._b").alias("_cut"), F.col("_at.need").alias("_need"))
-    picked = join_checked(rows, cuts, list(strata))
+    if strata:
+        picked = join_checked(rows, cuts, list(strata))
+    else:
+        cut = cuts.first()
+        if cut is None:
+            return df.filter(F.lit(False))
+        picked = rows.withColumns({"_cut": F.lit(cut["_cut"]).cast("string"), "_need": F.lit(cut["_need"]).cast("long")})
     picked = picked.filter(F.col("_cut").isNull() | (F.col("_b") <= F.col("_cut")))
     within = Window.partitionBy(*keys, "_b").orderBy("_h", *[col(c) for c in id_cols])
     picked = picked.withColumn("_r", F.row_number().over(within))
@@ -44,9 +52,7 @@ def lowest_ranks(df: DataFrame, strata: Sequence[str], quota: DataFrame, id_cols
 
 def random_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed=SEED) -> DataFrame:
     """Exactly n rows (or all, if there are fewer)."""
-    one = df.withColumn("_all", F.lit(1))
-    quota = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(n).cast("long").alias("_quota"))
-    return lowest_ranks(one, ["_all"], quota, id_cols, seed).drop("_all")
+    return lowest_ranks(df, [], n, id_cols, seed)
 
 
 def class_counts(df: DataFrame, label: str = "Label", ignored: Sequence[str] = ()) -> DataFrame:

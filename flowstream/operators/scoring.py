@@ -222,34 +222,47 @@ def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup:
     carried = list(dict.fromkeys([*keys, seq, *keep]))
     rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried])
     rows = rows.withColumn("_blk", F.expr(f"`{seq}` div {block_rows}"))
-    # without keys the whole table is one stream: the constant key keeps one code path
-    rows = rows.withColumn("_one", F.lit(0))
-    by = ["_one", *keys]
+    by = keys or ["_one"]  # without keys the whole table is one stream
+    if not keys:
+        rows = rows.withColumn("_one", F.lit(0))
+    out_schema = f"{_ddl(df, carried)}, score double"
 
     def train(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(seq)[list(features)].to_numpy(dtype=float)
         model = scorer.fit(x, _rng(scorer.seed, *_plain(key))) if hasattr(scorer, "fit") else x
         return pd.DataFrame([{**dict(zip(by, key)), "model": pickle.dumps(model)}])
 
-    def score(key, pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    def rate(blob, key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq)
         out = pdf[carried]
-        if pdf.empty or models.empty:
+        if pdf.empty or blob is None:
             return out.assign(score=np.nan)
-        model = pickle.loads(models["model"].iloc[0])
+        model = pickle.loads(blob)
         x = pdf[list(features)].to_numpy(dtype=float)
         if hasattr(scorer, "apply"):
             return out.assign(score=scorer.apply(model, x))
-        rng = _rng(scorer.seed, *_plain(key[:-1]))
-        return out.assign(score=scorer.score(model, np.ones(len(model), dtype=int), x, rng))
+        return out.assign(score=scorer.score(model, np.ones(len(model), dtype=int), x, _rng(scorer.seed, *_plain(key[:-1]))))
 
     models = rows.filter(F.col(seq) < warmup).groupBy(*by).applyInPandas(train, f"{_ddl(rows, by)}, model binary")
+    if not keys:
+        # a single model: it travels with the task
+        first = models.first()
+        blob = bytes(first["model"]) if first else None
+
+        def score_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            return rate(blob, (0, *key), pdf)
+
+        return spread_by(rows, ["_blk"]).groupBy("_blk").applyInPandas(score_block, out_schema)
+
+    def score(key, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        return rate(None if given.empty else given["model"].iloc[0], key, pdf)
+
     by_block = [*by, "_blk"]
     spread = rows.select(*by_block).distinct().join(models, by)
     spread = spread.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by_block)], "model")
     left = spread_by(rows, by_block).groupBy(*by_block)
     right = spread_by(spread, [f"_m{i}" for i in range(len(by_block))]).groupBy(*[f"_m{i}" for i in range(len(by_block))])
-    return left.cogroup(right).applyInPandas(score, f"{_ddl(df, carried)}, score double")
+    return left.cogroup(right).applyInPandas(score, out_schema)
 
 
 def prequential_score(df: DataFrame, features: Sequence[str], algorithms: dict[str, Scorer], warmup: int = 0, keys=None, seq: str = "seq",
