@@ -23,6 +23,7 @@ from flowstream.functions.partitions import LEHMER, node_hash
 from flowstream.operators.thresholds import _ddl
 from flowstream.session import fresh_path, spread_by
 
+CHUNK_ROWS = 100_000
 MAX_MODEL_BYTES = 256 << 20  # the trees of one window are sent to every task
 
 
@@ -226,6 +227,19 @@ def _same_leaf(root, path: str) -> bool:
     return isinstance(node, H.Leaf)
 
 
+def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches joined up to CHUNK_ROWS: routing rows through many trees costs per call, not per row."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= CHUNK_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def prequential_classify(df: DataFrame, features: Sequence[str], configured: dict[str, Learner], window_rows: int, classes: int,
                          seq: str = "seq", target: str = "class_idx", keep: Sequence[str] = (), block_rows: int = 65_536) -> DataFrame:
     """Predictions of several learners over one stream: (learner, seq, truth, pred, kept columns).
@@ -238,7 +252,9 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
     carried = list(dict.fromkeys([seq, target, *keep]))
     path = fresh_path(spark, "windows")
     rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried])
-    rows.withColumn("_w", F.expr(f"cast(`{seq}` div {window_rows} as int)")).write.partitionBy("_w").parquet(path)
+    # range partitions keep a window's rows in few files; each job then reads its own folder only
+    rows = rows.withColumn("_w", F.expr(f"cast(`{seq}` div {window_rows} as int)")).repartitionByRange(seq)
+    rows.write.partitionBy("_w").parquet(path)
     data = spark.read.parquet(path)
     last = data.agg(F.max("_w")).first()[0]
     models = {(name, i): H.Member(H.Leaf(classes, k)) for name, cfg in configured.items() for i in range(cfg.members)}
@@ -259,7 +275,7 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             current = pickle.loads(shared.value)
             found: dict[tuple, dict] = {}
-            for pdf in batches:
+            for pdf in _larger(batches):
                 x, y = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64)
                 s = pdf[seq].to_numpy(dtype=np.int64)
                 for (name, i), m in current.items():

@@ -12,6 +12,7 @@ from flowstream.functions.columns import (clamp_infinity, col, drop_identifiers,
                                           normalize_columns, numeric_columns)
 from flowstream.operators import profile as P
 from flowstream.operators.ordering import with_seq
+from flowstream.session import written
 
 
 @dataclass
@@ -49,7 +50,7 @@ def prepare(df: DataFrame, label: str = "Label", order_by: Sequence[str] = ("Tim
         names = ["BENIGN", "ATTACK"]
         x = x.withColumn("class_idx", encode_binary(F.col("_label")))
     else:
-        d = P.label_dictionary(x, "_label", "seq")
+        d = written(P.label_dictionary(x, "_label", "seq"), "dictionary")
         names = [r["name"] for r in d.orderBy("idx").collect()]
         x = P.encode_labels(x, "_label", d)
     if threshold_var is not None:

@@ -108,3 +108,16 @@ def test_prediction_helpers(spark):
     df = spark.createDataFrame([(0.5, None), (0.50001, 0), (None, 3)], "s double, p int")
     got = df.select(C.discretize(F.col("s"), 0.5), C.collapse_prediction(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [(0, 0), (1, 0), (0, 1)]
+
+
+def test_intermediate_tables_go_to_the_named_folder():
+    from types import SimpleNamespace
+
+    from flowstream.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: {"spark.checkpoint.dir": "hdfs://nn/shared/"}.get(key, default))
+    assert shared_dir(SimpleNamespace(conf=conf)) == "hdfs://nn/shared"
+    bare = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(getConf=lambda: bare, master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
