@@ -9,6 +9,7 @@ single parallel pass. Training per window instead of per row is a deliberate cha
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields, replace
 
@@ -261,6 +262,9 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
     model_path = fresh_path(spark, "models")
     model_type = T.StructType([T.StructField("learner", T.StringType()), T.StructField("member", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
+    count_type = T.StructType([*model_type.fields, T.StructField("first", T.LongType())])
+    cores = spark.sparkContext.defaultParallelism
+
     for w in range((last if last is not None else -1) + 1):
         packed = [(name, i, bytearray(pickle.dumps(m))) for (name, i), m in models.items()]
         # the trees before window w, kept for its predictions
@@ -275,22 +279,29 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             current = pickle.loads(shared.value)
             found: dict[tuple, dict] = {}
+            first = sys.maxsize
             for pdf in _larger(batches):
                 x, y = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64)
                 s = pdf[seq].to_numpy(dtype=np.int64)
                 for (name, i), m in current.items():
                     got = _count_member(configured[name], m, i, s, x, y, classes)
                     found[(name, i)] = _merge([found[(name, i)], got]) if (name, i) in found else got
+                first = min(first, int(s.min()))
             if found:
-                yield pd.DataFrame([{"learner": n, "member": i, "blob": pickle.dumps(g)} for (n, i), g in found.items()])
+                yield pd.DataFrame([{"learner": n, "member": i, "blob": pickle.dumps(g), "first": first} for (n, i), g in found.items()])
 
         def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
             name, i = key[0], int(key[1])
             m = pickle.loads(shared.value)[(name, i)]
-            m = _learn(configured[name], m, _merge([pickle.loads(b) for b in pdf["blob"]]), i, w, classes, k)
+            # sums in a fixed order, so that a rerun grows the same tree
+            parts = [pickle.loads(b) for b in pdf.sort_values("first")["blob"]]
+            m = _learn(configured[name], m, _merge(parts), i, w, classes, k)
             return pd.DataFrame([{"learner": name, "member": i, "blob": pickle.dumps(m)}])
 
-        counts = data.filter(F.col("_w") == w).select(seq, target, *features).mapInPandas(count, model_type)
+        window = data.filter(F.col("_w") == w).select(seq, target, *features)
+        if window.rdd.getNumPartitions() < cores:
+            window = window.repartition(cores, seq)  # few large splits would leave cores idle
+        counts = window.mapInPandas(count, count_type)
         grown = spread_by(counts, ["learner", "member"]).groupBy("learner", "member").applyInPandas(grow, model_type)
         for r in grown.collect():
             models[(r["learner"], r["member"])] = pickle.loads(bytes(r["blob"]))

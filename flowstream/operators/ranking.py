@@ -32,7 +32,11 @@ def _importances(vectors: DataFrame, features: Sequence[str], trees: int, seed:
 
 def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = TREES, seed: int = SEED, depth: int = 8) -> list[tuple[str, float]]:
     """(feature, importance), most important first, schema order on ties."""
-    return _importances(_vectors(df, features, label), features, trees, seed, depth)
+    vectors = _vectors(df, features, label).persist()
+    try:
+        return _importances(vectors, features, trees, seed, depth)
+    finally:
+        vectors.unpersist()
 
 
 def rf_top_features(df: DataFrame, features: Sequence[str], label: str, n: int, **settings) -> list[str]:
