@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowstream.llm.exact import mark_exact
+from flowstream.llm.mixing import mixing_report, mixing_table
+from flowstream.llm.neardup import jaccard_join
+from flowstream.llm.pieces import encode, load_pieces
 from flowstream.llm.text import id_hash
 from flowstream.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -31,6 +36,20 @@ def fold(modulus: int):
     return F.pmod(id_hash(F.col("doc_id")), F.lit(modulus))
 
 
+@query("op1_exact_dedup", """
+select d.doc_id, max(d.doc_id) over g as keep_id, count(*) over g as group_size,
+       row_number() over (partition by coalesce(d.text, '') order by d.doc_id desc) = 1 as kept, sha256(coalesce(d.text, '')) as text_sha256
+from documents d window g as (partition by coalesce(d.text, ''))""")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_exact(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_report(docs, mixing_table(docs))
+
+
 @query("op7_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -38,3 +57,14 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(docs, model, keep=["doc_id"])
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_jaccard_join")
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sentencepiece")
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(table(spark, sf_dir, "documents"), model, with_ids=False)
