@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstream.llm.exact import mark_exact
+from flowstream.llm.idfiles import read_ids, write_ids
+from flowstream.llm.language import detect, fit_languages
 from flowstream.llm.mixing import mixing_report, mixing_table
 from flowstream.llm.neardup import jaccard_join
 from flowstream.llm.pieces import encode, load_pieces
+from flowstream.llm.private import private_spans
+from flowstream.llm.quality import fit_ratios, quality
+from flowstream.llm.repeats import without_repeats
 from flowstream.llm.text import id_hash
 from flowstream.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -68,3 +73,32 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return encode(table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
+@query("op4_quality")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(docs, fit_ratios(docs, trusted))
+
+
+@query("op6_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = detect(docs, fit_languages(docs, train_where=fold(4) != 2))
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ids(spark, write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op10_suffix_dedup")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
