@@ -35,18 +35,18 @@ from flowstream.llm.text import quoted, shuffle_partitions, text_or_empty
 from flowstream.session import fresh_path
 
 BLOCK = 2048  # tokens
-SEGMENT = 1 << 21  # tokens after which a segment ends with the document
+SEGMENT = 1 << 22  # tokens after which a segment ends with the document
 TOTAL_BITS = 28
-SLOTS_BITS = 12
+SLOTS_BITS = 11
 CLASSES = 16
 MAX_ID = (1 << CLASSES) - 2
 SHARE_BITS = 16
 FLOOR = 1 << (SHARE_BITS - 6)  # least share of a class
 RATE = 5
+SCALE = 14  # the order-0 range is scaled by shares in 32 bits
 HIT_BITS = 16
-LEAST_REST = 1 << (TOTAL_BITS - 6)  # least range of the order-0 model
+LEAST_REST = 1 << (TOTAL_BITS - 5)  # least range of the order-0 model
 STATES = 8
-WORD = np.int64(32)
 
 
 class _Lanes:
@@ -54,66 +54,68 @@ class _Lanes:
 
     def __init__(self, lanes: int) -> None:
         self.n = lanes
-        self.base = np.arange(lanes, dtype=np.int64) << SLOTS_BITS
+        self.base = np.arange(lanes, dtype=np.int32) << SLOTS_BITS
         self.slots = [np.zeros(lanes << SLOTS_BITS, np.int32) for _ in range(2)]  # id | state << 16, by order
-        self.hits = [np.full((lanes, STATES), 1 << (HIT_BITS - 1 - o), np.int64) for o in (1, 0)]
+        self.row = np.arange(lanes, dtype=np.int32)
+        self.hit_at = self.row * STATES
+        self.hits = [np.full((lanes, STATES), 1 << (HIT_BITS - 1 - o), np.int32) for o in (1, 0)]
         for h in self.hits:
             h[:, 0] = 0  # nothing seen in this context
-        self.shares = np.tile(np.arange(CLASSES + 1, dtype=np.int64) << (SHARE_BITS - 4), (lanes, 1))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.row = np.arange(lanes)
+        self.shares = np.tile(np.arange(CLASSES + 1, dtype=np.int32) << (SHARE_BITS - 4), (lanes, 1))
+        self.last = np.zeros(lanes, np.int32)
+        self.before = np.zeros(lanes, np.int32)
 
     def shrink(self, keep: int) -> None:
         """Only the first ``keep`` lanes go on."""
         self.n = keep
-        self.base, self.last, self.before, self.row = self.base[:keep], self.last[:keep], self.before[:keep], self.row[:keep]
+        for name in ("base", "last", "before", "row", "hit_at", "shares"):
+            setattr(self, name, getattr(self, name)[:keep])
         self.hits = [h[:keep] for h in self.hits]
-        self.shares = self.shares[:keep]
 
     def predict(self) -> None:
-        self.at = [self.base + (((self.last + 1) * 40503 >> 2) & ((1 << SLOTS_BITS) - 1)),
-                   self.base + ((((self.before + 1) * 0x9E3779B1 ^ (self.last + 1) * 0x85EBCA6B) >> 13) & ((1 << SLOTS_BITS) - 1))]
-        slot = [t[a] for t, a in zip(self.slots, self.at)]
+        one = self.last.astype(np.uint32) * np.uint32(0x9E3779B1)
+        two = one ^ ((self.before.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B))
+        top = np.uint32(32 - SLOTS_BITS)
+        self.at = [self.base + (x >> top).view(np.int32) for x in (one, two * np.uint32(0xC2B2AE35))]
+        slot = [t.take(a) for t, a in zip(self.slots, self.at)]
         self.guess = [s & 0xFFFF for s in slot]
         self.state = [s >> 16 for s in slot]
-        two = self.hits[1][self.row, self.state[1]]
-        one = self.hits[0][self.row, self.state[0]]
-        self.w2 = two << (TOTAL_BITS - HIT_BITS)
-        self.w1 = (((1 << HIT_BITS) - two) * one) >> (2 * HIT_BITS - TOTAL_BITS)
-        over = self.w2 + self.w1 - ((1 << TOTAL_BITS) - LEAST_REST)
-        self.w1 = np.maximum(self.w1 - np.maximum(over, 0), 0)
-        self.w2 = np.minimum(self.w2, (1 << TOTAL_BITS) - LEAST_REST)
+        self.hit_of = [self.hit_at + s for s in self.state]
+        self.old = [h.take(i) for h, i in zip(self.hits, self.hit_of)]
+        # what the order-2 model leaves goes to order 1 by its hit rate, but the order-0 model keeps its least part
+        self.w2 = np.minimum(self.old[1] << (TOTAL_BITS - HIT_BITS), (1 << TOTAL_BITS) - LEAST_REST)
+        self.w1 = ((((1 << TOTAL_BITS) - LEAST_REST - self.w2) >> (HIT_BITS - 1)) * (self.old[0] >> 1))
         self.rest = (1 << TOTAL_BITS) - self.w2 - self.w1
+        self.scaled = self.rest >> SCALE
 
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        """``kind`` is the class of an id the order-0 model coded, -1 where a guess was right."""
+    def learn(self, ids: np.ndarray, kind: np.ndarray, plain: np.ndarray) -> None:
+        """``kind`` is an id's class; ``plain`` says where the order-0 model coded it."""
         for o in (0, 1):
-            right = (self.guess[o] == ids) & (self.state[o] > 0)
-            seen = np.flatnonzero(self.state[o])
-            h, s = self.hits[o], self.state[o][seen]
-            old = h[seen, s]
-            h[seen, s] = old + ((np.where(right[seen], (1 << HIT_BITS) - 64, 64) - old) >> RATE)
-            self.slots[o][self.at[o]] = ids | (np.where(right, np.minimum(self.state[o] + 1, STATES - 1), 1) << 16)
-        plain = np.flatnonzero(kind >= 0)
-        if len(plain) == self.n:
-            self.shares += (_TARGETS[kind] - self.shares) >> RATE
-        elif len(plain):
-            self.shares[plain] += (_TARGETS[kind[plain]] - self.shares[plain]) >> RATE
+            state = self.state[o]
+            right = (self.guess[o] == ids) & (state > 0)
+            goal = np.where(right, (1 << HIT_BITS) - 64, 64)
+            self.hits[o].reshape(-1)[self.hit_of[o]] = self.old[o] + ((goal - self.old[o]) >> RATE)
+            self.hits[o][:, 0] = 0
+            self.slots[o][self.at[o]] = ids | (np.where(right, np.minimum(state + 1, STATES - 1), 1) << 16)
+        move = _TARGETS.take(kind, axis=0)
+        move -= self.shares
+        move >>= RATE
+        move *= plain[:, None]
+        self.shares += move
         self.before, self.last = self.last, ids
 
 
 def _targets() -> np.ndarray:
     """Where the class borders move when a class came: every other class keeps FLOOR."""
     borders = np.arange(CLASSES + 1, dtype=np.int64)
-    return np.stack([np.where(borders <= c, borders * FLOOR, (1 << SHARE_BITS) - (CLASSES - borders) * FLOOR) for c in range(CLASSES)])
+    return np.stack([np.where(borders <= c, borders * FLOOR, (1 << SHARE_BITS) - (CLASSES - borders) * FLOOR) for c in range(CLASSES)]).astype(np.int32)
 
 
 _TARGETS = _targets()
 
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
-    return np.frexp((ids + 1).astype(np.float64))[1].astype(np.int64) - 1
+    return np.frexp((ids + 1).astype(np.float32))[1] - 1
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -124,9 +126,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return [b""] * len(blocks)
     if max(int(b.max(initial=0)) for b in blocks) > MAX_ID:
         raise ValueError("ids must be below 65,535")
-    grid = np.zeros((int(sizes[0]), len(order)), np.int64)
+    grid = np.zeros((int(sizes[0]), len(order)), np.int32)
     for k, i in enumerate(order):
         grid[:len(blocks[i]), k] = blocks[i]
+    kinds = _class_of(grid)
     out = np.zeros((len(order), int(sizes[0]) + 2), np.uint32)
     wrote = np.zeros(len(order), np.int64)
     low, span = np.zeros(len(order), np.uint64), np.full(len(order), 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -137,21 +140,20 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         alive = int(np.searchsorted(-sizes, -t, "left"))
         if alive < m.n:
             m.shrink(alive)
-        ids, row = grid[t, :alive], all_rows[:alive]
+        ids, kind = grid[t, :alive], kinds[t, :alive]
         m.predict()
-        by2 = (m.guess[1] == ids) & (m.state[1] > 0)
-        by1 = (m.guess[0] == ids) & (m.state[0] > 0) & (m.w1 > 0) & ~by2
-        kind = _class_of(ids)
-        first = (np.int64(1) << kind) - 1
-        lo, hi = (m.rest * m.shares[row, kind]) >> SHARE_BITS, (m.rest * m.shares[row, kind + 1]) >> SHARE_BITS
-        each = (hi - lo) >> kind
-        guessed = by2 | by1
-        start = np.where(by2, 0, np.where(by1, m.w2, m.w2 + m.w1 + lo + (ids - first) * each)).astype(np.uint64)
-        width = np.where(by2, m.w2, np.where(by1, m.w1, each)).astype(np.uint64)
+        by2 = (m.guess[1] == ids) & (m.w2 > 0)
+        by1 = (m.guess[0] == ids) & (m.w1 > 0) & ~by2
+        at = m.row * (CLASSES + 1) + kind
+        shares = m.shares.reshape(-1)
+        lo = (m.scaled * shares.take(at)) >> (SHARE_BITS - SCALE)
+        each = (((m.scaled * shares.take(at + 1)) >> (SHARE_BITS - SCALE)) - lo) >> kind
+        start = np.where(by2, 0, np.where(by1, m.w2, m.w2 + m.w1 + lo + (ids + 1 - (np.int32(1) << kind)) * each))
+        width = np.where(by2, m.w2, np.where(by1, m.w1, each))
         a, r = low[:alive], span[:alive]
-        unit = r >> shift
-        a += unit * start
-        r[:] = unit * width
+        r >>= shift
+        a += r * start.astype(np.uint64)
+        r *= width.astype(np.uint64)
         need = np.flatnonzero(r <= mask)
         if len(need):
             x, y = a[need], r[need]
@@ -161,7 +163,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             wrote[need] += 1
             a[need] = x << u32
             r[need] = y << u32
-        m.learn(ids, np.where(guessed, -1, kind))
+        m.learn(ids, kind, ~(by2 | by1))
     for k in range(2):
         out[all_rows, wrote + k] = ((low >> (u32 if k == 0 else np.uint64(0))) & mask).astype(np.uint32)
     codes = [b""] * len(blocks)
@@ -183,33 +185,33 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> list[np.ndarray]:
     u32, shift, mask = np.uint64(32), np.uint64(TOTAL_BITS), np.uint64(0xFFFFFFFF)
     code = (words[:, 0] << u32) | words[:, 1]
     read = np.full(len(order), 2, np.int64)
-    grid = np.zeros((int(sizes[0]), len(order)), np.int64)
+    grid = np.zeros((int(sizes[0]), len(order)), np.int32)
     low, span = np.zeros(len(order), np.uint64), np.full(len(order), 0xFFFFFFFFFFFFFFFF, np.uint64)
     m = _Lanes(len(order))
-    all_rows = np.arange(len(order))
     for t in range(int(sizes[0])):
         alive = int(np.searchsorted(-sizes, -t, "left"))
         if alive < m.n:
             m.shrink(alive)
-        row = all_rows[:alive]
         m.predict()
         a, r, c = low[:alive], span[:alive], code[:alive]
-        unit = r >> shift
-        v = ((c - a) // unit).astype(np.int64)
+        r >>= shift
+        v = ((c - a) // r).astype(np.int32)
         guessed = m.w2 + m.w1
         by2, plain = v < m.w2, v >= guessed
-        by1 = ~by2 & ~plain
+        by1 = ~(by2 | plain)
         v0 = v - guessed
-        borders = (m.rest[:, None] * m.shares) >> SHARE_BITS
-        kind = np.minimum((v0[:, None] >= borders[:, 1:]).sum(1), CLASSES - 1)
-        lo, hi = borders[row, kind], borders[row, kind + 1]
-        each = np.maximum((hi - lo) >> kind, 1)
-        step = np.clip((v0 - lo) // each, 0, (np.int64(1) << kind) - 1)
-        ids = np.where(by2, m.guess[1], np.where(by1, m.guess[0], (np.int64(1) << kind) - 1 + step))
-        start = np.where(by2, 0, np.where(by1, m.w2, guessed + lo + step * each)).astype(np.uint64)
-        width = np.where(by2, m.w2, np.where(by1, m.w1, each)).astype(np.uint64)
-        a += unit * start
-        r[:] = unit * width
+        borders = (m.scaled[:, None] * m.shares) >> (SHARE_BITS - SCALE)
+        coded = np.minimum((v0[:, None] >= borders[:, 1:]).sum(1, dtype=np.int32), CLASSES - 1)
+        at = m.row * (CLASSES + 1) + coded
+        lo = borders.reshape(-1).take(at)
+        each = np.maximum((borders.reshape(-1).take(at + 1) - lo) >> coded, 1)
+        most = (np.int32(1) << coded) - 1
+        step = np.minimum(np.maximum((v0 - lo) // each, 0), most)
+        ids = np.where(by2, m.guess[1], np.where(by1, m.guess[0], most + step))
+        start = np.where(by2, 0, np.where(by1, m.w2, guessed + lo + step * each))
+        width = np.where(by2, m.w2, np.where(by1, m.w1, each))
+        a += r * start.astype(np.uint64)
+        r *= width.astype(np.uint64)
         need = np.flatnonzero(r <= mask)
         if len(need):
             x, y = a[need], r[need]
@@ -219,7 +221,7 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> list[np.ndarray]:
             a[need] = x << u32
             r[need] = y << u32
         grid[t, :alive] = ids
-        m.learn(ids, np.where(plain, kind, -1))
+        m.learn(ids, coded, plain)
     out = [np.zeros(0, np.int64)] * len(codes)
     for k, i in enumerate(order):
         out[i] = grid[:sizes[k], k].copy()
