@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowstream.llm.skew import join_counted
-from flowstream.llm.text import free_name, quoted, stored, text_or_empty
+from flowstream.llm.text import free_name, packed, quoted, stored, text_or_empty, unpacked
 
 BITMAP = 32_768  # bits in a value of bitmap_construct_agg
 MAX_FILTER_BITS = 1 << 28
@@ -79,11 +79,11 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     row, tie = free_name([*cols, "_h", "_sha", "_bucket", "_bits", "_maybe"], "_row"), F.col("_order")
     text = text_or_empty(text_col)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = docs.select(F.struct(*[quoted(c) for c in cols]).alias(row), F.xxhash64(text).alias("_h"), F.sha2(text.cast("binary"), 256).alias("_sha"),
+    rows = docs.select(packed(cols, row), F.xxhash64(text).alias("_h"), F.sha2(text.cast("binary"), 256).alias("_sha"),
                        F.struct(quoted(id_col), F.xxhash64(*[quoted(c) for c in plain])).alias("_order"))
     hashes = docs.select(F.xxhash64(text).alias("_h"))
     bitmaps = _bitmaps(docs.count())
     tested = with_suspicion(rows, stored(repeated_filter(hashes, bitmaps), "filter", 1), bitmaps, "_maybe")
     best = tested.where("_maybe").groupBy("_sha").agg(F.max_by(row, tie).alias(row))
     both = tested.where(~F.col("_maybe")).select(row).unionByName(best.select(row))
-    return both.select(*[F.col(row)[c].alias(c) for c in cols])
+    return both.select(*unpacked(cols, row))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowstream.llm.text import free_name, quoted, stored, text_or_empty
+from flowstream.llm.text import free_name, packed, quoted, stored, text_or_empty, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_BLOCKS = 1 << 20  # of all sources together, besides one for each source
@@ -152,7 +152,7 @@ def mixing_report(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", te
 def mixed(docs: DataFrame, mix: DataFrame, *, shards: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
     """The mix itself: a row for each copy, with the columns of ``docs``, shard by shard and shuffled within each."""
     row = free_name(docs.columns, "_doc")
-    held = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(row), quoted(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), quoted(source_col).alias("_source"))
+    held = docs.select(packed(docs.columns, row), quoted(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), quoted(source_col).alias("_source"))
     copies = _drawn(held, mix, "_id", "_text", "_source", seed).select(row, "_u", F.posexplode("_shards").alias("_epoch", "_shard"))
     dealt = copies.withColumn("_at", F.xxhash64(F.lit(seed + 1), "_u", "_epoch")).repartitionByRange(shards, "_shard", "_at")
-    return dealt.sortWithinPartitions("_shard", "_at").select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return dealt.sortWithinPartitions("_shard", "_at").select(*unpacked(docs.columns, row))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from flowstream.llm.skew import components, join_counted
-from flowstream.llm.text import blocks, flat, free_name, mix, ngram_hashes, quoted, shuffle_partitions, span_hashes, stored, text_or_empty, word_spans
+from flowstream.llm.text import blocks, flat, mix, ngram_hashes, packed, quoted, shuffle_partitions, span_hashes, stored, text_or_empty, unpacked, word_spans
 
 WORDS = 5
 TILE = 512  # texts on each side of a tile
@@ -238,7 +238,6 @@ def keep_one_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
     keepers = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("_key").alias("_key"))
     keepers = stored(keepers.select(F.col("class_id").alias("_keep"), "_key"), "keepers")
-    text, key = free_name(docs.columns, "_text"), free_name([*docs.columns, "_text", "_keep", "_key"], "_found")
-    keyed = _with_keys(docs.withColumn(text, text_or_empty(text_col)), text, key).drop(text)
-    rows = keyed.alias("d").join(keepers.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k._keep")) & (F.col(f"d.{key}") == F.col("k._key")), "left_semi")
-    return rows.dropDuplicates([id_col, key]).drop(key)
+    rows = _with_keys(docs.select(packed(docs.columns, "_row"), quoted(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), "_text", "_found").drop("_text")
+    kept = rows.join(keepers, rows["_id"].eqNullSafe(keepers["_keep"]) & (rows["_found"] == keepers["_key"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_found"]).select(*unpacked(docs.columns, "_row"))

@@ -1,8 +1,9 @@
 """Quality rules: plain text measures, and a log-likelihood ratio between trusted text and the raw corpus.
 
-Words and word pairs of all documents are counted in hashed buckets, once for the trusted documents (the labelled good
-ones) and once for the whole corpus. The two smoothed multinomials give every bucket a log ratio; a document's score is
-the mean log ratio of its n-grams, so its length plays no part. A document is dropped when it fails the plain rules or
+Byte n-grams of all documents are counted in hashed buckets, once for the trusted documents (the labelled good ones) and
+once for the whole corpus. The two smoothed multinomials give every bucket a log ratio; a document's score is the mean log
+ratio of its n-grams, so its length plays no part. Characters rather than words: their counts are dense also in a small
+corpus, so a document is not marked down merely for words that no trusted document has. A document is dropped when it fails the plain rules or
 its score lies below a fixed threshold.
 
 Rules for odd input: null has no words; a document without words fails the plain rules (under ``MIN_WORDS``) and scores
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowstream.llm.text import blocks, ngram_hashes, quoted, row_of, segment_sums, span_hashes, text_or_empty, word_spans
+from flowstream.llm.text import blocks, char_grams, ngram_hashes, quoted, row_of, segment_sums, span_hashes, text_or_empty, word_spans
 
 MIN_WORDS = 50
-BITS = 18  # buckets of words and word pairs
-THRESHOLD = -0.15  # mean log ratio per n-gram
+SIZES, BITS = (2, 3, 4), 16
+SMOOTH = 0.1  # weight of the raw shares in the trusted multinomial, as a part of its size
+THRESHOLD = -0.25  # mean log ratio per n-gram
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -67,13 +69,6 @@ def repeated_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(row[order][1:][again], minlength=n_rows)
 
 
-def _buckets(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and word pairs, and the row of each."""
-    pairs, at = ngram_hashes(words, first, 2)
-    shift = np.uint64(64 - BITS)
-    return np.concatenate([words >> shift, pairs >> shift]).astype(np.int64), np.concatenate([row_of(first), row_of(at)])
-
-
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(raw, offsets)
     return starts, ends, first, span_hashes(raw, starts, ends)
@@ -88,11 +83,10 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << BITS), np.int64)
         for part, raw, offsets in blocks(batches, "_t"):
-            _, _, first, words = _words(raw, offsets)
-            bucket, row = _buckets(words, first)
             is_good = np.asarray(part.column("_good").to_numpy(zero_copy_only=False), bool)
-            totals[0] += np.bincount(bucket, minlength=1 << BITS)
-            totals[1] += np.bincount(bucket[is_good[row]], minlength=1 << BITS)
+            for bucket, at in char_grams(raw, offsets, SIZES, BITS):
+                totals[0] += np.bincount(bucket, minlength=1 << BITS)
+                totals[1] += np.bincount(bucket[np.repeat(is_good, np.diff(at))], minlength=1 << BITS)
         some = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0][some]), pa.array(totals[1][some])], ["bucket", "n_raw", "n_good"])
 
@@ -107,11 +101,8 @@ def ratios(bucket: np.ndarray, n_raw: np.ndarray, n_good: np.ndarray) -> np.ndar
     if not good.sum():
         return np.zeros(1 << BITS)
     share = (raw + 1) / (raw.sum() + len(raw))
-    # the trusted counts are smoothed towards the raw share, so buckets that trusted text is too small to hold stay near 0
-    return np.log((good + SMOOTH * share) / (good.sum() + SMOOTH)) - np.log(share)
-
-
-SMOOTH = 1 << BITS  # weight of the raw shares in the trusted multinomial
+    weight = SMOOTH * good.sum()  # smoothing towards the raw shares bounds every ratio from below, at any size
+    return np.log((good + weight * share) / (good.sum() + weight)) - np.log(share)
 
 
 def quality(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -126,9 +117,11 @@ def quality(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_
             n_words = np.diff(first)
             points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # bytes that begin a code point
             n_repeat = repeated_words(words, first)
-            bucket, row = _buckets(words, first)
-            n_grams = np.bincount(row, minlength=len(n_words))
-            score = np.bincount(row, shared.value[bucket], len(n_words)) / np.maximum(n_grams, 1)
+            total, n_grams = np.zeros(len(n_words)), np.zeros(len(n_words))
+            for bucket, at in char_grams(raw, offsets, SIZES, BITS):
+                total += segment_sums(shared.value[bucket], at)
+                n_grams += np.diff(at)
+            score = total / np.maximum(n_grams, 1)
             failed = (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words), pa.array(segment_sums(points[ends] - points[starts], first)),
                                               pa.array(segment_sums(SYMBOLS[raw], offsets)), pa.array(repeated_lines(raw, offsets)), pa.array(n_repeat),

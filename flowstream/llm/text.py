@@ -39,6 +39,15 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def packed(columns: Iterable[str], name: str) -> Column:
+    """The columns as one struct column, which passes through Python whatever the columns are called."""
+    return F.struct(*[quoted(c) for c in columns]).alias(name)
+
+
+def unpacked(columns: Iterable[str], name: str) -> list[Column]:
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 

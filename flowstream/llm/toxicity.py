@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from flowstream.llm.text import blocks, char_grams, free_name, quoted, text_or_empty
+from flowstream.llm.text import blocks, char_grams, packed, quoted, text_or_empty, unpacked
 
 
 @dataclass(frozen=True)
@@ -157,24 +158,23 @@ def _batch_scores(model: NgramModel, raw: np.ndarray, offsets: np.ndarray) -> np
 def toxicity_scores(docs: DataFrame, model: NgramModel, *, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns ``keep`` of every row and its score from 0 to 1. Only those columns and the text are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes x 2^bits
-    text = free_name([*keep, score_col], "_text")
-    rows = docs.select(*[quoted(c) for c in keep], text_or_empty(text_col).alias(text))
+    rows = docs.select(packed(keep, "_row"), text_or_empty(text_col).alias("_text"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in blocks(batches, text):
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(_batch_scores(shared.value, raw, offsets))], [*keep, score_col])
+        for part, raw, offsets in blocks(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(_batch_scores(shared.value, raw, offsets))], ["_row", "_score"])
 
-    return rows.mapInArrow(score, docs.select(*[quoted(c) for c in keep]).schema.add(score_col, "double"))
+    scored = rows.mapInArrow(score, StructType([rows.schema["_row"], StructField("_score", DoubleType())]))
+    return scored.select(*unpacked(keep, "_row"), F.col("_score").alias(score_col))
 
 
 def drop_toxic(docs: DataFrame, model: NgramModel, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that score below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = free_name(docs.columns, "_text")
+    rows = docs.select(packed(docs.columns, "_row"), text_or_empty(text_col).alias("_text"))
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in blocks(batches, text):
-            ok = pa.array(_batch_scores(shared.value, raw, offsets) < threshold)
-            yield part.select(part.schema.names[:-1]).filter(ok)
+        for part, raw, offsets in blocks(batches, "_text"):
+            yield part.select(["_row"]).filter(pa.array(_batch_scores(shared.value, raw, offsets) < threshold))
 
-    return docs.withColumn(text, text_or_empty(text_col)).mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, StructType([rows.schema["_row"]])).select(*unpacked(docs.columns, "_row"))
