@@ -77,7 +77,7 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_ratios(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio per bucket, from counts over all documents. ``trusted`` holds ids in its first column. A task sends its
     counts once, so what is shuffled is bounded by tasks x buckets, and the result by the buckets."""
-    good = trusted.select(trusted.columns[0]).toDF("_id").where("_id is not null").distinct().withColumn("_good", F.lit(True))
+    good = trusted.select(trusted.columns[0]).toDF("_id").where("_id is not null").distinct().withColumn("_good", F.lit(True)).hint("merge")  # the same plan at any size
     marks = docs.select(quoted(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(good, "_id", "left").select(F.coalesce("_good", F.lit(False)).alias("_good"), "_t")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
