@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from flowstream.llm.text import blocks, quoted, shuffle_partitions, text_or_empty
 
 MARK = "▁"
-CHUNK = 16 << 20  # bytes of an input file that share one dictionary of units
+CHUNK = 8 << 20  # bytes of an input file that share one dictionary of units
 
 
 @dataclass(frozen=True)
@@ -140,10 +140,10 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
         found: dict[int, set[str]] = {}
         split = re.compile(pattern).findall
         for batch in batches:
-            for chunk, text in zip(batch.column("_chunk").to_pylist(), batch.column("_t").to_pylist()):
+            for chunk, text in zip(batch.column("_chunk").to_pylist(), (x.as_py() for x in batch.column("_t"))):
                 own = found.setdefault(chunk, set())
                 own.update(split(marked(text)))
-                if len(own) > 1_000_000:  # bounds the memory; what is sent twice is merged below
+                if len(own) > 300_000:  # bounds the memory; what is sent twice is merged below
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["_chunk", "unit"])
                     own.clear()
         for chunk, own in found.items():
@@ -180,6 +180,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                 back = b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))[1:]
                 out.append((code, back == text))
             ids += keys
+        del ids_of, dictionary, lists, values, at
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}

@@ -24,6 +24,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from flowstream.llm.text import blocks, char_grams, packed, quoted, text_or_empty, unpacked
 
 
+ROWS = 200  # rows whose features are expanded at a time
+
+
 @dataclass(frozen=True)
 class NgramModel:
     """Weights per gram bucket (ratio and coefficient multiplied), intercept, calibration slope and offset."""
@@ -78,20 +81,25 @@ def _weights(grams: list[np.ndarray], label: np.ndarray, bits: int, epochs: int,
     """Ratio times coefficient per bucket, and the intercept."""
     size = 1 << bits
     n = np.array([len(g) for g in grams])
-    ids = np.concatenate(grams)
-    offsets = np.concatenate([[0], np.cumsum(n)])
-    of_one = np.repeat(label, n)
     ones, zeros = max(label.sum(), 1), max((1 - label).sum(), 1)
-    ratio = np.log((np.bincount(ids, of_one, size) + 1) / (ones + 2)) - np.log((np.bincount(ids, 1 - of_one, size) + 1) / (zeros + 2))
+    seen = np.zeros((2, size))
+    for g, y in zip(grams, label):
+        seen[int(y), g] += 1
+    ratio = np.log((seen[1] + 1) / (ones + 2)) - np.log((seen[0] + 1) / (zeros + 2))
     scale = 1 / np.sqrt(np.maximum(n, 1))
     balance = np.where(label == 1, .5 / ones, .5 / zeros)
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    x = ratio[ids].astype(np.float32)
     for t in range(1, epochs + 1):  # Adam over all rows at once: no order of rows to depend on
-        p = 1 / (1 + np.exp(-np.clip(_row_sums(w[ids] * x, offsets) * scale + b, -60, 60)))
-        d = (p - label) * balance
-        g, gb = np.bincount(ids, np.repeat(d * scale, n) * x, size) + decay * w, d.sum()
+        scaled, g, gb = w * ratio, decay * w, 0.0
+        for at in range(0, len(grams), ROWS):  # in parts, so the memory is that of a few hundred rows
+            part = slice(at, at + ROWS)
+            ids = np.concatenate(grams[part])
+            offsets = np.concatenate([[0], np.cumsum(n[part])])
+            p = 1 / (1 + np.exp(-np.clip(_row_sums(scaled[ids], offsets) * scale[part] + b, -60, 60)))
+            d = (p - label[part]) * balance[part]
+            g += np.bincount(ids, np.repeat(d * scale[part], n[part]), size) * ratio
+            gb += d.sum()
         m, v, mb, vb = .9 * m + .1 * g, .999 * v + .001 * g * g, .9 * mb + .1 * gb, .999 * vb + .001 * gb * gb
         fix1, fix2 = 1 - .9 ** t, 1 - .999 ** t
         w -= .05 * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
