@@ -48,7 +48,7 @@ def f1_class(spark, d):
 
 
 def f1_macro(spark, d):
-    return _round(E.binary_metrics(_multi(spark, d).filter("pred is not null"), target=None), "f1", "precision", "recall")
+    return _round(E.binary_metrics(_multi(spark, d), target=None), "f1", "precision", "recall")
 
 
 def collapsed_metrics(spark, d):
@@ -167,7 +167,7 @@ def _macro(src, key=""):
     kk = f"k.{key}, " if key else ""
     return f"""with p as ({src}), k as (select {k} truth as cls from p union select {k} pred from p),
       c as (select {kk} cls, count(*) filter (truth = cls and pred = cls) as tp, count(*) filter (truth <> cls and pred = cls) as fp,
-        count(*) filter (truth = cls and pred <> cls) as fn from k join p on true {j} group by {kk} cls),
+        count(*) filter (truth = cls and pred is distinct from cls) as fn from k join p on cls is not null {j} group by {kk} cls),
       m as (select {k} {_raw('tp', 'fp', 'fn')} from c)
       select {k} round(avg(f1), 6) as f1, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall from m {g}"""
 
@@ -204,7 +204,7 @@ ORACLE = {
     "confusion": f"select truth, pred, count(*) as n from ({_P}) group by all",
     "confusion_by_key": f"select user_id, truth, pred, count(*) as n from ({_PU}) group by all",
     "f1_class": _binary(_P),
-    "f1_macro": _macro(f"select * from ({_M}) where pred is not null"),
+    "f1_macro": _macro(f"select * from ({_M})"),
     "collapsed_metrics": _binary(f"select seq, (truth <> 0)::integer as truth, (coalesce(pred, 0) > 0)::integer as pred from ({_M})"),
     "cumulative_report": _macro(f"select * from (select *, count(*) over (partition by user_id) as n from ({_PU})) where seq >= 60 or n <= 60", "user_id"),
     "prequential_history": _history(_P, [1]),

@@ -95,8 +95,16 @@ def interval_label(spark, d):
 
 
 def interval_label_join(spark, d):
-    e = W.time_range(events(spark, d).select("event_id", "ts"), "ts", *RANGE)
-    return W.label_by_intervals(e, "ts", RULES, row_id=["event_id"], fold_limit=0).select("event_id", "Label")
+    """Rules as a table, over the whole period."""
+    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "rule_id int, start string, end string, label string")
+    return W.label_by_intervals(events(spark, d).select("event_id", "ts"), "ts", rules).select("event_id", "Label")
+
+
+def interval_label_many(spark, d):
+    """One rule per user, overlapping: the two days after the user's first event."""
+    rules = (events(spark, d).groupBy("user_id").agg(F.min("ts").alias("start"))
+             .select(F.col("user_id").alias("rule_id"), "start", F.expr("start + interval 2 days").alias("end"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("label")))
+    return W.label_by_intervals(events(spark, d).select("event_id", "ts"), "ts", rules).select("event_id", "Label")
 
 
 def time_range(spark, d):
@@ -226,7 +234,7 @@ def dataset_chain(spark, d):
 
 QUERIES = {f.__name__: f for f in [
     read_csv, baseline, dataset_chain, seq_index, seq_by_key, sort_by_time, class_counts, benign_filter, class_filter, window_summary, gap_fill,
-    window_entropy, window_mode, interval_label, interval_label_join, time_range, attack_regions,
+    window_entropy, window_mode, interval_label, interval_label_join, interval_label_many, time_range, attack_regions,
     attack_regions_by_key, moving_average, rolling_mean, dedupe_first, dedupe_last, interleave, overlay,
     common_times, union_by_name, lenient_parse]}
 QUERIES |= {"class_report": report, "blocks": label_blocks, "slice_evenly": slices}
@@ -261,13 +269,6 @@ def _interval_sql():
       where ts between timestamp '{RANGE[0]}' and timestamp '{RANGE[1]}'"""
 
 
-def _interval_join_sql():
-    return f"""with r(rule_id, s, e, name) as (values {_RULE_ROWS}),
-      x as (select event_id, ts from events where ts between timestamp '{RANGE[0]}' and timestamp '{RANGE[1]}')
-      select x.event_id, coalesce(arg_max(r.name, r.rule_id), 'BENIGN') as "Label"
-      from x left join r on x.ts between r.s and r.e group by x.event_id"""
-
-
 def _chain_sql():
     case = " ".join(f"when g.w between timestamp '{s}' and timestamp '{e}' then '{n}'" for s, e, n in reversed(RULES))
     hourly = lambda c: f"select date_trunc('hour', ts) as w, sum(value) as b from events where event_type = '{c}' group by 1"
@@ -301,7 +302,10 @@ ORACLE = {
       select strftime(w, {SQL_TIME}) as bucket, event_type as label_mode from c
       qualify row_number() over (partition by w order by n desc, event_type) = 1""",
     "interval_label": _interval_sql(),
-    "interval_label_join": _interval_join_sql(),
+    "interval_label_join": f"""select e.event_id, coalesce(max_by(r.label, r.id), 'BENIGN') as Label
+      from events e left join (values {_RULE_ROWS}) r(id, s, e, label) on e.ts between r.s and r.e group by e.event_id""",
+    "interval_label_many": """with r as (select user_id as id, min(ts) as s, min(ts) + interval 2 days as e from events group by user_id)
+      select e.event_id, coalesce('u' || max(r.id)::varchar, 'BENIGN') as Label from events e left join r on e.ts between r.s and r.e group by e.event_id""",
     "time_range": f"""select event_id, strftime(ts, {SQL_TIME}) as at from events
       where ts >= timestamp '{RANGE[0]}' and ts <= timestamp '{RANGE[1]}'""",
     "blocks": f"""with s as (select {SQL_SEQ} as seq, event_type from events),

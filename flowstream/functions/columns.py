@@ -145,8 +145,10 @@ def discretize(score: Column, threshold: float | Column) -> Column:
     return F.coalesce((score > threshold).cast("int"), F.lit(0))
 
 
-def nan_to_zero(c: Column) -> Column:
-    return F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0))
+def without_nan(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null, for aggregates that must skip it."""
+    c = col(name)
+    return F.when(~F.isnan(c), c) if dict(df.dtypes)[name] in ("double", "float") else c
 
 
 def suffix_entropy(df: DataFrame, cols: Sequence[str], label: str = "Label") -> DataFrame:

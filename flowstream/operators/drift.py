@@ -64,6 +64,8 @@ def ddm_first(errors: DataFrame, by=None, change: float = DDM_CHANGE_LEVEL, min_
     earlier = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.select(*by, "_blk", F.min("_low").over(earlier).alias("_low"))
     inside = Window.partitionBy(*by, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    run = run.join(lows, [*by, "_blk"]).withColumn("_m", F.least(F.min("_m").over(inside), F.col("_low")))
+    keys = [*by, "_blk"]
+    lows = lows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_low")
+    run = run.join(lows, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]).withColumn("_m", F.least(F.min("_m").over(inside), F.col("_low")))
     hit = (n + 1 > min_rows) & (F.col("p") + F.col("s") > F.col("_m.p") + change * F.col("_m.s"))
     return run.filter(hit).groupBy(*by).agg(F.min(seq).alias("first_change"))

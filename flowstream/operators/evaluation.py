@@ -24,6 +24,11 @@ def f1_columns(tp: Column, fp: Column, fn: Column, percent: float = 100.0) -> li
     ]
 
 
+def _is(value: Column, target) -> Column:
+    """Whether a truth or prediction is the class; a missing one is not, so it counts as a miss."""
+    return F.coalesce(value == target, F.lit(False))
+
+
 def exclude_warmup(df: DataFrame, n: int, by=None, seq: str = "seq") -> DataFrame:
     """Drop the first n rows of each stream; a stream not longer than n keeps all its rows."""
     by = _keys(by)
@@ -51,7 +56,7 @@ def class_totals(counts: DataFrame, by=None) -> DataFrame:
                         F.when(hit, zero).otherwise(n).alias("fn"))
     as_pred = F.struct(F.col("pred").alias("cls"), zero.alias("tp"), F.when(hit, zero).otherwise(n).alias("fp"), zero.alias("fn"))
     long = counts.select(*_keys(by), F.explode(F.array(as_truth, as_pred)).alias("x")).select(*_keys(by), "x.*")
-    return long.groupBy(*_keys(by), "cls").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    return long.filter("cls is not null").groupBy(*_keys(by), "cls").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
 def metrics_from_confusion(counts: DataFrame, target: int | None = 1, by=None) -> DataFrame:
@@ -61,7 +66,7 @@ def metrics_from_confusion(counts: DataFrame, target: int | None = 1, by=None) -
         per = class_totals(counts, by).select(*by, *f1_columns(F.col("tp"), F.col("fp"), F.col("fn")))
         aggs = [F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("f1", "precision", "recall")]
         return per.groupBy(*by).agg(*aggs)
-    is_truth, is_pred = F.col("truth") == target, F.col("pred") == target
+    is_truth, is_pred = _is(F.col("truth"), target), _is(F.col("pred"), target)
     part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     totals = counts.groupBy(*by).agg(part(is_truth & is_pred).alias("tp"), part(~is_truth & is_pred).alias("fp"),
                                      part(is_truth & ~is_pred).alias("fn"))
@@ -90,7 +95,7 @@ def prequential_history(df: DataFrame, window: int, warmup: int = 0, target: int
     point = F.expr(f"(`{seq}` + {window - 1}) div {window}").alias("_point")
     aggs = []
     for c in classes:
-        t, p = F.col(truth) == c, F.col(pred) == c
+        t, p = _is(F.col(truth), c), _is(F.col(pred), c)
         aggs += [F.count_if(t & p).alias(f"tp{c}"), F.count_if(~t & p).alias(f"fp{c}"), F.count_if(t & ~p).alias(f"fn{c}")]
     bins = rows.groupBy(*by, point).agg(*aggs, F.max((F.col(seq) % window == 0).cast("int")).alias("_full"))
     names = [f"{k}{c}" for c in classes for k in ("tp", "fp", "fn")]
@@ -106,7 +111,7 @@ def windowed_metrics(df: DataFrame, window: int, by=None, seq: str = "seq", trut
                      target: int = 1) -> DataFrame:
     """Accuracy, precision, recall, f1 (percent) per tumbling window of ``window`` rows."""
     by = _keys(by)
-    t, p = F.col(truth) == target, F.col(pred) == target
+    t, p = _is(F.col(truth), target), _is(F.col(pred), target)
     w = F.expr(f"`{seq}` div {window}").alias("window_id")
     got = df.groupBy(*by, w).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == F.col(pred)).alias("ok"),
                                  F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
@@ -136,10 +141,12 @@ def auc(df: DataFrame, by=None, score: str = "score", truth: str = "truth", bloc
 
 
 def windowed_auc(df: DataFrame, window: int, by=None, seq: str = "seq", score: str = "score", truth: str = "truth") -> DataFrame:
-    """ROC area per count window; a window is bounded, so a plain window function does."""
+    """ROC area per count window; a window is bounded, so a plain window function does. Rows without a score count in
+    neither class, so a window of such rows has no area."""
     by = _keys(by)
     rows = df.withColumn("window_id", F.expr(f"`{seq}` div {window}"))
-    pos, neg = F.count_if(F.col(truth) == 1), F.count_if(F.col(truth) != 1)
+    scored = F.col(score).isNotNull()
+    pos, neg = F.count_if((F.col(truth) == 1) & scored), F.count_if((F.col(truth) != 1) & scored)
     dist = rows.groupBy(*by, "window_id", score).agg(pos.alias("_p"), neg.alias("_q"))
     w = Window.partitionBy(*by, "window_id").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     dist = dist.withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)))

@@ -40,7 +40,7 @@ class Learner:
     criterion: str = "infogain"
     leaf: str = "nba"
     nb_threshold: float = 0
-    max_leaves: int = 256
+    max_leaves: int | None = None  # no limit unless given
     drift: str = "none"           # none, subtree (alternate subtrees), member (replace members)
     delta: float = 0.002
     warning_delta: float = 0.01
@@ -142,7 +142,7 @@ def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
         leaf.majority_ok += c.majority_ok
         leaf.bayes_ok += c.bayes_ok
 
-    room = cfg.max_leaves - len(H.leaves(root))
+    room = float("inf") if cfg.max_leaves is None else cfg.max_leaves - len(H.leaves(root))
 
     def visit(node, path):
         nonlocal room
@@ -201,9 +201,11 @@ def _learn(cfg: Learner, m: H.Member, got: dict, member: int, window: int, class
     m.ok, m.seen = m.ok + n - e, m.seen + n
     if cfg.drift == "subtree" and cfg.drift_detection:
         alternates = {k[4:]: v for k, v in got.items() if k.startswith("alt:")}
+        counted = {p: _leaf_at(m.root, p) for p in counts}
         m.root = _subtree_drift(m.root, counts, alternates, cfg, member, window, classes, features)
-        # a swapped-in alternate learned in this window already
-        m.root = _grow(m.root, {p: c for p, c in counts.items() if _same_leaf(m.root, p)}, cfg, member, window)
+        # a swapped-in alternate learned in this window already, so only leaves of the tree before it take their counts
+        kept = {p: c for p, c in counts.items() if counted[p] is not None and _leaf_at(m.root, p) is counted[p]}
+        m.root = _grow(m.root, kept, cfg, member, window)
         return m
     m.root = _grow(m.root, counts, cfg, member, window)
     if m.background is not None:
@@ -219,13 +221,14 @@ def _learn(cfg: Learner, m: H.Member, got: dict, member: int, window: int, class
     return m
 
 
-def _same_leaf(root, path: str) -> bool:
+def _leaf_at(root, path: str):
+    """The leaf a path ends in, or None."""
     node = root
     for step in path:
         if isinstance(node, H.Leaf):
-            return False
+            return None
         node = node.left if step == "l" else node.right
-    return isinstance(node, H.Leaf)
+    return node if isinstance(node, H.Leaf) else None
 
 
 def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

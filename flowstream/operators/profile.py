@@ -14,11 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col
+from flowstream.functions.columns import without_nan, NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col
 from flowstream.session import join_checked, written
 
 EXACT_VALUES = 4_000_000   # rows x columns up to which Spark's exact percentile is used, beyond it bracketing
-MAX_ITEMS = 2_000          # classes or features in a distance report
 GATHER_VALUES = 2_000_000  # values held at once when the last brackets are read
 
 
@@ -274,8 +273,8 @@ def class_names(df: DataFrame, dictionary: DataFrame, idx: str, name: str = "cla
 
 
 def class_signature(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Mean of every feature per class; nulls are skipped."""
-    return df.groupBy(col(label).alias("class")).agg(*[F.avg(col(c)).alias(c) for c in features])
+    """Mean of every feature per class; nulls and NaN are skipped."""
+    return df.groupBy(col(label).alias("class")).agg(*[F.avg(without_nan(df, c)).alias(c) for c in features])
 
 
 def scaled_signature(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -295,12 +294,9 @@ def scaled_signature(df: DataFrame, features: Sequence[str], label: str) -> Data
 def pair_distance(signature: DataFrame, item: str, axis: str) -> DataFrame:
     """Euclidean distance of every two items over the shared axis.
 
-    The signature holds one row per class and feature (a report-sized table, checked), so this joins
-    class means, never rows of the data.
+    The signature holds one row per class and feature, so this joins class means, never rows of the data;
+    the result has a row for every two items, as a distance report does.
     """
-    items = signature.select(item).distinct().limit(MAX_ITEMS + 1).count()
-    if items > MAX_ITEMS:
-        raise ValueError(f"distances are for at most {MAX_ITEMS} classes or features")
     left = signature.select(F.col(item).alias("a"), axis, F.col("value").alias("x"))
     right = signature.select(F.col(item).alias("b"), axis, F.col("value").alias("y"))
     both = left.join(right, axis).filter(F.col("a") < F.col("b"))

@@ -69,7 +69,7 @@ class QuotaError(ValueError):
 def check_class_quota(counts: DataFrame, n: int, allow_insufficient: bool = False) -> DataFrame:
     """Rows to take per class: min(n, available). A smaller class is an error unless allowed."""
     if not allow_insufficient:
-        short = counts.filter(F.col("n") < n).orderBy("label").limit(20).collect()
+        short = counts.filter(F.col("n") < n).orderBy("label").collect()
         if short:
             raise QuotaError(f"fewer than {n} rows in: " + ", ".join(f"{r['label']} ({r['n']})" for r in short))
     return counts.select("label", F.least(F.col("n"), F.lit(n)).cast("long").alias("_quota"))

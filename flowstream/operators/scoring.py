@@ -258,7 +258,9 @@ def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup:
         return rate(None if given.empty else given["model"].iloc[0], key, pdf)
 
     by_block = [*by, "_blk"]
-    spread = rows.select(*by_block).distinct().join(models, by)
+    given = models.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "model")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]  # a null key is a stream too
+    spread = rows.select(*by_block).distinct().join(given, same)
     spread = spread.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(by_block)], "model")
     left = spread_by(rows, by_block).groupBy(*by_block)
     right = spread_by(spread, [f"_m{i}" for i in range(len(by_block))]).groupBy(*[f"_m{i}" for i in range(len(by_block))])

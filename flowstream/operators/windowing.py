@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, fill_flow_nulls, numeric_columns
+from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, fill_flow_nulls, numeric_columns, without_nan
 from flowstream.session import join_checked
 
 
+MAX_PIECES = 200_000  # of interval rules that are broadcast, some 20 MB
+
+
 def drop_bad_times(df: DataFrame, ts: str, observation: Observation | None = None) -> DataFrame:
     """Drop rows without a readable time; ``observation`` receives the number dropped."""
     if observation is not None:
@@ -102,7 +106,7 @@ def window_summary(df: DataFrame, ts: str = "Timestamp", freq: str = "1 second",
     nums = [c for c in numeric_columns(df) if c not in ids and c not in (label, ts)]
     rows = df.filter(col(ts).isNotNull())
     sums = rows.groupBy(_window_start(ts, freq).alias("_w")).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in nums],
+        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(without_nan(df, c)), F.lit(0)).alias(c) for c in nums],
         *[agg.alias(name) for name, agg in (extra or {}).items()],
     )
     counted = ids + ([label] if has_label else [])
@@ -126,41 +130,56 @@ def window_summary(df: DataFrame, ts: str = "Timestamp", freq: str = "1 second",
     return gap_fill(out, ts, freq, label, (starts[0], starts[-1])) if starts else out
 
 
-def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", label: str = "Label",
-                       row_id: Sequence[str] = (), fold_limit: int = 64) -> DataFrame:
+def _painted(rules: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Disjoint stretches [start, end) and the label of the last rule that covers each."""
+    edges = sorted({x for s, e, _ in rules if s < e for x in (s, e)})
+    opening: dict[int, list[int]] = {}
+    for i, (s, e, _) in enumerate(rules):
+        if s < e:
+            opening.setdefault(s, []).append(-i)
+    out, active = [], []
+    for a, b in zip(edges, edges[1:]):
+        for i in opening.get(a, ()):
+            heapq.heappush(active, i)
+        while active and rules[-active[0]][1] <= a:
+            heapq.heappop(active)
+        if active:
+            name = rules[-active[0]][2]
+            if out and out[-1][1] == a and out[-1][2] == name:
+                out[-1] = (out[-1][0], b, name)
+            else:
+                out.append((a, b, name))
+    return out
+
+
+def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", label: str = "Label") -> DataFrame:
     """Label rows by time intervals, both ends included; the last matching rule wins.
 
-    ``rules`` is a list of (start, end, label) or a table (rule_id, start, end, label). A short list
-    becomes one CASE expression in the scan; a long table is joined on time buckets, so no row
-    meets more rules than overlap its bucket (``row_id`` names the row then).
+    ``rules`` is a list of (start, end, label) or a table (rule_id, start, end, label), of any length. Overlaps are
+    resolved among the rules (control data, sorted on the driver), so a row meets one stretch at most: one join on
+    equal time buckets, without an aggregation, in batch and on streams. A stretch is cut at bucket borders only, so
+    there are at most twice as many pieces as stretches.
     """
-    kind = dict(df.dtypes)[ts]
+    spark, kind = df.sparkSession, dict(df.dtypes)[ts]
+    micros = lambda c: F.unix_micros(c.cast(kind).cast("timestamp"))
     if not isinstance(rules, DataFrame):
-        rules = list(rules)
-        if len(rules) <= fold_limit:
-            out = F.lit(default)
-            for start, end, name in rules:
-                hit = col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind))
-                out = F.when(hit, F.lit(name)).otherwise(out)
-            return df.withColumn(label, out)
         data = [(i, str(s), str(e), n) for i, (s, e, n) in enumerate(rules)]
-        rules = df.sparkSession.createDataFrame(data, "rule_id int, start string, end string, label string")
-    if not row_id:
-        raise ValueError("a rule table needs row_id columns that name a row")
-    rules = rules.select("rule_id", F.col("start").cast(kind).alias("_s"), F.col("end").cast(kind).alias("_e"),
-                         F.col("label").alias("_name")).filter("_s <= _e")
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    width = rules.agg(F.avg(seconds(F.col("_e")) - seconds(F.col("_s")))).first()[0] or 0
-    width = max(int(width), 1)
-    bucket = lambda c: F.floor(seconds(c) / width)
-    spread = rules.withColumn("_b", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e")))))
-    hits = (
-        join_checked(df.select(*row_id, col(ts).alias("_t")).withColumn("_b", bucket(F.col("_t"))), spread, "_b")
-        .filter(F.col("_t").between(F.col("_s"), F.col("_e")))
-        .groupBy(*row_id)
-        .agg(F.max_by("_name", "rule_id").alias(label))
-    )
-    return df.drop(label).join(hits, list(row_id), "left").na.fill({label: default})
+        rules = spark.createDataFrame(data, "rule_id int, start string, end string, label string")
+    known = rules.select(micros(F.col("start")).alias("s"), micros(F.col("end")).alias("e"), "label", "rule_id").filter("s <= e").orderBy("rule_id").collect()
+    stretches = _painted([(r["s"], r["e"] + 1, r["label"]) for r in known])
+    out = df.drop(label) if label in df.columns else df
+    if not stretches:
+        return out.withColumn(label, F.lit(default))
+    low = stretches[0][0]
+    width = max(1, -(-(stretches[-1][1] - low) // len(stretches)))
+    pieces = [(b, max(s, low + b * width), min(e, low + (b + 1) * width), name)
+              for s, e, name in stretches for b in range((s - low) // width, (e - 1 - low) // width + 1)]
+    table = spark.createDataFrame(pieces, "_b long, _s long, _e long, _name string")
+    if len(pieces) <= MAX_PIECES:
+        table = F.broadcast(table)
+    rows = out.withColumn("_m", micros(col(ts))).withColumn("_at", F.floor((F.col("_m") - low) / width))
+    hit = (F.col("_at") == F.col("_b")) & (F.col("_m") >= F.col("_s")) & (F.col("_m") < F.col("_e"))
+    return rows.join(table, hit, "left").withColumn(label, F.coalesce("_name", F.lit(default))).drop("_m", "_at", "_b", "_s", "_e", "_name")
 
 
 def dedupe_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], keep: str = "last") -> DataFrame:

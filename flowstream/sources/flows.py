@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from flowstream.functions.columns import col, normalize_columns
 
 
+#: Cells that mean a missing value, as common readers of such files take them.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def _glob(spark: SparkSession, path: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -89,6 +93,7 @@ def read_flows(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv"
         by_header.setdefault(_first_line(spark, p), []).append(p)
     tables = [_read_csv(spark, files, header, sep) for header, files in by_header.items()]
     df = union_tables([normalize_columns(t) if strip_names else t for t in tables])
+    df = df.withColumns({c: F.when(~F.trim(col(c)).isin(*MISSING), col(c)) for c in df.columns if c != "source_file"})
     kinds = types or infer_types(df, skip=["source_file"])
     casts = {c: F.trim(col(c)).try_cast(t) for c, t in kinds.items() if t != "string" and c in df.columns}
     return df.withColumns(casts)

@@ -192,3 +192,14 @@ def test_sweep_and_best_trial(spark):
         assert one(E.binary_metrics(flags)) == tuple(round(r[c], 6) for c in ("f1", "precision", "recall"))
     trials = spark.createDataFrame([("x", "s", 0, 5.0), ("x", "s", 1, 9.0), ("x", "s", 2, 9.0)], "algorithm string, stream_id string, trial int, f1 double")
     assert E.best_trial(trials).first()["trial"] == 1
+
+
+def test_missing_predictions_are_misses(spark):
+    rows = [(0, 1, 1, 0.9), (1, 1, None, None), (2, 1, None, None), (3, 0, 0, 0.1)]
+    df = spark.createDataFrame(rows, "seq long, truth int, pred int, score double")
+    one = E.binary_metrics(df).first()
+    assert (one["f1"], one["precision"]) == (50.0, 100.0) and abs(one["recall"] - 100 / 3) < 1e-9
+    win = E.windowed_metrics(df, 4).first()
+    assert win["accuracy"] == 50.0 and abs(win["recall"] - 100 / 3) < 1e-9
+    areas = {r["window_id"]: r["auc"] for r in E.windowed_auc(df.withColumn("seq", F.when(F.col("score").isNull(), F.col("seq")).otherwise(F.col("seq") + 10)), 5).collect()}
+    assert areas[0] is None

@@ -94,8 +94,20 @@ def test_interval_rules(spark):
     rules = [(at(1), at(4), "one"), (at(3), at(5), "two"), (at(7), at(7), "instant")]
     df = spark.createDataFrame([(i, T0 + timedelta(seconds=i)) for i in range(9)], "id long, ts timestamp")
     expect = ["BENIGN", "one", "one", "two", "two", "two", "BENIGN", "instant", "BENIGN"]
-    for kw in ({}, {"row_id": ["id"], "fold_limit": 0}):
-        assert [r["Label"] for r in W.label_by_intervals(df, "ts", rules, **kw).orderBy("id").collect()] == expect
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rule_id int, start string, end string, label string")
+    for given in (rules, table):
+        assert [r["Label"] for r in W.label_by_intervals(df, "ts", given).orderBy("id").collect()] == expect
+    assert {r["Label"] for r in W.label_by_intervals(df, "ts", []).collect()} == {"BENIGN"}
+
+
+def test_many_interval_rules(spark):
+    rng = random.Random(1)
+    at = lambda s: T0 + timedelta(seconds=s)
+    rules = [(a := rng.randrange(3000), a + rng.choice([0, 5, 40, 2000]), f"r{i}") for i in range(1000)]
+    df = spark.createDataFrame([(i, at(i)) for i in range(3100)] + [(-1, None)], "id long, ts timestamp")
+    got = {r["id"]: r["Label"] for r in W.label_by_intervals(df, "ts", [(str(at(a)), str(at(b)), n) for a, b, n in rules]).collect()}
+    expect = {i: next((n for a, b, n in reversed(rules) if a <= i <= b), "BENIGN") for i in range(3100)}
+    assert got == expect | {-1: "BENIGN"}
 
 
 def test_overlay_rules(spark):

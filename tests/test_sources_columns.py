@@ -85,7 +85,7 @@ def test_infinity_and_nan(spark):
     df = spark.createDataFrame([(math.inf,), (-math.inf,), (math.nan,), (None,), (1.0,)], "x double")
     got = [r[0] for r in C.clamp_infinity(df, ["x"]).collect()]
     assert got == [C.FLOAT32_MAX, -C.FLOAT32_MAX, None, None, 1.0]
-    assert [r[0] for r in df.select(C.nan_to_zero(F.col("x"))).collect()][2:] == [0.0, 0.0, 1.0]
+    assert [r[0] for r in df.select(C.without_nan(df, "x")).collect()][2:] == [None, None, 1.0]
 
 
 def test_times(spark):
@@ -121,3 +121,11 @@ def test_intermediate_tables_go_to_the_named_folder():
     cluster = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(getConf=lambda: bare, master="yarn"))
     with pytest.raises(RuntimeError):
         shared_dir(cluster)
+
+
+def test_missing_words_become_null(spark, tmp_path):
+    a = write(tmp_path / "m.csv", b"Rate,Name,Label\n3,x,a\nN/A,NaN,a\nNaN,,b\n2.5,null,b\nInfinity,y,b\n")
+    df = S.read_flows(spark, a)
+    assert dict(df.dtypes)["Rate"] == "double"
+    assert sorted(((r["Rate"] is not None) and r["Rate"] or 0) for r in df.collect()) == [0, 0, 2.5, 3.0, math.inf]
+    assert sum(r["Name"] is None for r in df.collect()) == 3
