@@ -87,10 +87,8 @@ def drop_identifiers(df: DataFrame, extra: str | Sequence[str] | None = None) ->
 
 def keep_features(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Listed columns that exist, in list order, and always the target."""
-    kept = [c for c in features if c in df.columns]
-    if target in df.columns and target not in kept:
-        kept.append(target)
-    return df.select(*[col(c) for c in kept])
+    place = {name: i for i, name in reversed(list(enumerate([*features, target])))}
+    return df.select(*[col(c) for c in sorted(place.keys() & set(df.columns), key=place.__getitem__)])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

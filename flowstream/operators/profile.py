@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowstream.functions.columns import without_nan, NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col
+from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col, without_nan
 from flowstream.session import join_checked, written
 
 EXACT_VALUES = 4_000_000   # rows x columns up to which Spark's exact percentile is used, beyond it bracketing
@@ -260,9 +260,10 @@ def encode_labels(df: DataFrame, label: str, dictionary: DataFrame, name: str =
     return out.withColumn(name, F.coalesce("_idx", F.lit(-1))).drop("_idx", "_name")
 
 
-def normal_class_index(names: Sequence[str]) -> int:
-    """Index of the first normal class name, 0 if there is none."""
-    return next((i for i, n in enumerate(names) if str(n).strip().upper() in NORMAL_NAMES_OR_ZERO), 0)
+def normal_class_index(dictionary: DataFrame) -> int:
+    """The least index whose name in the label dictionary is a normal class; 0 where none is."""
+    normal = F.upper(F.trim("name")).isin(*NORMAL_NAMES_OR_ZERO)
+    return dictionary.agg(F.coalesce(F.min(F.when(normal, F.col("idx"))), F.lit(0))).first()[0]
 
 
 def class_names(df: DataFrame, dictionary: DataFrame, idx: str, name: str = "class_name") -> DataFrame:

@@ -131,7 +131,7 @@ def test_label_dictionary_and_lookup(spark):
     df = spark.createDataFrame([(0, "Syn"), (1, " normal"), (2, "Benign"), (3, "UDP"), (4, None)], "seq long, Label string")
     d = P.label_dictionary(df, "Label", "seq")
     assert [r["name"] for r in d.orderBy("idx").collect()] == ["normal", "Syn", "Benign", "UDP", "UNKNOWN"]
-    assert P.normal_class_index(["Syn", "Benign"]) == 1 and P.normal_class_index(["a"]) == 0
+    assert [P.normal_class_index(spark.createDataFrame(list(enumerate(n)), "idx int, name string")) for n in (["Syn", "Benign"], ["a"])] == [1, 0]
     ids = spark.createDataFrame([(1,), (9,)], "i int")
     assert sorted(r["class_name"] for r in P.class_names(ids, d, "i").collect()) == ["Ataque 9", "Syn"]
 
