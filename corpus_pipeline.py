@@ -11,7 +11,7 @@ from flowstream.llm.exact import drop_exact_copies
 from flowstream.llm.mixing import mixed, mixing_table
 from flowstream.llm.neardup import keep_one_of_class
 from flowstream.llm.pieces import encode, load_pieces
-from flowstream.llm.text import stored
+from flowstream.llm.text import small_batches, stored
 from flowstream.llm.toxicity import drop_toxic, fit_toxicity
 from flowstream.session import ship_package
 
@@ -19,9 +19,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 PIECES = "piece_bpe_32k.model"
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7. The model learns from the labelled rows among the documents."""
-    ship_package(spark)
+    _ready(spark)
     return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.7)
 
 
@@ -32,19 +37,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts that are linked by a similarity of 0.8 or more on five-word n-grams."""
-    ship_package(spark)
+    _ready(spark)
     return keep_one_of_class(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3, repeating: a document has as many rows as its source's target takes it."""
-    ship_package(spark)
+    _ready(spark)
     return mixed(docs, mixing_table(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip and ids of every row of the mix."""
-    ship_package(spark)
+    _ready(spark)
     return encode(docs, load_pieces(public_tokenizers.path(PIECES)))
 
 

@@ -143,7 +143,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
             for chunk, text in zip(batch.column("_chunk").to_pylist(), (x.as_py() for x in batch.column("_t"))):
                 own = found.setdefault(chunk, set())
                 own.update(split(marked(text)))
-                if len(own) > 300_000:  # bounds the memory; what is sent twice is merged below
+                if len(own) > 200_000:  # bounds the memory; what is sent twice is merged below
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["_chunk", "unit"])
                     own.clear()
         for chunk, own in found.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from flowstream.llm.pieces import encode, load_pieces
 from flowstream.llm.private import private_spans
 from flowstream.llm.quality import fit_ratios, quality
 from flowstream.llm.repeats import without_repeats
-from flowstream.llm.text import id_hash
+from flowstream.llm.text import id_hash, small_batches
 from flowstream.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,12 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowstream.session import fresh_path
 
-BLOCK = 2 << 20  # bytes of text handled by one round of numpy calls
+BLOCK = 1 << 19  # bytes of text handled by one round of numpy calls
 MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, for multiplicative hashing
 
 #: Byte classes: the six separators of words, and ASCII capitals to small letters.
@@ -25,6 +25,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand texts to Python in batches of some MB: documents are larger than the rows its default is for."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
+
+
 def free_name(columns: Iterable[str], base: str) -> str:
     """A column name that clashes with none of ``columns`` (names are compared without case)."""
     taken = {c.lower() for c in columns}
