@@ -8,7 +8,9 @@ model's scores are merge ranks, and the best path by their sum is not what its t
 the edges in rank order, each where it spans exactly two segments, which gives the tokenizer's own ids.
 
 Encoded units meet the texts by chunk, the part of an input file that one task reads: a task sends each of its units
-once, however often it occurs, and gets the ids back. Decoding joins the pieces of the ids, bytes included.
+once, however often it occurs, and gets the ids back. Units travel both ways in sorted lists, one for each chunk and lane
+(a share of all units by their hash), which take a fraction of the space of single rows. Decoding joins the pieces of
+the ids, bytes included.
 
 Rules for odd input: null counts as empty, an empty text has no ids; characters without a piece become bytes; text that
 holds the word mark itself decodes to spaces there, as in the tokenizer, and reports round_trip false; repeated rows are
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ from flowstream.llm.text import blocks, quoted, shuffle_partitions, text_or_empt
 
 MARK = "▁"
 CHUNK = 8 << 20  # bytes of an input file that share one dictionary of units
+GAP = " "  # between the units of a list; no unit holds it, as texts have marks in its place
 
 
 @dataclass(frozen=True)
@@ -102,22 +105,24 @@ _BACK = f"""aggregate(sequence(1, n), struct(n as at, cast(array() as array<int>
     concat(if(best[a.at].id >= 0, array(best[a.at].id), element_at(transform(array(a.at - 1), p -> {_BYTES}), 1)), a.ids) as ids))).ids"""
 
 
-def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, ids, ...) for rows of distinct, non-empty marked strings in column unit; further columns stay."""
-    carried = [c for c in units.columns if c != "unit"]
-    starts = units.select("unit", *carried, F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("i"))
-    # the empty piece matches once per unit, so a unit without any piece stays
+def encode_units(units: DataFrame, model: PieceModel, by: Sequence[str] = ()) -> DataFrame:
+    """(unit, ids, ...) for rows of distinct, non-empty marked strings in column unit; further columns stay. Rows that are
+    partitioned by columns ``by``, which depend on the unit alone, are not shuffled."""
+    carried = [c for c in units.columns if c not in ("unit", *by)]
+    starts = units.select("unit", *by, *carried, F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("i"))
+    # the empty piece matches once per unit, so a unit without any piece stays; its row alone carries the further columns
     spans = starts.select("*", F.explode(F.expr(f"sequence(if(i = 0, 0, 1), least({model.longest}, length(unit) - i))")).alias("l"))
+    spans = spans.withColumns({c: F.when(F.col("l") == 0, quoted(c)) for c in carried})
     edges = spans.withColumn("piece", F.expr("substring(unit, i + 1, l)")).join(F.broadcast(piece_table(units.sparkSession, model)), "piece")
-    rank = "-score" if model.kind == "bpe" else "0D"
-    grouped = edges.groupBy("unit").agg(F.collect_list(F.expr(f"struct({rank} as rank, i, l, id, score)")).alias("edges"), *[F.first(c).alias(c) for c in carried])
+    edge = F.expr("struct(-score as rank, i, l, id)" if model.kind == "bpe" else "struct(i, l, id, score)")
+    grouped = edges.groupBy("unit", *by).agg(F.collect_list(edge).alias("edges"), *[F.first(quoted(c), ignorenulls=True).alias(c) for c in carried])
     grouped = grouped.withColumn("edges", F.array_sort("edges")).withColumn("n", F.length("unit"))
     if model.kind == "bpe":
         done = grouped.withColumn("s", F.expr(_MERGE)).withColumn("ids", F.expr(f"flatten(transform({_SEGMENTS.format(first=model.first_byte)}, x -> x.ids))"))
     else:
         worst = min(s for s, n in zip(model.scores, model.normal) if n) - 10
         done = grouped.withColumn("best", F.expr(_BEST.format(unknown=f"cast({worst!r} as double)"))).withColumn("ids", F.expr(_BACK.format(first=model.first_byte)))
-    return done.select("unit", "ids", *carried)
+    return done.select("unit", *by, "ids", *carried)
 
 
 def _chunk(df: DataFrame, id_col: str):
@@ -134,8 +139,16 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     rows = docs.select(quoted(id_col).alias("_id"), _chunk(docs, id_col).alias("_chunk"), text_or_empty(text_col).alias("_t"))
     id_type = rows.schema["_id"].dataType
     pattern, decoded = model.unit_pattern(), model.as_bytes()
+    lanes = 2 * shuffle_partitions(docs.sparkSession)
     marked = lambda text: MARK + text.replace(" ", MARK) if text else ""
 
+    def lists(chunk: int, own: set[str]) -> pa.RecordBatch:
+        by_lane: dict[int, list[str]] = {}
+        for unit in sorted(own):
+            by_lane.setdefault(zlib.crc32(unit.encode()) % lanes, []).append(unit)
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(by_lane), pa.int32()), pa.array(list(by_lane), pa.int32()), pa.array(map(GAP.join, by_lane.values()), pa.string())],
+                                          ["_chunk", "_lane", "_units"])
+
     def unit_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set[str]] = {}
         split = re.compile(pattern).findall
@@ -144,10 +157,10 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                 own = found.setdefault(chunk, set())
                 own.update(split(marked(text)))
                 if len(own) > 200_000:  # bounds the memory; what is sent twice is merged below
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["_chunk", "unit"])
+                    yield lists(chunk, own)
                     own.clear()
         for chunk, own in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["_chunk", "unit"])
+            yield lists(chunk, own)
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
@@ -160,16 +173,20 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                                                   pa.array([np.diff(offsets)[own].tolist()], pa.list_(pa.int64())), pa.array([codec.compress(data.tobytes(), asbytes=True)], pa.binary())],
                                                  ["_chunk", "_ids", "_sizes", "_blob"])
 
-    units = rows.select("_chunk", "_t").mapInArrow(unit_sets, "_chunk int, unit string").groupBy("unit").agg(F.collect_set("_chunk").alias("_chunks"))
-    known = encode_units(units, model).select(F.explode("_chunks").alias("_chunk"), "unit", "ids")
+    sent = rows.select("_chunk", "_t").mapInArrow(unit_sets, "_chunk int, _lane int, _units string").repartitionById(lanes, F.col("_lane"))
+    units = sent.select("_chunk", "_lane", F.explode(F.split("_units", GAP)).alias("unit")).groupBy("unit", "_lane").agg(F.collect_set("_chunk").alias("_chunks"))
+    known = encode_units(units, model, ["_lane"]).select("_lane", F.explode("_chunks").alias("_chunk"), "unit", "ids")
+    known = known.groupBy("_lane", "_chunk").agg(F.array_sort(F.collect_list(F.struct("unit", "ids"))).alias("_known"))
+    known = known.select("_chunk", F.array_join("_known.unit", GAP).alias("_units"), F.transform("_known.ids", F.size).alias("_counts"), F.flatten("_known.ids").alias("_codes"))
     held = rows.mapInArrow(packed, StructType([StructField("_chunk", IntegerType()), StructField("_ids", ArrayType(id_type)), StructField("_sizes", ArrayType(LongType())), StructField("_blob", BinaryType())]))
     names = [id_col, "n_tokens", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
 
     def join(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
         codec, split = pa.Codec("zstd"), re.compile(pattern).findall
-        lists = dictionary.column("ids").combine_chunks()
-        values, at = np.asarray(lists.values).astype("<i4").tobytes(), (np.asarray(lists.offsets).astype(np.int64) * 4).tolist()
-        ids_of = {u: values[a:b] for u, a, b in zip(dictionary.column("unit").to_pylist(), at[:-1], at[1:])}
+        ids_of = {}
+        for found, counts, codes in zip(dictionary.column("_units"), dictionary.column("_counts"), dictionary.column("_codes")):
+            values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
+            ids_of.update((u, values[a:b]) for u, a, b in zip(found.as_py().split(GAP), [0, *ends], ends))
         ids, out = [], []
         for keys, sizes, blob in zip(texts.column("_ids").to_pylist(), texts.column("_sizes").to_pylist(), texts.column("_blob").to_pylist()):
             data, at_byte = codec.decompress(blob, sum(sizes), asbytes=True) if sum(sizes) else b"", 0
@@ -180,7 +197,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                 back = b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))[1:]
                 out.append((code, back == text))
             ids += keys
-        del ids_of, dictionary, lists, values, at
+        del ids_of, dictionary
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}
