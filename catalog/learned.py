@@ -14,7 +14,8 @@ from flowstream.plans.experiments import class_profile, classification_experimen
 from flowstream.session import written
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-WINDOWS = 8  # training windows per stream in these queries
+WINDOWS = 8  # training windows of the queries over one long stream
+WINDOW_ROWS = 100  # rows of a training window of the queries with one stream per supplier
 
 
 def _lines(spark, d):
@@ -26,19 +27,25 @@ def _lines(spark, d):
     return s, s.count()
 
 
+def _supplier_lines(spark, d):
+    """The same rows as one stream per supplier."""
+    li = table(spark, d, "lineitem")
+    y = (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)
+    li = li.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", *FEATURES, y.cast("int").alias("class_idx"))
+    return with_seq(li, ["l_shipdate", "l_orderkey", "l_linenumber", *FEATURES], by="l_suppkey")
+
+
 def _run(short, params):
     def query(spark, d):
-        s, n = _lines(spark, d)
-        preds = L.prequential_classify(s, FEATURES, L.learners([short], {short: params}), -(-n // WINDOWS), 2)
-        return preds.select("learner", "seq", "truth", "pred")
+        preds = L.prequential_classify(_supplier_lines(spark, d), FEATURES, L.learners([short], {short: params}), WINDOW_ROWS, 2, keys="l_suppkey")
+        return preds.select("l_suppkey", "learner", "seq", "truth", "pred")
     return query
 
 
 def learner_accuracy(spark, d):
-    """Four learners over one stream in the same jobs."""
-    s, n = _lines(spark, d)
+    """Four learners over each supplier's stream in the same job."""
     configured = L.learners(overrides={"LB": {"members": 8}, "ARF": {"members": 8, "max_features": 0.8}})
-    return E.cumulative_accuracy(L.prequential_classify(s, FEATURES, configured, -(-n // WINDOWS), 2))
+    return E.cumulative_accuracy(L.prequential_classify(_supplier_lines(spark, d), FEATURES, configured, WINDOW_ROWS, 2, keys="l_suppkey"))
 
 
 def classification_report(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import SQL_SEQ, TRUTH_LEVEL, events, stream
+from catalog.common import SQL_SEQ, SQL_SEQ_USER, TRUTH_LEVEL, events, stream
 from flowstream.operators import drift as D
 from flowstream.operators import thresholds as T
 from flowstream.operators.ordering import attack_regions, moving_average, with_seq
@@ -21,6 +21,15 @@ def _days(spark, d):
     return s.select("stream_id", "seq", F.col("value").alias("score"), (F.col("value") > TRUTH_LEVEL).cast("int").alias("truth"))
 
 
+def _user_errors(spark, d):
+    """An error stream per user whose rate jumps from .1 to .6 half way through the user's rows."""
+    s = stream(spark, d, by="user_id")
+    halves = s.groupBy(F.col("user_id").alias("_user")).agg(F.expr("count(*) div 2").alias("_half"))
+    u = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 7), 16, 10).cast("double") / float(16**7)
+    s = s.join(halves, F.col("user_id").eqNullSafe(F.col("_user")))
+    return s.select("user_id", "seq", (u < F.when(F.col("seq") < F.col("_half"), 0.1).otherwise(0.6)).cast("double").alias("error"))
+
+
 def _errors(spark, d):
     """One long error stream whose rate jumps from .1 to .6 half way; the draws come from the id's hash."""
     s = stream(spark, d)
@@ -64,7 +73,7 @@ def evt_excess(spark, d):
 
 
 def ddm(spark, d):
-    return D.ddm(_errors(spark, d))
+    return D.ddm(_user_errors(spark, d), "user_id")
 
 
 def ddm_first(spark, d):
@@ -72,12 +81,12 @@ def ddm_first(spark, d):
 
 
 def adwin(spark, d):
-    return D.adwin(_errors(spark, d))
+    return D.adwin(_user_errors(spark, d), "user_id")
 
 
 def drift_monitor(spark, d):
-    e = _errors(spark, d).select("stream_id", "seq", F.lit(0.0).alias("truth"), F.col("error").alias("pred"))
-    return D.drift_monitor(e)
+    e = _user_errors(spark, d).select("user_id", "seq", F.lit(0.0).alias("truth"), F.col("error").alias("pred"))
+    return D.drift_monitor(e, "user_id")
 
 
 QUERIES = {f.__name__: f for f in [dspot, dspot_segments, dspot_metrics, dspot_sweep, contamination, contamination_regions,
@@ -86,7 +95,27 @@ QUERIES = {f.__name__: f for f in [dspot, dspot_segments, dspot_metrics, dspot_s
 _DAYS = """select strftime(ts, '%Y-%m-%d') as stream_id, row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts, event_id) - 1 as seq,
   value as score, (value > 150)::integer as truth from events"""
 
+# One step of the recursion takes the next row of every user; a row after a change starts from nothing.
+_DDM = f"""with recursive
+  s as (select user_id, {SQL_SEQ_USER} as seq, event_id, count(*) over (partition by user_id) // 2 as half from events),
+  e as (select user_id, seq, (('0x' || substr(md5(event_id::varchar), 1, 7))::bigint / 268435456.0::double < case when seq < half then 0.1 else 0.6 end)::integer::double as error from s),
+  walk as (
+    select distinct user_id, -1::bigint as seq, 0::double as error, 0::bigint as n, 0::double as errors, 1e300::double as best, 0::double as p_min, 0::double as s_min, 'normal' as state from e
+    union all
+    select user_id, seq, error, n, errors, best, p_min, s_min,
+      case when n + 1 > 30 and p + s > p_min + 3 * s_min then 'change' when n + 1 >= 30 and p + s > p_min + 2 * s_min then 'warning' else 'normal' end as state
+    from (select user_id, seq, error, n, errors, p, s, case when lower then p + s else best end as best, case when lower then p else p_min end as p_min,
+        case when lower then s else s_min end as s_min
+      from (select *, n + 1 >= 30 and p + s <= best as lower
+        from (select *, sqrt(p * (1 - p) / n) as s
+          from (select *, errors / n as p
+            from (select e.user_id, e.seq, e.error, case w.state when 'change' then 1 else w.n + 1 end as n, case w.state when 'change' then e.error else w.errors + e.error end as errors,
+                case w.state when 'change' then 1e300::double else w.best end as best, w.p_min, w.s_min
+              from walk w join e on e.user_id = w.user_id and e.seq = w.seq + 1))))))
+  select user_id, seq, error, state from walk where seq >= 0"""
+
 ORACLE = {
+    "ddm": _DDM,
     "contamination_regions": f"""with s as ({_DAYS}),
       c as (select *, case when truth is distinct from lag(truth) over (partition by stream_id order by seq) then 1 else 0 end as ch from s),
       b as (select *, sum(ch) over (partition by stream_id order by seq rows unbounded preceding) as b from c)

@@ -4,6 +4,9 @@ Per window one job: every partition of the window counts its rows into the curre
 (small arrays), the counts of one tree meet in one task, and that task grows the tree. Rows are never
 shuffled for training. The trees as they stood before each window then predict that window's rows in a
 single parallel pass. Training per window instead of per row is a deliberate change of granularity.
+
+With stream keys every stream has trees of its own. Then one job trains all streams side by side: a stream's rows
+meet in one task, window after window, and its trees are the state of ``keyed_scan``.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import types as T
 
 from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import LEHMER, node_hash
+from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
+from flowstream.operators.ordering import _keys
 from flowstream.operators.thresholds import _ddl
 from flowstream.session import fresh_path, spread_by
 
@@ -244,12 +249,51 @@ def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
+def _vote(cfg: Learner, members: Sequence[H.Member], x: np.ndarray, classes: int) -> np.ndarray:
+    votes = np.zeros((len(x), classes))
+    for m in members:
+        weight = m.ok / m.seen if cfg.weighted_vote and m.seen else 1.0
+        votes[np.arange(len(x)), H.predict(m.root, x, cfg.leaf, cfg.nb_threshold)] += weight
+    return votes.argmax(axis=1).astype(np.int32)
+
+
+def _classify_streams(df: DataFrame, features: Sequence[str], configured: dict[str, Learner], window_rows: int, classes: int, keys: Sequence[str],
+                      seq: str, target: str, keep: Sequence[str]) -> DataFrame:
+    """The keyed form: the trees of a stream learn window after window where its rows are."""
+    features, k = list(features), len(features)
+    carried = list(dict.fromkeys([*keys, seq, target, *keep]))
+    rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried])
+
+    def make(key) -> dict:
+        return {(name, i): H.Member(H.Leaf(classes, k)) for name, cfg in configured.items() for i in range(cfg.members)}
+
+    def advance(models: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for w, part in pdf.groupby(pdf[seq] // window_rows):
+            x, y, at = part[features].to_numpy(dtype=float), part[target].to_numpy(dtype=np.int64), part[seq].to_numpy(dtype=np.int64)
+            for name, cfg in configured.items():
+                parts.append(part[carried].assign(learner=name, pred=_vote(cfg, [models[(name, i)] for i in range(cfg.members)], x, classes)))
+                for i in range(cfg.members):
+                    got = _count_member(cfg, models[(name, i)], i, at, x, y, classes)
+                    models[(name, i)] = _learn(cfg, models[(name, i)], got, i, int(w), classes, k)
+                if cfg.drift == "member" and not cfg.background:
+                    _replace_worst(models, name, cfg, classes, k)
+        return pd.concat(parts, ignore_index=True)
+
+    segment = max(1, SEGMENT_ROWS // window_rows) * window_rows
+    out = keyed_scan(rows, keys, make, advance, f"{_ddl(df, carried)}, learner string, pred int", seq, segment)
+    return out.withColumnRenamed(target, "truth")
+
+
 def prequential_classify(df: DataFrame, features: Sequence[str], configured: dict[str, Learner], window_rows: int, classes: int,
-                         seq: str = "seq", target: str = "class_idx", keep: Sequence[str] = (), block_rows: int = 65_536) -> DataFrame:
-    """Predictions of several learners over one stream: (learner, seq, truth, pred, kept columns).
+                         seq: str = "seq", target: str = "class_idx", keep: Sequence[str] = (), block_rows: int = 65_536, keys=None) -> DataFrame:
+    """Predictions of several learners: (keys, seq, truth, kept columns, learner, pred).
 
-    Every row is predicted by trees that have seen the windows before its own only.
+    Every row is predicted by trees that have seen the windows before its own only. With ``keys`` each stream has its
+    own trees and its own ``seq``; without, the whole table is one stream.
     """
+    if _keys(keys):
+        return _classify_streams(df, features, configured, window_rows, classes, _keys(keys), seq, target, keep)
     spark = df.sparkSession
     features = list(features)
     k = len(features)
@@ -318,12 +362,8 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
         x = pdf[features].to_numpy(dtype=float)
         parts = []
         for name, cfg in configured.items():
-            votes = np.zeros((len(x), classes))
-            for blob in trees.loc[trees["learner"] == name].sort_values("member")["blob"]:
-                m = pickle.loads(blob)
-                weight = m.ok / m.seen if cfg.weighted_vote and m.seen else 1.0
-                votes[np.arange(len(x)), H.predict(m.root, x, cfg.leaf, cfg.nb_threshold)] += weight
-            parts.append(pdf[carried].assign(learner=name, pred=votes.argmax(axis=1).astype(np.int32)))
+            mine = trees.loc[trees["learner"] == name].sort_values("member")["blob"]
+            parts.append(pdf[carried].assign(learner=name, pred=_vote(cfg, [pickle.loads(b) for b in mine], x, classes)))
         return pd.concat(parts, ignore_index=True)
 
     rows = data.withColumn("_blk", F.expr(f"`{seq}` div {block_rows}"))

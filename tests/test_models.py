@@ -129,6 +129,22 @@ def test_adaptive_learners_recover(concept):
     assert acc["HoeffdingAdaptiveTree"] > 75 and acc["LeveragingBagging"] > 75 and acc["AdaptiveRandomForest"] > 75, acc
 
 
+@pytest.mark.parametrize("segment_rows", [1_000_000, 900])
+def test_keyed_learners_equal_single_streams(concept, monkeypatch, segment_rows):
+    """Trees per stream, also over several segments, predict as a run over that stream alone; a null key is a stream."""
+    monkeypatch.setattr(L, "SEGMENT_ROWS", segment_rows)
+    # whole numbers, so that sums do not depend on their order
+    rows = concept.withColumns({c: F.round(F.col(c) * 1000) for c in FEATURES})
+    rows = rows.select(F.when(F.col("seq") % 3 == 0, "x").alias("stream_id"), F.expr("seq div 3").alias("seq"), "class_idx", *FEATURES).filter("stream_id = 'x' or seq % 2 = 1")
+    rows = rows.filter("stream_id = 'x'").unionByName(rows.filter("stream_id is null").dropDuplicates(["seq"]).withColumn("seq", F.expr("seq div 2")))
+    configured = L.learners(["HT", "HAT", "LB"], {"LB": {"members": 2}})
+    keyed = L.prequential_classify(rows, FEATURES, configured, 300, 2, keys="stream_id")
+    for name in ("x", None):
+        alone = L.prequential_classify(rows.filter(F.col("stream_id").eqNullSafe(F.lit(name))), FEATURES, configured, 300, 2)
+        got = keyed.filter(F.col("stream_id").eqNullSafe(F.lit(name))).select(*alone.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.collect()))
+
+
 def test_counts_do_not_depend_on_batches():
     rng = np.random.default_rng(0)
     x, y, w = rng.random((400, 3)), rng.integers(0, 2, 400), rng.integers(0, 4, 400).astype(float)
