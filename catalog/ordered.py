@@ -90,8 +90,7 @@ def window_mode(spark, d):
 
 
 def interval_label(spark, d):
-    e = W.time_range(events(spark, d).select("event_id", "ts"), "ts", *RANGE)
-    return W.label_by_intervals(e, "ts", RULES).select("event_id", "Label")
+    return W.label_by_intervals(events(spark, d).select("event_id", "ts"), "ts", RULES).select("event_id", "Label")
 
 
 def interval_label_join(spark, d):
@@ -174,14 +173,14 @@ def _daily(spark, d, cls):
 def overlay(spark, d):
     """Hourly benign rows replaced by the last purchase or, after it in list order, error row of that hour."""
     base = W.dedupe_key(_daily(spark, d, "view").withColumn("Packets", F.lit(1.0)), ["Timestamp"], ["event_id"], "first")
-    overlays = [_daily(spark, d, "purchase"), _daily(spark, d, "error").filter("Bytes > 40")]
+    overlays = [_daily(spark, d, "purchase"), _daily(spark, d, "error")]
     out = W.overlay_by_timestamp(base, overlays, "Timestamp", ["event_id"])
     return out.select(text_time("Timestamp").alias("at"), "event_id", "Bytes", "Packets", "Label",
                       F.col("_replaced").cast("int").alias("replaced"))
 
 
 def common_times(spark, d):
-    return W.common_timestamps(_daily(spark, d, "view"), _daily(spark, d, "error").filter("Bytes > 40"))
+    return W.common_timestamps(_daily(spark, d, "view"), _daily(spark, d, "error"))
 
 
 def union_by_name(spark, d):
@@ -265,8 +264,7 @@ def _regions(part):
 
 def _interval_sql():
     case = " ".join(f"when ts between timestamp '{s}' and timestamp '{e}' then '{n}'" for s, e, n in reversed(RULES))
-    return f"""select event_id, case {case} else 'BENIGN' end as "Label" from events
-      where ts between timestamp '{RANGE[0]}' and timestamp '{RANGE[1]}'"""
+    return f"""select event_id, case {case} else 'BENIGN' end as "Label" from events"""
 
 
 def _chain_sql():
@@ -332,13 +330,13 @@ ORACLE = {
       select event_id, row_number() over (order by place, seq) - 1 as position from u""",
     "overlay": f"""with h as (select event_id, date_trunc('hour', ts) as w, value, event_type from events),
       b as (select * from h where event_type = 'view' qualify row_number() over (partition by w order by event_id) = 1),
-      o as (select * from h where event_type = 'purchase' or (event_type = 'error' and value > 40)
+      o as (select * from h where event_type in ('purchase', 'error')
         qualify row_number() over (partition by w order by case event_type when 'purchase' then 0 else 1 end desc, event_id desc) = 1)
       select strftime(b.w, {SQL_TIME}) as at, coalesce(o.event_id, b.event_id) as event_id, coalesce(o.value, b.value) as "Bytes",
       case when o.w is null then 1.0::double else 0.0::double end as "Packets", coalesce(o.event_type, b.event_type) as "Label",
       case when o.w is null then 0 else 1 end as replaced from b left join o on b.w = o.w""",
     "common_times": """select count(*) as common from (select distinct date_trunc('hour', ts) from events where event_type = 'view'
-      intersect select distinct date_trunc('hour', ts) from events where event_type = 'error' and value > 40)""",
+      intersect select distinct date_trunc('hour', ts) from events where event_type = 'error')""",
     "union_by_name": """select event_id, value, null::varchar as attack from events where event_type = 'view'
       union all select event_id, null::double, event_type from events where event_type <> 'view'
       union all select event_id, value, null::varchar from events where event_type = 'view'""",
