@@ -84,16 +84,18 @@ class ClassificationRun:
 
 
 def classification_experiment(df: DataFrame, features: Sequence[str], configured, window: int, window_rows: int, classes: int, warmup: int = 0,
-                              target: int | None = 1) -> ClassificationRun:
-    """All learners over one prepared stream (seq, class_idx, features); predictions are written once."""
-    preds = written(prequential_classify(df, features, configured, window_rows, classes), "predictions")
-    flat = preds.select("learner", "seq", encode_index(F.col("truth")).alias("truth"), collapse_prediction(F.col("pred")).alias("pred"))
+                              target: int | None = 1, keys=None) -> ClassificationRun:
+    """All learners over prepared streams (keys, seq, class_idx, features), without keys over one; predictions are written once."""
+    keys = _keys(keys)
+    by = [*keys, "learner"]
+    preds = written(prequential_classify(df, features, configured, window_rows, classes, keys=keys), "predictions")
+    flat = preds.select(*by, "seq", encode_index(F.col("truth")).alias("truth"), collapse_prediction(F.col("pred")).alias("pred"))
     return ClassificationRun(
         predictions=preds,
-        report=E.cumulative_report(flat, warmup, target, ["learner"]),
-        history=E.prequential_history(preds, window, warmup, target, ["learner"]),
-        accuracy=E.cumulative_accuracy(preds),
-        regions=attack_regions(df, "class_idx", 0),
+        report=E.cumulative_report(flat, warmup, target, by),
+        history=E.prequential_history(preds, window, warmup, target, by),
+        accuracy=E.cumulative_accuracy(preds, by),
+        regions=attack_regions(df, "class_idx", 0, keys),
     )
 
 
@@ -103,11 +105,13 @@ class DriftStudy:
     windows: DataFrame      # accuracy and friends per window
 
 
-def drift_study(df: DataFrame, features: Sequence[str], learner, window: int, window_rows: int, classes: int) -> DriftStudy:
-    """An adaptive tree test-then-train, both drift detectors on its errors, metrics per window."""
-    preds = written(prequential_classify(df, features, {"learner": learner}, window_rows, classes), "predictions")
-    preds = preds.withColumn("stream_id", F.lit("stream"))
-    return DriftStudy(drift_monitor(preds), E.windowed_metrics(preds, window))
+def drift_study(df: DataFrame, features: Sequence[str], learner, window: int, window_rows: int, classes: int, keys=None) -> DriftStudy:
+    """An adaptive tree test-then-train, both drift detectors on its errors, metrics per window; each stream for itself if keys are given."""
+    keys = _keys(keys)
+    preds = written(prequential_classify(df, features, {"learner": learner}, window_rows, classes, keys=keys), "predictions")
+    if not keys:
+        preds = preds.withColumn("stream_id", F.lit("stream"))
+    return DriftStudy(drift_monitor(preds, keys or ["stream_id"]), E.windowed_metrics(preds, window, keys))
 
 
 def feature_consensus(tables: Sequence[DataFrame], k: int = 25, **prepare_settings) -> DataFrame:

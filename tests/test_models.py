@@ -11,7 +11,7 @@ from flowstream.operators import learners as L
 from flowstream.operators import scoring as S
 from flowstream.operators import sweeps as W
 from flowstream.operators.thresholds import dspot
-from flowstream.plans.experiments import anomaly_experiment
+from flowstream.plans.experiments import anomaly_experiment, classification_experiment, drift_study
 from flowstream.streaming import live as V
 
 
@@ -145,6 +145,17 @@ def test_keyed_learners_equal_single_streams(concept, monkeypatch, segment_rows)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.collect()))
 
 
+def test_experiments_by_stream(concept):
+    rows = concept.select((F.col("seq") % 2).alias("stream_id"), F.expr("seq div 2").alias("seq"), "class_idx", *FEATURES)
+    run = classification_experiment(rows, FEATURES, L.learners(["HT"]), 1000, 300, 2, warmup=300, keys="stream_id")
+    assert {r["stream_id"] for r in run.report.collect()} == {0, 1}
+    assert run.predictions.count() == 6000 and run.accuracy.count() == 2
+    turned = rows.withColumn("class_idx", F.when(F.col("seq") < 1500, F.col("class_idx")).otherwise(1 - F.col("class_idx")))
+    study = drift_study(turned, FEATURES, L.hoeffding_adaptive_tree(), 1000, 100, 2, keys="stream_id")
+    assert study.windows.count() == 6
+    assert {r["stream_id"] for r in study.detections.filter("seq >= 1500").collect()} == {0, 1}
+
+
 def test_counts_do_not_depend_on_batches():
     rng = np.random.default_rng(0)
     x, y, w = rng.random((400, 3)), rng.integers(0, 2, 400), rng.integers(0, 4, 400).astype(float)
