@@ -197,8 +197,9 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999, seed: int = 3) -> DataFrame:
-    """One row per document: _id, _key (its text), class_id (smallest id of the connected class), n_copies (rows with
-    its text), n_links (other texts with similarity of ``threshold`` or more), n_class (rows of the class)."""
+    """One row per document: _id, _key (its text), _class (the connected class), class_id (its smallest id; classes can
+    share one where ids are null or repeated), n_copies (rows with its text), n_links (other texts with similarity of
+    ``threshold`` or more), n_class (rows of the class)."""
     bands, rows = choose_bands(threshold, recall)
     signed = stored(_signed(docs, id_col, text_col, bands, rows, seed), "signed")
     total = signed.count()
@@ -223,7 +224,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 .withColumn("_class", F.coalesce("_class", "_key")))
     labelled = stored(labelled, "labelled")
     classes = stored(labelled.groupBy("_class").agg(F.min("_rep").alias("class_id"), F.sum("_copies").alias("n_class"), F.count("*").alias("_texts")), "class-ids")
-    texts = stored(join_counted(labelled, classes, ["_class"], "_texts", total).select("_key", "class_id", F.col("_copies").alias("n_copies"), F.coalesce("_links", F.lit(0)).alias("n_links"), "n_class"), "text-classes")
+    texts = stored(join_counted(labelled, classes, ["_class"], "_texts", total).select("_key", "_class", "class_id", F.col("_copies").alias("n_copies"), F.coalesce("_links", F.lit(0)).alias("n_links"), "n_class"), "text-classes")
     return join_counted(signed.select("_id", "_key"), texts, ["_key"], "n_copies", total)
 
 
@@ -234,10 +235,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
 
 
 def keep_one_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns kept, with one row of each class: one with the smallest id."""
+    """The documents, all columns kept, with one row of each class: one with the smallest id, null ids last."""
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    keepers = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("_key").alias("_key"))
-    keepers = stored(keepers.select(F.col("class_id").alias("_keep"), "_key"), "keepers")
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key"))
+    keepers = classes.groupBy("_class").agg(first.alias("_first"))
+    keepers = stored(keepers.select(F.col("_first._id").alias("_keep"), F.col("_first._key").alias("_key")), "keepers")
     rows = _with_keys(docs.select(packed(docs.columns, "_row"), quoted(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), "_text", "_found").drop("_text")
     kept = rows.join(keepers, rows["_id"].eqNullSafe(keepers["_keep"]) & (rows["_found"] == keepers["_key"]), "left_semi")
     return kept.dropDuplicates(["_id", "_found"]).select(*unpacked(docs.columns, "_row"))

@@ -114,6 +114,18 @@ def test_one_of_class_stays(spark):
     assert 6 in ids and not {7, 8, 9} & set(ids) and len(ids) == len(set(ids)) + ids.count(14) - 1
 
 
+def test_each_class_keeps_one_where_ids_are_null_or_repeated(spark):
+    """Classes are told apart by their texts: none is dropped because another one has its id."""
+    a, b, c, d = (words(60, i, 9000) for i in range(4))
+    rows = [(14, a), (14, b), (None, c), (None, d), (None, f"{d} end"), (None, f"{a} end"), (20, f"{b} end"), (14, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in keep_one_of_class(docs).collect())
+    assert len(kept) == 4 and {(14, a), (14, b), (0, c)} < set(kept)
+    assert (set(kept) - {(14, a), (14, b), (0, c)}).pop() in {(0, d), (0, f"{d} end")}
+    lone = spark.createDataFrame([(None, words(30, 100 + i, 9000)) for i in range(200)], "doc_id long, text string")
+    assert keep_one_of_class(lone).count() == 200
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"{rng.randrange(300):03d}", f"{rng.randrange(300):03d}") for _ in range(260)] + [(f"{i:03d}", f"{i + 1:03d}") for i in range(400, 460)]
