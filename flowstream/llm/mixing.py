@@ -1,8 +1,9 @@
 """Mixing sources to target weights with a splitting tree over output shards.
 
 Every source is a random permutation of its documents, by hash, cut into blocks. Its target in words sets how many whole
-epochs and how many more blocks of the permutation are drawn (the last block in part, and one document that fills what
-is missing then): its quota of blocks. A binary tree over the output shards then splits the quotas exactly: each node draws from a
+epochs and how many more blocks of the permutation are drawn (the last block in part): its quota of blocks. Behind a
+document that is larger than what is missing the drawing goes on along the permutation with those that fit, until what is
+missing is smaller than each document left. A binary tree over the output shards then splits the quotas exactly: each node draws from a
 multivariate hypergeometric law how many of its blocks, by source, go to its left half. Disjoint stretches of the
 permuted blocks are dealt to the shards by these counts, and each shard is shuffled by a hash of its rows.
 
@@ -15,7 +16,8 @@ are drawn alike; a source without words has the target 0 and is not drawn; an em
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,6 @@ from flowstream.llm.text import free_name, packed, quoted, stored, text_or_empty
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_BLOCKS = 1 << 20  # of all sources together, besides one for each source
 HASH_BITS = 31
-MORE_BLOCKS = 3  # after the cut one, that may fill what is missing at the cut
 SMALL = 50_000  # sources up to which their rows (a few hundred bytes each) are broadcast
 
 
@@ -88,10 +89,33 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _prefix(placed: DataFrame, state: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each source of ``state`` (_s, _from, _gap, _least) the longest run of documents behind _from, without those
+    larger than _gap or smaller than _least, that holds _gap words at most: its end _to and its words _took. Sources with
+    no such document are left out."""
+    fits = placed.join(hint(state), "_s").where("_u > _from and _size >= _least and _sum <= _gap")
+    blocks = fits.groupBy("_s", "_b", "_gap").agg(F.sum("_sum").alias("_words"), F.max("_u").alias("_last"))
+    run = Window.partitionBy("_s").orderBy("_b")  # a million blocks at most
+    ends = stored(blocks.withColumn("_end", F.sum("_words").over(run)), "ends")
+    whole = ends.where("_end <= _gap").groupBy("_s").agg(F.max("_last").alias("_last"), F.max("_end").alias("_end"))
+    cut = ends.where("_end > _gap").groupBy("_s").agg(F.min(F.struct("_b", (F.col("_end") - F.col("_words")).alias("_before"))).alias("_c")).select("_s", "_c.*")
+    order = Window.partitionBy("_s").orderBy("_u")  # the documents of one block
+    part = fits.join(hint(cut), ["_s", "_b"]).withColumn("_at", F.sum("_sum").over(order) + F.col("_before")).where("_at <= _gap")
+    part = part.groupBy("_s").agg(F.max("_u").alias("_cut"), F.max("_at").alias("_at"))
+    out = state.join(whole, "_s", "left").join(part, "_s", "left").withColumns({"_to": F.coalesce("_cut", "_last"), "_took": F.coalesce("_at", "_end")})
+    return out.where("_to is not null").select("_s", "_from", "_to", "_least", "_gap", "_took")
+
+
+def _in_steps(size: str) -> Column:
+    """Whether the document's _u and size lie in one of its source's _steps."""
+    return F.expr(f"exists(_steps, x -> _u > x._from and _u <= x._to and {size} between x._least and x._gap) and not array_contains(coalesce(_apart, array()), _u)")
+
+
 def mixing_table(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 64, id_col: str = "doc_id",
                  text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """One row per source: _s, _words, _target, _blocks, _epochs, the cut (_cut_block, _cut_u) and _ends, the unit numbers at
-    which the shards' stretches end. Unit e x _blocks + b is block b in epoch e."""
+    """One row per source: _s, _words, _target, _blocks, _epochs, the draw of the last epoch (_steps, _apart, _extra_u; its
+    first run of documents ends in _cut_block) and _ends, the unit numbers at which the shards' stretches end. Unit
+    e x _blocks + b is block b in epoch e; documents that fill up behind _cut_block are dealt round the blocks before."""
     rows = stored(docs.select(_source_key(source_col).alias("_s"), word_count(text_col).alias("_size"), _permuted(id_col, text_col, seed).alias("_u")), "sizes")
     total = rows.count()
     per_block = max(8, -(-total // MAX_BLOCKS))
@@ -101,23 +125,33 @@ def mixing_table(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max
     goals = stored(goals.withColumn("_rest", F.when(F.col("_epochs") < max_epochs, F.greatest(F.col("_target") - F.col("_epochs") * F.col("_words"), F.lit(0.0))).otherwise(0.0)), "goals", 1)
 
     few = goals.count() <= SMALL
-    small = F.broadcast(goals) if few else goals
-    placed = rows.join(small.select("_s", "_blocks", "_rest"), "_s").where("_rest > 0").withColumn("_b", _block("_u", "_blocks"))
-    blocks = stored(placed.groupBy("_s", "_b", "_rest").agg(F.sum("_size").alias("_sum")), "blocks")
-    run = Window.partitionBy("_s").orderBy("_b")  # a million blocks at most
-    ends = blocks.withColumn("_end", F.sum("_sum").over(run))
-    cut = ends.where("_end > _rest").groupBy("_s").agg(F.min(F.struct("_b", (F.col("_rest") - F.col("_end") + F.col("_sum")).alias("_left"))).alias("_c")).select("_s", "_c.*")
-    inside = placed.join((F.broadcast(cut) if few else cut).withColumnRenamed("_b", "_c"), "_s").where(F.col("_b").between(F.col("_c"), F.col("_c") + MORE_BLOCKS))
-    inside = stored(inside.groupBy("_s", "_left", "_u", (F.col("_b") == F.col("_c")).alias("_in")).agg(F.sum("_size").alias("_size")), "cut")
-    order = Window.partitionBy("_s").orderBy("_u")  # the documents of one block
-    first = inside.where("_in").withColumn("_to", F.sum("_size").over(order)).where("_to <= _left").groupBy("_s").agg(F.max("_u").alias("_cut_u"), F.max("_to").alias("_to"))
-    # what is missing then is best met by one more document of this block or the next ones
-    spare = (inside.join(first, "_s", "left").where("not _in or _u > coalesce(_cut_u, -1)")
-             .withColumn("_gap", F.col("_left") - F.coalesce("_to", F.lit(0))).where("abs(_size - _gap) < _gap"))
-    extra = spare.groupBy("_s").agg(F.min_by("_u", F.struct(F.abs(F.col("_size") - F.col("_gap")), "_u")).alias("_extra_u"))
-    goals = (goals.join(cut.select("_s", F.col("_b").alias("_cut_block")), "_s", "left").join(first.select("_s", "_cut_u"), "_s", "left").join(extra, "_s", "left")
-             .withColumn("_cut_block", F.when(F.col("_rest") > 0, F.coalesce("_cut_block", "_blocks")).otherwise(F.lit(0).cast("long")))
-             .withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("_cut_u", "_extra_u")}))
+    hint = F.broadcast if few else lambda small: small
+    placed = rows.join(hint(goals.select("_s", "_blocks", "_rest")), "_s").where("_rest > 0").withColumn("_b", _block("_u", "_blocks"))
+    placed = stored(placed.groupBy("_s", "_b", "_u").agg(F.sum("_size").alias("_sum"), F.max("_size").alias("_size"), F.count("*").alias("_rows")), "placed")
+    state = goals.where("_rest > 0").select("_s", F.lit(-1).cast("long").alias("_from"), F.col("_rest").alias("_gap"), F.lit(0).cast("long").alias("_least"))
+    rounds = []
+    while True:
+        step = stored(_prefix(placed, state, hint), "step", 1)
+        if step.isEmpty():
+            break
+        rounds.append(step)
+        # documents without words fill nothing
+        state = step.select("_s", F.col("_to").alias("_from"), (F.col("_gap") - F.col("_took")).alias("_gap"), F.lit(1).cast("long").alias("_least"))
+    columns = ["_from", "_to", "_least", "_gap"]
+    none = goals.limit(0).select("_s", *[F.lit(0).cast("double" if c == "_gap" else "long").alias(c) for c in [*columns, "_took"]])
+    steps = stored(reduce(DataFrame.unionByName, rounds, none), "steps", 1)
+    # repeated rows that fit alone but not together are left out by name, as a row does not know how often it is there
+    apart = placed.where("_rows > 1").join(hint(steps), "_s").where("_u > _from and _u <= _to and _size between _least and _gap and _sum > _gap")
+    apart = apart.groupBy("_s").agg(F.collect_list("_u").alias("_apart"))
+    drawn = steps.groupBy("_s").agg(F.collect_list(F.struct(*columns)).alias("_steps"), F.sum("_took").alias("_took"), F.min(F.struct("_from", "_to"))["_to"].alias("_cut_u")).join(apart, "_s", "left")
+    drawn = stored(drawn, "drawn", 1)
+    # what is missing now is met best by nothing or by the smallest document left
+    left = placed.join(hint(drawn), "_s", "left").where(~F.coalesce(_in_steps("_size"), F.lit(False))).join(hint(goals.select("_s", F.col("_rest").alias("_goal"))), "_s")
+    left = left.withColumn("_miss", F.col("_goal") - F.coalesce("_took", F.lit(0))).where("abs(_sum - _miss) < _miss")
+    extra = left.groupBy("_s").agg(F.min_by("_u", F.struct(F.abs(F.col("_sum") - F.col("_miss")), "_u")).alias("_extra_u"))
+    goals = goals.join(drawn.drop("_took"), "_s", "left").join(extra, "_s", "left")
+    goals = goals.withColumn("_cut_block", F.when(F.col("_rest") > 0, F.coalesce(_block("_cut_u", "_blocks"), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    goals = goals.withColumn("_extra_u", F.coalesce("_extra_u", F.lit(-1).cast("long")))
     goals = goals.withColumn("_quota", F.col("_epochs") * F.col("_blocks") + F.least(F.col("_cut_block") + (F.col("_rest") > 0).cast("long"), F.col("_blocks")))
 
     def tree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,16 +169,17 @@ def _drawn(docs: DataFrame, mix: DataFrame, id_col: str, text_col: str, source_c
     """``docs`` with the columns of its source in ``mix`` and _shards: the shard of each copy, in order of epochs."""
     rows = docs.withColumn("_s", _source_key(source_col)).withColumn("_u", _permuted(id_col, text_col, seed))
     joined = rows.join(F.broadcast(mix) if mix.count() <= SMALL else mix, "_s").withColumn("_b", _block("_u", "_blocks"))
-    more = (F.col("_rest") > 0) & ((F.col("_b") < F.col("_cut_block")) | ((F.col("_b") == F.col("_cut_block")) & (F.col("_u") <= F.col("_cut_u"))) | (F.col("_u") == F.col("_extra_u")))
-    joined = joined.withColumn("_copies", F.col("_epochs") + F.when(more, 1).otherwise(0))
-    shard = "transform(slice(sequence(0L, _epochs + 1), 1, cast(_copies as int)), e -> least(size(filter(_ends, x -> x <= e * _blocks + _b)), size(_ends) - 1))"
+    more = (F.col("_rest") > 0) & (F.coalesce(_in_steps("_words_in"), F.lit(False)) | (F.col("_u") == F.col("_extra_u")))
+    joined = joined.withColumn("_words_in", word_count(text_col)).withColumn("_copies", F.col("_epochs") + F.when(more, 1).otherwise(0))
+    unit = "e * _blocks + if(e < _epochs, _b, _b % (_cut_block + 1))"
+    shard = f"transform(slice(sequence(0L, _epochs + 1), 1, cast(_copies as int)), e -> least(size(filter(_ends, x -> x <= {unit})), size(_ends) - 1))"
     return joined.withColumn("_shards", F.expr(shard))
 
 
 def mixing_report(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, shards."""
     narrow = docs.select(quoted(id_col).alias(id_col), text_or_empty(text_col).alias("text"), quoted(source_col).alias("_source"))
-    rows = _drawn(narrow, mix, id_col, "text", "_source", seed).withColumn("size", word_count("text"))
+    rows = _drawn(narrow, mix, id_col, "text", "_source", seed).withColumn("size", F.col("_words_in"))
     return rows.select(id_col, "size", F.col("_words").alias("source_size"), F.col("_target").alias("target"),
                        (F.col("size") * F.col("_copies")).alias("taken"), F.col("_shards").alias("shards"))
 

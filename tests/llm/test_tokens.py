@@ -58,6 +58,23 @@ def test_mixing(spark):
     assert copies == {i: len(r.shards) for i, r in got.items() if r.shards}
 
 
+def test_mixing_goes_on_past_long_documents(spark):
+    """A source is taken to its target up to its smallest document, wherever its long ones stand."""
+    rows = []
+    for k in range(6):
+        rng = random.Random(k)
+        rows += [(1000 * k + i, words(20_000 if i == 0 else rng.randrange(50, 400), 1000 * k + i), f"s{k}") for i in range(300)]
+    rows += [r for r in rows if r[2] == "s5" and r[0] % 3 == 0]  # repeated rows are taken together
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing_report(docs, mixing_table(docs, weights=(1, 2, 1, 3, 1, 2))).collect()
+    taken, targets = {}, {}
+    for r in got:
+        s = r.doc_id // 1000
+        taken[s], targets[s] = taken.get(s, 0) + r.taken, r.target
+    assert all(abs(taken[s] - targets[s]) <= 50 for s in targets), (taken, targets)
+    assert len({len(r.shards) for r in got if r.doc_id == 5003}) == 1
+
+
 def test_mixing_odd(spark):
     docs = odd(spark)
     got = mixing_report(docs, mixing_table(docs)).collect()
