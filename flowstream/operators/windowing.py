@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from math import log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, fill_flow_nulls, numeric_columns, without_nan
-from flowstream.session import join_checked
+from flowstream.operators.ordering import with_seq
+from flowstream.session import join_checked, written
 
 
 MAX_PIECES = 200_000  # of interval rules that are broadcast, some 20 MB
+SPLITS = 1 << 17  # bucket borders that are sent to every task, 1 MB
+FAN = 8  # stretches of one level that make a stretch of the next
 
 
 def drop_bad_times(df: DataFrame, ts: str, observation: Observation | None = None) -> DataFrame:
@@ -152,32 +158,70 @@ def _painted(rules: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _paint(known: DataFrame) -> DataFrame:
+    """``_painted`` for a table (s, e, rule_id, label) of any length, as a table (p, _s, _e, _name): the stretches between
+    neighbouring edges by their position p, _name null where no rule covers them.
+
+    A rule over n stretches is the union of at most FAN overlapping blocks of FAN^k stretches, k as large as fits. Blocks
+    with equal starts keep their last rule, and each level hands it down to the next smaller blocks. So nothing is
+    expanded by the length of a rule, and no key holds more rows than others after the aggregation in the tasks.
+    """
+    edges = written(with_seq(known.select(F.explode(F.array("s", "e")).alias("at")).distinct(), ["at"], name="p"), "edges")
+    ranked = known.groupBy("s", "e").agg(F.max(F.struct("rule_id", "label")).alias("v"))
+    ranked = ranked.join(edges.select(F.col("at").alias("s"), F.col("p").alias("a")), "s").join(edges.select(F.col("at").alias("e"), F.col("p").alias("b")), "e")
+    top = int(log(max(2, edges.count()), FAN)) + 1
+    level = sum((F.when(F.col("b") - F.col("a") >= FAN ** k, 1).otherwise(0) for k in range(1, top + 1)), F.lit(0))
+    size = F.pow(F.lit(float(FAN)), "k").cast("long")
+    blocks = ranked.withColumn("k", level).withColumn("n", size)
+    starts = F.expr("transform(sequence(a, b - 1, n), x -> least(x, b - n))")
+    blocks = written(blocks.select("k", F.explode(starts).alias("p"), "v").groupBy("k", "p").agg(F.max("v").alias("v")), "blocks")
+    now = blocks.filter(F.col("k") == top).select("p", "v")
+    for k in range(top - 1, -1, -1):
+        down = now.select(F.explode(F.array(*[F.col("p") + i * FAN ** k for i in range(FAN)])).alias("p"), "v")
+        now = down.unionByName(blocks.filter(F.col("k") == k).select("p", "v")).groupBy("p").agg(F.max("v").alias("v"))
+    until = edges.select((F.col("p") - 1).alias("p"), F.col("at").alias("_e"))
+    return edges.join(until, "p").join(now, "p", "left").select("p", F.col("at").alias("_s"), "_e", F.col("v.label").alias("_name"))
+
+
+def _local_pieces(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``_paint`` on the driver, for a list of rules."""
+    rows = known.orderBy("rule_id").collect()
+    stretches = _painted([(r["s"], r["e"], r["label"]) for r in rows])
+    return df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(stretches)], "p long, _s long, _e long, _name string")
+
+
 def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", label: str = "Label") -> DataFrame:
     """Label rows by time intervals, both ends included; the last matching rule wins.
 
-    ``rules`` is a list of (start, end, label) or a table (rule_id, start, end, label), of any length. Overlaps are
-    resolved among the rules (control data, sorted on the driver), so a row meets one stretch at most: one join on
-    equal time buckets, without an aggregation, in batch and on streams. A stretch is cut at bucket borders only, so
-    there are at most twice as many pieces as stretches.
+    ``rules`` is a list of (start, end, label), resolved on the driver, or a table (rule_id, start, end, label) of any
+    length, resolved in Spark. A row then meets one stretch at most: stretches are numbered by time, every few of them
+    are a bucket, and rows join the stretches of their bucket, in batch and on streams. At most SPLITS bucket borders pass
+    through the driver, and however close together the stretches are, a bucket has the same number of them.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[ts]
     micros = lambda c: F.unix_micros(c.cast(kind).cast("timestamp"))
-    if not isinstance(rules, DataFrame):
+    local = not isinstance(rules, DataFrame)
+    if local:
         data = [(i, str(s), str(e), n) for i, (s, e, n) in enumerate(rules)]
         rules = spark.createDataFrame(data, "rule_id int, start string, end string, label string")
-    known = rules.select(micros(F.col("start")).alias("s"), micros(F.col("end")).alias("e"), "label", "rule_id").filter("s <= e").orderBy("rule_id").collect()
-    stretches = _painted([(r["s"], r["e"] + 1, r["label"]) for r in known])
+    known = rules.select(micros(F.col("start")).alias("s"), (micros(F.col("end")) + 1).alias("e"), F.col("label").cast("string").alias("label"), "rule_id").filter("s < e")
+    pieces = _local_pieces(df, known) if local else written(_paint(written(known, "rules")), "stretches")
     out = df.drop(label) if label in df.columns else df
-    if not stretches:
+    n = pieces.count()
+    if not n:
         return out.withColumn(label, F.lit(default))
-    low = stretches[0][0]
-    width = max(1, -(-(stretches[-1][1] - low) // len(stretches)))
-    pieces = [(b, max(s, low + b * width), min(e, low + (b + 1) * width), name)
-              for s, e, name in stretches for b in range((s - low) // width, (e - 1 - low) // width + 1)]
-    table = spark.createDataFrame(pieces, "_b long, _s long, _e long, _name string")
-    if len(pieces) <= MAX_PIECES:
+    step = -(-n // SPLITS)
+    borders = np.sort(np.array([r[0] for r in pieces.filter(F.col("p") % step == 0).select("_s").collect()], np.int64))
+
+    @F.pandas_udf("long")
+    def bucket(at: pd.Series) -> pd.Series:
+        found = np.searchsorted(borders, at.fillna(0).to_numpy(np.int64), "right") - 1
+        return pd.Series(found).where(at.notna().to_numpy() & (found >= 0)).astype("Int64")
+
+    table = pieces.filter("_name is not null").withColumn("_b", F.expr(f"p div {step}")).drop("p")
+    if n <= MAX_PIECES:
         table = F.broadcast(table)
-    rows = out.withColumn("_m", micros(col(ts))).withColumn("_at", F.floor((F.col("_m") - low) / width))
+    rows = out.withColumn("_m", micros(col(ts))).withColumn("_at", bucket("_m"))
     hit = (F.col("_at") == F.col("_b")) & (F.col("_m") >= F.col("_s")) & (F.col("_m") < F.col("_e"))
     return rows.join(table, hit, "left").withColumn(label, F.coalesce("_name", F.lit(default))).drop("_m", "_at", "_b", "_s", "_e", "_name")
 

@@ -110,6 +110,22 @@ def test_many_interval_rules(spark):
     assert got == expect | {-1: "BENIGN"}
 
 
+@pytest.mark.parametrize("splits", [1 << 17, 50])
+def test_rule_table_is_resolved_in_spark(spark, monkeypatch, splits):
+    """A table of rules never passes through the driver, also where most of them crowd in a short time."""
+    def never(*_):
+        raise AssertionError("rules were resolved on the driver")
+    monkeypatch.setattr(W, "_painted", never)
+    monkeypatch.setattr(W, "SPLITS", splits)
+    rng = random.Random(2)
+    at = lambda s: T0 + timedelta(seconds=s)
+    rules = [(a := rng.randrange(900), a + rng.choice([0, 5, 40, 700]), f"r{i}") for i in range(600)] + [(5_000_000, 5_000_010, "late"), (7, 3, "none")]
+    df = spark.createDataFrame([(i, at(i)) for i in [*range(-5, 1800), 4_999_999, 5_000_000, 5_000_010, 5_000_011]] + [(-9, None)], "id long, ts timestamp")
+    table = spark.createDataFrame([(i, at(a), at(b), n) for i, (a, b, n) in enumerate(rules)], "rule_id int, start timestamp, end timestamp, label string")
+    got = {r["id"]: r["Label"] for r in W.label_by_intervals(df, "ts", table).collect()}
+    assert got == {i: "BENIGN" if i == -9 else next((n for a, b, n in reversed(rules) if a <= i <= b), "BENIGN") for i in got} and len(got) == df.count()
+
+
 def test_overlay_rules(spark):
     t = lambda s: T0 + timedelta(seconds=s)
     base = spark.createDataFrame([(t(1), 1.0, 9.0, "BENIGN"), (t(2), 2.0, 9.0, None), (t(3), 3.0, 9.0, "BENIGN")],
