@@ -14,21 +14,12 @@ from flowstream.plans.experiments import class_profile, classification_experimen
 from flowstream.session import written
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-WINDOWS = 8  # training windows of the queries over one long stream
+WIDE_ROWS = 400  # rows of a training window of the query over one long stream
 WINDOW_ROWS = 100  # rows of a training window of the queries with one stream per supplier
 
 
-def _lines(spark, d):
-    """Line items by ship date with a planted target: large quantity at a high discount."""
-    li = table(spark, d, "lineitem")
-    y = (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)
-    li = li.select("l_shipdate", "l_orderkey", "l_linenumber", *FEATURES, y.cast("int").alias("class_idx"))
-    s = written(with_seq(li, ["l_shipdate", "l_orderkey", "l_linenumber", *FEATURES]), "lines")
-    return s, s.count()
-
-
 def _supplier_lines(spark, d):
-    """The same rows as one stream per supplier."""
+    """Line items by ship date, one stream per supplier, with a planted target: large quantity at a high discount."""
     li = table(spark, d, "lineitem")
     y = (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)
     li = li.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", *FEATURES, y.cast("int").alias("class_idx"))
@@ -55,25 +46,26 @@ def classification_report(spark, d):
 
 
 def classifier_grid(spark, d):
-    s, n = _lines(spark, d)
+    """Four trials on each supplier's stream in the same job."""
     grid = [{"grace": 100, "criterion": "gini"}, {"grace": 200, "leaf": "majority"}, {"criterion": "hellinger", "tie": 0.1}, {"leaf": "nb", "confidence": 1e-4}]
-    return L.classifier_sweep(s, FEATURES, "HT", grid, -(-n // WINDOWS), 2)
+    return L.classifier_sweep(_supplier_lines(spark, d), FEATURES, "HT", grid, WINDOW_ROWS, 2, keys="l_suppkey")
 
 
 def drift_report(spark, d):
-    """An adaptive tree on a target that turns round half way; detections of both detectors."""
-    s, n = _lines(spark, d)
-    turned = s.withColumn("class_idx", F.when(F.col("seq") < n // 2, F.col("class_idx")).otherwise(1 - F.col("class_idx")))
-    return drift_study(turned, FEATURES, L.hoeffding_adaptive_tree(), 1000, -(-n // (2 * WINDOWS)), 2).windows
+    """An adaptive tree on each supplier's stream, whose target turns round half way: metrics per window."""
+    s = _supplier_lines(spark, d)
+    halves = s.groupBy("l_suppkey").agg(F.expr("count(*) div 2").alias("half"))
+    turned = s.join(halves, "l_suppkey").withColumn("class_idx", F.when(F.col("seq") < F.col("half"), F.col("class_idx")).otherwise(1 - F.col("class_idx")))
+    return drift_study(turned.drop("half"), FEATURES, L.hoeffding_adaptive_tree(), WINDOW_ROWS, WINDOW_ROWS, 2, keys="l_suppkey").windows
 
 
 def embedding_classes(spark, d):
-    """Ten classes, 64 features."""
+    """Ten classes, 64 features, one long stream: each window is a job, so jobs grow with the rows."""
     cols = [f"f{i}" for i in range(64)]
     e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     s = written(with_seq(e, ["vec_id"]), "wide")
-    n, classes = s.agg(F.count(F.lit(1)), F.max("label") + 1).first()
-    preds = L.prequential_classify(s, cols, L.learners(["HT"], {"HT": {"grace": 50, "leaf": "nb"}}), -(-n // 5), classes, target="label")
+    classes = s.agg(F.max("label") + 1).first()[0]
+    preds = L.prequential_classify(s, cols, L.learners(["HT"], {"HT": {"grace": 50, "leaf": "nb"}}), WIDE_ROWS, classes, target="label")
     return preds.select("seq", "truth", "pred")
 
 

@@ -384,15 +384,17 @@ def _replace_worst(models: dict, name: str, cfg: Learner, classes: int, k: int)
 
 
 def classifier_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: Sequence[dict], window_rows: int, classes: int,
-                     target_class: int | None = 1, seq: str = "seq", target: str = "class_idx") -> DataFrame:
-    """One line per trial; all trials learn side by side in the same window jobs (no warm-up)."""
+                     target_class: int | None = 1, seq: str = "seq", target: str = "class_idx", keys=None) -> DataFrame:
+    """One line per trial, with ``keys`` per stream and trial; all trials learn side by side in the same window jobs (no
+    warm-up)."""
     from flowstream.functions.columns import collapse_prediction, encode_index
     from flowstream.operators.evaluation import binary_metrics
 
     configured = {str(i): next(iter(learners([algorithm], {algorithm: p}).values())) for i, p in enumerate(grid)}
-    preds = prequential_classify(df, features, configured, window_rows, classes, seq, target)
-    preds = preds.select("learner", encode_index(F.col("truth")).alias("truth"), collapse_prediction(F.col("pred")).alias("pred"))
+    keys = _keys(keys)
+    preds = prequential_classify(df, features, configured, window_rows, classes, seq, target, keys=keys)
+    preds = preds.select(*keys, "learner", encode_index(F.col("truth")).alias("truth"), collapse_prediction(F.col("pred")).alias("pred"))
     names = F.create_map(*[x for i, p in enumerate(grid) for x in (F.lit(str(i)), F.lit(", ".join(f"{a}={b}" for a, b in p.items())))])
-    out = binary_metrics(preds, target=target_class, by=["learner"])
-    return out.select(F.lit(algorithm).alias("algorithm"), F.col("learner").cast("int").alias("trial"), names[F.col("learner")].alias("params"),
+    out = binary_metrics(preds, target=target_class, by=[*keys, "learner"])
+    return out.select(*keys, F.lit(algorithm).alias("algorithm"), F.col("learner").cast("int").alias("trial"), names[F.col("learner")].alias("params"),
                       "f1", "precision", "recall")

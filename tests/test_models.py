@@ -1,9 +1,12 @@
 """Scorers, learners, sweeps and live forms: properties and planted signals."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import learned
 from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import collusive_displacement
 from flowstream.operators import evaluation as E
@@ -156,6 +159,31 @@ def test_experiments_by_stream(concept):
     assert {r["stream_id"] for r in study.detections.filter("seq >= 1500").collect()} == {0, 1}
 
 
+def _shares(tmp_path, spark, name, wheres):
+    """Folders with the rows of the smallest table for which each condition holds."""
+    src = os.path.join(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"), f"{name}.parquet")
+    if not os.path.exists(src):
+        pytest.skip("test data not present")
+    for i, where in enumerate(wheres):
+        spark.read.parquet(src).filter(where).write.parquet(str(tmp_path / str(i) / f"{name}.parquet"))
+    return [str(tmp_path / str(i)) for i in range(len(wheres))]
+
+
+@pytest.mark.parametrize("query", [learned.classifier_grid, learned.drift_report])
+def test_more_suppliers_do_not_change_a_suppliers_trees(spark, tmp_path, query):
+    small, large = _shares(tmp_path, spark, "lineitem", ["l_suppkey = 1", "l_suppkey <= 3"])
+    alone, beside = query(spark, small).collect(), query(spark, large).filter("l_suppkey = 1").collect()
+    assert alone and sorted(map(repr, alone)) == sorted(map(repr, beside))
+
+
+def test_later_rows_do_not_change_earlier_predictions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(learned, "WIDE_ROWS", 30, raising=False)
+    small, large = _shares(tmp_path, spark, "embeddings", ["vec_id < 70", "vec_id < 100"])
+    before = {tuple(r) for r in learned.embedding_classes(spark, small).collect()}
+    after = {tuple(r) for r in learned.embedding_classes(spark, large).filter("seq < 70").collect()}
+    assert len(before) == 70 and before == after
+
+
 def test_counts_do_not_depend_on_batches():
     rng = np.random.default_rng(0)
     x, y, w = rng.random((400, 3)), rng.integers(0, 2, 400), rng.integers(0, 4, 400).astype(float)
