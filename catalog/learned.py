@@ -52,11 +52,14 @@ def classifier_grid(spark, d):
 
 
 def drift_report(spark, d):
-    """An adaptive tree on each supplier's stream, whose target turns round half way: metrics per window."""
+    """An adaptive tree on each supplier's stream, whose target turns round half way: metrics per window (kind
+    'window') and the detections of both detectors (kind 'detection')."""
     s = _supplier_lines(spark, d)
     halves = s.groupBy("l_suppkey").agg(F.expr("count(*) div 2").alias("half"))
     turned = s.join(halves, "l_suppkey").withColumn("class_idx", F.when(F.col("seq") < F.col("half"), F.col("class_idx")).otherwise(1 - F.col("class_idx")))
-    return drift_study(turned.drop("half"), FEATURES, L.hoeffding_adaptive_tree(), WINDOW_ROWS, WINDOW_ROWS, 2, keys="l_suppkey").windows
+    study = drift_study(turned.drop("half"), FEATURES, L.hoeffding_adaptive_tree(), WINDOW_ROWS, WINDOW_ROWS, 2, keys="l_suppkey")
+    found = [t.withColumn("kind", F.lit(kind)) for kind, t in (("window", study.windows), ("detection", study.detections))]
+    return found[0].unionByName(found[1], allowMissingColumns=True)
 
 
 def embedding_classes(spark, d):

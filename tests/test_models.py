@@ -176,6 +176,14 @@ def test_more_suppliers_do_not_change_a_suppliers_trees(spark, tmp_path, query):
     assert alone and sorted(map(repr, alone)) == sorted(map(repr, beside))
 
 
+def test_drift_report_holds_both_detectors(spark, tmp_path):
+    folder, = _shares(tmp_path, spark, "lineitem", ["l_suppkey <= 4"])
+    got = learned.drift_report(spark, folder).collect()
+    windows, found = ([r for r in got if r["kind"] == kind] for kind in ("window", "detection"))
+    assert {r["l_suppkey"] for r in windows} == {0, 1, 2, 3, 4} and len(windows) + len(found) == len(got)
+    assert {r["detector"] for r in found} == {"DDM", "ADWIN"} and all(r["seq"] >= 0 and r["window_id"] is None for r in found)
+
+
 def test_later_rows_do_not_change_earlier_predictions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(learned, "WIDE_ROWS", 30, raising=False)
     small, large = _shares(tmp_path, spark, "embeddings", ["vec_id < 70", "vec_id < 100"])
