@@ -78,7 +78,7 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sentencepiece")
 def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return encode(table(spark, sf_dir, "documents"), model, with_ids=False)
+    return encode(table(spark, sf_dir, "documents"), model)
 
 
 @query("op4_quality")

@@ -15,6 +15,7 @@ import corpus_pipeline
 from flowstream.llm.idfiles import decode_blocks, encode_blocks, read_ids, write_ids
 from flowstream.llm.mixing import mixed, mixing_report, mixing_table, split_quotas
 from flowstream.llm.pieces import PieceModel, decode, encode, encode_units, load_pieces
+from flowstream.llm.queries import QUERIES
 from tests.llm.fixtures import empty, odd, odd_rows, words
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +36,15 @@ def plain_targets(sizes, weights=(1, 2, 3), most=3):
     return fixed
 
 
+def test_pieces_query_returns_ids(spark, tmp_path):
+    texts = ["one two  three", "", "naïve 漢字", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=str(PIECES))
+    got = {r.doc_id: r for r in QUERIES["op5_sentencepiece"](spark, str(tmp_path)).collect()}
+    assert {i: list(got[i].ids) for i in got} == {i: library.encode(t or "") for i, t in enumerate(texts)}
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, words(rng.randrange(1, 60), i), rng.choice(["a", "a", "a", "a", "b", "ä", "c", None, "tiny"] if i % 50 else ["d"])) for i in range(1500)]
