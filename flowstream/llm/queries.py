@@ -9,17 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowstream.llm.centroids import centroid_clusters
 from flowstream.llm.exact import mark_exact
 from flowstream.llm.idfiles import read_ids, write_ids
 from flowstream.llm.language import detect, fit_languages
 from flowstream.llm.mixing import mixing_report, mixing_table
 from flowstream.llm.neardup import jaccard_join
+from flowstream.llm.pages import main_text
 from flowstream.llm.pieces import encode, load_pieces
 from flowstream.llm.private import private_spans
 from flowstream.llm.quality import fit_ratios, quality
 from flowstream.llm.repeats import without_repeats
 from flowstream.llm.text import id_hash, small_batches
 from flowstream.llm.toxicity import fit_toxicity, toxicity_scores
+from flowstream.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +111,38 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def _clusters_sql(k: int, rounds: int, dims: int) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = [f"""
+kept as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+    where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as w from kept qualify c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as (select r, vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'c': c}}) as m from kept, c{i} group by all)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select c, list((s - ((s % n) + n) % n) // n order by d) as w from (
+    select m.c as c, d, sum(v[d])::bigint as s, count(*) as n from a{i}, range(1, {dims + 1}) t(d) group by all) group by c),
+c{i + 1} as (select o.c, coalesce(m{i}.w, o.w) as w from c{i} o left join m{i} using (c))""")
+    return f"""with {",".join(steps)}
+select vec_id, m.c::int as cluster, m.d as distance, sum(m.d) over (partition by m.c)::bigint as cluster_inertia, sum(m.d) over ()::bigint as inertia,
+       sha256(array_to_string(w, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c = m.c"""
+
+
+@query("op12_centroids", _clusters_sql(16, 3, 64))
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
+@query("op13_html")
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
