@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,36 @@ from flowstream.operators.thresholds import _ddl
 STATES = ["normal", "warning", "change"]
 
 
+@dataclass(frozen=True)
+class DdmStep:
+    """DDM as a plug-in of the step drivers."""
+
+    warning: float = 2.0
+    error: str = "error"
+    outputs: str = "state string"
+
+    def init(self, key):
+        return Ddm(self.warning)
+
+    def step(self, state, rows):
+        return state, [STATES[c] for c in state.process(rows[self.error].to_numpy())]
+
+
+@dataclass(frozen=True)
+class AdwinStep:
+    """ADWIN as a plug-in of the step drivers; its buckets are the state."""
+
+    delta: float = 0.002
+    error: str = "error"
+    outputs: str = "state string"
+
+    def init(self, key):
+        return Adwin(self.delta)
+
+    def step(self, state, rows):
+        return state, [STATES[c] for c in state.process(rows[self.error].to_numpy())]
+
+
 def _detect(errors: DataFrame, make, keys, seq, error, segment_rows) -> DataFrame:
     keys = _keys(keys)
     carried = [*keys, seq, error]

@@ -13,6 +13,7 @@ import pickle
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,7 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], objec
             return pd.DataFrame(columns=[*names, "_state"])
         state = pickle.loads(old["_state"].iloc[0]) if len(old) else make(key)
         out = advance(state, pdf.sort_values(seq, kind="stable"))
-        tail = pd.DataFrame([{**dict(zip(keys, key)), "_state": pickle.dumps(state)}])
+        tail = pd.DataFrame([{**dict(zip(keys, key)), "_state": cloudpickle.dumps(state)}])
         return pd.concat([out.assign(_state=None), tail], ignore_index=True).reindex(columns=[*names, "_state"])
 
     state_keys = [f"_s{i}" for i in range(len(keys))]

@@ -26,6 +26,7 @@ from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import LEHMER, node_hash
 from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
 from flowstream.operators.ordering import _keys
+from flowstream.operators.steps import run_steps
 from flowstream.operators.thresholds import _ddl
 from flowstream.session import fresh_path, spread_by
 
@@ -290,8 +291,16 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
     """Predictions of several learners: (keys, seq, truth, kept columns, learner, pred).
 
     Every row is predicted by trees that have seen the windows before its own only. With ``keys`` each stream has its
-    own trees and its own ``seq``; without, the whole table is one stream.
+    own trees and its own ``seq``; without, the whole table is one stream. Plug-ins with a ``step`` (see
+    ``flowstream.operators.steps``) predict and learn row by row, all in one pass.
     """
+    stepping = {name: c for name, c in configured.items() if hasattr(c, "step")}
+    if stepping:
+        own = run_steps(df, stepping, keys, seq, [target, *keep], [*features, target], "learner").withColumnRenamed(target, "truth")
+        trees = {name: c for name, c in configured.items() if name not in stepping}
+        if not trees:
+            return own
+        return own.unionByName(prequential_classify(df, features, trees, window_rows, classes, seq, target, keep, block_rows, keys))
     if _keys(keys):
         return _classify_streams(df, features, configured, window_rows, classes, _keys(keys), seq, target, keep)
     spark = df.sparkSession

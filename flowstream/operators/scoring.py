@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from flowstream.functions import partitions as part
 from flowstream.operators.ordering import BLOCK_ROWS, _keys
+from flowstream.operators.steps import run_steps
 from flowstream.operators.thresholds import _ddl
 from flowstream.session import spread_by
 
@@ -271,10 +272,18 @@ def prequential_score(df: DataFrame, features: Sequence[str], algorithms: dict[s
                       keep: Sequence[str] = (), frozen: bool = False) -> DataFrame:
     """Scores of several algorithms over the same streams: (keys, algorithm, seq, score, kept columns).
 
-    Scorers without windows (the autoencoder) and all scorers of a frozen run learn from the warm-up rows only.
+    Scorers without windows (the autoencoder) and all scorers of a frozen run learn from the warm-up rows only. Plug-ins
+    with a ``step`` (see ``flowstream.operators.steps``) score and learn row by row, all in one pass; they can't be frozen.
     """
     parts = []
+    stepping = {name: s for name, s in algorithms.items() if hasattr(s, "step")}
+    if stepping:
+        if frozen:
+            raise ValueError(f"a step plug-in has no frozen form: {sorted(stepping)}")
+        parts.append(run_steps(df, stepping, keys, seq, keep, features))
     for name, scorer in algorithms.items():
+        if name in stepping:
+            continue
         if frozen or not scorer.window:
             got = freeze_after_warmup(df, features, scorer, warmup, keys, seq, keep)
         else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,6 +25,26 @@ def fixed_threshold(scores: DataFrame, threshold: float = 0.5, score: str = "sco
     return scores.withColumn("pred", discretize(F.col(score), threshold)).withColumn("threshold", F.lit(float(threshold)))
 
 
+@dataclass(frozen=True)
+class DspotStep:
+    """DSPOT as a plug-in of the step drivers."""
+
+    q: float = 1e-3
+    depth: int = 50
+    t_quantile: float = 0.98
+    warmup: int = 1000
+    bracket: str = "wide"
+    refit_every: int = 1
+    score: str = "score"
+    outputs: str = "pred int, threshold double, trend double"
+
+    def init(self, key):
+        return Dspot(self.q, self.depth, self.t_quantile, self.warmup, self.bracket, self.refit_every)
+
+    def step(self, state, rows):
+        return state, dict(zip(("pred", "threshold", "trend"), state.process(rows[self.score].to_numpy())))
+
+
 def dspot(scores: DataFrame, keys: Sequence[str] = ("stream_id",), q: float = 1e-3, depth: int = 50, t_quantile: float = 0.98,
           warmup: int = 1000, bracket: str = "wide", refit_every: int = 1, keep: Sequence[str] = (), seq: str = "seq",
           score: str = "score", segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -6,21 +6,18 @@ A finite table becomes a replayable stream of files in order of time; queries ru
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, numeric_columns
-from flowstream.functions.evt import Dspot
 from flowstream.operators.scoring import Scorer, window_scores
-from flowstream.operators.thresholds import _ddl
+from flowstream.operators.thresholds import DspotStep
 from flowstream.operators.windowing import _entropy_of
 from flowstream.session import fresh_path
+from flowstream.streaming.steps import steps_stream
 
 
 def replay_files(df: DataFrame, ts: str, chunks: int = 4, close_after: str | None = None, path: str | None = None,
@@ -56,12 +53,16 @@ def as_stream(spark: SparkSession, path: str, schema: T.StructType | None = None
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all available input into a parquet table and read it."""
+def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all available input into a parquet table and read it.
+
+    With a ``path`` and a ``checkpoint`` folder of the caller's, a later call with the same stream goes on where this one
+    ended: input already taken is not read again, state is kept, and the table grows.
+    """
     spark = stream.sparkSession
-    out = fresh_path(spark, label)
+    out = path or fresh_path(spark, label)
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-             .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint or f"{out}-state").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -95,31 +96,9 @@ def window_summary_stream(stream: DataFrame, ts: str = "Timestamp", freq: str =
 def dspot_stream(stream: DataFrame, keys: Sequence[str] = ("stream_id",), ts: str = "ts", delay: str = "10 seconds", seq: str = "seq",
                  score: str = "score", **settings) -> DataFrame:
     """DSPOT on live scores. Rows wait until the watermark passes them, are put in order and then stepped,
-    so the alerts do not depend on how the input falls into micro-batches."""
-    keys = list(keys)
-    carried = [*keys, seq, ts, score]
-    schema = f"{_ddl(stream, carried)}, pred int, threshold double, trend double"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if any(pd.isna(k) for k in key):
-            return  # the closing row of a replay; a filter would keep its time from the watermark
-        detector, waiting = pickle.loads(state.get[0]) if state.exists else (Dspot(**settings), None)
-        parts = ([waiting] if waiting is not None else []) + [b for b in batches if len(b)]
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=carried)
-        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        ready = rows[ts] <= passed
-        now = rows[ready].sort_values([ts, seq])
-        later = rows[~ready]
-        if len(now):
-            flag, threshold, trend = detector.process(now[score].to_numpy())
-            yield now[carried].assign(pred=flag, threshold=threshold, trend=trend)
-        state.update((pickle.dumps((detector, later if len(later) else None)),))
-        if len(later):
-            wake = int(later[ts].min().timestamp() * 1000) + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-
-    return stream.select(*carried).withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(
-        step, schema, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
+    so the alerts do not depend on how the input falls into micro-batches. A null key is a stream."""
+    out = steps_stream(stream, {"DSPOT": DspotStep(score=score, **settings)}, keys, ts, delay, seq, [ts, score], label="_step")
+    return out.drop("_step")
 
 
 def score_stream(stream: DataFrame, features: Sequence[str], scorer: Scorer, label: str = "scores", keys: Sequence[str] = (), seq: str = "seq",
