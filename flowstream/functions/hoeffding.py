@@ -28,7 +28,7 @@ class Leaf:
 class Split:
     def __init__(self, feature: int, cut: float, left, right):
         self.feature, self.cut, self.left, self.right = feature, cut, left, right
-        self.history: list[tuple[float, float]] = []
+        self.history = RateHistory()
         self.alternate = None
 
 
@@ -169,31 +169,75 @@ def try_split(leaf: Leaf, features: np.ndarray, criterion: str, confidence: floa
     return Split(f, cut, Leaf(*shape, prior=left), Leaf(*shape, prior=leaf.n - left))
 
 
-def rate_changed(history: list[tuple[float, float]], delta: float) -> int:
-    """ADWIN's cut test on (rows, errors) per window: how many old windows to forget because the rate rose, else 0."""
-    total_n, total_e = sum(n for n, _ in history), sum(e for _, e in history)
-    if total_n <= 1 or len(history) < 2:
+BUCKETS = 5  # fixed value: buckets of one size before the two oldest are joined
+
+
+class RateHistory:
+    """Errors per window of a node or member, newest part in full, older windows joined: a bucket of level r holds 2**r windows.
+
+    ADWIN's exponential histogram over (rows, errors) pairs. State and the time of a test grow with the logarithm of
+    the windows. Sums are exact; only the places where the history may be cut get coarser with age, so a cut is found
+    if a plain list has one at the same place, and then at the same bound.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[list[tuple[float, float]]] = [[]]  # per level, oldest first
+        self.rows = self.errors = 0.0
+
+    def __len__(self) -> int:
+        return sum(len(level) for level in self.levels)
+
+    def add(self, rows: float, errors: float) -> None:
+        self.rows, self.errors = self.rows + rows, self.errors + errors
+        self.levels[0].append((rows, errors))
+        r = 0
+        while len(self.levels[r]) > BUCKETS:
+            if r + 1 == len(self.levels):
+                self.levels.append([])
+            (n1, e1), (n2, e2) = self.levels[r][:2]
+            self.levels[r] = self.levels[r][2:]
+            self.levels[r + 1].append((n1 + n2, e1 + e2))
+            r += 1
+
+    def changed(self, delta: float) -> int:
+        """How many of the oldest buckets to forget because the rate rose since, else 0."""
+        if self.rows <= 1 or len(self) < 2:
+            return 0
+        p = self.errors / self.rows
+        log_term = math.log(2 * math.log(max(self.rows, 3)) / delta)
+        n0 = e0 = 0.0
+        at, last = 0, len(self) - 1
+        for level in reversed(self.levels):
+            for n, e in level:
+                if at == last:
+                    return 0
+                at += 1
+                n0, e0 = n0 + n, e0 + e
+                n1, e1 = self.rows - n0, self.errors - e0
+                if n0 < 1 or n1 < 1:
+                    continue
+                m = 1 / n0 + 1 / n1
+                eps = math.sqrt(2 * m * p * (1 - p) * log_term) + 2 / 3 * log_term * m
+                if e1 / n1 - e0 / n0 > eps:
+                    return at
         return 0
-    p = total_e / total_n
-    log_term = math.log(2 * math.log(max(total_n, 3)) / delta)
-    n0 = e0 = 0.0
-    for i, (n, e) in enumerate(history[:-1]):
-        n0, e0 = n0 + n, e0 + e
-        n1, e1 = total_n - n0, total_e - e0
-        if n0 < 1 or n1 < 1:
-            continue
-        m = 1 / n0 + 1 / n1
-        eps = math.sqrt(2 * m * p * (1 - p) * log_term) + 2 / 3 * log_term * m
-        if e1 / n1 - e0 / n0 > eps:
-            return i + 1
-    return 0
+
+    def forget(self, buckets: int) -> "RateHistory":
+        """Drop the oldest buckets."""
+        for level in reversed(self.levels):
+            while buckets and level:
+                n, e = level.pop(0)
+                self.rows, self.errors, buckets = self.rows - n, self.errors - e, buckets - 1
+        while len(self.levels) > 1 and not self.levels[-1]:
+            self.levels.pop()
+        return self
 
 
 @dataclass
 class Member:
     """One tree of a learner with its drift state."""
     root: object
-    history: list = field(default_factory=list)
+    history: RateHistory = field(default_factory=RateHistory)
     background: object = None
     ok: float = 0.0
     seen: float = 0.0

@@ -1,11 +1,13 @@
 """Small numpy helpers for the window scorers: random space partitions of at most a few windows of rows.
 
-A forest is never stored: training and query rows walk down a tree together while it is drawn,
-and a query row only needs where it stops.
+A forest that serves one window only is never stored: training and query rows walk down a tree together while it is drawn,
+and a query row only needs where it stops. Trees that outlive their window are grown once and packed (``grow_trees``).
 """
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -141,6 +143,70 @@ def isolation_depth(train: np.ndarray, query: np.ndarray, rng, limit: int, leaf,
     return depth, size
 
 
+@dataclass(frozen=True)
+class Trees:
+    """Binary trees, level after level and within a level tree after tree. Children of the i-th inner node are
+    nodes ``trees + 2 * i`` and the next one, so only inner nodes' cuts and leaves' sizes are kept."""
+
+    trees: int
+    inner: np.ndarray    # per node: has children
+    feature: np.ndarray  # per inner node
+    cut: np.ndarray      # per inner node; rows above go right
+    size: np.ndarray     # per leaf: training rows in it
+
+    def packed(self) -> bytes:
+        head = np.array([self.trees, len(self.inner), len(self.cut)], dtype=np.int64).tobytes()
+        body = np.packbits(self.inner).tobytes() + self.feature.astype(np.uint16).tobytes() + self.cut.astype(np.float64).tobytes() + self.size.astype(np.uint32).tobytes()
+        return zlib.compress(head + body, 1)
+
+    @staticmethod
+    def unpacked(blob: bytes) -> "Trees":
+        raw = zlib.decompress(blob)
+        trees, nodes, inner = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24 + -(-nodes // 8)
+        flags = np.unpackbits(np.frombuffer(raw, np.uint8, at - 24, 24), count=nodes).astype(bool)
+        feature = np.frombuffer(raw, np.uint16, inner, at).astype(np.int64)
+        cut = np.frombuffer(raw[at + 2 * inner:at + 10 * inner], np.float64)
+        size = np.frombuffer(raw[at + 10 * inner:], np.uint32).astype(np.int64)
+        return Trees(trees, flags, feature, cut, size)
+
+    def depths(self, query: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Level and size of the leaf of every query row in each of the ``first`` trees: arrays trees x rows."""
+        rank = np.cumsum(self.inner) - 1
+        node = np.repeat(np.arange(first)[:, None], len(query), axis=1).ravel()
+        row = np.tile(np.arange(len(query)), first)
+        depth = np.zeros(len(node), dtype=np.int64)
+        walking = np.flatnonzero(self.inner[node])
+        while len(walking):
+            i = rank[node[walking]]
+            node[walking] = self.trees + 2 * i + (query[row[walking], self.feature[i]] > self.cut[i])
+            depth[walking] += 1
+            walking = walking[self.inner[node[walking]]]
+        size = self.size[node - rank[node] - 1]
+        return depth.reshape(first, len(query)), size.reshape(first, len(query))
+
+
+def grow_trees(train: np.ndarray, trees: int, rng, height: int) -> Trees:
+    """Isolation trees over the same rows, all at once: a random feature of a node's box is cut at a uniform value."""
+    n, k = train.shape
+    rows, node = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)
+    count, parts = trees, []
+    for level in range(height + 1):
+        sizes, lo, hi = _boxes(train[rows], node, count)
+        at, f = np.arange(count), rng.integers(0, k, count)
+        low, high = lo[at, f], hi[at, f]
+        split = (sizes >= 2) & (high > low) & (level < height)
+        cut = np.minimum(low + rng.random(count) * (high - low), np.nextafter(high, -np.inf))  # both sides hold a row
+        parts.append((split, f[split], cut[split], sizes[~split]))
+        live = split[node]
+        rows, node = rows[live], node[live]
+        if not len(rows):
+            break
+        place = np.cumsum(split) - 1
+        node, count = 2 * place[node] + (train[rows, f[node]] > cut[node]), 2 * int(split.sum())
+    return Trees(trees, *(np.concatenate(p) for p in zip(*parts)))
+
+
 def collusive_displacement(train: np.ndarray, query: np.ndarray, rng) -> np.ndarray:
     """Robust random cut tree over ``train``; per query row the largest (sibling rows / own subtree rows)
     it would cause if inserted. A query row leaves the tree where a cut first separates it from the node's box."""

@@ -190,10 +190,11 @@ def _subtree_drift(root, counts: dict, alternates: dict, cfg: Learner, member: i
                 return root.alternate
             if -gap > eps:
                 root.alternate = None
-    root.history = [*root.history, (n, e)] if n else root.history
-    old = H.rate_changed(root.history, cfg.delta)
+    if n:
+        root.history.add(n, e)
+    old = root.history.changed(cfg.delta)
     if old:
-        root.history = root.history[old:]
+        root.history.forget(old)
         if root.alternate is None:
             root.alternate = H.Leaf(classes, features)
     root.left = _subtree_drift(root.left, counts, alternates, cfg, member, window, classes, features, path + "l")
@@ -217,12 +218,13 @@ def _learn(cfg: Learner, m: H.Member, got: dict, member: int, window: int, class
     if m.background is not None:
         m.background = _grow(m.background, got.get("background", {}), cfg, member, window)
     if cfg.drift == "member" and cfg.drift_detection:
-        m.history = [*m.history, (n, e)] if n else m.history
-        old = H.rate_changed(m.history, cfg.delta)
+        if n:
+            m.history.add(n, e)
+        old = m.history.changed(cfg.delta)
         if old:
             fresh = m.background if cfg.background and m.background is not None else H.Leaf(classes, features)
-            return H.Member(fresh, m.history[old:])
-        if cfg.background and m.background is None and H.rate_changed(m.history, cfg.warning_delta):
+            return H.Member(fresh, m.history.forget(old))
+        if cfg.background and m.background is None and m.history.changed(cfg.warning_delta):
             m.background = H.Leaf(classes, features)
     return m
 

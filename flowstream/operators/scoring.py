@@ -23,13 +23,18 @@ from flowstream.functions import partitions as part
 from flowstream.operators.ordering import BLOCK_ROWS, _keys
 from flowstream.operators.steps import run_steps
 from flowstream.operators.thresholds import _ddl
-from flowstream.session import spread_by
+from flowstream.session import spread_by, written
+
+RUN = 8  # windows that are scored together when models live for several
 
 
 class Scorer(Protocol):
     """What a pluggable scorer offers. ``window`` rows per window, ``back`` training windows.
 
     ``score(train, ages, query, rng)``: training rows with their age in windows (1 = the previous window).
+
+    A scorer whose models outlive a window has ``build(train, first, rng)``, which makes the packed model of one window, and
+    ``rate(built, query)`` with the models of the ``back`` windows before and their ages. Then each model is made once.
     """
 
     window: int
@@ -96,7 +101,10 @@ class RandomCutForest:
 
 @dataclass(frozen=True)
 class AdaptiveIsolationForest:
-    """Every window replaces ``m_trees`` of ``trees``; older trees count ``weights`` times less per window of age."""
+    """Every window grows ``m_trees`` new trees, which replace the oldest of ``trees``; the first window grows all.
+
+    A tree stays as it was grown until it is replaced, and counts ``weights`` times less per window of age.
+    """
 
     window: int = 768
     trees: int = 100
@@ -109,21 +117,31 @@ class AdaptiveIsolationForest:
     def back(self):
         return -(-self.trees // self.m_trees)
 
-    def score(self, train, ages, query, rng):
+    def alive(self, age: int) -> int:
+        """How many trees of a window this old are not yet replaced, if that window grew so many."""
+        return max(self.trees - (age - 1) * self.m_trees, 0)
+
+    def build(self, train, first, rng):
+        """Trees grown on a window's rows, packed; ``first`` marks the first window of a stream."""
+        return part.grow_trees(train, self.trees if first else min(self.m_trees, self.trees), rng, self.height).packed()
+
+    def rate(self, built, query):
+        """Scores by the trees still alive; ``built`` holds (age in windows, packed trees)."""
         norm = 2 * (np.log(max(self.window - 1, 2)) + 0.5772156649) - 2
         total, weight = np.zeros(len(query)), 0.0
-        for tree in range(self.trees):
-            age = tree // self.m_trees + 1
-            sample = train[ages == age]
-            if not len(sample):
-                sample, age = train[ages == ages.max()], int(ages.max())
-            depth, size = part.isolation_depth(sample, query, rng, self.height, lambda level: 2)
+        for age, blob in sorted(built, key=lambda b: b[0]):
+            grown = part.Trees.unpacked(blob)
+            used = min(grown.trees, self.alive(age))
+            depth, size = grown.depths(query, used)
             rest = np.where(size > 1, 2 * (np.log(np.maximum(size - 1, 1)) + 0.5772156649) - 2 * (size - 1) / np.maximum(size, 1), 0)
             w = self.weights ** (age - 1)
-            total += w * 2 ** (-(depth + np.maximum(rest, 0)) / norm)
-            weight += w
+            total += w * (2 ** (-(depth + np.maximum(rest, 0)) / norm)).sum(axis=0)
+            weight += w * used
         return total / weight
 
+    def score(self, train, ages, query, rng):
+        return self.rate([(1, self.build(train, True, rng))], query)
+
 
 @dataclass(frozen=True)
 class Autoencoder:
@@ -190,9 +208,49 @@ def _plain(key) -> tuple:
     return tuple(str(k) for k in key)
 
 
+def window_models(df: DataFrame, features: Sequence[str], scorer, keys=None, seq: str = "seq") -> DataFrame:
+    """The model of every window, made once: (keys, window, model). A model is used until later windows replace it."""
+    keys = _keys(keys)
+    rows = df.select(*keys, seq, *[F.col(c).cast("double").alias(c) for c in features if c not in (*keys, seq)], F.expr(f"`{seq}` div {scorer.window}").alias("window"))
+
+    def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(seq)[list(features)].to_numpy(dtype=float)
+        blob = scorer.build(x, int(key[-1]) == 0, _rng(scorer.seed, *_plain(key)))
+        return pd.DataFrame([{**dict(zip(keys, key)), "window": int(key[-1]), "model": blob}])
+
+    by = [*keys, "window"]
+    return spread_by(rows, by).groupBy(*by).applyInPandas(make, ", ".join(filter(None, [_ddl(df, keys), "window long, model binary"])))
+
+
+def _scores_of_models(df: DataFrame, features: Sequence[str], scorer, keys: list[str], seq: str, keep: Sequence[str]) -> DataFrame:
+    """Scores by models that live for several windows. Rows and models meet in runs of ``RUN`` windows, so
+    a model is sent to few places only."""
+    carried = list(dict.fromkeys([*keys, seq, *keep]))
+    rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried], F.expr(f"`{seq}` div {scorer.window}").alias("_w"))
+    rows = rows.withColumn("_run", F.expr(f"_w div {RUN}"))
+    models = written(window_models(df, features, scorer, keys, seq), "models")
+    used_in = F.sequence(F.expr(f"(window + 1) div {RUN}"), F.expr(f"(window + {scorer.back}) div {RUN}"))
+    models = models.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "window", "model", F.explode(used_in).alias("_to"))
+
+    def run(key, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        built = dict(zip(made["window"].astype(int), made["model"]))
+        for w, mine in pdf.sort_values(seq).groupby("_w"):
+            known = [(age, built[w - age]) for age in range(1, scorer.back + 1) if w - age in built]
+            x = mine[list(features)].to_numpy(dtype=float)
+            parts.append(mine[carried].assign(score=scorer.rate(known, x) if known else np.nan))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[*carried, "score"])
+
+    left, right = [*keys, "_run"], [*[f"_k{i}" for i in range(len(keys))], "_to"]
+    both = spread_by(rows, left).groupBy(*left).cogroup(spread_by(models, right).groupBy(*right))
+    return both.applyInPandas(run, f"{_ddl(df, carried)}, score double")
+
+
 def window_scores(df: DataFrame, features: Sequence[str], scorer: Scorer, keys=None, seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
     """Score of every row by the windows before its own; rows of the first window have no score (null)."""
     keys = _keys(keys)
+    if hasattr(scorer, "build"):
+        return _scores_of_models(df, features, scorer, keys, seq, keep)
     carried = list(dict.fromkeys([*keys, seq, *keep]))
     own = F.expr(f"`{seq}` div {scorer.window}")
     homes = F.transform(F.sequence(F.lit(0), F.lit(scorer.back)), lambda age: F.struct((own + age).alias("w"), age.alias("age")))

@@ -225,9 +225,116 @@ def test_live_dspot_equals_batch(spark, planted, chunks):
     assert live.drop("ts").select(*batch[0].asDict()).orderBy("stream_id", "seq").collect() == batch
 
 
-def test_live_scores_equal_batch(spark, planted):
-    scorer = S.HalfSpaceTrees(window=200, trees=8)
+@pytest.mark.parametrize("scorer", [S.HalfSpaceTrees(window=200, trees=8), S.AdaptiveIsolationForest(window=100, trees=10, m_trees=3)])
+def test_live_scores_equal_batch(spark, planted, scorer):
     rows = planted.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
     batch = S.window_scores(planted, FEATURES, scorer).orderBy("seq").collect()
     live = V.score_stream(V.as_stream(spark, V.replay_files(rows, "ts", 4)), FEATURES, scorer).orderBy("seq").collect()
     assert [(r["seq"], r["score"]) for r in live] == [(r["seq"], r["score"]) for r in batch]
+
+
+def test_trees_live_until_they_are_replaced(spark, planted):
+    """30 of 100 trees are grown a window, and those of age 2 are the ones of age 1 in the window before."""
+    from flowstream.functions.partitions import Trees
+
+    scorer = S.AdaptiveIsolationForest(window=100, trees=100, m_trees=30)
+    models = {r["window"]: bytes(r["model"]) for r in S.window_models(planted, FEATURES, scorer).collect()}
+    assert {w: Trees.unpacked(m).trees for w, m in models.items()} == {w: 100 if w == 0 else 30 for w in range(15)}
+    assert models == {r["window"]: bytes(r["model"]) for r in S.window_models(planted.repartition(9), FEATURES, scorer).collect()}
+
+    def forest(w):
+        return {(w - age, i) for age in range(1, scorer.back + 1) if w - age in models for i in range(min(Trees.unpacked(models[w - age]).trees, scorer.alive(age)))}
+
+    for w in range(2, 15):
+        assert len(forest(w)) == 100
+        assert {t for t in forest(w) if t[0] < w - 1} <= forest(w - 1)  # nothing is grown anew
+        assert len([t for t in forest(w) if t[0] == w - 1]) == 30
+    x = {r["seq"]: [r[c] for c in FEATURES] for r in planted.collect()}
+    got = {r["seq"]: r["score"] for r in S.window_scores(planted, FEATURES, scorer).collect()}
+    for w in (1, 2, 7, 8, 14):  # runs of windows begin at 8
+        mine = range(100 * w, 100 * w + 100)
+        want = scorer.rate([(a, models[w - a]) for a in range(1, 5) if w - a in models], np.array([x[i] for i in mine]))
+        assert [got[i] for i in mine] == want.tolist()
+
+
+def test_packed_trees_equal_a_plain_walk():
+    from flowstream.functions.partitions import Trees, grow_trees
+
+    rng = np.random.default_rng(6)
+    train = np.round(rng.random((120, 3)), 1)  # many ties, one leaf with equal rows
+    grown = grow_trees(train, 7, np.random.default_rng(1), 6)
+    again = Trees.unpacked(grown.packed())
+    query = rng.random((50, 3)) * 2 - 0.5
+    depth, size = again.depths(query, 7)
+    rank = np.cumsum(grown.inner) - 1
+
+    def walk(x, node):
+        level = 0
+        while grown.inner[node]:
+            i = rank[node]
+            node, level = grown.trees + 2 * i + int(x[grown.feature[i]] > grown.cut[i]), level + 1
+        return level, node
+
+    for t in range(7):
+        ends = [walk(x, t)[1] for x in train]
+        for q, x in enumerate(query):
+            level, node = walk(x, t)
+            assert (depth[t, q], size[t, q]) == (level, ends.count(node)) and level <= 6 and ends.count(node) > 0
+    same = grow_trees(np.ones((5, 2)), 2, np.random.default_rng(1), 6)
+    assert not same.inner.any() and same.size.tolist() == [5, 5]
+    one = Trees.unpacked(grow_trees(np.ones((1, 2)), 3, np.random.default_rng(1), 6).packed())
+    assert one.depths(np.zeros((2, 2)), 2)[1].tolist() == [[1, 1], [1, 1]]
+
+
+def plain_cut(history, delta):
+    """ADWIN's cut on a plain list of (rows, errors): (oldest entries to forget, difference of the rates, its bound) of every cut."""
+    n, e = np.array(history).T
+    rows, errors = n.sum(), e.sum()
+    log_term = np.log(2 * np.log(max(rows, 3)) / delta)
+    n0, e0 = np.cumsum(n)[:-1], np.cumsum(e)[:-1]
+    m = 1 / n0 + 1 / (rows - n0)
+    p = errors / rows
+    return (errors - e0) / (rows - n0) - e0 / n0, np.sqrt(2 * m * p * (1 - p) * log_term) + 2 / 3 * log_term * m
+
+
+def test_compressed_history_stays_small():
+    h = H.RateHistory()
+    for i in range(1_000_000):
+        h.add(100.0, 10.0 + i % 2)
+    assert len(h) <= 5 * 21 and h.rows == 1e8 and h.errors == 1_000_000 * 10.5
+    assert h.changed(0.002) == 0
+
+
+@pytest.mark.parametrize("after", [0.12, 0.2, 0.4])
+def test_compressed_history_finds_what_a_plain_list_finds(after):
+    rng = np.random.default_rng(12)
+    h, plain, found, expected = H.RateHistory(), [], None, None
+    for w in range(1200):
+        e = float(rng.binomial(100, 0.1 if w < 700 else after))
+        h.add(100.0, e)
+        plain.append((100.0, e))
+        if w:
+            gap, eps = plain_cut(plain, 0.002)
+            if expected is None and (gap > eps).any():
+                expected = w
+            cut = h.changed(0.002)
+            if found is None and cut:
+                found = w
+                # the cut is one of the plain list's, at the same bound
+                places = np.cumsum([2**r for r in range(len(h.levels) - 1, -1, -1) for _ in h.levels[r]])
+                place = places[cut - 1]
+                assert gap[place - 1] > eps[place - 1]
+                h.forget(cut)
+                assert h.rows == pytest.approx(100.0 * (w + 1 - place)) and h.errors == pytest.approx(sum(x for _, x in plain[place:]))
+                break
+    assert expected is not None and expected >= 700
+    assert expected <= found <= expected + 8
+
+
+def test_short_histories_are_kept_in_full():
+    h = H.RateHistory()
+    for i in range(5):
+        h.add(10.0, float(i))
+    assert h.levels == [[(10.0, float(i)) for i in range(5)]]
+    assert len(h.forget(2)) == 3 and h.rows == 30 and h.errors == 9
+    assert len(h.forget(3)) == 0 and h.changed(0.1) == 0
