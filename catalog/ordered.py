@@ -210,6 +210,17 @@ def read_csv(spark, d):
     return got.select("event_id", text_time("Timestamp").alias("at"), F.col("Source Port").alias("port"), F.col("Bytes").alias("bytes"), "Label")
 
 
+def read_csv_dirty(spark, d):
+    """Flows in files with semicolons, cells over several lines, doubled quotes and words for missing numbers, read back
+    with nothing said about them."""
+    path = fresh_path(spark, "csv")
+    note = F.concat(F.lit("line \n\""), F.col("Label"), F.lit("\"; "), F.col("Protocol"), F.lit("\n"))
+    number = F.when(F.col("event_id") % 7 == 0, "NaN").when(F.col("event_id") % 11 == 0, " N/A").otherwise(F.col("Bytes").cast("string"))
+    f = flows(spark, d).select(F.col("event_id").alias(" event_id"), number.alias("Bytes "), F.when(F.col("event_id") % 3 > 0, note).alias("Note"), F.col("Label"))
+    f.write.csv(path, sep=";", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_flows(spark, f"{path}/*.csv", sep=None).select("event_id", F.col("Bytes").alias("bytes"), F.col("Note").alias("note"), "Label")
+
+
 def baseline(spark, d):
     """The benign rows of two flow files, collected once and then loaded."""
     path = fresh_path(spark, "files")
@@ -232,7 +243,7 @@ def dataset_chain(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    read_csv, baseline, dataset_chain, seq_index, seq_by_key, sort_by_time, class_counts, benign_filter, class_filter, window_summary, gap_fill,
+    read_csv, read_csv_dirty, baseline, dataset_chain, seq_index, seq_by_key, sort_by_time, class_counts, benign_filter, class_filter, window_summary, gap_fill,
     window_entropy, window_mode, interval_label, interval_label_join, interval_label_many, time_range, attack_regions,
     attack_regions_by_key, moving_average, rolling_mean, dedupe_first, dedupe_last, interleave, overlay,
     common_times, union_by_name, lenient_parse]}
@@ -278,6 +289,8 @@ def _chain_sql():
 
 
 ORACLE = {
+    "read_csv_dirty": f"""select event_id, case when event_id % 7 > 0 and event_id % 11 > 0 then value end as bytes,
+      case when event_id % 3 > 0 then 'line ' || chr(10) || '"' || label || '"; ' || k || chr(10) end as note, label as "Label" from ({_FLOW})""",
     "read_csv": f"""select event_id, strftime(ts, {SQL_TIME}) as at, user_id as port, value as bytes, label as "Label" from ({_FLOW})""",
     "baseline": f"select event_id, value as bytes, strftime(ts, {SQL_TIME}) as at from events where event_type = 'view'",
     "dataset_chain": _chain_sql(),

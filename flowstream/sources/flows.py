@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowstream.functions.columns import col, normalize_columns
+from flowstream.sources.records import file_facts, lines_of, records_of
 
 
 #: Cells that mean a missing value, as common readers of such files take them.
@@ -28,31 +29,23 @@ def existing_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]
     return [hit for p in paths for hit in _glob(spark, p)]
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p), jvm.java.nio.charset.StandardCharsets.UTF_8))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
-
-
-def _read_csv(spark: SparkSession, paths: list[str], header_line: str, sep: str) -> DataFrame:
-    """Files of one header, all columns as text. Lines with too many fields are skipped, short lines are padded
-    with nulls, undecodable bytes are dropped; header lines are not data."""
+def _read_csv(records: DataFrame, header_line: str, sep: str) -> DataFrame:
+    """Records (value, source_file) of files with one header, all columns as text. Records with too many fields are skipped, short
+    ones are padded with nulls, undecodable bytes are dropped; header lines are not data."""
     header = next(csv.reader([header_line.lstrip("\ufeff")], delimiter=sep))
     names = [h or f"Unnamed: {i}" for i, h in enumerate(header)]
     line = F.translate("value", "\ufffd", "")
-    raw = spark.read.text(paths).select("value", line.alias("line"), F.col("_metadata.file_name").alias("source_file"))
+    raw = records.select("value", line.alias("line"), "source_file")
     raw = raw.filter((F.col("value") != header_line) & (F.trim("value") != ""))
     separators = lambda c: F.length(c) - F.length(F.replace(c, F.lit(sep)))
     n = len(names)
     # quoted separators are looked at only where there are too many of any kind
-    too_long = (separators(F.col("line")) >= n) & (separators(F.regexp_replace("line", '"[^"]*"', "")) >= n)
+    border = "".join(f"\\x{{{ord(c):x}}}" for c in sep)
+    outside = F.regexp_replace(F.replace("line", F.lit('""'), F.lit("")), f'(^|{border})"[^"]*"(?={border}|$)', "$1")
+    too_long = (separators(F.col("line")) >= n) & (separators(outside) >= n)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    parsed = raw.filter(~too_long).select(F.from_csv("line", schema.toDDL(), {"sep": sep, "mode": "PERMISSIVE"}).alias("r"), "source_file")
+    options = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    parsed = raw.filter(~too_long).select(F.from_csv("line", schema.toDDL(), options).alias("r"), "source_file")
     return parsed.select(*[F.col("r").getField(c).alias(c) for c in names], "source_file")
 
 
@@ -76,10 +69,11 @@ def infer_types(df: DataFrame, skip: Sequence[str] = ()) -> dict[str, str]:
 
 
 def read_flows(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", types: dict[str, str] | None = None,
-               sep: str = ",", strip_names: bool = True) -> DataFrame:
+               sep: str | None = ",", strip_names: bool = True) -> DataFrame:
     """Tolerant scan of one or many flow files; ``source_file`` keeps the file identity.
 
-    CSV files of different headers are united by column name. For CSV, ``types`` maps column names to SQL types; without it the types are inferred.
+    CSV files of different headers are united by column name; ``sep=None`` finds each file's separator. Quoted cells may hold
+    line breaks, except in the header. For CSV, ``types`` maps column names to SQL types; without it the types are inferred.
     """
     found = existing_paths(spark, paths)
     if not found:
@@ -88,10 +82,13 @@ def read_flows(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv"
         df = spark.read.format(fmt).load(found)
         df = df.withColumn("source_file", F.col("_metadata.file_name"))
         return normalize_columns(df) if strip_names else df
-    by_header: dict[str, list[str]] = {}
-    for p in found:
-        by_header.setdefault(_first_line(spark, p), []).append(p)
-    tables = [_read_csv(spark, files, header, sep) for header, files in by_header.items()]
+    alike: dict[tuple[str, str, bool], list[str]] = {}
+    for path, header, separator, breaks in file_facts(lines_of(spark, found), sep):
+        alike.setdefault((header, separator, breaks), []).append(path)
+    tables = []
+    for (header, separator, breaks), files in sorted(alike.items(), key=lambda a: min(a[1])):
+        records = records_of(spark, files, separator) if breaks else lines_of(spark, files).select("value", "source_file")
+        tables.append(_read_csv(records, header, separator))
     df = union_tables([normalize_columns(t) if strip_names else t for t in tables])
     df = df.withColumns({c: F.when(~F.trim(col(c)).isin(*MISSING), col(c)) for c in df.columns if c != "source_file"})
     kinds = types or infer_types(df, skip=["source_file"])
@@ -105,7 +102,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     out = df.orderBy(*order_by) if order_by else df
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
 
 
@@ -115,7 +112,7 @@ def materialize_once(spark: SparkSession, path: str, build, fmt: str = "parquet"
         write_table(build(), path, fmt, mode="errorifexists")
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
+        reader = reader.option("header", True).option("inferSchema", True).option("escape", '"')
     return reader.load(path)
 
 

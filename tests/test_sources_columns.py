@@ -1,6 +1,7 @@
 """Reading dirty files, header and label rules, lenient parsing."""
 
 import math
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import Observation
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from flowstream.functions import columns as C
 from flowstream.operators.windowing import drop_bad_times
 from flowstream.sources import flows as S
+from flowstream.sources.records import file_facts, lines_of
 
 
 def write(path, data: bytes):
@@ -129,3 +131,60 @@ def test_missing_words_become_null(spark, tmp_path):
     assert dict(df.dtypes)["Rate"] == "double"
     assert sorted(((r["Rate"] is not None) and r["Rate"] or 0) for r in df.collect()) == [0, 0, 2.5, 3.0, math.inf]
     assert sum(r["Name"] is None for r in df.collect()) == 3
+
+
+def dirty(n, sep=";", seed=1):
+    """(rows, text) of a table whose cells hold separators, quotes, breaks of every kind and stray quotes."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(seed)
+    cells = ["plain", "", 'he said "hi"', "two\nlines", f"a{sep}b", "\n\n", 'ends "\n', '"', f'x{sep}"\n"{sep}y', "long " * 30 + "\n" + "z" * 90]
+    rows = [(str(i), rng.choice(cells), rng.choice(cells)) for i in range(n)]
+    out = io.StringIO()
+    w = csv.writer(out, delimiter=sep, lineterminator="\n")
+    w.writerows([("k", "a", "b"), *rows])
+    return rows, out.getvalue().replace("plain", '5" pipe') if sep != "|" else out.getvalue()
+
+
+@pytest.mark.parametrize("split", ["128m", "700b", "64b"])
+def test_records_over_several_lines_and_splits(spark, tmp_path, split):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = {}
+    for name, sep, seed in (("one file.csv", ";", 1), ("zwei ü.csv", ",", 2), ("t.csv", "\t", 3), ("p.csv", "|", 4)):
+        rows, text = dirty(120, sep, seed)
+        write(tmp_path / name, text.encode())
+        want[name] = sorted((k, a.replace("plain", '5" pipe') if sep != "|" else a, b.replace("plain", '5" pipe') if sep != "|" else b) for k, a, b in rows)
+    write(tmp_path / "flat.csv", b'k,a,b\n1,5" pipe,"x"\n2,"open,y\n3,z,w\n')  # its quotes don't balance
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b" if split != "128m" else "4m")
+    try:
+        df = S.read_flows(spark, str(tmp_path / "*.csv"), sep=None, types={"k": "string", "a": "string", "b": "string"})
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["source_file"], []).append((r["k"], r["a"] or "", r["b"] or ""))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert [k for k, _, _ in sorted(got.pop("flat.csv"))] == ["1", "2", "3"]
+    blank = lambda v: "" if v.strip() == "" else v  # noqa: E731, a cell of white space is missing
+    got = {unquote(k): sorted((a, blank(b), blank(c)) for a, b, c in v) for k, v in got.items()}
+    assert got == {k: sorted((a, blank(b), blank(c)) for a, b, c in v) for k, v in want.items()}
+
+
+def test_separator_vote(spark, tmp_path):
+    write(tmp_path / "a.csv", b"x;y\n1,5;2\n3,25;4\n5;6;7\n")  # decimal commas
+    write(tmp_path / "b.csv", b"x\n1\n2\n")  # one column
+    write(tmp_path / "c.csv", b'"x,1"|y\n"1,2,3"|2\n')
+    write(tmp_path / "d.csv", b"x,y\n")  # a header only
+    facts = {unquote(f).rsplit("/", 1)[1]: (h, s, b) for f, h, s, b in file_facts(lines_of(spark, [str(tmp_path)]), None)}
+    assert facts == {"a.csv": ("x;y", ";", False), "b.csv": ("x", ",", False), "c.csv": ('"x,1"|y', "|", False), "d.csv": ("x,y", ",", False)}
+    got = S.read_flows(spark, str(tmp_path / "a.csv"), sep=None).orderBy("y").collect()
+    assert [(r["x"], r["y"]) for r in got] == [("1,5", 2), ("3,25", 4)]
+
+
+def test_written_csv_reads_back(spark, tmp_path):
+    rows = [(1, 'a "b"'), (2, "c,d"), (3, "e\nf"), (4, '{"k": 1}')]
+    S.write_table(spark.createDataFrame(rows, "k long, v string").coalesce(1), str(tmp_path / "t"), "csv")
+    assert sorted((r["k"], r["v"]) for r in S.read_flows(spark, str(tmp_path / "t" / "*.csv")).collect()) == rows
