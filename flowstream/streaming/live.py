@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, numeric_columns
+from flowstream.functions.columns import ENTROPY_FRAGMENTS, col, numeric_columns, without_nan
 from flowstream.operators.scoring import Scorer, window_scores
 from flowstream.operators.thresholds import DspotStep
 from flowstream.operators.windowing import _entropy_of
 from flowstream.session import fresh_path
-from flowstream.streaming.steps import steps_stream
+from flowstream.streaming.steps import filled_stream, steps_stream
 
 
 def replay_files(df: DataFrame, ts: str, chunks: int = 4, close_after: str | None = None, path: str | None = None,
@@ -68,29 +68,33 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpo
 
 
 def window_summary_stream(stream: DataFrame, ts: str = "Timestamp", freq: str = "1 second", label: str = "Label",
-                          delay: str = "10 seconds") -> DataFrame:
+                          delay: str = "10 seconds", fill_gaps: bool = False) -> DataFrame:
     """The window summary on live data: two chained watermarked aggregations.
 
-    The first counts values and sums numbers per (window, column, value); the second
-    turns them into entropies, sums and the label mode once the window is closed. A window straddling
+    The first counts the values of the identifiers and the label per (window, column, value), and sums all numbers in one more group of the window
+    (whole numbers as whole numbers); the second turns them into entropies, sums and the label mode once the window is closed. A window straddling
     micro-batches comes out once. Rows later than ``delay`` are dropped by Spark and counted in the query's progress.
+    With ``fill_gaps``, windows without rows come out (label BENIGN, everything else 0) as soon as a later window closes.
     """
     ids = [c for c in stream.columns if any(f in c for f in ENTROPY_FRAGMENTS)]
     nums = [c for c in numeric_columns(stream) if c not in ids and c not in (ts, label)]
     counted = [*ids, *([label] if label in stream.columns else [])]
-    item = lambda c, value, number: F.struct(F.lit(c).alias("name"), value.alias("value"), number.alias("number"))
-    none, zero = F.lit(None).cast("string"), F.lit(None).cast("double")
-    cells = F.array(*[item(c, col(c).cast("string"), zero) for c in counted], *[item(c, none, col(c).cast("double")) for c in nums])
-    long = stream.withWatermark(ts, delay).select(col(ts).alias("_t"), F.explode(cells).alias("_c")).select("_t", "_c.*")
-    counts = long.groupBy(F.window("_t", freq).alias("_w"), "name", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("number").alias("s"))
-    aggs = [_entropy_of(F.when((F.col("name") == c) & F.col("value").isNotNull(), F.col("c"))).alias(f"{c}_Entropy") for c in ids]
-    aggs += [F.coalesce(F.sum(F.when(F.col("name") == c, F.col("s"))), F.lit(0.0)).alias(c) for c in nums]
+    cells = F.array(*[F.struct(F.lit(i).alias("part"), col(c).cast("string").alias("value")) for i, c in enumerate(counted)],
+                    F.struct(F.lit(len(counted)).alias("part"), F.lit(None).cast("string").alias("value")))
+    numbers = F.struct(F.lit(0).alias("_none"), *[without_nan(stream, c).alias(f"n{i}") for i, c in enumerate(nums)])
+    long = stream.withWatermark(ts, delay).select(col(ts).alias("_t"), numbers.alias("_n"), F.explode(cells).alias("_c")).select("_t", "_n", "_c.*")
+    last = F.col("part") == len(counted)
+    sums = [F.sum(F.when(last, F.col(f"_n.n{i}"))).alias(f"s{i}") for i in range(len(nums))]
+    counts = long.groupBy(F.window("_t", freq).alias("_w"), "part", "value").agg(F.count(F.lit(1)).alias("c"), *sums)
+    aggs = [_entropy_of(F.when((F.col("part") == i) & F.col("value").isNotNull(), F.col("c"))).alias(f"{c}_Entropy") for i, c in enumerate(ids)]
+    aggs += [F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(c) for i, c in enumerate(nums)]
     if label in counted:
-        mine = (F.col("name") == label) & F.col("value").isNotNull()
+        mine = (F.col("part") == len(ids)) & F.col("value").isNotNull()
         rank = F.when(mine, F.struct((-F.col("c")).alias("c"), F.col("value").alias("v")))
         aggs.append(F.coalesce(F.min_by(F.when(mine, F.col("value")), rank), F.lit("BENIGN")).alias(label))
     out = counts.groupBy("_w").agg(*aggs)
-    return out.select(F.col("_w.start").alias(ts), *[col(c) for c in out.columns if c != "_w"])
+    out = out.select(F.col("_w.start").alias(ts), *[col(c) for c in out.columns if c != "_w"])
+    return filled_stream(out, ts, freq, label) if fill_gaps else out
 
 
 def dspot_stream(stream: DataFrame, keys: Sequence[str] = ("stream_id",), ts: str = "ts", delay: str = "10 seconds", seq: str = "seq",

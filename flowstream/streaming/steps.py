@@ -50,8 +50,8 @@ def _packed(rows: pd.DataFrame) -> bytes:
 
 
 class _Stepper(StatefulProcessor):
-    def __init__(self, plugins: dict[str, Step], ts: str, seq: str, carried: list[str], columns: list[str], label: str, names: list[str]):
-        self.plugins, self.ts, self.seq, self.carried, self.columns, self.label, self.names = plugins, ts, seq, carried, columns, label, names
+    def __init__(self, plugins: dict[str, Step], inputs: list[str], ts: str, seq: str, carried: list[str], label: str, names: list[str]):
+        self.plugins, self.inputs, self.ts, self.seq, self.carried, self.label, self.names = plugins, inputs, ts, seq, carried, label, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,6 +64,7 @@ class _Stepper(StatefulProcessor):
         due = False
         earliest = None
         for pdf in rows:
+            pdf = pdf.set_axis(self.inputs, axis=1)  # Spark renames columns that begin with an underscore
             pdf = pdf[pdf[self.seq].notna() & pdf[self.ts].notna()]
             if not len(pdf):
                 continue
@@ -102,7 +103,7 @@ class _Stepper(StatefulProcessor):
             states = pickle.loads(self.states.get()[0]) if self.states.exists() else start(self.plugins, tuple(key))
             out = advance(self.plugins, states, now, self.carried, self.label, self.names)
             self.states.update((cloudpickle.dumps(states),))
-            yield out[self.columns]
+            yield out[[*self.carried, self.label, *self.names]]
 
     def close(self) -> None:
         pass
@@ -119,7 +120,7 @@ def steps_stream(stream: DataFrame, plugins: dict[str, Step], keys=("stream_id",
     carried = list(dict.fromkeys([*keys, seq, *keep]))
     rows = stream.select(*dict.fromkeys([*carried, *reads, ts])).withWatermark(ts, delay)
     schema = f"{_ddl(stream, carried)}, `{label}` string, {next(iter(plugins.values())).outputs}"
-    stepper = _Stepper(plugins, ts, seq, carried, [*carried, label, *names], label, names)
+    stepper = _Stepper(plugins, rows.columns, ts, seq, carried, label, names)
     return rows.groupBy(*keys).transformWithStateInPandas(stepper, schema, "append", "EventTime")
 
 
@@ -141,3 +142,48 @@ def drift_monitor_stream(predictions: DataFrame, keys=("stream_id",), ts: str =
     errors = predictions.withColumn("error", (F.col(truth) != F.coalesce(F.col(pred), F.lit(0))).cast("double"))
     found = steps_stream(errors, {"DDM": DdmStep(warning), "ADWIN": AdwinStep(delta)}, keys, ts, delay, seq, reads=["error"], label="detector")
     return found.filter(F.col("state") == STATES[-1]).select(*_keys(keys), "detector", seq)
+
+
+class _GapFiller(StatefulProcessor):
+    """Keeps the last window it has handed on; the windows missing before a new one come out with it."""
+
+    def __init__(self, step: int, names: list[str], empty: dict):
+        self.step, self.names, self.empty = step, names, empty
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in rows if len(pdf)]
+        if not parts:
+            return
+        closed = pd.concat(parts, ignore_index=True).sort_values("at").set_index("at")
+        first = self.last.get()[0] + self.step if self.last.exists() else int(closed.index[0])
+        self.last.update((int(closed.index[-1]),))
+        whole = np.arange(first, int(closed.index[-1]) + 1, self.step)
+        for at in range(0, len(whole), CHUNK_ROWS):
+            part = whole[at:at + CHUNK_ROWS]
+            known = closed.loc[part[0]:part[-1]]
+            columns = {c: known[c].reindex(part, fill_value=v).to_numpy() for c, v in self.empty.items()}  # whole numbers stay whole
+            yield pd.DataFrame({"at": part, **columns})[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def filled_stream(summary: DataFrame, ts: str, freq: str, label: str = "Label") -> DataFrame:
+    """Windows of a live summary with the missing ones between them: label BENIGN, everything else 0.
+
+    One small row per window goes through one stateful task; the rows of a micro-batch are the windows that closed in it.
+    """
+    spark = summary.sparkSession
+    with_rocksdb(spark)
+    micros = spark.sql(f"select unix_micros(timestamp_seconds(0) + interval {freq}) as m").first().m
+    others = [c for c in summary.columns if c != ts]
+    rows = summary.select(F.lit(0).alias("one"), F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).alias("at"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    kinds = dict(rows.dtypes)
+    names = ["at", *[f"c{i}" for i in range(len(others))]]
+    empty = {f"c{i}": "BENIGN" if c == label else "" if kinds[f"c{i}"] == "string" else 0 for i, c in enumerate(others)}
+    filler = _GapFiller(micros, names, empty)
+    out = rows.groupBy("one").transformWithStateInPandas(filler, ", ".join(f"{n} {kinds[n]}" for n in names), "append", "None")
+    return out.select(F.timestamp_micros("at").cast(dict(summary.dtypes)[ts]).alias(ts), *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])

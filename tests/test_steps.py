@@ -203,3 +203,21 @@ def test_detector_states_stay_small():
     small.process(np.tile([0.0, 1.0], 500))
     large.process(np.tile([0.0, 1.0], 50_000))
     assert len(pickle.dumps(large)) < 3 * len(pickle.dumps(small)) and len(pickle.dumps(Ddm())) < 1000
+
+
+def test_live_summary_fills_gaps_in_any_batches(spark):
+    from flowstream.operators.windowing import window_summary
+
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.choice(40_000, 150, replace=False))
+    big = 2**60 + 1  # whole numbers stay exact
+    rows = [(int(t), int(rng.integers(1, 5)), float(rng.random()), big if i == 3 else int(i), "BENIGN" if i % 3 else "Syn") for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "t long, `Source Port` int, Rate double, Bytes long, Label string")
+    df = df.select(F.timestamp_seconds(F.col("t") + START).alias("Timestamp"), "`Source Port`", "Rate", "Bytes", "Label")
+    want = window_summary(df, freq="1 minute")
+    rounded = lambda d: sorted(map(str, d.select("Timestamp", F.round("Source Port_Entropy", 9), F.round("Rate", 9), "Bytes", "Label").collect()))
+    for chunks in (1, 5):
+        path = V.replay_files(df, "Timestamp", chunks, close_after="2 hours")
+        got = V.run_to_table(V.window_summary_stream(V.as_stream(spark, path), freq="1 minute", delay="10 minutes", fill_gaps=True), "filled")
+        assert dict(got.dtypes)["Bytes"] == "bigint" and got.columns == want.columns
+        assert rounded(got) == rounded(want)
