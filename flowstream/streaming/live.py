@@ -105,31 +105,52 @@ def dspot_stream(stream: DataFrame, keys: Sequence[str] = ("stream_id",), ts: st
     return out.drop("_step")
 
 
+def _epochs(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete epoch folders."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/epoch=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def score_stream(stream: DataFrame, features: Sequence[str], scorer: Scorer, label: str = "scores", keys: Sequence[str] = (), seq: str = "seq",
-                 keep: Sequence[str] = ()) -> DataFrame:
-    """A window scorer on live data (rows in order of ``seq``), run over all available input.
+                 keep: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """A window scorer on live data (each stream's rows in order of ``seq``), run over all available input.
 
-    Each micro-batch stores its rows and is scored with the stored rows of the windows before them.
-    Both tables are written per epoch in overwrite mode, so a repeated epoch changes nothing.
+    After each micro-batch the rows that later windows still learn from are carried on: per stream those of its last ``back``
+    windows and of the open one, whatever has passed before. Scores and carried rows are written per epoch in overwrite mode, so a repeated epoch
+    changes nothing. With a ``path`` and a ``checkpoint`` folder of the caller's, a later call goes on where this one ended.
     """
     spark = stream.sparkSession
-    root = fresh_path(spark, label)
+    root = path or fresh_path(spark, label)
+    keys = list(keys)
     cols = list(dict.fromkeys([*keys, seq, *keep, *features]))
-    kept = stream.select(*cols).schema
+    kept = T.StructType([*stream.select(*cols).schema.fields, T.StructField("_w", T.LongType())])
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        window = F.expr(f"`{seq}` div {scorer.window}")
-        batch = batch.select(*cols).filter(col(seq).isNotNull())
-        batch.withColumn("_w", window).write.mode("overwrite").parquet(f"{root}/rows/_epoch={epoch}")
-        stored = spark.read.schema(T.StructType([*kept.fields, T.StructField("_w", T.LongType()), T.StructField("_epoch", T.LongType())]))
-        rows = stored.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
-        first = rows.filter(F.col("_epoch") == epoch).agg(F.min("_w")).first()[0]
-        if first is None:
-            return
-        near = rows.filter((F.col("_w") >= first - scorer.back) & (F.col("_epoch") <= epoch))
-        scored = window_scores(near, features, scorer, keys, seq, [*keep, "_epoch"])
-        scored.filter(F.col("_epoch") == epoch).drop("_epoch").write.mode("overwrite").parquet(f"{root}/scores/epoch={epoch}")
-
-    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        new = batch.select(*cols).filter(col(seq).isNotNull()).withColumn("_w", F.expr(f"cast(`{seq}` div {scorer.window} as long)"))
+        before = [e for e in _epochs(spark, f"{root}/carried") if e < epoch]
+        near = new.withColumn("_new", F.lit(True))
+        if before:
+            old = spark.read.schema(kept).parquet(f"{root}/carried/epoch={before[-1]}")
+            near = near.unionByName(old.withColumn("_new", F.lit(False)))
+        scored = window_scores(near, features, scorer, keys, seq, [*keep, "_new"])
+        scored.filter("_new").drop("_new").write.mode("overwrite").parquet(f"{root}/scores/epoch={epoch}")
+        if keys:
+            last = near.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_w").alias("_last"))
+            needed = near.join(last, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        else:
+            needed = near.withColumn("_last", F.lit(near.agg(F.max("_w")).first()[0]).cast("long"))
+        needed.filter(F.col("_w") >= F.col("_last") - scorer.back).select(*cols, "_w").write.mode("overwrite").parquet(f"{root}/carried/epoch={epoch}")
+        for e in before[:-1]:  # the one before is needed if this epoch is run again
+            _delete(spark, f"{root}/carried/epoch={e}")
+
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint or f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/scores").drop("epoch")
+    scores = T.StructType([*stream.select(*dict.fromkeys([*keys, seq, *keep])).schema.fields, T.StructField("score", T.DoubleType())])
+    return spark.read.schema(scores).parquet(f"{root}/scores/epoch=*")

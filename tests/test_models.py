@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import learned
@@ -338,3 +339,20 @@ def test_short_histories_are_kept_in_full():
     assert h.levels == [[(10.0, float(i)) for i in range(5)]]
     assert len(h.forget(2)) == 3 and h.rows == 30 and h.errors == 9
     assert len(h.forget(3)) == 0 and h.changed(0.1) == 0
+
+
+@pytest.mark.parametrize("scorer", [S.HalfSpaceTrees(window=100, trees=6), S.AdaptiveIsolationForest(window=50, trees=9, m_trees=3)])
+def test_live_scores_of_a_resumed_run_equal_batch(spark, planted, scorer, tmp_path):
+    """Three streams of unlike pace, one with a null key; the run is stopped after half of the input."""
+    key = F.when(F.col("seq") < 300, "early").when(F.col("seq") % 3 > 0, "fast")
+    rows = planted.withColumn("k", key).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("seq")).cast("long") - 1)
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (rows.filter("ts < timestamp_seconds(1700000700)"), rows.filter("ts >= timestamp_seconds(1700000700)")):
+        V.replay_files(part, "ts", 4, path=folder)
+        got = V.score_stream(V.as_stream(spark, folder), FEATURES, scorer, keys=["k"], path=out, checkpoint=state)
+    want = S.window_scores(rows, FEATURES, scorer, keys=["k"])
+    assert sorted(map(repr, got.select("k", "seq", "score").collect())) == sorted(map(repr, want.select("k", "seq", "score").collect()))
+    carried = spark.read.parquet(f"{out}/carried/epoch=7").groupBy("k").agg(F.countDistinct("_w").alias("n")).collect()
+    assert {r["k"] for r in carried} == {"early", "fast", None} and all(r["n"] <= scorer.back + 1 for r in carried)
+    assert len(list((tmp_path / "out" / "carried").iterdir())) == 2
