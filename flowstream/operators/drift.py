@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.drift import CHANGE, DDM_CHANGE_LEVEL, DDM_MIN_ROWS, Adwin, Ddm
-from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
+from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
 from flowstream.operators.ordering import BLOCK_ROWS, _keys, running_sums
-from flowstream.operators.thresholds import _ddl
 
 STATES = ["normal", "warning", "change"]
 

@@ -24,10 +24,9 @@ from pyspark.sql import types as T
 
 from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import LEHMER, node_hash
-from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
+from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
 from flowstream.operators.ordering import _keys
 from flowstream.operators.steps import run_steps
-from flowstream.operators.thresholds import _ddl
 from flowstream.session import fresh_path, spread_by
 
 CHUNK_ROWS = 100_000

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowstream.functions import partitions as part
+from flowstream.operators.keyed import _ddl
 from flowstream.operators.ordering import BLOCK_ROWS, _keys
 from flowstream.operators.steps import run_steps
-from flowstream.operators.thresholds import _ddl
 from flowstream.session import spread_by, written
 
 RUN = 8  # windows that are scored together when models live for several

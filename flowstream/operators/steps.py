@@ -19,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
+from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
 from flowstream.operators.ordering import _keys
-from flowstream.operators.thresholds import _ddl
 
 
 class Step(Protocol):

@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from flowstream.functions.columns import discretize
 from flowstream.functions.evt import Dspot
 from flowstream.operators.evaluation import cumulative_report
-from flowstream.operators.keyed import SEGMENT_ROWS, keyed_scan
+from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
 from flowstream.operators.ordering import _keys
-
-
-def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{c}` {kinds[c]}" for c in cols)
+from flowstream.operators.steps import run_steps
 
 
 def fixed_threshold(scores: DataFrame, threshold: float = 0.5, score: str = "score") -> DataFrame:
@@ -35,11 +31,12 @@ class DspotStep:
     warmup: int = 1000
     bracket: str = "wide"
     refit_every: int = 1
+    max_peaks: int | None = None
     score: str = "score"
     outputs: str = "pred int, threshold double, trend double"
 
     def init(self, key):
-        return Dspot(self.q, self.depth, self.t_quantile, self.warmup, self.bracket, self.refit_every)
+        return Dspot(self.q, self.depth, self.t_quantile, self.warmup, self.bracket, self.refit_every, self.max_peaks)
 
     def step(self, state, rows):
         return state, dict(zip(("pred", "threshold", "trend"), state.process(rows[self.score].to_numpy())))
@@ -47,9 +44,11 @@ class DspotStep:
 
 def dspot(scores: DataFrame, keys: Sequence[str] = ("stream_id",), q: float = 1e-3, depth: int = 50, t_quantile: float = 0.98,
           warmup: int = 1000, bracket: str = "wide", refit_every: int = 1, keep: Sequence[str] = (), seq: str = "seq",
-          score: str = "score", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+          score: str = "score", segment_rows: int = SEGMENT_ROWS, max_peaks: int | None = None) -> DataFrame:
     """DSPOT per stream: ``pred``, ``threshold`` and ``trend`` for every score; warm-up rows and rows without a score give zeros.
 
+    ``max_peaks`` bounds the state on endless streams (see ``Dspot``).
+
     A grid of settings per stream comes from columns named q, depth, t_quantile (then part of the keys).
     """
     keys = _keys(keys)
@@ -59,7 +58,7 @@ def dspot(scores: DataFrame, keys: Sequence[str] = ("stream_id",), q: float = 1e
 
     def make(key):
         own = {**fixed, **{k: v for k, v in zip(keys, key) if k in used}}
-        return Dspot(float(own["q"]), int(own["depth"]), float(own["t_quantile"]), warmup, bracket, refit_every)
+        return Dspot(float(own["q"]), int(own["depth"]), float(own["t_quantile"]), warmup, bracket, refit_every, max_peaks)
 
     def advance(state: Dspot, pdf: pd.DataFrame) -> pd.DataFrame:
         flag, threshold, trend = state.process(pdf[score].to_numpy())
@@ -78,12 +77,15 @@ def dspot_evaluation(scores: DataFrame, warmup: int = 1000, target: int | None =
 
 def dspot_sweep(scores: DataFrame, grid: Sequence[tuple[float, int, float]], warmup: int = 1000, target: int | None = None,
                 keys: Sequence[str] = ("stream_id",), **settings) -> DataFrame:
-    """One line per stream and (q, depth, t_quantile): all trials run in parallel as keys of one job."""
-    cells = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(float(q)).alias("q"), F.lit(int(d)).alias("depth"),
-                               F.lit(float(t)).alias("t_quantile")) for i, (q, d, t) in enumerate(grid)])
-    rows = scores.withColumn("_g", F.explode(cells)).select("*", "_g.*").drop("_g")
-    trial_keys = [*keys, "trial", "q", "depth", "t_quantile"]
-    return dspot_evaluation(rows, warmup, target, trial_keys, **settings)
+    """One line per stream and (q, depth, t_quantile). All trials step side by side over a stream's rows, which are shuffled once."""
+    keys = _keys(keys)
+    trials = {str(i): DspotStep(float(q), int(d), float(t), warmup, **settings) for i, (q, d, t) in enumerate(grid)}
+    alerts = run_steps(scores, trials, keys, keep=["truth"], reads=["score"], label="_trial")
+    report = cumulative_report(alerts, warmup, target, by=[*keys, "_trial"])
+    cells = scores.sparkSession.createDataFrame([(str(i), i, float(q), int(d), float(t)) for i, (q, d, t) in enumerate(grid)],
+                                                "_trial string, trial int, q double, depth int, t_quantile double")
+    out = report.join(F.broadcast(cells), "_trial")
+    return out.select(*keys, "trial", "q", "depth", "t_quantile", "f1", "precision", "recall")
 
 
 def contamination_evolution(scores: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("stream_id",), **settings) -> DataFrame:

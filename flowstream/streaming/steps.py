@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowstream.operators.drift import STATES, AdwinStep, DdmStep
+from flowstream.operators.keyed import _ddl
 from flowstream.operators.ordering import _keys
 from flowstream.operators.steps import Step, advance, output_names, start
-from flowstream.operators.thresholds import _ddl
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -210,3 +210,32 @@ def test_missing_predictions_are_misses(spark):
     assert win["accuracy"] == 50.0 and abs(win["recall"] - 100 / 3) < 1e-9
     areas = {r["window_id"]: r["auc"] for r in E.windowed_auc(df.withColumn("seq", F.when(F.col("score").isNull(), F.col("seq")).otherwise(F.col("seq") + 10)), 5).collect()}
     assert areas[0] is None
+
+
+def test_dspot_with_a_bound_on_its_peaks(spark, score_rows):
+    from flowstream.functions.evt import Dspot
+
+    x = score_rows["a"]
+    settings = {"q": 0.01, "depth": 20, "t_quantile": 0.9, "warmup": 80}
+    free, wide, tight = Dspot(**settings), Dspot(**settings, max_peaks=1000), Dspot(**settings, max_peaks=5)
+    for a, b in zip(free.process(x), wide.process(x)):
+        assert (a == b).all()
+    flag, threshold, _ = tight.process(x)
+    assert len(tight.peaks) == 5 and tight.n_peaks > 10 and np.isfinite(threshold).all() and flag.sum() > 0
+    assert list(free.peaks)[-5:] != [] and len(free.peaks) == free.n_peaks
+    with pytest.raises(ValueError, match="max_peaks"):
+        Dspot(max_peaks=0)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "stream_id string, seq long, score double")
+    got = T.dspot(rows, **settings, max_peaks=5, segment_rows=90).orderBy("seq").collect()
+    assert [r["threshold"] for r in got] == threshold.tolist()
+
+
+def test_dspot_sweep_over_one_shuffle(spark, score_rows):
+    rows = spark.createDataFrame([(k, i, float(v), int(v > 10)) for k in ("a", "b") for i, v in enumerate(score_rows[k])], "stream_id string, seq long, score double, truth int")
+    grid = [(0.01, 20, 0.9), (0.05, 10, 0.95)]
+    got = {(r["stream_id"], r["trial"]): r for r in T.dspot_sweep(rows, grid, 80, target=1).collect()}
+    assert len(got) == 4
+    for i, (q, depth, t) in enumerate(grid):
+        for r in T.dspot_evaluation(rows, 80, 1, ["stream_id"], q=q, depth=depth, t_quantile=t).collect():
+            mine = got[(r["stream_id"], i)]
+            assert (mine["q"], mine["depth"], mine["t_quantile"], mine["f1"], mine["precision"], mine["recall"]) == (q, depth, t, r["f1"], r["precision"], r["recall"])

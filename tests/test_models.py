@@ -356,3 +356,24 @@ def test_live_scores_of_a_resumed_run_equal_batch(spark, planted, scorer, tmp_pa
     carried = spark.read.parquet(f"{out}/carried/epoch=7").groupBy("k").agg(F.countDistinct("_w").alias("n")).collect()
     assert {r["k"] for r in carried} == {"early", "fast", None} and all(r["n"] <= scorer.back + 1 for r in carried)
     assert len(list((tmp_path / "out" / "carried").iterdir())) == 2
+
+
+@pytest.mark.parametrize("short,grid", [("HST", [{"window": 100, "trees": 5}, {"window": 170, "trees": 4, "depth": 4}]), ("RRCF", [{"tree_size": 90, "trees": 2}, {"tree_size": 60, "trees": 3}]),
+                                        ("AIF", [{"window": 50, "trees": 9, "m_trees": 3}, {"window": 64, "trees": 5, "m_trees": 2}])])
+@pytest.mark.parametrize("mode", ["independent", "shared"])
+def test_sweep_over_one_shuffle_equals_trials_alone(planted, short, grid, mode):
+    rows = planted.withColumn("k", F.when(F.col("seq") < 1460, "long").otherwise("short"))
+    rows = rows.withColumn("seq", F.when(F.col("k") == "short", F.col("seq") - 1460).otherwise(F.col("seq")))
+    levels = [0.3, 0.5, 0.6, 0.9]
+    got = {(r["k"], r["trial"]): r for r in W.scorer_sweep(rows, FEATURES, short, grid, levels, 120, keys=["k"], threshold_mode=mode).collect()}
+    for i, params in enumerate(grid):
+        scorer = next(iter(S.scorers([short], {short: params}).values()))
+        skip = scorer.window if short == "HST" else 120
+        mine = [scorer.anomaly_threshold] if mode == "shared" and short == "HST" else levels
+        swept = E.threshold_sweep(E.exclude_warmup(S.window_scores(rows, FEATURES, scorer, ["k"], keep=["truth"]), skip, ["k"]), mine, by=["k"])
+        for k in ("long", "short"):
+            best = max((r for r in swept.collect() if r["k"] == k), key=lambda r: (r["f1"], -r["threshold"]))
+            r = got.pop((k, i))
+            assert (r["f1"], r["precision"], r["recall"], r["threshold"]) == (best["f1"], best["precision"], best["recall"], best["threshold"])
+            assert r["seconds"] > 0 and r["params"].startswith(next(iter(params)))
+    assert not got
