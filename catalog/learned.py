@@ -108,7 +108,12 @@ QUERIES = {f.__name__: f for f in [learner_accuracy, classification_report, clas
 QUERIES |= {"hoeffding_tree": _run("HT", {}), "hat": _run("HAT", {}), "leveraging_bagging": _run("LB", {"members": 10}),
             "arf": _run("ARF", {"members": 10}), "feature_consensus": consensus, "class_profile": profile}
 
+# The planted classes depend on these two features alone.
 ORACLE = {
+    "rf_top_features": "select * from (values (0, 'l_quantity'), (1, 'l_discount')) t(rank, feature)",
+    "ovr_importance": "select * from (values ('big', 'l_quantity'), ('cheap', 'l_discount')) t(class, feature)",
+    "feature_consensus": """select feature, count(distinct l_returnflag) as votes from lineitem, (values ('l_quantity'), ('l_discount')) t(feature)
+      where l_returnflag in ('A', 'N', 'R') group by feature""",
     "class_profile": f"""with t as (select *, case when l_quantity > 40 then 1 when l_discount > 0.07 then 2 else 0 end as y from lineitem),
       s as (select y as class, {", ".join(f"avg({c}) as {c}" for c in FEATURES)} from t group by 1),
       u as (unpivot s on {", ".join(FEATURES)} into name feature value m),

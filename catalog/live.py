@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import SQL_TIME, TRUTH_LEVEL, events, flows, text_time
 from catalog.ordered import _SUMMARY, RULES
-from catalog.scored import FEATURES, HST, _hst_sql, _stream
+from catalog.scored import _SCORES, FEATURES, HST, _stream
 from catalog.stateful import SETTINGS, WARMUP
 from flowstream.functions.columns import clamp_infinity
 from flowstream.operators import profile as P
@@ -75,5 +75,5 @@ ORACLE = {
         coalesce(lc.label, 'BENIGN') as "Label" from g left join sm using (w) left join pe using (w) left join lc on lc.w = g.w and lc.r = 1""",
     "label_stream": f"""select event_id, round((value - min(value) over ()) / (max(value) over () - min(value) over ()), 6) as value,
       case {_CASE} else 'BENIGN' end as "Label" from events""",
-    "score_stream": _hst_sql(),
+    "score_stream": _SCORES,
 }

@@ -15,6 +15,10 @@ from flowstream.plans.experiments import anomaly_experiment, contamination_study
 # Fixed values of these queries.
 HST = {"window": 1000, "trees": 25, "depth": 6, "size_limit": 0.05, "seed": 1}
 FEATURES = ["value", "user_id"]
+FROZEN = 1000  # warm-up rows of the frozen run
+GRID = [{"window": 500, "depth": 5, "trees": 10}, {"window": 1000, "depth": 8, "trees": 10}, {"window": 1000, "depth": 6, "trees": 20, "size_limit": 0.25}]
+LEVELS = [0.3, 0.5, 0.7, 0.9]
+HISTORY, CUT = 500, 0.7  # rows between sample points, and the threshold of the history
 
 
 def _stream(spark, d):
@@ -58,7 +62,8 @@ def autoencoder_wide(spark, d):
 
 
 def frozen_trees(spark, d):
-    return S.freeze_after_warmup(_stream(spark, d), FEATURES, S.HalfSpaceTrees(**HST), 1000, keep=["truth"], block_rows=2048)
+    out = S.freeze_after_warmup(_stream(spark, d), FEATURES, S.HalfSpaceTrees(**HST), FROZEN, keep=["truth"], block_rows=2048)
+    return out.withColumn("score", F.round("score", 6))
 
 
 def scorer_auc(spark, d):
@@ -69,8 +74,8 @@ def scorer_auc(spark, d):
 
 
 def scorer_grid(spark, d):
-    grid = [{"window": 500, "depth": 5, "trees": 10}, {"window": 1000, "depth": 8, "trees": 10}, {"window": 1000, "depth": 6, "trees": 20, "size_limit": 0.25}]
-    return scorer_sweep(_stream(spark, d), FEATURES, "HST", grid, thresholds=[0.3, 0.5, 0.7, 0.9])
+    out = scorer_sweep(_stream(spark, d), FEATURES, "HST", GRID, thresholds=LEVELS)
+    return out.select("trial", "params", "threshold", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
 
 
 def anomaly_run(spark, d):
@@ -83,8 +88,8 @@ def anomaly_run(spark, d):
 
 def anomaly_history(spark, d):
     s = _stream(spark, d).withColumnRenamed("truth", "class_idx")
-    run = anomaly_experiment(s, FEATURES, S.scorers(["HST"], {"HST": HST}), window=500, warmup=1000, mode="fixed", threshold=0.7)
-    return run.history
+    run = anomaly_experiment(s, FEATURES, S.scorers(["HST"], {"HST": HST}), window=HISTORY, warmup=HST["window"], mode="fixed", threshold=CUT)
+    return run.history.select("algorithm", "at_seq", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
 
 
 def contamination_levels(spark, d):
@@ -105,12 +110,15 @@ def _hash(seed, tree, node):
     return f"(({first} + {node} * 40503) * 69621 % 2147483647)"
 
 
-def _hst_sql():
-    w, trees, depth, limit, seed = HST["window"], HST["trees"], HST["depth"], HST["size_limit"], HST["seed"]
+def _hst_sql(frozen: int | None = None, **params):
+    """(seq, truth, score) by the window before, or by the first ``frozen`` rows."""
+    w, trees, depth, limit, seed = (({"size_limit": 0.05, "seed": 1} | (params or HST))[k] for k in ("window", "trees", "depth", "size_limit", "seed"))
+    before, learned = ("0", f"seq < {frozen}") if frozen else ("k.win - 1", "true")
+    w = "9223372036854775807" if frozen else w
     s = lambda f: f"({_hash(seed + 1, 't.tree', f'{f}::bigint')} / 2147483647.0::double)"
     return f"""with recursive
       e as (select {SQL_SEQ} as seq, (value - (select min(value) from events)) / (select max(value) - min(value) from events) as a,
-        (user_id - (select min(user_id) from events))::double / (select max(user_id) - min(user_id) from events) as b from events),
+        (user_id - (select min(user_id) from events))::double / (select max(user_id) - min(user_id) from events) as b, (value > {TRUTH_LEVEL})::integer as truth from events),
       t as (select unnest(range({trees}))::bigint as tree),
       r as (select tree, {s(0)} as s0, {s(1)} as s1 from t),
       walk as (
@@ -123,13 +131,43 @@ def _hst_sql():
           case when f = 1 and up then (lo1 + hi1) / 2 else lo1 end, case when f = 1 and not up then (lo1 + hi1) / 2 else hi1 end
         from (select *, case f when 0 then a >= (lo0 + hi0) / 2 else b >= (lo1 + hi1) / 2 end as up
           from (select *, {_hash(seed, 'tree', 'node')} % 2 as f from walk where level < {depth}))),
-      mass as (select win, tree, node, count(*) as m from walk group by all),
-      size as (select seq // {w} as win, count(*) as n from e group by 1),
-      path as (select k.seq, k.win, k.tree, k.level, coalesce(m.m, 0) as m, s.n from walk k join size s on s.win = k.win - 1
-        left join mass m on m.win = k.win - 1 and m.tree = k.tree and m.node = k.node),
+      mass as (select win, tree, node, count(*) as m from walk where {learned} group by all),
+      size as (select seq // {w} as win, count(*) as n from e where {learned} group by 1),
+      path as (select k.seq, k.win, k.tree, k.level, coalesce(m.m, 0) as m, s.n from walk k join size s on s.win = {before}
+        left join mass m on m.win = {before} and m.tree = k.tree and m.node = k.node),
       stop as (select seq, tree, n, arg_min(m * 2.0 ** level, level) as v from path where m <= {limit} * n or level = {depth} group by all),
       z as (select seq, 1 / (1 + sum(v) / ({trees} * any_value(n))) as score from stop group by seq)
-      select e.seq, round(z.score, 6) as score from e left join z using (seq)"""
-
-
-ORACLE = {"half_space_trees": _hst_sql()}
+      select e.seq, e.truth, z.score from e left join z using (seq)"""
+
+
+def _best_sql(i: int, params: dict) -> str:
+    text = ", ".join(f"{k}={v}" for k, v in params.items())
+    return f"""select {i} as trial, '{text}' as params, threshold, round(f1, 6) as f1, round(precision, 6) as precision, round(recall, 6) as recall from (
+      select *, row_number() over (order by f1 desc, threshold) as r from (
+        select threshold, case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end * 100.0 as f1,
+          case when tp + fp > 0 then 1.0 * tp / (tp + fp) else 0 end * 100.0 as precision, case when tp + fn > 0 then 1.0 * tp / (tp + fn) else 0 end * 100.0 as recall from (
+          select threshold, count(*) filter (truth = 1 and pass) as tp, count(*) filter (truth = 0 and pass) as fp, count(*) filter (truth = 1 and not pass) as fn from (
+            select threshold, truth, coalesce(score > threshold, false) as pass
+            from (select *, max(seq) over () as last from ({_hst_sql(**params)})), (select unnest({LEVELS}::double[]) as threshold)
+            where seq >= {params["window"]} or last < {params["window"]}) group by threshold))) where r = 1"""
+
+
+def _macro_history_sql() -> str:
+    run = ", ".join(f"sum((truth = {c} and pred = {c})::integer) over o as tp{c}, sum((truth <> {c} and pred = {c})::integer) over o as fp{c}, sum((truth = {c} and pred <> {c})::integer) over o as fn{c}" for c in (0, 1))
+    share = lambda a, b: f"case when {b} > 0 then 1.0 * ({a}) / ({b}) else 0 end"
+    mean = lambda a, b: " + ".join(share(a.replace("#", str(c)), b.replace("#", str(c))) for c in (0, 1))
+    return f"""with p as (select seq, truth, coalesce(score > {CUT}, false)::integer as pred from ({_hst_sql()}) where seq >= {HST["window"]}),
+      r as (select seq, {run} from p window o as (order by seq rows unbounded preceding))
+      select 'HalfSpaceTrees' as algorithm, seq as at_seq, round(({mean("2 * tp#", "2 * tp# + fp# + fn#")}) * 50.0, 6) as f1,
+        round(({mean("tp#", "tp# + fp#")}) * 50.0, 6) as precision, round(({mean("tp#", "tp# + fn#")}) * 50.0, 6) as recall
+      from r where seq % {HISTORY} = 0"""
+
+
+
+_SCORES = f"select seq, round(score, 6) as score from ({_hst_sql()})"
+ORACLE = {
+    "half_space_trees": _SCORES,
+    "frozen_trees": f"select seq, truth, round(score, 6) as score from ({_hst_sql(FROZEN)})",
+    "scorer_grid": " union all ".join(_best_sql(i, p) for i, p in enumerate(GRID)),
+    "anomaly_history": _macro_history_sql(),
+}

@@ -30,6 +30,7 @@ class Split:
         self.feature, self.cut, self.left, self.right = feature, cut, left, right
         self.history = RateHistory()
         self.alternate = None
+        self.race = np.zeros(4)  # rows and errors of the subtree and of its alternate since that began
 
 
 @dataclass

@@ -182,12 +182,14 @@ def _subtree_drift(root, counts: dict, alternates: dict, cfg: Learner, member: i
         mine = alternates.get(path, {})
         an, ae = _totals(mine)
         root.alternate = _grow(root.alternate, mine, cfg, member, window)
-        if an > cfg.grace and n:
-            gap = e / n - ae / an
-            eps = np.sqrt(2 * (e / n) * (1 - e / n) * np.log(2 / 0.05) * (1 / an + 1 / n))
-            if gap > eps:
+        # errors of both since the alternate began, so that windows of any size add up to enough rows
+        rows, wrong, alternate_rows, alternate_wrong = root.race = root.race + np.array([n, e, an, ae])
+        if alternate_rows > cfg.grace and rows:
+            p, q = wrong / rows, alternate_wrong / alternate_rows
+            eps = np.sqrt(2 * p * (1 - p) * np.log(2 / 0.05) * (1 / alternate_rows + 1 / rows))
+            if p - q > eps:
                 return root.alternate
-            if -gap > eps:
+            if q - p > eps:
                 root.alternate = None
     if n:
         root.history.add(n, e)
@@ -195,7 +197,7 @@ def _subtree_drift(root, counts: dict, alternates: dict, cfg: Learner, member: i
     if old:
         root.history.forget(old)
         if root.alternate is None:
-            root.alternate = H.Leaf(classes, features)
+            root.alternate, root.race = H.Leaf(classes, features), np.zeros(4)
     root.left = _subtree_drift(root.left, counts, alternates, cfg, member, window, classes, features, path + "l")
     root.right = _subtree_drift(root.right, counts, alternates, cfg, member, window, classes, features, path + "r")
     return root
