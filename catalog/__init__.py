@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ordered", "prepared", "evaluated", "stateful", "scored", "learned", "live", "stepped", "facts"]
+MODULES = ["ordered", "prepared", "evaluated", "stateful", "scored", "learned", "live", "stepped", "facts", "jobs"]
 
 
 def _merged(part: str) -> dict:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, clean_label, col, without_nan
@@ -292,8 +292,19 @@ def scaled_signature(df: DataFrame, features: Sequence[str], label: str) -> Data
     return written(long.select("class", "feature", value.alias("value")), "signature")
 
 
-def pair_distance(signature: DataFrame, item: str, axis: str) -> DataFrame:
-    """Euclidean distance of every two items over the shared axis.
+def _dissimilarity(x: Column, y: Column, metric: str) -> Column:
+    """Aggregate over the pairs of values of two items; cosine is null where an item is all zeros."""
+    gap = F.abs(x - y)
+    if metric == "cosine":
+        return F.lit(1.0) - F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+    known = {"euclidean": F.sqrt(F.sum(gap * gap)), "sqeuclidean": F.sum(gap * gap), "cityblock": F.sum(gap), "chebyshev": F.max(gap)}
+    if metric not in known:
+        raise ValueError(f"metric is one of {sorted([*known, 'cosine'])}, not {metric}")
+    return known[metric]
+
+
+def pair_distance(signature: DataFrame, item: str, axis: str, metric: str = "euclidean") -> DataFrame:
+    """Distance of every two items over the shared axis: euclidean, sqeuclidean, cityblock, chebyshev or cosine.
 
     The signature holds one row per class and feature, so this joins class means, never rows of the data;
     the result has a row for every two items, as a distance report does.
@@ -301,12 +312,12 @@ def pair_distance(signature: DataFrame, item: str, axis: str) -> DataFrame:
     left = signature.select(F.col(item).alias("a"), axis, F.col("value").alias("x"))
     right = signature.select(F.col(item).alias("b"), axis, F.col("value").alias("y"))
     both = left.join(right, axis).filter(F.col("a") < F.col("b"))
-    return both.groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
+    return both.groupBy("a", "b").agg(_dissimilarity(F.col("x"), F.col("y"), metric).alias("distance"))
 
 
-def class_distance(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    return pair_distance(scaled_signature(df, features, label), "class", "feature")
+def class_distance(df: DataFrame, features: Sequence[str], label: str, metric: str = "euclidean") -> DataFrame:
+    return pair_distance(scaled_signature(df, features, label), "class", "feature", metric)
 
 
-def feature_distance(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    return pair_distance(scaled_signature(df, features, label), "feature", "class")
+def feature_distance(df: DataFrame, features: Sequence[str], label: str, metric: str = "euclidean") -> DataFrame:
+    return pair_distance(scaled_signature(df, features, label), "feature", "class", metric)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from flowstream.functions.columns import clean_label, col, is_benign, normalize_columns, parse_time
+from flowstream.functions.columns import clean_label, col, is_benign, label_column, normalize_columns, parse_time, time_column
 from flowstream.operators.ordering import interleave, sort_by_time, with_seq
 from flowstream.operators.sampling import SEED, balanced_sample, stratified_sample, take_blocks
 from flowstream.operators.windowing import (drop_bad_times, label_by_intervals, overlay_by_timestamp, time_range, window_summary)
@@ -15,13 +15,24 @@ from flowstream.sources.flows import materialize_once, read_flows, write_table
 from flowstream.session import written
 
 
-def balanced_dataset(df: DataFrame, n: int, id_cols: Sequence[str], label: str = "Label", ignored: Sequence[str] = (),
-                     allow_insufficient: bool = False, out: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """n random rows per class from one table of all files; optionally written."""
-    picked = balanced_sample(normalize_columns(df), n, id_cols, label, ignored, allow_insufficient)
+def balanced_dataset(df: DataFrame, n: int, id_cols: Sequence[str], label: str | None = None, ts: str | None = None, ignored: Sequence[str] = (),
+                     allow_insufficient: bool = False, time_format: str | None = None, out: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """n random rows per class from one table of all files, in order of time; optionally written.
+
+    The label and time columns are found by name unless given. Without a time column the rows keep no order; rows without
+    a readable time stand last.
+    """
+    df = normalize_columns(df)
+    label, ts = label or label_column(df), ts or time_column(df)
+    if label is None:
+        raise ValueError(f"no label column among {df.columns}")
+    if ts and dict(df.dtypes)[ts] == "string":
+        df = df.withColumn(ts, parse_time(col(ts), time_format))
+    picked = balanced_sample(df, n, id_cols, label, ignored, allow_insufficient)
+    order = [col(ts).asc_nulls_last(), *[col(c) for c in id_cols]] if ts else None
     if out:
-        write_table(picked, out, fmt)
-    return picked
+        write_table(picked, out, fmt, order_by=order)
+    return picked.orderBy(*order) if order else picked
 
 
 def benign_baseline(spark: SparkSession, paths, path: str, types: dict[str, str] | None = None, fmt: str = "csv",
@@ -67,12 +78,13 @@ def build_scenario(flows: DataFrame, config: Sequence[tuple], id_cols: Sequence[
 
 
 def window_dataset(df: DataFrame, freq: str = "1 second", ts: str = "Timestamp", label: str = "Label", out: str | None = None,
-                   fmt: str = "parquet") -> DataFrame:
-    """Strip names, read times, drop unreadable ones, summarise per window, fill gaps."""
+                   fmt: str = "parquet", dropped: Observation | None = None) -> DataFrame:
+    """Strip names, read times, drop unreadable ones, summarise per window, fill gaps. ``dropped`` receives how many rows
+    had no readable time."""
     df = normalize_columns(df)
     if dict(df.dtypes)[ts] == "string":
         df = df.withColumn(ts, parse_time(col(ts)))
-    res = window_summary(drop_bad_times(df, ts), ts, freq, label)
+    res = window_summary(drop_bad_times(df, ts, dropped), ts, freq, label)
     if out:
         write_table(res, out, fmt, order_by=[ts])
     return res
@@ -92,12 +104,12 @@ def overlay_attacks(base: DataFrame, attacks: Sequence[DataFrame], ts: str = "Ti
 
 
 def filter_and_label(df: DataFrame, start, end, rules, ts: str = "timestamp", time_format: str | None = None,
-                     out: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Rows in a period, labelled by intervals."""
+                     out: str | None = None, fmt: str = "parquet", dropped: Observation | None = None) -> DataFrame:
+    """Rows in a period, labelled by intervals. ``dropped`` receives how many rows had no readable time."""
     df = normalize_columns(df)
     if dict(df.dtypes)[ts] == "string":
         df = df.withColumn(ts, parse_time(col(ts), time_format))
-    res = label_by_intervals(time_range(drop_bad_times(df, ts), ts, start, end), ts, rules)
+    res = label_by_intervals(time_range(drop_bad_times(df, ts, dropped), ts, start, end), ts, rules)
     if out:
         write_table(res, out, fmt)
     return res
