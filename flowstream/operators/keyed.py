@@ -59,8 +59,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], objec
     state_keys = [f"_s{i}" for i in range(len(keys))]
     state = spark.createDataFrame([], T.StructType([*[T.StructField(n, df.schema[k].dataType) for n, k in zip(state_keys, keys)],
                                                     T.StructField("_state", T.BinaryType())]))
+    # the input is cut once; each job then reads the files of its own segment
+    cut = fresh_path(spark, "input")
+    df.withColumn("_segment", F.expr(f"cast(`{seq}` div {segment_rows} as int)")).write.partitionBy("_segment").parquet(cut)
+    data = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_segment", T.IntegerType())])).parquet(cut)
     for s in range(segments + 1):
-        rows = df.filter(F.col(seq).between(s * segment_rows, (s + 1) * segment_rows - 1))
+        rows = data.filter(F.col("_segment") == s).drop("_segment")
         left, right = spread_by(rows, keys).groupBy(*keys), spread_by(state, state_keys).groupBy(*state_keys)
         done = left.cogroup(right).applyInPandas(piece, with_state)
         done.write.parquet(f"{path}/part={s}")

@@ -6,8 +6,6 @@ import heapq
 from collections.abc import Sequence
 from math import log
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -183,20 +181,25 @@ def _paint(known: DataFrame) -> DataFrame:
     return edges.join(until, "p").join(now, "p", "left").select("p", F.col("at").alias("_s"), "_e", F.col("v.label").alias("_name"))
 
 
-def _local_pieces(df: DataFrame, known: DataFrame) -> DataFrame:
-    """``_paint`` on the driver, for a list of rules."""
-    rows = known.orderBy("rule_id").collect()
-    stretches = _painted([(r["s"], r["e"], r["label"]) for r in rows])
-    return df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(stretches)], "p long, _s long, _e long, _name string")
+def _constant(values: Sequence, kind: str) -> Column:
+    """An array as one constant of the plan: a single text, which the optimizer folds."""
+    return F.split(F.lit("\x01".join(map(str, values))), "\x01").cast(f"array<{kind}>")
+
+
+def _place(at: Column, borders: Sequence[int]) -> Column:
+    """How many of the sorted borders are not above a number, by binary search in the JVM."""
+    table, n = _constant(borders, "bigint"), len(borders)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) <= at, low + step).otherwise(low))
 
 
 def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", label: str = "Label") -> DataFrame:
     """Label rows by time intervals, both ends included; the last matching rule wins.
 
     ``rules`` is a list of (start, end, label), resolved on the driver, or a table (rule_id, start, end, label) of any
-    length, resolved in Spark. A row then meets one stretch at most: stretches are numbered by time, every few of them
-    are a bucket, and rows join the stretches of their bucket, in batch and on streams. At most SPLITS bucket borders pass
-    through the driver, and however close together the stretches are, a bucket has the same number of them.
+    length, resolved in Spark. A row finds its stretch of a list by binary search in a constant of the plan. For a table, the stretches are
+    numbered by time, every few of them are a bucket that is found in the same way, and rows join the stretches of their bucket, in batch and on streams. At
+    most SPLITS bucket borders pass through the driver, and however close together the stretches are, a bucket has the same number of them.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[ts]
     micros = lambda c: F.unix_micros(c.cast(kind).cast("timestamp"))
@@ -205,23 +208,25 @@ def label_by_intervals(df: DataFrame, ts: str, rules, default: str = "BENIGN", l
         data = [(i, str(s), str(e), n) for i, (s, e, n) in enumerate(rules)]
         rules = spark.createDataFrame(data, "rule_id int, start string, end string, label string")
     known = rules.select(micros(F.col("start")).alias("s"), (micros(F.col("end")) + 1).alias("e"), F.col("label").cast("string").alias("label"), "rule_id").filter("s < e")
-    pieces = _local_pieces(df, known) if local else written(_paint(written(known, "rules")), "stretches")
     out = df.drop(label) if label in df.columns else df
+    at = micros(col(ts))
+    if local:
+        stretches = _painted([(r["s"], r["e"], r["label"]) for r in known.orderBy("rule_id").collect()])
+        if not stretches:
+            return out.withColumn(label, F.lit(default))
+        starts, ends, names = zip(*stretches)
+        rows = out.withColumn("_i", _place(at, starts) - 1)
+        return rows.withColumn(label, F.when(F.get(_constant(ends, "bigint"), F.col("_i")) > at, F.get(_constant(names, "string"), F.col("_i"))).otherwise(F.lit(default))).drop("_i")
+    pieces = written(_paint(written(known, "rules")), "stretches")
     n = pieces.count()
     if not n:
         return out.withColumn(label, F.lit(default))
     step = -(-n // SPLITS)
-    borders = np.sort(np.array([r[0] for r in pieces.filter(F.col("p") % step == 0).select("_s").collect()], np.int64))
-
-    @F.pandas_udf("long")
-    def bucket(at: pd.Series) -> pd.Series:
-        found = np.searchsorted(borders, at.fillna(0).to_numpy(np.int64), "right") - 1
-        return pd.Series(found).where(at.notna().to_numpy() & (found >= 0)).astype("Int64")
-
+    borders = sorted(r[0] for r in pieces.filter(F.col("p") % step == 0).select("_s").collect())
     table = pieces.filter("_name is not null").withColumn("_b", F.expr(f"p div {step}")).drop("p")
     if n <= MAX_PIECES:
         table = F.broadcast(table)
-    rows = out.withColumn("_m", micros(col(ts))).withColumn("_at", bucket("_m"))
+    rows = out.withColumn("_m", at).withColumn("_at", _place(F.col("_m"), borders).cast("long") - 1)
     hit = (F.col("_at") == F.col("_b")) & (F.col("_m") >= F.col("_s")) & (F.col("_m") < F.col("_e"))
     return rows.join(table, hit, "left").withColumn(label, F.coalesce("_name", F.lit(default))).drop("_m", "_at", "_b", "_s", "_e", "_name")
 
