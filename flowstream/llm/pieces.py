@@ -1,28 +1,28 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
 Texts fall into units that no piece can cross: a run of word marks with the letters behind it, or one character that is
-in no longer piece. Each distinct unit is encoded once: its substrings up to the longest piece are exploded and joined
-with the piece table (some ten thousand rows, broadcast), the matching edges are grouped by unit, and a fold over the
+in no longer piece. Each distinct unit is encoded once: its substrings are exploded and joined with the piece table (some
+ten thousand rows, broadcast), by up to four characters and then in full, the matching edges are grouped by unit, and a fold over the
 edges with Spark's higher-order functions picks the path. For a unigram model the fold is Viterbi over edge scores. A BPE
 model's scores are merge ranks, and the best path by their sum is not what its tokenizer produces; there the fold applies
 the edges in rank order, each where it spans exactly two segments, which gives the tokenizer's own ids.
 
 Encoded units meet the texts by chunk, the part of an input file that one task reads: a task sends each of its units
-once, however often it occurs, and gets the ids back. Units travel both ways in sorted lists, one for each chunk and lane
-(a share of all units by their hash), which take a fraction of the space of single rows. Decoding joins the pieces of
+once, however often it occurs, and gets the ids back. Units travel in sorted lists, one for each chunk and lane
+(a share of all units by their hash), which take a fraction of the space of single rows; the ids travel back in the same order without them. Decoding joins the pieces of
 the ids, bytes included.
 
 Rules for odd input: null counts as empty, an empty text has no ids; characters without a piece become bytes; text that
 holds the word mark itself decodes to spaces there, as in the tokenizer, and reports round_trip false; repeated rows are
-encoded alike; an empty table gives an empty result. Only the columns asked for are read. A unit's fold takes time with
-the square of its length; units are words, so this matters only for runs of over 10,000 letters without a space.
+encoded alike; an empty table gives an empty result. Only the columns asked for are read. A run of letters without a space, be it of any
+length, is cut wherever no piece crosses; what can't be cut, as a run of one letter, takes time with the square of its length.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from flowstream.llm.text import blocks, quoted, shuffle_partitions, text_or_empty
 
 MARK = "▁"
-CHUNK = 8 << 20  # bytes of an input file that share one dictionary of units
+CHUNK = 16 << 20  # bytes of an input file that share one dictionary of units
+LONG = 256  # characters of a unit that is looked at for places to cut
+KEY = 4  # characters of a piece that it is joined by
 GAP = " "  # between the units of a list; no unit holds it, as texts have marks in its place
 
 
@@ -61,6 +63,26 @@ class PieceModel:
         inner = "".join(sorted(map(re.escape, set("".join(long)) - {MARK})))
         return f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]" if inner else f"{MARK}+|[^{MARK}]"
 
+    def splitter(self) -> Callable[[str], list[str]]:
+        """Splits a marked text into its units. Units over LONG characters are cut wherever no piece crosses."""
+        find, longest = re.compile(self.unit_pattern()).findall, self.longest
+        long = {p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1}
+
+        def cut(unit: str) -> Iterator[str]:
+            start = reach = 0
+            for i in range(len(unit)):
+                if i and reach <= i:
+                    yield unit[start:i]
+                    start = i
+                reach = max(reach, i + next((k for k in range(min(longest, len(unit) - i), 1, -1) if unit[i:i + k] in long), 1))
+            yield unit[start:]
+
+        def split(text: str) -> list[str]:
+            units = find(text)
+            return [x for u in units for x in (cut(u) if len(u) > LONG else (u,))] if max(map(len, units), default=0) > LONG else units
+
+        return split
+
     def as_bytes(self) -> list[bytes]:
         """What each id stands for in a decoded text."""
         out = [p.replace(MARK, " ").encode() if n else b"" for p, n in zip(self.pieces, self.normal)]
@@ -84,8 +106,8 @@ def load_pieces(path: str, kind: str = "bpe") -> PieceModel:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    rows = [(p, i, float(s)) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n]
-    return spark.createDataFrame([("", -1, 0.0), *rows], "piece string, id int, score double")
+    rows = [(p[:KEY], p, len(p), i, float(s)) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n]
+    return spark.createDataFrame([("", "", 0, -1, 0.0), *rows], "key string, piece string, l int, id int, score double")
 
 
 #: Byte i of a state says whether a segment starts at character i ('1') or not ('0').
@@ -96,7 +118,7 @@ _MERGE = f"""aggregate(filter(edges, e -> e.l > 1), cast(repeat('1', n + 1) as b
 _BYTES = "transform(sequence(1, octet_length(substring(unit, p + 1, 1))), k -> cast(conv(hex(substring(encode(substring(unit, p + 1, 1), 'UTF-8'), k, 1)), 16, 10) as int) + {first})"
 _SEGMENTS = f"""array_sort(concat(
     transform(filter(edges, e -> e.l > 0 and {_ENDS} and {_ONES} = 2), e -> struct(e.i as i, array(e.id) as ids)),
-    transform(filter(sequence(0, n - 1), p -> substring(s, p + 1, 2) = x'3131' and not exists(edges, e -> e.i = p and e.l = 1)), p -> struct(p as i, {_BYTES} as ids))))"""
+    transform(array_except(filter(sequence(0, n - 1), p -> substring(s, p + 1, 2) = x'3131'), transform(filter(edges, e -> e.l = 1), e -> e.i)), p -> struct(p as i, {_BYTES} as ids))))"""
 #: best[j]: score of the best path to character j, the length and the id (-1: bytes) of its last edge.
 _BEST = """aggregate(sequence(1, n), array(struct(cast(0 as double) as score, 0 as l, -1 as id)), (best, j) -> concat(best, array(array_max(concat(
     transform(filter(edges, e -> e.l > 0 and e.i + e.l = j), e -> struct(best[e.i].score + e.score as score, e.l as l, e.id as id)),
@@ -110,10 +132,13 @@ def encode_units(units: DataFrame, model: PieceModel, by: Sequence[str] = ()) ->
     partitioned by columns ``by``, which depend on the unit alone, are not shuffled."""
     carried = [c for c in units.columns if c not in ("unit", *by)]
     starts = units.select("unit", *by, *carried, F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("i"))
-    # the empty piece matches once per unit, so a unit without any piece stays; its row alone carries the further columns
-    spans = starts.select("*", F.explode(F.expr(f"sequence(if(i = 0, 0, 1), least({model.longest}, length(unit) - i))")).alias("l"))
-    spans = spans.withColumns({c: F.when(F.col("l") == 0, quoted(c)) for c in carried})
-    edges = spans.withColumn("piece", F.expr("substring(unit, i + 1, l)")).join(F.broadcast(piece_table(units.sparkSession, model)), "piece")
+    # Substrings of up to KEY characters are joined; those of KEY characters meet all pieces that begin so, which are then compared
+    # in full. The empty piece matches once per unit, so a unit without any piece stays; its row alone carries the further columns.
+    spans = starts.select("*", F.explode(F.expr(f"sequence(if(i = 0, 0, 1), least({KEY}, length(unit) - i))")).alias("k"))
+    spans = spans.withColumns({c: F.when(F.col("k") == 0, quoted(c)) for c in carried}).withColumn("key", F.expr("substring(unit, i + 1, k)")).drop("k")
+    # a whole number as key makes probing several times faster than text
+    table = piece_table(units.sparkSession, model).withColumn("key", F.xxhash64("key"))
+    edges = spans.withColumn("key", F.xxhash64("key")).join(F.broadcast(table), "key").where("substring(unit, i + 1, l) = piece").drop("key")
     edge = F.expr("struct(-score as rank, i, l, id)" if model.kind == "bpe" else "struct(i, l, id, score)")
     grouped = edges.groupBy("unit", *by).agg(F.collect_list(edge).alias("edges"), *[F.first(quoted(c), ignorenulls=True).alias(c) for c in carried])
     grouped = grouped.withColumn("edges", F.array_sort("edges")).withColumn("n", F.length("unit"))
@@ -138,20 +163,23 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     (whether the ids decode to the text) and, if asked for, ids."""
     rows = docs.select(quoted(id_col).alias("_id"), _chunk(docs, id_col).alias("_chunk"), text_or_empty(text_col).alias("_t"))
     id_type = rows.schema["_id"].dataType
-    pattern, decoded = model.unit_pattern(), model.as_bytes()
+    split, decoded = model.splitter(), model.as_bytes()
     lanes = 2 * shuffle_partitions(docs.sparkSession)
     marked = lambda text: MARK + text.replace(" ", MARK) if text else ""
 
-    def lists(chunk: int, own: set[str]) -> pa.RecordBatch:
+    def dealt(own: set[str]) -> dict[int, list[str]]:
         by_lane: dict[int, list[str]] = {}
         for unit in sorted(own):
             by_lane.setdefault(zlib.crc32(unit.encode()) % lanes, []).append(unit)
+        return by_lane
+
+    def lists(chunk: int, own: set[str]) -> pa.RecordBatch:
+        by_lane = dealt(own)
         return pa.RecordBatch.from_arrays([pa.array([chunk] * len(by_lane), pa.int32()), pa.array(list(by_lane), pa.int32()), pa.array(map(GAP.join, by_lane.values()), pa.string())],
                                           ["_chunk", "_lane", "_units"])
 
     def unit_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set[str]] = {}
-        split = re.compile(pattern).findall
         for batch in batches:
             for chunk, text in zip(batch.column("_chunk").to_pylist(), (x.as_py() for x in batch.column("_t"))):
                 own = found.setdefault(chunk, set())
@@ -177,27 +205,35 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     units = sent.select("_chunk", "_lane", F.explode(F.split("_units", GAP)).alias("unit")).groupBy("unit", "_lane").agg(F.collect_set("_chunk").alias("_chunks"))
     known = encode_units(units, model, ["_lane"]).select("_lane", F.explode("_chunks").alias("_chunk"), "unit", "ids")
     known = known.groupBy("_lane", "_chunk").agg(F.array_sort(F.collect_list(F.struct("unit", "ids"))).alias("_known"))
-    known = known.select("_chunk", F.array_join("_known.unit", GAP).alias("_units"), F.transform("_known.ids", F.size).alias("_counts"), F.flatten("_known.ids").alias("_codes"))
+    known = known.select("_chunk", "_lane", F.transform("_known.ids", F.size).alias("_counts"), F.flatten("_known.ids").alias("_codes"))
     held = rows.mapInArrow(packed, StructType([StructField("_chunk", IntegerType()), StructField("_ids", ArrayType(id_type)), StructField("_sizes", ArrayType(LongType())), StructField("_blob", BinaryType())]))
     names = [id_col, "n_tokens", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
 
     def join(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        codec, split = pa.Codec("zstd"), re.compile(pattern).findall
-        ids_of = {}
-        for found, counts, codes in zip(dictionary.column("_units"), dictionary.column("_counts"), dictionary.column("_codes")):
-            values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
-            ids_of.update((u, values[a:b]) for u, a, b in zip(found.as_py().split(GAP), [0, *ends], ends))
-        ids, out = [], []
-        for keys, sizes, blob in zip(texts.column("_ids").to_pylist(), texts.column("_sizes").to_pylist(), texts.column("_blob").to_pylist()):
-            data, at_byte = codec.decompress(blob, sum(sizes), asbytes=True) if sum(sizes) else b"", 0
-            for size in sizes:
-                text = data[at_byte:at_byte + size]
-                at_byte += size
-                code = b"".join(map(ids_of.__getitem__, split(marked(text.decode()))))
-                back = b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))[1:]
-                out.append((code, back == text))
+        codec = pa.Codec("zstd")
+        held = [codec.decompress(blob, sum(sizes), asbytes=True) if sum(sizes) else b"" for sizes, blob in zip(texts.column("_sizes").to_pylist(), texts.column("_blob").to_pylist())]
+        parts, ids = [], []
+        for keys, sizes, data in zip(texts.column("_ids").to_pylist(), texts.column("_sizes").to_pylist(), held):
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
+            parts += [data[a:b] for a, b in zip(ends, ends[1:])]
             ids += keys
-        del ids_of, dictionary
+        del held
+        # the ids of a lane's units come in the order of the units, which the texts tell
+        order: set[str] = set()
+        for text in parts:
+            order.update(split(marked(text.decode())))
+        by_lane, ids_of = dealt(order), {}
+        for lane, counts, codes in zip(dictionary.column("_lane").to_pylist(), dictionary.column("_counts"), dictionary.column("_codes")):
+            values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
+            ids_of.update((u, values[a:b]) for u, a, b in zip(by_lane[lane], [0, *ends], ends, strict=False))
+        # a text comes back if each of its units does, and no mark stood in it
+        plain = lambda code: b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))
+        lost = {u for u, code in ids_of.items() if plain(code) != u.replace(MARK, " ").encode()}
+        out = []
+        for text in map(bytes.decode, parts):
+            units = split(marked(text))
+            out.append((b"".join(map(ids_of.__getitem__, units)), MARK not in text and (not lost or lost.isdisjoint(units))))
+        del ids_of, by_lane, order, parts, dictionary
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}

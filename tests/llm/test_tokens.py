@@ -208,3 +208,21 @@ def test_pipeline(spark, tmp_path):
     ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in ran) == sorted(kept[4])
     assert all(r.ids == sp.encode(text[r.doc_id]) and r.round_trip for r in ran)
+
+
+def test_long_runs_without_a_space(spark):
+    """Random letters, base64, Chinese and one repeated sign, next to ordinary words: ids as the library's, in seconds."""
+    import base64
+    import random
+    import time
+
+    rng = random.Random(5)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), base64.b64encode(rng.randbytes(40_000)).decode(),
+             "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30_000)), "a line " + "=" * 3000 + " and words", "▁ mark", "plain words 😀 été"]
+    started = time.monotonic()
+    got = {r.doc_id: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), load_pieces(path)).collect()}
+    assert time.monotonic() - started < 60
+    for i, t in enumerate(texts):
+        assert got[i].ids == sp.encode(t) and got[i].round_trip == ("▁" not in t)
