@@ -94,12 +94,20 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         wide += [(PHONE, *m.span()) for m in NATIONAL.finditer(text)]
     base.sort()
     if wide:
-        taken = sorted((a, b) for _, a, b in base)
-        clear = []
+        # one sweep: base spans may overlap, so their stretches are joined first; both lists go by start
+        taken: list[list[int]] = []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
+        clear, at, free = [], 0, 0
         for kind, a, b in sorted(wide, key=lambda x: (x[1], -x[2], x[0])):
-            if not any(x < b and a < y for x, y in taken):
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if a >= free and (at == len(taken) or b <= taken[at][0]):
                 clear.append((kind, a, b))
-                taken.append((a, b))
+                free = b
         wide = sorted(clear)
     return base, wide
 

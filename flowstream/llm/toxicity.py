@@ -6,7 +6,8 @@ logistic calibration on other labelled rows turns margins into scores.
 
 Rules for odd input: a null text counts as empty and gets the score of a text without features; an unlabelled id,
 a null label or a null id never enters the fit; an id labelled twice counts with its larger label; with labels of one
-class only, every score is 0.0 or 1.0 accordingly; without any label it is 0.0. Repeated rows are scored alike.
+class only, every score is 0.0 or 1.0 accordingly; without any label it is 0.0. Repeated rows are scored alike; of labelled rows that share
+an id, the one whose sorted features are smallest enters the fit.
 Columns of the documents are never touched, whatever their names.
 """
 
@@ -142,7 +143,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), part.column("_half"), pa.array(sets, pa.binary())], ["_id", "_y", "_half", "g"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({r["_id"]: r for b in batches for r in b.to_pylist()}.items(), key=lambda x: str(x[0]))
+        # of rows that share an id, the one with the smallest features counts, whatever the partitions
+        rows = sorted({r["_id"]: r for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["g"], reverse=True)}.items(), key=lambda x: str(x[0]))
         y = np.array([r["_y"] for _, r in rows], int)
         if len(set(y.tolist())) == 2:
             grams = [np.frombuffer(r["g"], np.int32) for _, r in rows]

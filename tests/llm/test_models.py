@@ -144,3 +144,49 @@ def test_reliable_votes_win():
     bad = pattern("version 999.1.1.1", 1, 8, 17, False)
     p = classify(np.array([good, bad]), np.array([50.0, 50.0]))
     assert p[0] > .9 > .1 > p[1]
+
+
+def test_added_spans_equal_a_plain_sweep_and_take_linear_time():
+    import random
+    import time
+
+    from flowstream.llm import private as P
+
+    def plain(text):
+        base, _ = P.spans(text)
+        wide = []
+        wide += [(P.EMAIL, m.start(), m.end()) for m in P.WRITTEN.finditer(text)]
+        wide += [(P.IP, *m.span()) for m in P.QUAD.finditer(text) if not P._quad_ok(m[0])]
+        for m in P.DIGITS.finditer(text):
+            n = len(P._only_digits(m[0]))
+            if 13 <= m.end() - m.start() <= 37 and 13 <= n <= 19:
+                wide += [] if P.luhn(P._only_digits(m[0])) else [(P.CARD, *m.span())]
+            elif m.end() - m.start() > 19:
+                wide += [(P.CARD, x.start(), x.end()) for x in P.LONE_CARD.finditer(text, *m.span()) if P.luhn(x[0])]
+        wide += [(P.PHONE, *m.span()) for m in P.NATIONAL.finditer(text)]
+        taken, clear = [(a, b) for _, a, b in base], []
+        for kind, a, b in sorted(wide, key=lambda x: (x[1], -x[2], x[0])):
+            if not any(x < b and a < y for x, y in taken):
+                clear.append((kind, a, b))
+                taken.append((a, b))
+        return sorted(clear)
+
+    rng = random.Random(3)
+    bits = ["555-0187 ", "(212) 555-0199 ", "+1 212 555 0123 ", "4111 1111 1111 1111 ", "4111111111111112 ", "300.1.2.3 ", "10.0.0.7 ", "a (at) b (dot) com ", "x@y.org ", "word ", "12 345 6789 ", "1.2.3.4.5 ", "-", "9"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 30)))
+        assert P.spans(text)[1] == plain(text), text
+    phones = "".join(f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}\n" for _ in range(140_000))  # 2 MB
+    started = time.monotonic()
+    assert len(P.spans(phones)[1]) == 140_000 and time.monotonic() - started < 20
+
+
+def test_toxicity_of_repeated_ids_does_not_depend_on_partitions(spark):
+    from flowstream.llm.toxicity import fit_toxicity
+
+    rows = [(i % 60, f"{'bad vile' if i % 60 % 3 == 0 else 'calm kind'} words {i} {i * 7 % 13}") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [fit_toxicity(docs.repartition(n), labels, epochs=5) for n in (1, 4, 7)]
+    for m in models[1:]:
+        assert m.bias == models[0].bias and (m.weights == models[0].weights).all()
