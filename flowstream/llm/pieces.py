@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from flowstream.llm.text import blocks, quoted, shuffle_partitions, text_or_empty
 
 MARK = "▁"
-CHUNK = 16 << 20  # bytes of an input file that share one dictionary of units
+CHUNK = 8 << 20  # bytes of an input file that share one dictionary of units
 LONG = 256  # characters of a unit that is looked at for places to cut
 KEY = 4  # characters of a piece that it is joined by
 GAP = " "  # between the units of a list; no unit holds it, as texts have marks in its place
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
-        for part, raw, offsets in blocks(batches, "_t"):
+        for part, raw, offsets in blocks(batches, "_t", 4 << 20):  # longer stretches compress better
             chunks = np.asarray(part.column("_chunk"))
             for chunk in np.unique(chunks):
                 own = np.flatnonzero(chunks == chunk)
@@ -211,18 +211,21 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
 
     def join(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
         codec = pa.Codec("zstd")
-        held = [codec.decompress(blob, sum(sizes), asbytes=True) if sum(sizes) else b"" for sizes, blob in zip(texts.column("_sizes").to_pylist(), texts.column("_blob").to_pylist())]
-        parts, ids = [], []
-        for keys, sizes, data in zip(texts.column("_ids").to_pylist(), texts.column("_sizes").to_pylist(), held):
-            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
-            parts += [data[a:b] for a, b in zip(ends, ends[1:])]
-            ids += keys
-        del held
+
+        def each() -> Iterator[str]:
+            for sizes, blob in zip(texts.column("_sizes"), texts.column("_blob")):
+                sizes = sizes.as_py()
+                data, at = codec.decompress(blob.as_buffer(), sum(sizes), asbytes=True) if sum(sizes) else b"", 0
+                for size in sizes:
+                    yield data[at:at + size].decode()
+                    at += size
+
         # the ids of a lane's units come in the order of the units, which the texts tell
         order: set[str] = set()
-        for text in parts:
-            order.update(split(marked(text.decode())))
+        for text in each():
+            order.update(split(marked(text)))
         by_lane, ids_of = dealt(order), {}
+        del order
         for lane, counts, codes in zip(dictionary.column("_lane").to_pylist(), dictionary.column("_counts"), dictionary.column("_codes")):
             values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
             ids_of.update((u, values[a:b]) for u, a, b in zip(by_lane[lane], [0, *ends], ends, strict=False))
@@ -230,10 +233,11 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
         plain = lambda code: b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))
         lost = {u for u, code in ids_of.items() if plain(code) != u.replace(MARK, " ").encode()}
         out = []
-        for text in map(bytes.decode, parts):
+        for text in each():
             units = split(marked(text))
             out.append((b"".join(map(ids_of.__getitem__, units)), MARK not in text and (not lost or lost.isdisjoint(units))))
-        del ids_of, by_lane, order, parts, dictionary
+        ids = [key for keys in texts.column("_ids").to_pylist() for key in keys]
+        del ids_of, by_lane, dictionary
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}
