@@ -63,8 +63,9 @@ class PieceModel:
         inner = "".join(sorted(map(re.escape, set("".join(long)) - {MARK})))
         return f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]" if inner else f"{MARK}+|[^{MARK}]"
 
-    def splitter(self) -> Callable[[str], list[str]]:
-        """Splits a marked text into its units. Units over LONG characters are cut wherever no piece crosses."""
+    def splitter(self) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+        """(tokens, units): tokens of a text are marked strings of whole units, cheap to find and often repeated; units
+        of a token, those over LONG characters cut wherever no piece crosses."""
         find, longest = re.compile(self.unit_pattern()).findall, self.longest
         long = {p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1}
 
@@ -77,11 +78,18 @@ class PieceModel:
                 reach = max(reach, i + next((k for k in range(min(longest, len(unit) - i), 1, -1) if unit[i:i + k] in long), 1))
             yield unit[start:]
 
-        def split(text: str) -> list[str]:
-            units = find(text)
-            return [x for u in units for x in (cut(u) if len(u) > LONG else (u,))] if max(map(len, units), default=0) > LONG else units
+        def tokens(text: str) -> list[str]:
+            if not text:
+                return []
+            if MARK in text or "  " in text or text[0] == " ":  # marks in a row are one unit with the letters behind them
+                return find(MARK + text.replace(" ", MARK))
+            return (MARK + text.replace(" ", " " + MARK)).split(" ")
 
-        return split
+        def units(token: str) -> list[str]:
+            found = find(token)
+            return [x for u in found for x in (cut(u) if len(u) > LONG else (u,))] if len(token) > LONG else found
+
+        return tokens, units
 
     def as_bytes(self) -> list[bytes]:
         """What each id stands for in a decoded text."""
@@ -163,9 +171,8 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     (whether the ids decode to the text) and, if asked for, ids."""
     rows = docs.select(quoted(id_col).alias("_id"), _chunk(docs, id_col).alias("_chunk"), text_or_empty(text_col).alias("_t"))
     id_type = rows.schema["_id"].dataType
-    split, decoded = model.splitter(), model.as_bytes()
+    (tokens, units_of), decoded = model.splitter(), model.as_bytes()
     lanes = 2 * shuffle_partitions(docs.sparkSession)
-    marked = lambda text: MARK + text.replace(" ", MARK) if text else ""
 
     def dealt(own: set[str]) -> dict[int, list[str]]:
         by_lane: dict[int, list[str]] = {}
@@ -174,7 +181,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
         return by_lane
 
     def lists(chunk: int, own: set[str]) -> pa.RecordBatch:
-        by_lane = dealt(own)
+        by_lane = dealt({u for t in own for u in units_of(t)})
         return pa.RecordBatch.from_arrays([pa.array([chunk] * len(by_lane), pa.int32()), pa.array(list(by_lane), pa.int32()), pa.array(map(GAP.join, by_lane.values()), pa.string())],
                                           ["_chunk", "_lane", "_units"])
 
@@ -183,7 +190,7 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
         for batch in batches:
             for chunk, text in zip(batch.column("_chunk").to_pylist(), (x.as_py() for x in batch.column("_t"))):
                 own = found.setdefault(chunk, set())
-                own.update(split(marked(text)))
+                own.update(tokens(text))
                 if len(own) > 200_000:  # bounds the memory; what is sent twice is merged below
                     yield lists(chunk, own)
                     own.clear()
@@ -221,23 +228,25 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                     at += size
 
         # the ids of a lane's units come in the order of the units, which the texts tell
-        order: set[str] = set()
+        known: dict[str, list[str]] = {}
         for text in each():
-            order.update(split(marked(text)))
-        by_lane, ids_of = dealt(order), {}
-        del order
+            known.update(dict.fromkeys(tokens(text)))
+        known = {t: units_of(t) for t in known}
+        by_lane, ids_of = dealt({u for units in known.values() for u in units}), {}
         for lane, counts, codes in zip(dictionary.column("_lane").to_pylist(), dictionary.column("_counts"), dictionary.column("_codes")):
             values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
             ids_of.update((u, values[a:b]) for u, a, b in zip(by_lane[lane], [0, *ends], ends, strict=False))
-        # a text comes back if each of its units does, and no mark stood in it
+        code_of = {t: b"".join(map(ids_of.__getitem__, units)) for t, units in known.items()}
+        del known, by_lane, ids_of
+        # a text comes back if each of its tokens does, and no mark stood in it
         plain = lambda code: b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))
-        lost = {u for u, code in ids_of.items() if plain(code) != u.replace(MARK, " ").encode()}
+        lost = {t for t, code in code_of.items() if plain(code) != t.replace(MARK, " ").encode()}
         out = []
         for text in each():
-            units = split(marked(text))
-            out.append((b"".join(map(ids_of.__getitem__, units)), MARK not in text and (not lost or lost.isdisjoint(units))))
+            own = tokens(text)
+            out.append((b"".join(map(code_of.__getitem__, own)), MARK not in text and (not lost or lost.isdisjoint(own))))
         ids = [key for keys in texts.column("_ids").to_pylist() for key in keys]
-        del ids_of, by_lane, dictionary
+        del code_of, dictionary
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}
