@@ -18,7 +18,56 @@ from flowstream.functions.columns import NORMAL_NAMES, NORMAL_NAMES_OR_ZERO, cle
 from flowstream.session import join_checked, written
 
 EXACT_VALUES = 4_000_000   # rows x columns up to which Spark's exact percentile is used, beyond it bracketing
-GATHER_VALUES = 2_000_000  # values held at once when the last brackets are read
+GATHER_VALUES = 65_536     # bins counted at once
+MAX_BINS = 4096            # bins of one bracket
+
+
+def _order_statistics(df: DataFrame, value: dict[str, Column], wanted: set[tuple[str, int]], gather_values: int) -> dict[tuple[str, int], float]:
+    """The values of the wanted (column, rank) pairs, ranks counted from 0 over the non-null values."""
+    cols = list(dict.fromkeys(c for c, _ in wanted))
+    if not cols:
+        return {}
+    stats = []
+    for i, c in enumerate(cols):
+        finite = F.when(F.abs(value[c]) < math.inf, value[c])
+        stats += [F.count_if(value[c] == -math.inf).alias(f"b{i}"), F.count(finite).alias(f"m{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
+    row = df.agg(*stats).first()
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # least value, largest value, rows below
+    for c, k in wanted:
+        i = cols.index(c)
+        if not row[f"b{i}"] <= k < row[f"b{i}"] + row[f"m{i}"]:
+            found[(c, k)] = -math.inf if k < row[f"b{i}"] else math.inf
+        else:
+            open_[(c, k)] = (row[f"lo{i}"], row[f"hi{i}"], row[f"b{i}"])
+    while True:
+        found |= {key: lo for key, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {key: s for key, s in open_.items() if s[0] < s[1]}
+        if not open_:
+            return found
+        # brackets of one column are the same or lie apart, so a value counts in one of them at most
+        brackets = sorted({(key[0], lo, hi) for key, (lo, hi, _) in open_.items()})
+        bins = min(max(gather_values // len(brackets), 2), MAX_BINS)
+        cells: dict[str, Column] = {}
+        for b, (c, lo, hi) in enumerate(brackets):
+            half = 0.5 if math.isinf(hi - lo) else 1.0
+            share = (value[c] * half - F.lit(lo * half)) / F.lit(hi * half - lo * half)
+            at = F.least(F.floor(share * bins), F.lit(bins - 1)) + F.lit(b * bins)
+            cells[c] = (cells[c] if c in cells else F).when(value[c].between(F.lit(lo), F.lit(hi)), at)
+        pairs = F.array(*[F.struct(cell.alias("cell"), value[c].alias("v")) for c, cell in cells.items()])
+        counts = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("cell").isNotNull()).groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()
+        by_bracket: dict[int, list] = {}
+        for r in counts:
+            by_bracket.setdefault(r["cell"] // bins, []).append(r)
+        for (c, k), (lo, hi, below) in open_.items():
+            for r in by_bracket[brackets.index((c, lo, hi))]:
+                if k < below + r["n"]:
+                    open_[(c, k)] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+            else:
+                raise AssertionError("quantile bracket lost its rank")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exact_values: int = EXACT_VALUES,
@@ -26,8 +75,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exa
     """Interpolated quantiles of many columns, exact at any size.
 
     Spark's exact ``percentile`` keeps all distinct values in one buffer, so it serves small tables
-    only. Beyond ``exact_values`` each wanted order statistic is bracketed by ``approx_percentile``
-    (whose rank error is bounded) and the bracket shrinks pass by pass until its rows fit in a small array.
+    only. Beyond ``exact_values`` each wanted order statistic is bracketed by a least and a largest value. One pass counts the rows
+    in equal bins of all brackets (``gather_values`` bins at once) and each bracket becomes its bin, from the least to the largest value
+    found there, until the two are one value.
     """
     if not cols:
         return {}
@@ -37,49 +87,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exa
     if max(sizes.values()) * len(cols) <= exact_values:
         row = df.agg(*[F.percentile(value[c], [float(p) for p in ps]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(ps) for i, c in enumerate(cols)}
-    found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], dict] = {}
-    for c in cols:
-        for p in ps:
-            at = p * (sizes[c] - 1)
-            for k in {math.floor(at), math.ceil(at)} if sizes[c] else ():
-                open_[(c, k)] = {"lo": -math.inf, "hi": math.inf, "below": 0, "m": sizes[c]}
-    accuracy, gather_rows = 10_000, max(gather_values // max(len(open_), 1), 1)
-    while open_:
-        aggs, plan = [], []
-        for i, ((c, k), s) in enumerate(open_.items()):
-            inside = F.when(value[c].between(F.lit(s["lo"]), F.lit(s["hi"])), value[c])
-            rank = k - s["below"]
-            if s["m"] <= gather_rows:
-                aggs.append(F.sort_array(F.collect_list(inside))[rank].alias(f"a{i}"))
-                plan.append("take")
-            else:
-                at = (rank + 0.5) / s["m"]
-                ends = [max(at - 2 / accuracy, 0.0), min(at + 2 / accuracy, 1.0)]
-                aggs.append(F.percentile_approx(inside, ends, accuracy).alias(f"a{i}"))
-                plan.append("narrow")
-        row = df.agg(*aggs).first()
-        checks, narrowed = [], []
-        for i, (key, s) in enumerate(list(open_.items())):
-            if plan[i] == "take":
-                found[key] = row[i]
-                del open_[key]
-            else:
-                lo, hi = row[i]
-                if lo == hi:
-                    found[key] = lo
-                    del open_[key]
-                    continue
-                c = key[0]
-                checks += [F.count_if(value[c] < lo).alias(f"b{i}"), F.count_if(value[c].between(lo, hi)).alias(f"m{i}")]
-                narrowed.append((key, i, lo, hi))
-        if checks:
-            got = df.agg(*checks).first()
-            for key, i, lo, hi in narrowed:
-                below, m = got[f"b{i}"], got[f"m{i}"]
-                if not below <= key[1] < below + m:
-                    raise AssertionError("quantile bracket lost its rank")
-                open_[key] = {"lo": lo, "hi": hi, "below": below, "m": m}
+    wanted = {(c, k) for c in cols for p in ps if sizes[c] for k in (math.floor(p * (sizes[c] - 1)), math.ceil(p * (sizes[c] - 1)))}
+    found = _order_statistics(df, value, wanted, gather_values)
     out = {}
     for c in cols:
         qs = []

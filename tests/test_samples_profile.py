@@ -100,6 +100,12 @@ def test_quantiles_beyond_the_exact_limit(spark, kind):
     assert got == pytest.approx(list(np.quantile(clean, ps)), rel=1e-12)
 
 
+def test_quantiles_at_the_border_of_two_frequent_values(spark):
+    """The bracket of a rank between two frequent values must still shrink."""
+    df = spark.createDataFrame([(0.0,)] * 3000 + [(1.0,)] * 3000, "x double").repartition(3)
+    assert P.exact_quantiles(df, ["x"], [0.25, 0.5, 0.98], exact_values=0, gather_values=60)["x"] == [0.0, 0.5, 1.0]
+
+
 def test_impute_and_scale_edges(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (None, 5.0, None), (1.0, 5.0, None), (2.0, 5.0, None), (2.0, 5.0, None)], "a double, c double, e double")
     assert P.fit_impute(df, ["a", "e"], "moda") == {"a": 1.0, "e": None}
