@@ -1,26 +1,23 @@
 """Serial operators per stream: run a step object over each key's rows in order, in bounded pieces.
 
-A stream is handed to a task in segments of at most ``segment_rows`` rows. Streams no longer than that
-(the usual case) take one job. Longer ones take one job per segment: every job works on the same
-segment of all streams in parallel and passes each stream's state on through a written table, so
-the result equals one uninterrupted run, no task holds more than a segment, and a lost
-executor repeats one segment only.
+One job sorts the rows by stream and position; a stream's rows then pass through its task as they are read, in segments of
+at most ``segment_rows`` positions, and only its state and one segment are held. So the length of a stream costs
+neither memory nor further jobs, and the result equals one uninterrupted run.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, Tuple
 
+import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flowstream.session import fresh_path, spread_by
+from flowstream.session import spread_by
 
-SEGMENT_ROWS = 1_000_000
+SEGMENT_ROWS = 100_000
 
 
 def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
@@ -28,47 +25,38 @@ def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in cols)
 
 
+def _segments(batches: Iterator[pd.DataFrame], seq: str, segment_rows: int) -> Iterator[pd.DataFrame]:
+    """The batches of one stream, in order, as whole segments."""
+    held, current = [], None
+    for pdf in batches:
+        at = pdf[seq].to_numpy(dtype=float, na_value=np.inf) // segment_rows if pdf[seq].hasnans else pdf[seq].to_numpy() // segment_rows
+        cuts = [0, *(np.nonzero(at[1:] != at[:-1])[0] + 1), len(pdf)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and at[i] != current:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[i:j])
+            current = at[i]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], object], advance: Callable[[object, pd.DataFrame], pd.DataFrame],
                schema: str, seq: str = "seq", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``make(key)`` starts a state, ``advance(state, rows)`` consumes rows sorted by ``seq`` and returns output rows
     of ``schema`` (which includes the keys)."""
-    spark = df.sparkSession
     keys = list(keys)
-    last = df.agg(F.max(seq)).first()[0]
-    segments = 0 if last is None else int(last) // segment_rows
-
-    if segments == 0:
-        def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            return advance(make(key), pdf.sort_values(seq, kind="stable"))
-
-        return spread_by(df, keys).groupBy(*keys).applyInPandas(whole, schema)
-
-    out_type = T._parse_datatype_string(schema)
-    with_state = T.StructType([*[T.StructField(f.name, f.dataType) for f in out_type.fields], T.StructField("_state", T.BinaryType())])
-    names = out_type.fieldNames()
-    path = fresh_path(spark, "segments")
-
-    def piece(key, pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=[*names, "_state"])
-        state = pickle.loads(old["_state"].iloc[0]) if len(old) else make(key)
-        out = advance(state, pdf.sort_values(seq, kind="stable"))
-        tail = pd.DataFrame([{**dict(zip(keys, key)), "_state": cloudpickle.dumps(state)}])
-        return pd.concat([out.assign(_state=None), tail], ignore_index=True).reindex(columns=[*names, "_state"])
 
-    state_keys = [f"_s{i}" for i in range(len(keys))]
-    state = spark.createDataFrame([], T.StructType([*[T.StructField(n, df.schema[k].dataType) for n, k in zip(state_keys, keys)],
-                                                    T.StructField("_state", T.BinaryType())]))
-    # the input is cut once; each job then reads the files of its own segment
-    cut = fresh_path(spark, "input")
-    df.withColumn("_segment", F.expr(f"cast(`{seq}` div {segment_rows} as int)")).write.partitionBy("_segment").parquet(cut)
-    data = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_segment", T.IntegerType())])).parquet(cut)
-    for s in range(segments + 1):
-        rows = data.filter(F.col("_segment") == s).drop("_segment")
-        left, right = spread_by(rows, keys).groupBy(*keys), spread_by(state, state_keys).groupBy(*state_keys)
-        done = left.cogroup(right).applyInPandas(piece, with_state)
-        done.write.parquet(f"{path}/part={s}")
-        state = spark.read.schema(with_state).parquet(f"{path}/part={s}").filter("_state is not null")
-        state = state.select(*[F.col(k).alias(n) for n, k in zip(state_keys, keys)], "_state")
-    result = spark.read.schema(with_state).parquet(*[f"{path}/part={s}" for s in range(segments + 1)])
-    return result.filter("_state is null").drop("_state")
+    def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = make(key), -np.inf
+        for rows in _segments(batches, seq, segment_rows):
+            at = rows[seq].to_numpy(dtype=float, na_value=np.inf)
+            if at[0] < last or (at[1:] < at[:-1]).any():
+                raise AssertionError("rows of a stream came out of order")
+            last = at[-1]
+            yield advance(state, rows)
+
+    rows = spread_by(df, keys).sortWithinPartitions(*keys, F.col(seq).asc_nulls_last())
+    return rows.groupBy(*keys).applyInPandas(run, schema)

@@ -239,3 +239,15 @@ def test_dspot_sweep_over_one_shuffle(spark, score_rows):
         for r in T.dspot_evaluation(rows, 80, 1, ["stream_id"], q=q, depth=depth, t_quantile=t).collect():
             mine = got[(r["stream_id"], i)]
             assert (mine["q"], mine["depth"], mine["t_quantile"], mine["f1"], mine["precision"], mine["recall"]) == (q, depth, t, r["f1"], r["precision"], r["recall"])
+
+
+def test_segments_of_a_stream_need_no_jobs_of_their_own(spark):
+    df = spark.range(400).select(F.lit("a").alias("stream_id"), F.col("id").alias("seq"), (F.col("id") * 7 % 31).cast("double").alias("score"))
+    spark.sparkContext.setJobGroup("segments", "segments")
+    try:
+        got = T.dspot(df, q=0.01, depth=5, t_quantile=0.9, warmup=20, segment_rows=10)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("segments")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    whole = T.dspot(df, q=0.01, depth=5, t_quantile=0.9, warmup=20)
+    assert got.orderBy("seq").collect() == whole.orderBy("seq").collect() and got.count() == 400
