@@ -83,11 +83,12 @@ def _bayes(leaf: Leaf, x: np.ndarray) -> np.ndarray:
     return seen[np.argmax(logp, axis=1)]
 
 
+def _uses_bayes(leaf: Leaf, kind: str, nb_threshold: float) -> bool:
+    return (kind == "nb" or (kind == "nba" and leaf.bayes_ok > leaf.majority_ok)) and leaf.n.sum() > nb_threshold
+
+
 def leaf_predict(leaf: Leaf, x: np.ndarray, kind: str, nb_threshold: float = 0) -> np.ndarray:
-    use_bayes = kind == "nb" or (kind == "nba" and leaf.bayes_ok > leaf.majority_ok)
-    if use_bayes and leaf.n.sum() > nb_threshold:
-        return _bayes(leaf, x)
-    return np.full(len(x), _majority(leaf))
+    return _bayes(leaf, x) if _uses_bayes(leaf, kind, nb_threshold) else np.full(len(x), _majority(leaf))
 
 
 def predict(root, x: np.ndarray, kind: str, nb_threshold: float = 0) -> np.ndarray:
@@ -98,8 +99,11 @@ def predict(root, x: np.ndarray, kind: str, nb_threshold: float = 0) -> np.ndarr
 
 
 def count(root, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, kind: str, nb_threshold: float = 0,
-          inside: str = "") -> dict[str, LeafCounts]:
-    """Per leaf path: weighted class counts and moments of the batch, and how the leaf would have predicted it."""
+          inside: str = "", preds: np.ndarray | None = None) -> dict[str, LeafCounts]:
+    """Per leaf path: weighted class counts and moments of the batch, and how the leaf would have predicted it.
+
+    ``preds``, if given, takes the tree's prediction of every row.
+    """
     out = {}
     for path, leaf, rows in route(root, x, np.arange(len(x)), inside):
         xs, ys, ws = x[rows], y[rows], w[rows]

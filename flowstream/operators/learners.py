@@ -15,6 +15,7 @@ import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,19 +93,23 @@ def learners(names: Sequence[str] | None = None, overrides: dict[str, dict] | No
     return out
 
 
+@lru_cache(maxsize=64)
+def _poisson_cdf(lam: float) -> np.ndarray:
+    k = np.arange(60)
+    return np.cumsum(np.exp(-lam + k * np.log(lam) - np.concatenate([[0], np.cumsum(np.log(np.arange(1, 60)))])))
+
+
 def _weights(cfg: Learner, member: int, seq: np.ndarray) -> np.ndarray:
     """Poisson weight per (row, member) from a hash, the same on every run and partitioning."""
     if cfg.lam <= 0:
         return np.ones(len(seq))
-    k = np.arange(60)
-    cdf = np.cumsum(np.exp(-cfg.lam + k * np.log(cfg.lam) - np.concatenate([[0], np.cumsum(np.log(np.arange(1, 60)))])))
     u = node_hash(cfg.seed, member, seq % LEHMER) / LEHMER
-    return np.searchsorted(cdf, u, side="right").astype(float)
+    return np.searchsorted(_poisson_cdf(cfg.lam), u, side="right").astype(float)
 
 
-def _count_member(cfg: Learner, m: H.Member, member: int, seq, x, y, classes: int) -> dict:
+def _count_member(cfg: Learner, m: H.Member, member: int, seq, x, y, classes: int, preds: np.ndarray | None = None) -> dict:
     w = _weights(cfg, member, seq)
-    got = {"main": H.count(m.root, x, y, w, classes, cfg.leaf, cfg.nb_threshold)}
+    got = {"main": H.count(m.root, x, y, w, classes, cfg.leaf, cfg.nb_threshold, preds=preds)}
     if m.background is not None:
         got["background"] = H.count(m.background, x, y, w, classes, cfg.leaf, cfg.nb_threshold)
     if cfg.drift == "subtree":
@@ -159,8 +164,12 @@ def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
             return node
         node.tried = weight
         k = node.s1.shape[1]
-        rng = np.random.default_rng([cfg.seed, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path))])
-        pick = np.sort(rng.permutation(k)[:max(1, round(cfg.max_features * k))])
+        wanted = max(1, round(cfg.max_features * k))
+        if wanted >= k:
+            pick = np.arange(k)
+        else:
+            rng = np.random.default_rng([cfg.seed, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path))])
+            pick = np.sort(rng.permutation(k)[:wanted])
         new = H.try_split(node, pick, cfg.criterion, cfg.confidence, cfg.tie)
         room -= new is not node
         return new
@@ -253,11 +262,14 @@ def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
+def _vote_weight(cfg: Learner, m: H.Member) -> float:
+    return m.ok / m.seen if cfg.weighted_vote and m.seen else 1.0
+
+
 def _vote(cfg: Learner, members: Sequence[H.Member], x: np.ndarray, classes: int) -> np.ndarray:
     votes = np.zeros((len(x), classes))
     for m in members:
-        weight = m.ok / m.seen if cfg.weighted_vote and m.seen else 1.0
-        votes[np.arange(len(x)), H.predict(m.root, x, cfg.leaf, cfg.nb_threshold)] += weight
+        votes[np.arange(len(x)), H.predict(m.root, x, cfg.leaf, cfg.nb_threshold)] += _vote_weight(cfg, m)
     return votes.argmax(axis=1).astype(np.int32)
 
 
@@ -272,17 +284,26 @@ def _classify_streams(df: DataFrame, features: Sequence[str], configured: dict[s
         return {(name, i): H.Member(H.Leaf(classes, k)) for name, cfg in configured.items() for i in range(cfg.members)}
 
     def advance(models: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for w, part in pdf.groupby(pdf[seq] // window_rows):
-            x, y, at = part[features].to_numpy(dtype=float), part[target].to_numpy(dtype=np.int64), part[seq].to_numpy(dtype=np.int64)
+        # plain arrays of the segment: a window's rows are few, a table of their own would cost more than the trees
+        xs, ys, ats = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64), pdf[seq].to_numpy(dtype=np.int64)
+        windows = ats // window_rows
+        cuts = [0, *(np.nonzero(np.diff(windows))[0] + 1), len(ats)]
+        preds = {name: np.empty(len(ats), dtype=np.int32) for name in configured}
+        for begin, end in zip(cuts, cuts[1:]):
+            x, y, at, w = xs[begin:end], ys[begin:end], ats[begin:end], int(windows[begin])
+            own, every = np.empty(end - begin, dtype=np.int64), np.arange(end - begin)
             for name, cfg in configured.items():
-                parts.append(part[carried].assign(learner=name, pred=_vote(cfg, [models[(name, i)] for i in range(cfg.members)], x, classes)))
+                votes = np.zeros((end - begin, classes))
                 for i in range(cfg.members):
-                    got = _count_member(cfg, models[(name, i)], i, at, x, y, classes)
-                    models[(name, i)] = _learn(cfg, models[(name, i)], got, i, int(w), classes, k)
+                    m = models[(name, i)]
+                    weight = _vote_weight(cfg, m)
+                    got = _count_member(cfg, m, i, at, x, y, classes, own)  # rows are routed once, to be predicted and counted
+                    votes[every, own] += weight
+                    models[(name, i)] = _learn(cfg, m, got, i, w, classes, k)
+                preds[name][begin:end] = votes.argmax(axis=1)
                 if cfg.drift == "member" and not cfg.background:
                     _replace_worst(models, name, cfg, classes, k)
-        return pd.concat(parts, ignore_index=True)
+        return pd.concat([pdf[carried].assign(learner=name, pred=preds[name]) for name in configured], ignore_index=True)
 
     segment = max(1, SEGMENT_ROWS // window_rows) * window_rows
     out = keyed_scan(rows, keys, make, advance, f"{_ddl(df, carried)}, learner string, pred int", seq, segment)

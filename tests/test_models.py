@@ -377,3 +377,44 @@ def test_sweep_over_one_shuffle_equals_trials_alone(planted, short, grid, mode):
             assert (r["f1"], r["precision"], r["recall"], r["threshold"]) == (best["f1"], best["precision"], best["recall"], best["threshold"])
             assert r["seconds"] > 0 and r["params"].startswith(next(iter(params)))
     assert not got
+
+
+def test_counting_also_predicts():
+    """Rows are routed once: the counts of a window and the tree's prediction of every row come together."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(600, 3))
+    y = (x[:, 0] > 0.5).astype(int)
+    root, cfg = H.Leaf(2, 3), L.hoeffding_tree(grace=50)
+    for w in range(6):
+        part = slice(100 * w, 100 * w + 100)
+        before = H.predict(root, x[part], cfg.leaf, cfg.nb_threshold)
+        preds = np.full(100, -1)
+        got = H.count(root, x[part], y[part], np.ones(100), 2, cfg.leaf, cfg.nb_threshold, preds=preds)
+        assert preds.tolist() == before.tolist() and sum(c.errors for c in got.values()) == (before != y[part]).sum()
+        root = L._grow(root, got, cfg, 0, w)
+    assert isinstance(root, H.Split)
+
+
+def test_splits_look_at_all_features_at_once(monkeypatch):
+    leaf = H.Leaf(3, 4)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(900, 4)), rng.integers(0, 3, 900)
+    x[:, 2] += 2 * y
+    x[:, 3] = 1.0
+    c = H.count(leaf, x, y, np.ones(900), 3, "nba")[""]
+    leaf.n, leaf.s1, leaf.s2, leaf.lo, leaf.hi = c.n, c.s1, c.s2, c.lo, c.hi
+    calls = []
+    plain = H._merit
+    monkeypatch.setattr(H, "_merit", lambda *a: calls.append(1) or plain(*a))
+    for criterion in ("infogain", "gini", "hellinger"):
+        got = H.try_split(leaf, np.arange(4), criterion, 0.01, 0.05)
+        best = []
+        for f in range(3):  # the fourth is constant
+            lo, hi = leaf.lo[:, f].min(), leaf.hi[:, f].max()
+            mean = leaf.s1[:, f] / leaf.n
+            sd = np.sqrt(leaf.s2[:, f] / leaf.n - mean**2)
+            for cut in lo + (hi - lo) * np.arange(1, 11) / 11:
+                left = leaf.n * 0.5 * (1 + H._erf((cut - mean) / (sd * np.sqrt(2))))
+                best.append((float(plain(left, leaf.n - left, criterion)), -f, cut))
+        assert isinstance(got, H.Split) and (got.feature, got.cut) == (-max(best)[1], pytest.approx(max(best)[2]))
+    assert len(calls) == 3
