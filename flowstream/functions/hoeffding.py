@@ -112,9 +112,12 @@ def count(root, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, kind:
         for c in np.unique(ys[ws > 0]):
             mine = xs[(ys == c) & (ws > 0)]
             lo[c], hi[c] = mine.min(axis=0), mine.max(axis=0)
-        bayes = _bayes(leaf, xs) if kind != "majority" else np.full(len(xs), _majority(leaf))
-        final = leaf_predict(leaf, xs, kind, nb_threshold)
-        out[path] = LeafCounts(onehot.sum(axis=0), onehot.T @ xs, onehot.T @ xs**2, lo, hi, float((ys == _majority(leaf)).sum()),
+        majority = _majority(leaf)
+        bayes = _bayes(leaf, xs) if kind != "majority" else np.full(len(xs), majority)
+        final = bayes if _uses_bayes(leaf, kind, nb_threshold) else np.full(len(xs), majority)
+        if preds is not None:
+            preds[rows] = final
+        out[path] = LeafCounts(onehot.sum(axis=0), onehot.T @ xs, onehot.T @ xs**2, lo, hi, float((ys == majority).sum()),
                                float((ys == bayes).sum()), float(len(ys)), float((ys != final).sum()))
     return out
 
@@ -151,19 +154,17 @@ def try_split(leaf: Leaf, features: np.ndarray, criterion: str, confidence: floa
     mean = leaf.s1 / n
     sd = np.sqrt(np.maximum(leaf.s2 / n - mean**2, 1e-12))
     seen = leaf.n > 0
-    best = []
-    for f in features:
-        lo, hi = leaf.lo[seen, f].min(), leaf.hi[seen, f].max()
-        if not hi > lo:
-            continue
-        cuts = lo + (hi - lo) * np.arange(1, SPLIT_POINTS + 1) / (SPLIT_POINTS + 1)
-        z = (cuts[:, None] - mean[:, f]) / (sd[:, f] * math.sqrt(2))
-        left = leaf.n * 0.5 * (1 + _erf(z))
-        gain = _merit(left, leaf.n - left, criterion)
-        i = int(np.argmax(gain))
-        best.append((float(gain[i]), int(f), float(cuts[i]), left[i]))
-    if not best:
+    lo, hi = leaf.lo[seen].min(axis=0), leaf.hi[seen].max(axis=0)
+    features = np.array([f for f in features if hi[f] > lo[f]], dtype=np.int64)
+    if not len(features):
         return leaf
+    # all cuts of all features at once: (feature, cut, class)
+    cuts = lo[features, None] + (hi - lo)[features, None] * np.arange(1, SPLIT_POINTS + 1) / (SPLIT_POINTS + 1)
+    z = (cuts[:, :, None] - mean.T[features, None, :]) / (sd.T[features, None, :] * math.sqrt(2))
+    left = leaf.n * 0.5 * (1 + _erf(z))
+    gain = _merit(left, leaf.n - left, criterion)
+    at = gain.argmax(axis=1)
+    best = [(float(gain[j, i]), int(f), float(cuts[j, i]), left[j, i]) for j, (f, i) in enumerate(zip(features, at))]
     best.sort(key=lambda b: -b[0])
     second = best[1][0] if len(best) > 1 else 0.0
     eps = math.sqrt(_range(criterion, len(leaf.n)) ** 2 * math.log(1 / confidence) / (2 * total))
