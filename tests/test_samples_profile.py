@@ -106,6 +106,22 @@ def test_quantiles_at_the_border_of_two_frequent_values(spark):
     assert P.exact_quantiles(df, ["x"], [0.25, 0.5, 0.98], exact_values=0, gather_values=60)["x"] == [0.0, 0.5, 1.0]
 
 
+def test_robust_scale_of_many_columns_shares_its_passes(spark):
+    """Outliers and infinities cost no passes of their own, and the passes do not grow with columns or ranks."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4001, 3))
+    v[:5, 0], v[:7, 1], v[7:9, 1] = 1e300, np.inf, -np.inf
+    df = spark.createDataFrame([tuple(map(float, r)) for r in v], "a double, b double, c double").repartition(3)
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    try:
+        got = P.exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75], exact_values=0, gather_values=9000)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    s = np.sort(v, axis=0)
+    assert [got[c] for c in "abc"] == [s[[1000, 2000, 3000], i].tolist() for i in range(3)] and jobs < 40
+
+
 def test_impute_and_scale_edges(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (None, 5.0, None), (1.0, 5.0, None), (2.0, 5.0, None), (2.0, 5.0, None)], "a double, c double, e double")
     assert P.fit_impute(df, ["a", "e"], "moda") == {"a": 1.0, "e": None}
