@@ -29,7 +29,7 @@ class Step(Protocol):
     outputs: str
 
     def init(self, key: tuple) -> Any:
-        """The state of a stream before its first row. It is pickled between calls."""
+        """The state of a stream before its first row. Live, it is pickled between micro-batches."""
 
     def step(self, state: Any, rows: pd.DataFrame) -> tuple[Any, Any]:
         """The state after ``rows`` (in order), and one value per row: an array, or a dict of arrays by output column."""
