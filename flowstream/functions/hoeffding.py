@@ -7,11 +7,14 @@ window of rows, so the rows can be counted anywhere and only small arrays meet.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 
 SPLIT_POINTS = 10  # fixed value: cut candidates per feature
+TOGETHER_TREES = 5  # fewer trees are counted one by one
+TOGETHER_VALUES = 2_000_000  # rows x features x classes of the trees counted in one go
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -106,22 +109,93 @@ def count(root, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, kind:
     """
     out = {}
     for path, leaf, rows in route(root, x, np.arange(len(x)), inside):
-        xs, ys, ws = x[rows], y[rows], w[rows]
+        xs, ys, ws = (x, y, w) if len(rows) == len(x) else (x[rows], y[rows], w[rows])
         onehot = (ys[:, None] == np.arange(classes)) * ws[:, None]
         lo, hi = np.full((classes, x.shape[1]), np.inf), np.full((classes, x.shape[1]), -np.inf)
-        for c in np.unique(ys[ws > 0]):
-            mine = xs[(ys == c) & (ws > 0)]
+        weighed = ws > 0
+        for c in sorted(set(ys[weighed].tolist())):
+            mine = xs[(ys == c) & weighed]
             lo[c], hi[c] = mine.min(axis=0), mine.max(axis=0)
         majority = _majority(leaf)
-        bayes = _bayes(leaf, xs) if kind != "majority" else np.full(len(xs), majority)
-        final = bayes if _uses_bayes(leaf, kind, nb_threshold) else np.full(len(xs), majority)
+        hits = np.count_nonzero(ys == majority)
+        bayes_hits, bayes = hits, majority
+        if kind != "majority" and (leaf.n > 0).any():
+            bayes = _bayes(leaf, xs)
+            bayes_hits = np.count_nonzero(ys == bayes)
+        used = _uses_bayes(leaf, kind, nb_threshold)
         if preds is not None:
-            preds[rows] = final
-        out[path] = LeafCounts(onehot.sum(axis=0), onehot.T @ xs, onehot.T @ xs**2, lo, hi, float((ys == majority).sum()),
-                               float((ys == bayes).sum()), float(len(ys)), float((ys != final).sum()))
+            preds[rows] = bayes if used else majority
+        out[path] = LeafCounts(onehot.sum(axis=0), onehot.T @ xs, onehot.T @ xs**2, lo, hi, float(hits), float(bayes_hits),
+                               float(len(ys)), float(len(ys) - (bayes_hits if used else hits)))
     return out
 
 
+def count_together(trees: Sequence[tuple], x: np.ndarray, y: np.ndarray, classes: int) -> tuple[list[dict[str, LeafCounts]], np.ndarray]:
+    """``count`` for many trees in one go: the counts of each tree, and its predictions (0 for rows that it is not given).
+
+    A tree is (root, rows, weights, kind, nb_threshold), with a weight for each row of ``x``. The rows of all leaves lie one behind the other,
+    so numpy is called once for all of them; only the sums of products are made leaf by leaf, to be rounded as in ``count``.
+    """
+    out: list[dict[str, LeafCounts]] = [{} for _ in trees]
+    preds = np.zeros((len(trees), len(x)), dtype=np.int64)
+    if len(trees) < TOGETHER_TREES or len(y) and (y.min() < 0 or y.max() >= classes):
+        for t, (root, rows, w, kind, nb_threshold) in enumerate(trees):
+            own = np.zeros(len(rows), dtype=np.int64)
+            whole = len(rows) == len(x)
+            out[t] = count(root, *((x, y, w) if whole else (x[rows], y[rows], w[rows])), classes, kind, nb_threshold, preds=own)
+            preds[t, rows] = own
+        return out, preds
+    share = max(1, TOGETHER_VALUES // max(1, len(x) * x.shape[1] * classes))
+    for first in range(0, len(trees), share):
+        found = [(t, path, leaf, rows) for t in range(first, min(first + share, len(trees))) for path, leaf, rows in route(trees[t][0], x, trees[t][1])]
+        if found:
+            _count_leaves(found, trees, x, y, classes, out, preds)
+    return out, preds
+
+
+def _count_leaves(found: list[tuple], trees: Sequence[tuple], x: np.ndarray, y: np.ndarray, classes: int, out: list[dict], preds: np.ndarray) -> None:
+    sizes = [len(rows) for _, _, _, rows in found]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    at, leaf_of = np.concatenate([f[3] for f in found]), np.repeat(np.arange(len(found)), sizes)
+    tree_of = np.repeat([f[0] for f in found], sizes)
+    xs, ys = x[at], y[at]
+    ws = np.concatenate([trees[t][2][rows] for t, _, _, rows in found])
+
+    n = np.array([leaf.n for _, _, leaf, _ in found])
+    total, seen = n.sum(axis=1), n > 0
+    majority = (n + np.array([leaf.prior for _, _, leaf, _ in found])).argmax(axis=1)
+    at_least = np.where(seen, n, 1.0)
+    mean = np.array([leaf.s1 for _, _, leaf, _ in found]) / at_least[:, :, None]
+    var = np.maximum(np.array([leaf.s2 for _, _, leaf, _ in found]) / at_least[:, :, None] - mean**2, 1e-9)
+    share = np.log(at_least / np.maximum(total, 1e-300)[:, None])
+    logp = share[leaf_of] - 0.5 * (((xs[:, None, :] - mean[leaf_of]) ** 2 / var[leaf_of]) + np.log(var)[leaf_of]).sum(axis=2)
+    learned = np.array([trees[t][3] != "majority" for t, _, _, _ in found]) & seen.any(axis=1)
+    majority_of = majority[leaf_of]
+    bayes = np.where(learned[leaf_of], np.where(seen[leaf_of], logp, -np.inf).argmax(axis=1), majority_of)
+    uses = np.array([_uses_bayes(leaf, *trees[t][3:5]) for t, _, leaf, _ in found])
+    final = np.where(uses[leaf_of], bayes, majority_of)
+    preds[tree_of, at] = final
+
+    onehot = (ys[:, None] == np.arange(classes)) * ws[:, None]
+    squares, counted = xs**2, np.add.reduceat(onehot, starts, axis=0)
+    hits = np.add.reduceat(np.column_stack([ys == majority_of, ys == bayes, ys != final]).astype(float), starts, axis=0).tolist()
+    lo, hi = np.full((len(found) * classes, x.shape[1]), np.inf), np.full((len(found) * classes, x.shape[1]), -np.inf)
+    weighed = np.nonzero(ws > 0)[0]
+    cell = leaf_of[weighed] * classes + ys[weighed]
+    order = np.argsort(cell, kind="stable")
+    cells, begins = np.unique(cell[order], return_index=True)
+    if len(cells):
+        sorted_x = xs[weighed[order]]
+        lo[cells], hi[cells] = np.minimum.reduceat(sorted_x, begins, axis=0), np.maximum.reduceat(sorted_x, begins, axis=0)
+    for i, (t, path, _, rows) in enumerate(found):
+        a, b = starts[i], ends[i]
+        weights = onehot[a:b].T
+        majority_ok, bayes_ok, errors = hits[i]
+        out[t][path] = LeafCounts(counted[i], weights @ xs[a:b], weights @ squares[a:b], lo[i * classes:(i + 1) * classes], hi[i * classes:(i + 1) * classes],
+                                  majority_ok, bayes_ok, float(len(rows)), errors)
+
+
 def _impurity(p: np.ndarray, criterion: str) -> np.ndarray:
     total = p.sum(axis=-1, keepdims=True)
     f = np.divide(p, total, out=np.zeros_like(p), where=total > 0)
@@ -145,36 +219,56 @@ def _range(criterion: str, classes: int) -> float:
     return {"gini": 1.0, "hellinger": math.sqrt(2)}.get(criterion, math.log2(max(classes, 2)))
 
 
-def try_split(leaf: Leaf, features: np.ndarray, criterion: str, confidence: float, tie: float):
+def best_cuts(leaves: Sequence[Leaf], picks: Sequence[np.ndarray], criterion: str) -> list[tuple | None]:
+    """Per leaf (gain, second feature's gain, feature, cut, class weights left of it) over the picked features; None where nothing can be cut."""
+    shape = leaves[0].s1.shape
+    n = np.array([leaf.n for leaf in leaves])
+    seen, mean = n > 0, np.array([leaf.s1 for leaf in leaves]) / np.maximum(n, 1e-12)[:, :, None]
+    sd = np.sqrt(np.maximum(np.array([leaf.s2 for leaf in leaves]) / np.maximum(n, 1e-12)[:, :, None] - mean**2, 1e-12))
+    lo = np.where(seen[:, :, None], np.array([leaf.lo for leaf in leaves]), np.inf).min(axis=1)
+    hi = np.where(seen[:, :, None], np.array([leaf.hi for leaf in leaves]), -np.inf).max(axis=1)
+    usable = np.zeros((len(leaves), shape[1]), dtype=bool)
+    for i, pick in enumerate(picks):
+        usable[i, pick] = True
+    usable &= (hi > lo) & (seen.sum(axis=1) >= 2)[:, None]
+    which, features = np.nonzero(usable)
+    best: list[tuple | None] = [None] * len(leaves)
+    if not len(which):
+        return best
+    # all cuts of all features of all leaves at once: (leaf and feature, cut, class)
+    low, weights = lo[which, features], n[which][:, None, :]
+    cuts = low[:, None] + (hi[which, features] - low)[:, None] * np.arange(1, SPLIT_POINTS + 1) / (SPLIT_POINTS + 1)
+    z = (cuts[:, :, None] - mean[which, :, features][:, None, :]) / (sd[which, :, features][:, None, :] * math.sqrt(2))
+    left = weights * 0.5 * (1 + np.array([math.erf(v) for v in z.ravel().tolist()]).reshape(z.shape))
+    gain = _merit(left, weights - left, criterion)
+    at = gain.argmax(axis=1)
+    gains = gain[np.arange(len(at)), at].tolist()
+    firsts = np.searchsorted(which, np.arange(len(leaves) + 1)).tolist()
+    for i, (a, b) in enumerate(zip(firsts, firsts[1:])):
+        if a < b:
+            ranked = sorted(range(a, b), key=lambda j: -gains[j])
+            j = ranked[0]
+            best[i] = (gains[j], gains[ranked[1]] if b - a > 1 else 0.0, int(features[j]), float(cuts[j, at[j]]), left[j, at[j]])
+    return best
+
+
+def split_at(leaf: Leaf, best: tuple | None, criterion: str, confidence: float, tie: float):
     """A Split with two fresh leaves, or the leaf itself when the Hoeffding bound does not allow one."""
-    total = leaf.n.sum()
-    if (leaf.n > 0).sum() < 2:
-        return leaf
-    n = np.maximum(leaf.n, 1e-12)[:, None]
-    mean = leaf.s1 / n
-    sd = np.sqrt(np.maximum(leaf.s2 / n - mean**2, 1e-12))
-    seen = leaf.n > 0
-    lo, hi = leaf.lo[seen].min(axis=0), leaf.hi[seen].max(axis=0)
-    features = np.array([f for f in features if hi[f] > lo[f]], dtype=np.int64)
-    if not len(features):
+    if best is None:
         return leaf
-    # all cuts of all features at once: (feature, cut, class)
-    cuts = lo[features, None] + (hi - lo)[features, None] * np.arange(1, SPLIT_POINTS + 1) / (SPLIT_POINTS + 1)
-    z = (cuts[:, :, None] - mean.T[features, None, :]) / (sd.T[features, None, :] * math.sqrt(2))
-    left = leaf.n * 0.5 * (1 + _erf(z))
-    gain = _merit(left, leaf.n - left, criterion)
-    at = gain.argmax(axis=1)
-    best = [(float(gain[j, i]), int(f), float(cuts[j, i]), left[j, i]) for j, (f, i) in enumerate(zip(features, at))]
-    best.sort(key=lambda b: -b[0])
-    second = best[1][0] if len(best) > 1 else 0.0
-    eps = math.sqrt(_range(criterion, len(leaf.n)) ** 2 * math.log(1 / confidence) / (2 * total))
-    gain, f, cut, left = best[0]
+    gain, second, f, cut, left = best
+    eps = math.sqrt(_range(criterion, len(leaf.n)) ** 2 * math.log(1 / confidence) / (2 * leaf.n.sum()))
     if gain <= 0 or not (gain - max(second, 0.0) > eps or eps < tie):
         return leaf
     shape = leaf.s1.shape
     return Split(f, cut, Leaf(*shape, prior=left), Leaf(*shape, prior=leaf.n - left))
 
 
+def try_split(leaf: Leaf, features: np.ndarray, criterion: str, confidence: float, tie: float):
+    """The leaf after a look at all cuts of the features, split or as it was."""
+    return split_at(leaf, best_cuts([leaf], [features], criterion)[0], criterion, confidence, tie)
+
+
 BUCKETS = 5  # fixed value: buckets of one size before the two oldest are joined
 
 

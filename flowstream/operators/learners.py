@@ -99,24 +99,34 @@ def _poisson_cdf(lam: float) -> np.ndarray:
     return np.cumsum(np.exp(-lam + k * np.log(lam) - np.concatenate([[0], np.cumsum(np.log(np.arange(1, 60)))])))
 
 
-def _weights(cfg: Learner, member: int, seq: np.ndarray) -> np.ndarray:
+def _weights(cfg: Learner, member, seq: np.ndarray) -> np.ndarray:
     """Poisson weight per (row, member) from a hash, the same on every run and partitioning."""
     if cfg.lam <= 0:
-        return np.ones(len(seq))
+        return np.ones(np.broadcast_shapes(np.shape(member), seq.shape))
     u = node_hash(cfg.seed, member, seq % LEHMER) / LEHMER
     return np.searchsorted(_poisson_cdf(cfg.lam), u, side="right").astype(float)
 
 
-def _count_member(cfg: Learner, m: H.Member, member: int, seq, x, y, classes: int, preds: np.ndarray | None = None) -> dict:
-    w = _weights(cfg, member, seq)
-    got = {"main": H.count(m.root, x, y, w, classes, cfg.leaf, cfg.nb_threshold, preds=preds)}
-    if m.background is not None:
-        got["background"] = H.count(m.background, x, y, w, classes, cfg.leaf, cfg.nb_threshold)
-    if cfg.drift == "subtree":
-        for path, rows in _alternate_rows(m.root, x, np.arange(len(x))):
-            node = _at(m.root, path)
-            got["alt:" + path] = H.count(node.alternate, x[rows], y[rows], w[rows], classes, cfg.leaf, cfg.nb_threshold)
-    return got
+def _count_members(members: dict[tuple, tuple[Learner, H.Member]], seq, x, y, classes: int) -> tuple[list[dict], np.ndarray]:
+    """What a window's rows add to each (learner, member) tree and its companions, and the predictions of the trees."""
+    weights: dict[tuple, np.ndarray] = {}
+    for name in dict.fromkeys(name for name, _ in members):
+        mine = [key for key in members if key[0] == name]
+        rows = _weights(members[mine[0]][0], np.array([i for _, i in mine])[:, None], seq[None, :])
+        weights |= dict(zip(mine, rows))
+    every = np.arange(len(x))
+    trees, parts = [], []
+    for key, (cfg, m) in members.items():
+        jobs = [("main", m.root, every)]
+        if m.background is not None:
+            jobs.append(("background", m.background, every))
+        if cfg.drift == "subtree":
+            jobs += [("alt:" + path, _at(m.root, path).alternate, rows) for path, rows in _alternate_rows(m.root, x, every)]
+        parts.append([part for part, _, _ in jobs])
+        trees += [(root, rows, weights[key], cfg.leaf, cfg.nb_threshold) for _, root, rows in jobs]
+    counts, preds = H.count_together(trees, x, y, classes)
+    firsts = np.cumsum([0, *(len(p) for p in parts)])
+    return [dict(zip(p, counts[a:])) for p, a in zip(parts, firsts)], preds[firsts[:-1]]
 
 
 def _at(node, path: str):
@@ -143,8 +153,8 @@ def _merge(parts: list[dict]) -> dict:
     return out
 
 
-def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
-    """Add the window's counts to the leaves and split those the Hoeffding bound allows."""
+def _absorb(root, counts: dict) -> None:
+    """Add the window's counts to the leaves."""
     for path, c in counts.items():
         leaf = _at(root, path)
         leaf.n, leaf.s1, leaf.s2 = leaf.n + c.n, leaf.s1 + c.s1, leaf.s2 + c.s2
@@ -152,29 +162,53 @@ def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
         leaf.majority_ok += c.majority_ok
         leaf.bayes_ok += c.bayes_ok
 
-    room = float("inf") if cfg.max_leaves is None else cfg.max_leaves - len(H.leaves(root))
-
-    def visit(node, path):
-        nonlocal room
-        if isinstance(node, H.Split):
-            node.left, node.right = visit(node.left, path + "l"), visit(node.right, path + "r")
-            return node
-        weight = node.n.sum()
-        if room <= 0 or weight - node.tried < cfg.grace:
-            return node
-        node.tried = weight
-        k = node.s1.shape[1]
-        wanted = max(1, round(cfg.max_features * k))
-        if wanted >= k:
-            pick = np.arange(k)
-        else:
-            rng = np.random.default_rng([cfg.seed, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path))])
-            pick = np.sort(rng.permutation(k)[:wanted])
-        new = H.try_split(node, pick, cfg.criterion, cfg.confidence, cfg.tie)
-        room -= new is not node
-        return new
-
-    return visit(root, "")
+
+def _split_due(trees: Sequence[tuple], window: int) -> list:
+    """Splits the leaves that the Hoeffding bound allows, for all (root, learner, member) trees together; the roots after it."""
+    due: dict[str, list[tuple]] = {}
+    for t, (root, cfg, member) in enumerate(trees):
+        leaves = H.leaves(root)
+        if cfg.max_leaves is not None and len(leaves) >= cfg.max_leaves:
+            continue
+        for path, leaf in leaves:
+            weight = leaf.n.sum()
+            if weight - leaf.tried >= cfg.grace:
+                due.setdefault(cfg.criterion, []).append((t, path, leaf, weight, _pick(cfg, member, window, path, leaf.s1.shape[1]), len(leaves)))
+    roots = [root for root, _, _ in trees]
+    for criterion, mine in due.items():
+        best = H.best_cuts([d[2] for d in mine], [d[4] for d in mine], criterion)
+        added: dict[int, int] = {}
+        for (t, path, leaf, weight, _, had), b in zip(mine, best):
+            cfg = trees[t][1]
+            if cfg.max_leaves is not None and had + added.get(t, 0) >= cfg.max_leaves:
+                continue
+            leaf.tried = weight
+            new = H.split_at(leaf, b, criterion, cfg.confidence, cfg.tie)
+            if new is leaf:
+                continue
+            added[t] = added.get(t, 0) + 1
+            if not path:
+                roots[t] = new
+            elif path[-1] == "l":
+                _at(roots[t], path[:-1]).left = new
+            else:
+                _at(roots[t], path[:-1]).right = new
+    return roots
+
+
+def _pick(cfg: Learner, member: int, window: int, path: str, k: int) -> np.ndarray:
+    """The features a split may use."""
+    wanted = max(1, round(cfg.max_features * k))
+    if wanted >= k:
+        return np.arange(k)
+    rng = np.random.default_rng([cfg.seed, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path))])
+    return np.sort(rng.permutation(k)[:wanted])
+
+
+def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
+    """Add the window's counts to the leaves and split those the Hoeffding bound allows."""
+    _absorb(root, counts)
+    return _split_due([(root, cfg, member)], window)[0]
 
 
 def _totals(counts: dict, prefix: str = "") -> tuple[float, float]:
@@ -212,21 +246,33 @@ def _subtree_drift(root, counts: dict, alternates: dict, cfg: Learner, member: i
     return root
 
 
-def _learn(cfg: Learner, m: H.Member, got: dict, member: int, window: int, classes: int, features: int) -> H.Member:
-    counts = got.get("main", {})
-    n, e = _totals(counts)
-    m.ok, m.seen = m.ok + n - e, m.seen + n
-    if cfg.drift == "subtree" and cfg.drift_detection:
-        alternates = {k[4:]: v for k, v in got.items() if k.startswith("alt:")}
-        counted = {p: _leaf_at(m.root, p) for p in counts}
-        m.root = _subtree_drift(m.root, counts, alternates, cfg, member, window, classes, features)
-        # a swapped-in alternate learned in this window already, so only leaves of the tree before it take their counts
-        kept = {p: c for p, c in counts.items() if counted[p] is not None and _leaf_at(m.root, p) is counted[p]}
-        m.root = _grow(m.root, kept, cfg, member, window)
-        return m
-    m.root = _grow(m.root, counts, cfg, member, window)
-    if m.background is not None:
-        m.background = _grow(m.background, got.get("background", {}), cfg, member, window)
+def _learn(members: Sequence[tuple], window: int, classes: int, features: int) -> list[H.Member]:
+    """All (learner, member's state, counts, member) after the window; their splits are looked for together."""
+    growing, totals = [], []
+    for cfg, m, got, member in members:
+        counts = got.get("main", {})
+        n, e = _totals(counts)
+        totals.append((n, e))
+        m.ok, m.seen = m.ok + n - e, m.seen + n
+        if cfg.drift == "subtree" and cfg.drift_detection:
+            alternates = {k[4:]: v for k, v in got.items() if k.startswith("alt:")}
+            counted = {p: _leaf_at(m.root, p) for p in counts}
+            m.root = _subtree_drift(m.root, counts, alternates, cfg, member, window, classes, features)
+            # a swapped-in alternate learned in this window already, so only leaves of the tree before it take their counts
+            counts = {p: c for p, c in counts.items() if counted[p] is not None and _leaf_at(m.root, p) is counted[p]}
+        elif m.background is not None:
+            _absorb(m.background, got.get("background", {}))
+            growing.append((m, "background", cfg, member))
+        _absorb(m.root, counts)
+        growing.append((m, "root", cfg, member))
+    roots = _split_due([(getattr(m, part), cfg, member) for m, part, cfg, member in growing], window)
+    for (m, part, _, _), root in zip(growing, roots):
+        setattr(m, part, root)
+    return [_member_drift(cfg, m, n, e, classes, features) for (cfg, m, _, _), (n, e) in zip(members, totals)]
+
+
+def _member_drift(cfg: Learner, m: H.Member, n: float, e: float, classes: int, features: int) -> H.Member:
+    """The member after its errors of the window, replaced if they rose."""
     if cfg.drift == "member" and cfg.drift_detection:
         if n:
             m.history.add(n, e)
@@ -285,25 +331,28 @@ def _classify_streams(df: DataFrame, features: Sequence[str], configured: dict[s
 
     def advance(models: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         # plain arrays of the segment: a window's rows are few, a table of their own would cost more than the trees
-        xs, ys, ats = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64), pdf[seq].to_numpy(dtype=np.int64)
+        xs = np.column_stack([pdf[c].to_numpy(dtype=float) for c in features])
+        ys, ats = pdf[target].to_numpy(dtype=np.int64), pdf[seq].to_numpy(dtype=np.int64)
         windows = ats // window_rows
         cuts = [0, *(np.nonzero(np.diff(windows))[0] + 1), len(ats)]
         preds = {name: np.empty(len(ats), dtype=np.int32) for name in configured}
         for begin, end in zip(cuts, cuts[1:]):
             x, y, at, w = xs[begin:end], ys[begin:end], ats[begin:end], int(windows[begin])
-            own, every = np.empty(end - begin, dtype=np.int64), np.arange(end - begin)
+            every = np.arange(end - begin)
+            # rows are routed once, to be predicted and counted, for the trees of all learners together
+            members = {key: (configured[key[0]], m) for key, m in models.items()}
+            got, own = _count_members(members, at, x, y, classes)
+            votes = {name: np.zeros((end - begin, classes)) for name in configured}
+            for (name, _), (cfg, m), pred in zip(members, members.values(), own):
+                votes[name][every, pred] += _vote_weight(cfg, m)
+            learned = _learn([(cfg, m, g, key[1]) for (key, (cfg, m)), g in zip(members.items(), got)], w, classes, k)
+            models.update(zip(members, learned))
             for name, cfg in configured.items():
-                votes = np.zeros((end - begin, classes))
-                for i in range(cfg.members):
-                    m = models[(name, i)]
-                    weight = _vote_weight(cfg, m)
-                    got = _count_member(cfg, m, i, at, x, y, classes, own)  # rows are routed once, to be predicted and counted
-                    votes[every, own] += weight
-                    models[(name, i)] = _learn(cfg, m, got, i, w, classes, k)
-                preds[name][begin:end] = votes.argmax(axis=1)
+                preds[name][begin:end] = votes[name].argmax(axis=1)
                 if cfg.drift == "member" and not cfg.background:
                     _replace_worst(models, name, cfg, classes, k)
-        return pd.concat([pdf[carried].assign(learner=name, pred=preds[name]) for name in configured], ignore_index=True)
+        parts = [pd.DataFrame({**{c: pdf[c] for c in carried}, "learner": name, "pred": preds[name]}) for name in configured]
+        return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
     segment = max(1, SEGMENT_ROWS // window_rows) * window_rows
     out = keyed_scan(rows, keys, make, advance, f"{_ddl(df, carried)}, learner string, pred int", seq, segment)
@@ -363,9 +412,9 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
             for pdf in _larger(batches):
                 x, y = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64)
                 s = pdf[seq].to_numpy(dtype=np.int64)
-                for (name, i), m in current.items():
-                    got = _count_member(configured[name], m, i, s, x, y, classes)
-                    found[(name, i)] = _merge([found[(name, i)], got]) if (name, i) in found else got
+                counted, _ = _count_members({key: (configured[key[0]], m) for key, m in current.items()}, s, x, y, classes)
+                for key, got in zip(current, counted):
+                    found[key] = _merge([found[key], got]) if key in found else got
                 first = min(first, int(s.min()))
             if found:
                 yield pd.DataFrame([{"learner": n, "member": i, "blob": pickle.dumps(g), "first": first} for (n, i), g in found.items()])
@@ -375,7 +424,7 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
             m = pickle.loads(shared.value)[(name, i)]
             # sums in a fixed order, so that a rerun grows the same tree
             parts = [pickle.loads(b) for b in pdf.sort_values("first")["blob"]]
-            m = _learn(configured[name], m, _merge(parts), i, w, classes, k)
+            m = _learn([(configured[name], m, _merge(parts), i)], w, classes, k)[0]
             return pd.DataFrame([{"learner": name, "member": i, "blob": pickle.dumps(m)}])
 
         window = data.filter(F.col("_w") == w).select(seq, target, *features)

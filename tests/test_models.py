@@ -418,3 +418,46 @@ def test_splits_look_at_all_features_at_once(monkeypatch):
                 best.append((float(plain(left, leaf.n - left, criterion)), -f, cut))
         assert isinstance(got, H.Split) and (got.feature, got.cut) == (-max(best)[1], pytest.approx(max(best)[2]))
     assert len(calls) == 3
+
+
+def test_trees_counted_together():
+    """A window's rows are counted into many trees in one go, with the counts and predictions of one tree after the other."""
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(size=(300, 3)), rng.integers(0, 3, 300)
+    x[5, 1], every, grown, old = np.nan, np.arange(300), [], np.arange(200)
+    for i, kind in enumerate(["nba", "nb", "majority", "nba", "nb", "nba", "nba"]):
+        root, w = H.Leaf(3, 3), rng.poisson(0.7 * i, 300).astype(float)
+        for window in range(i):
+            root = L._grow(root, H.count(root, x[old], (x[old, 0] * 3).astype(int) if window % 2 else y[old], w[old] + 1, 3, kind), L.hoeffding_tree(grace=20, tie=2.0), i, window)
+        grown.append((root, every if i != 4 else every[::3], w, kind, 0))
+    got, preds = H.count_together(grown, x, y, 3)
+    assert max(len(c) for c in got) > 2
+    for (root, rows, w, kind, nb), counts, pred in zip(grown, got, preds):
+        own = np.zeros(len(rows), dtype=np.int64)
+        plain = H.count(root, x[rows], y[rows], w[rows], 3, kind, nb, preds=own)
+        assert list(counts) == list(plain) and pred[rows].tolist() == own.tolist()
+        for path, c in plain.items():
+            for name in ("n", "s1", "s2", "lo", "hi", "majority_ok", "bayes_ok", "rows", "errors"):
+                np.testing.assert_array_equal(getattr(counts[path], name), getattr(c, name))
+    # a class the trees don't know is counted as it is tree by tree
+    odd = np.where(every == 7, -1, y)
+    assert H.count_together(grown, x, odd, 3)[0][0][""].n.sum() == H.count(grown[0][0], x, odd, grown[0][2], 3, "nba")[""].n.sum()
+
+
+def test_splits_of_a_window_are_looked_for_once(monkeypatch):
+    """The leaves of all members of all learners with one criterion share one look at their cuts."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(200, 3))
+    y, seq = (x[:, 0] > 0.5).astype(int), np.arange(200)
+    calls, plain = [], H.best_cuts
+    monkeypatch.setattr(H, "best_cuts", lambda leaves, picks, criterion: calls.append(len(leaves)) or plain(leaves, picks, criterion))
+    configured = L.learners(["LB", "ARF", "HT"], {"LB": {"members": 4}, "ARF": {"members": 3, "max_leaves": 2}, "HT": {"grace": 50}})
+    members = {(name, i): (cfg, H.Member(H.Leaf(2, 3))) for name, cfg in configured.items() for i in range(cfg.members)}
+    for window in range(4):
+        calls.clear()
+        got, _ = L._count_members(members, seq, x, y, 2)
+        learned = L._learn([(cfg, m, g, key[1]) for (key, (cfg, m)), g in zip(members.items(), got)], window, 2, 3)
+        assert len(calls) == 1 and calls[0] >= 5
+        members = {key: (cfg, m) for (key, (cfg, _)), m in zip(members.items(), learned)}
+    sizes = {name: [len(H.leaves(m.root)) for (n, _), (_, m) in members.items() if n == name] for name in configured}
+    assert all(s > 1 for mine in sizes.values() for s in mine) and max(sizes["AdaptiveRandomForest"]) == 2
