@@ -26,8 +26,12 @@ def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
 
 
 def _segments(batches: Iterator[pd.DataFrame], seq: str, segment_rows: int) -> Iterator[pd.DataFrame]:
-    """The batches of one stream, in order, as whole segments."""
+    """The batches of one stream, in order, as whole segments. Streams are often short, so nothing is copied for one batch."""
     held, current = [], None
+
+    def whole() -> pd.DataFrame:
+        return held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
+
     for pdf in batches:
         at = pdf[seq].to_numpy(dtype=float, na_value=np.inf) // segment_rows if pdf[seq].hasnans else pdf[seq].to_numpy() // segment_rows
         cuts = [0, *(np.nonzero(at[1:] != at[:-1])[0] + 1), len(pdf)]
@@ -35,12 +39,12 @@ def _segments(batches: Iterator[pd.DataFrame], seq: str, segment_rows: int) -> I
             if i == j:
                 continue
             if held and at[i] != current:
-                yield pd.concat(held, ignore_index=True)
+                yield whole()
                 held = []
-            held.append(pdf.iloc[i:j])
+            held.append(pdf if j - i == len(pdf) else pdf.iloc[i:j])
             current = at[i]
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield whole()
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str], make: Callable[[tuple], object], advance: Callable[[object, pd.DataFrame], pd.DataFrame],
