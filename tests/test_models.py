@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog import learned
+from catalog import facts, learned
 from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import collusive_displacement
 from flowstream.operators import evaluation as E
@@ -461,3 +461,13 @@ def test_splits_of_a_window_are_looked_for_once(monkeypatch):
         members = {key: (cfg, m) for (key, (cfg, _)), m in zip(members.items(), learned)}
     sizes = {name: [len(H.leaves(m.root)) for (n, _), (_, m) in members.items() if n == name] for name in configured}
     assert all(s > 1 for mine in sizes.values() for s in mine) and max(sizes["AdaptiveRandomForest"]) == 2
+
+
+def test_scorer_facts_score_once(spark, tmp_path):
+    """Counts and areas read written scores: the result's plan holds no scorer any more."""
+    events = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), (F.col("id") % 7).alias("user_id"),
+                                     F.when(F.col("id") % 50 == 3, 200.0).otherwise(F.col("id") % 11).cast("double").alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = facts.scorer_facts(spark, str(tmp_path))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert {(r["algorithm"], r["n"], r["outside"]) for r in got.collect()} == {(a, 600, 0) for a in [*facts.FOREST, "Autoencoder"]}
