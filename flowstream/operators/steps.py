@@ -35,6 +35,10 @@ class Step(Protocol):
         """The state after ``rows`` (in order), and one value per row: an array, or a dict of arrays by output column."""
 
 
+def _matrix(rows: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
+    return np.column_stack([rows[c].to_numpy(dtype=float) for c in features])
+
+
 @dataclass(frozen=True)
 class RowScorer:
     """Test-then-train over single rows: ``make(key)`` gives an object with ``score_instance(x)`` and ``train(x)``.
@@ -51,7 +55,7 @@ class RowScorer:
 
     def step(self, state, rows):
         scores = np.full(len(rows), np.nan)
-        for i, x in enumerate(rows[list(self.features)].to_numpy(dtype=float)):
+        for i, x in enumerate(_matrix(rows, self.features)):
             score = state.score_instance(x)
             scores[i] = np.nan if score is None else score
             try:
@@ -79,7 +83,7 @@ class RowClassifier:
     def step(self, state, rows):
         found = np.zeros(len(rows), dtype=np.int32)
         classes = rows[self.target].to_numpy(dtype=float, na_value=np.nan)
-        for i, (x, y) in enumerate(zip(rows[list(self.features)].to_numpy(dtype=float), classes)):
+        for i, (x, y) in enumerate(zip(_matrix(rows, self.features), classes)):
             pred = state.predict(x)
             found[i] = 0 if pred is None else pred
             if not np.isnan(y):
@@ -107,8 +111,8 @@ def advance(plugins: dict[str, Step], states: dict[str, Any], rows: pd.DataFrame
     for name, p in plugins.items():
         states[name], got = p.step(states[name], rows)
         values = got if isinstance(got, dict) else {names[0]: got}
-        parts.append(rows[list(carried)].assign(**{label: name}, **{c: values[c] for c in names}))
-    return pd.concat(parts, ignore_index=True)
+        parts.append(pd.DataFrame({**{c: rows[c] for c in carried}, label: name, **{c: values[c] for c in names}}, index=rows.index))
+    return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
 
 def run_steps(df: DataFrame, plugins: dict[str, Step], keys=(), seq: str = "seq", keep: Sequence[str] = (), reads: Sequence[str] = (),
