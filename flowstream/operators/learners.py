@@ -1,8 +1,8 @@
 """Hoeffding trees and their ensembles, test-then-train, in windows.
 
-Per window one job: every partition of the window counts its rows into the current trees' leaves
-(small arrays), the counts of one tree meet in one task, and that task grows the tree. Rows are never
-shuffled for training. The trees as they stood before each window then predict that window's rows in a
+Per window one job: pieces of the window's rows meet all current trees and are counted into their leaves
+(small arrays), the counts of one tree meet the tree in one task, and that task grows it. Trees go from window to window
+through the shared folder, not through the driver. The trees as they stood before each window then predict that window's rows in a
 single parallel pass. Training per window instead of per row is a deliberate change of granularity.
 
 With stream keys every stream has trees of its own. Then one job trains all streams side by side: a stream's rows
@@ -12,8 +12,7 @@ meet in one task, window after window, and its trees are the state of ``keyed_sc
 from __future__ import annotations
 
 import pickle
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 from functools import lru_cache
 
@@ -21,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import _parse_datatype_string as _typed
 
 from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import LEHMER, node_hash
@@ -30,7 +29,8 @@ from flowstream.operators.ordering import _keys
 from flowstream.operators.steps import run_steps
 from flowstream.session import fresh_path, spread_by
 
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 100_000  # most rows of a piece of a window
+PIECE_ROWS = 100      # least rows of a piece, where cores allow it
 MAX_MODEL_BYTES = 256 << 20  # the trees of one window are sent to every task
 
 
@@ -295,19 +295,6 @@ def _leaf_at(root, path: str):
     return node if isinstance(node, H.Leaf) else None
 
 
-def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Arrow batches joined up to CHUNK_ROWS: routing rows through many trees costs per call, not per row."""
-    held, n = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= CHUNK_ROWS:
-            yield pd.concat(held, ignore_index=True)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _vote_weight(cfg: Learner, m: H.Member) -> float:
     return m.ok / m.seen if cfg.weighted_vote and m.seen else 1.0
 
@@ -350,7 +337,7 @@ def _classify_streams(df: DataFrame, features: Sequence[str], configured: dict[s
             for name, cfg in configured.items():
                 preds[name][begin:end] = votes[name].argmax(axis=1)
                 if cfg.drift == "member" and not cfg.background:
-                    _replace_worst(models, name, cfg, classes, k)
+                    _replace_worst(models, name, classes, k)
         parts = [pd.DataFrame({**{c: pdf[c] for c in carried}, "learner": name, "pred": preds[name]}) for name in configured]
         return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
@@ -388,56 +375,62 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
     data = spark.read.parquet(path)
     last = data.agg(F.max("_w")).first()[0]
     models = {(name, i): H.Member(H.Leaf(classes, k)) for name, cfg in configured.items() for i in range(cfg.members)}
-    model_path = fresh_path(spark, "models")
-    model_type = T.StructType([T.StructField("learner", T.StringType()), T.StructField("member", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-
-    count_type = T.StructType([*model_type.fields, T.StructField("first", T.LongType())])
+    model_path, grown_path = fresh_path(spark, "models"), fresh_path(spark, "grown")
+    model_type = _typed("learner string, member int, blob binary, ok double, seen double")
+    count_type = _typed("learner string, member int, blob binary, first long")
     cores = spark.sparkContext.defaultParallelism
 
-    for w in range((last if last is not None else -1) + 1):
-        packed = [(name, i, bytearray(pickle.dumps(m))) for (name, i), m in models.items()]
-        # the trees before window w, kept for its predictions
-        spark.createDataFrame(packed, model_type).write.parquet(f"{model_path}/_w={w}")
-        if w == last:
-            break
-        size = sum(len(b) for _, _, b in packed)
+    def count(key, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=count_type.names)
+        pdf = pdf.sort_values(seq)
+        members = {(n, int(i)): (configured[n], pickle.loads(b)) for n, i, b in zip(trees["learner"], trees["member"], trees["blob"])}
+        at = pdf[seq].to_numpy(dtype=np.int64)
+        got, _ = _count_members(members, at, pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64), classes)
+        return pd.DataFrame([{"learner": n, "member": i, "blob": pickle.dumps(g), "first": int(at[0])} for (n, i), g in zip(members, got)])
+
+    def grow_in(w: int):
+        def grow(key, pdf: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            name, i = tree["learner"].iloc[0], int(tree["member"].iloc[0])
+            m = pickle.loads(tree["blob"].iloc[0])
+            if len(pdf):
+                # sums in a fixed order, so that a rerun grows the same tree
+                parts = [pickle.loads(b) for b in pdf.sort_values("first")["blob"]]
+                m = _learn([(configured[name], m, _merge(parts), i)], w, classes, k)[0]
+            return pd.DataFrame([{"learner": name, "member": i, "blob": pickle.dumps(m), "ok": float(m.ok), "seen": float(m.seen)}])
+        return grow
+
+    # The trees before window w lie in part _w=w of the shared folder; the driver sees two numbers and the size of each.
+    replaced = [name for name, cfg in configured.items() if cfg.drift == "member" and not cfg.background]
+    fresh = bytearray(pickle.dumps(H.Member(H.Leaf(classes, k))))
+    none_yet = [(name, i, fresh, 0.0, 0.0) for name, cfg in configured.items() for i in range(cfg.members)]
+    spark.createDataFrame(none_yet, model_type).write.parquet(f"{model_path}/_w=0")
+    # no more tasks than pieces or trees: what each task reports to the driver would be most of what it gets
+    by, places = ["learner", "member"], min(len(none_yet), cores)
+    pieces = max(min(cores, -(-window_rows // PIECE_ROWS)), -(-window_rows // CHUNK_ROWS))
+    for w in range(last if last is not None else 0):
+        trees = spark.read.schema(model_type).parquet(f"{model_path}/_w={w}").select("learner", "member", "blob")
+        # pieces of consecutive rows, each of which meets all trees
+        window = data.filter(F.col("_w") == w).select(seq, target, *features)
+        window = window.withColumn("_piece", F.expr(f"cast((`{seq}` - {w * window_rows}L) * {pieces} div {window_rows} as int)"))
+        everywhere = trees.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        counts = window.repartition(pieces, "_piece").groupBy("_piece").cogroup(everywhere.repartition(pieces, "_to").groupBy("_to")).applyInPandas(count, count_type)
+        grown = counts.repartition(places, *by).groupBy(*by).cogroup(trees.repartition(places, *by).groupBy(*by)).applyInPandas(grow_in(w), model_type)
+        path = f"{grown_path if replaced else model_path}/_w={w + 1}"
+        grown.write.parquet(path)
+        grown = spark.read.schema(model_type).parquet(path)
+        state = sorted(grown.select("learner", "member", "ok", "seen", F.length("blob").alias("size")).collect())
+        size = sum(r["size"] for r in state)
         if size > MAX_MODEL_BYTES:
             raise ValueError(f"trees of {size} bytes are too large to send to every task; lower members or max_leaves")
-        shared = spark.sparkContext.broadcast(pickle.dumps(models))
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current = pickle.loads(shared.value)
-            found: dict[tuple, dict] = {}
-            first = sys.maxsize
-            for pdf in _larger(batches):
-                x, y = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=np.int64)
-                s = pdf[seq].to_numpy(dtype=np.int64)
-                counted, _ = _count_members({key: (configured[key[0]], m) for key, m in current.items()}, s, x, y, classes)
-                for key, got in zip(current, counted):
-                    found[key] = _merge([found[key], got]) if key in found else got
-                first = min(first, int(s.min()))
-            if found:
-                yield pd.DataFrame([{"learner": n, "member": i, "blob": pickle.dumps(g), "first": first} for (n, i), g in found.items()])
-
-        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            name, i = key[0], int(key[1])
-            m = pickle.loads(shared.value)[(name, i)]
-            # sums in a fixed order, so that a rerun grows the same tree
-            parts = [pickle.loads(b) for b in pdf.sort_values("first")["blob"]]
-            m = _learn([(configured[name], m, _merge(parts), i)], w, classes, k)[0]
-            return pd.DataFrame([{"learner": name, "member": i, "blob": pickle.dumps(m)}])
-
-        window = data.filter(F.col("_w") == w).select(seq, target, *features)
-        if window.rdd.getNumPartitions() < cores:
-            window = window.repartition(cores, seq)  # few large splits would leave cores idle
-        counts = window.mapInPandas(count, count_type)
-        grown = spread_by(counts, ["learner", "member"]).groupBy("learner", "member").applyInPandas(grow, model_type)
-        for r in grown.collect():
-            models[(r["learner"], r["member"])] = pickle.loads(bytes(r["blob"]))
-        for name, cfg in configured.items():
-            if cfg.drift == "member" and not cfg.background:
-                _replace_worst(models, name, cfg, classes, k)
-        shared.unpersist()
+        if replaced:
+            again = F.lit(False)
+            for name in replaced:
+                mine = [r for r in state if r["learner"] == name]
+                worst = _worst([(r["ok"], r["seen"]) for r in mine])
+                if worst is not None:
+                    again |= (F.col("learner") == name) & (F.col("member") == mine[worst]["member"])
+            grown.withColumn("blob", F.when(again, F.lit(fresh)).otherwise(F.col("blob"))).write.parquet(f"{model_path}/_w={w + 1}")
 
     def vote(key, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq)
@@ -449,7 +442,7 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
         return pd.concat(parts, ignore_index=True)
 
     rows = data.withColumn("_blk", F.expr(f"`{seq}` div {block_rows}"))
-    trees = spark.read.parquet(model_path).select(F.col("_w").alias("_mw"), *model_type.fieldNames())
+    trees = spark.read.parquet(model_path).select(F.col("_w").alias("_mw"), "learner", "member", "blob")
     homes = rows.select("_w", "_blk").distinct().withColumnsRenamed({"_w": "_hw", "_blk": "_hblk"})
     trees = homes.join(trees, F.col("_hw") == F.col("_mw")).drop("_mw")
     left, right = spread_by(rows, ["_w", "_blk"]).groupBy("_w", "_blk"), spread_by(trees, ["_hw", "_hblk"]).groupBy("_hw", "_hblk")
@@ -457,12 +450,18 @@ def prequential_classify(df: DataFrame, features: Sequence[str], configured: dic
     return out.withColumnRenamed(target, "truth")
 
 
-def _replace_worst(models: dict, name: str, cfg: Learner, classes: int, k: int) -> None:
-    """Leveraging bagging: when a member just restarted after drift, the member with the highest error restarts too."""
-    mine = {key: m for key, m in models.items() if key[0] == name and m.seen > 0}
-    if any(m.seen == 0 for key, m in models.items() if key[0] == name) and mine:
-        worst = min(mine, key=lambda key: mine[key].ok / mine[key].seen)
-        models[worst] = H.Member(H.Leaf(classes, k))
+def _worst(states: Sequence[tuple[float, float]]) -> int | None:
+    """Leveraging bagging: when a member just restarted after drift, the member with the highest error restarts too.
+    Its place among the (right rows, rows) of all members."""
+    seen = [at for at, (_, n) in enumerate(states) if n > 0]
+    return min(seen, key=lambda at: states[at][0] / states[at][1]) if 0 < len(seen) < len(states) else None
+
+
+def _replace_worst(models: dict, name: str, classes: int, k: int) -> None:
+    mine = [key for key in models if key[0] == name]
+    worst = _worst([(models[key].ok, models[key].seen) for key in mine])
+    if worst is not None:
+        models[mine[worst]] = H.Member(H.Leaf(classes, k))
 
 
 def classifier_sweep(df: DataFrame, features: Sequence[str], algorithm: str, grid: Sequence[dict], window_rows: int, classes: int,

@@ -471,3 +471,20 @@ def test_scorer_facts_score_once(spark, tmp_path):
     got = facts.scorer_facts(spark, str(tmp_path))
     assert "InPandas" not in got._jdf.queryExecution().toString()
     assert {(r["algorithm"], r["n"], r["outside"]) for r in got.collect()} == {(a, 600, 0) for a in [*facts.FOREST, "Autoencoder"]}
+
+
+def test_trees_of_one_long_stream_stay_off_the_driver(spark, monkeypatch):
+    """Per window and tree the driver gets two numbers and a size, and a window that has no rows changes nothing."""
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(size=900), rng.uniform(size=900)
+    rows = [(i + (300 if i >= 600 else 0), int(a[i] > 0.5) ^ (i >= 600), float(a[i]), float(b[i])) for i in range(900)]
+    table = spark.createDataFrame(rows, "seq long, class_idx int, a double, b double")
+    seen, plain = [], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda df: seen.append(df.columns) or plain(df))
+    configured = L.learners(["LB", "HT"], {"LB": {"members": 3, "delta": 0.9}, "HT": {"grace": 50}})
+    got = L.prequential_classify(table, ["a", "b"], configured, 300, 2)
+    assert seen and not any("blob" in columns for columns in seen)
+    monkeypatch.undo()
+    alone = L.prequential_classify(table.withColumn("one", F.lit(1)), ["a", "b"], configured, 300, 2, keys="one").drop("one")
+    key = ["learner", "seq"]
+    assert got.orderBy(*key).select(*key, "truth", "pred").collect() == alone.orderBy(*key).select(*key, "truth", "pred").collect()
