@@ -22,24 +22,26 @@ GATHER_VALUES = 65_536     # bins counted at once
 MAX_BINS = 4096            # bins of one bracket
 
 
-def _order_statistics(df: DataFrame, value: dict[str, Column], wanted: set[tuple[str, int]], gather_values: int) -> dict[tuple[str, int], float]:
-    """The values of the wanted (column, rank) pairs, ranks counted from 0 over the non-null values."""
-    cols = list(dict.fromkeys(c for c, _ in wanted))
-    if not cols:
-        return {}
+def _extent(df: DataFrame, value: dict[str, Column]) -> dict[str, tuple[int, int, int, float | None, float | None]]:
+    """Per column its non-null values, those of -infinity, the finite ones, and the least and largest finite value, in one pass."""
     stats = []
-    for i, c in enumerate(cols):
-        finite = F.when(F.abs(value[c]) < math.inf, value[c])
-        stats += [F.count_if(value[c] == -math.inf).alias(f"b{i}"), F.count(finite).alias(f"m{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
+    for i, v in enumerate(value.values()):
+        finite = F.when(F.abs(v) < math.inf, v)
+        stats += [F.count(v).alias(f"n{i}"), F.count_if(v == -math.inf).alias(f"b{i}"), F.count(finite).alias(f"m{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
     row = df.agg(*stats).first()
+    return {c: tuple(row[f"{name}{i}"] for name in ("n", "b", "m", "lo", "hi")) for i, c in enumerate(value)}
+
+
+def _order_statistics(df: DataFrame, value: dict[str, Column], extent: dict[str, tuple], wanted: set[tuple[str, int]], gather_values: int) -> dict[tuple[str, int], float]:
+    """The values of the wanted (column, rank) pairs, ranks counted from 0 over the non-null values."""
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # least value, largest value, rows below
     for c, k in wanted:
-        i = cols.index(c)
-        if not row[f"b{i}"] <= k < row[f"b{i}"] + row[f"m{i}"]:
-            found[(c, k)] = -math.inf if k < row[f"b{i}"] else math.inf
+        _, below, finite, lo, hi = extent[c]
+        if not below <= k < below + finite:
+            found[(c, k)] = -math.inf if k < below else math.inf
         else:
-            open_[(c, k)] = (row[f"lo{i}"], row[f"hi{i}"], row[f"b{i}"])
+            open_[(c, k)] = (lo, hi, below)
     while True:
         found |= {key: lo for key, (lo, hi, _) in open_.items() if lo == hi}
         open_ = {key: s for key, s in open_.items() if s[0] < s[1]}
@@ -56,9 +58,9 @@ def _order_statistics(df: DataFrame, value: dict[str, Column], wanted: set[tuple
             cells[c] = (cells[c] if c in cells else F).when(value[c].between(F.lit(lo), F.lit(hi)), at)
         pairs = F.array(*[F.struct(cell.alias("cell"), value[c].alias("v")) for c, cell in cells.items()])
         counts = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("cell").isNotNull()).groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         by_bracket: dict[int, list] = {}
-        for r in counts:
+        for r in sorted(counts, key=lambda r: r["cell"]):
             by_bracket.setdefault(r["cell"] // bins, []).append(r)
         for (c, k), (lo, hi, below) in open_.items():
             for r in by_bracket[brackets.index((c, lo, hi))]:
@@ -82,13 +84,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], exa
     if not cols:
         return {}
     value = {c: F.nanvl(col(c).cast("double"), F.lit(None)) for c in cols}
-    n_rows = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    sizes = dict(zip(cols, n_rows))
+    extent = _extent(df, value)
+    sizes = {c: extent[c][0] for c in cols}
     if max(sizes.values()) * len(cols) <= exact_values:
         row = df.agg(*[F.percentile(value[c], [float(p) for p in ps]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(ps) for i, c in enumerate(cols)}
     wanted = {(c, k) for c in cols for p in ps if sizes[c] for k in (math.floor(p * (sizes[c] - 1)), math.ceil(p * (sizes[c] - 1)))}
-    found = _order_statistics(df, value, wanted, gather_values)
+    found = _order_statistics(df, value, extent, wanted, gather_values)
     out = {}
     for c in cols:
         qs = []

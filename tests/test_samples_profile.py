@@ -168,3 +168,16 @@ def test_prepare_chain(spark):
     assert rows[0]["Rate"] == 1.0 and rows[0]["class_idx"] == 1 and rows[3]["Bytes"] == 0.5
     again = apply_prepared(df, got).select("Bytes").collect()
     assert max(r[0] for r in again) == 1.0
+
+
+def test_quantiles_pass_over_the_rows_few_times(spark, monkeypatch):
+    """One pass for sizes and extents, and one for each narrowing: two narrowings separate 20,000 values by 4,096 bins."""
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_000).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("b"))
+    passes, first, collect = [], type(df).first, type(df).collect
+    monkeypatch.setattr(type(df), "first", lambda d: passes.append("first") or first(d))
+    monkeypatch.setattr(type(df), "collect", lambda d: passes.append("collect") or collect(d))
+    got = P.exact_quantiles(df, ["a", "b"], [0.25, 0.5], exact_values=0)
+    monkeypatch.undo()
+    want = df.agg(*[F.percentile(c, [0.25, 0.5]) for c in ("a", "b")]).first()
+    assert [got["a"], got["b"]] == [list(want[0]), list(want[1])]
+    assert passes.count("first") == 1 and passes.count("collect") - passes.count("first") <= 3
