@@ -1,8 +1,8 @@
 """Test-then-train anomaly scoring in windows, and scoring with a model frozen after the warm-up.
 
 A window scorer rates window w with what it learned from the windows before it. Windows are bounded,
-so each (stream, window) is one small group: every row is sent to its own window as a row to
-score and to the following window(s) as a training row. One shuffle, no serial state; one stream of any
+so runs of windows are small groups: every row is sent to the run of its own window, to be scored and to train the
+next windows, and to the next run if windows there learn from it. One shuffle, no serial state; one stream of any
 length spreads over all tasks.
 """
 
@@ -26,6 +26,7 @@ from flowstream.operators.steps import run_steps
 from flowstream.session import spread_by, written
 
 RUN = 8  # windows that are scored together when models live for several
+RUN_ROWS = 8192  # rows of the windows that are scored together when they learn from the rows before them
 
 
 class Scorer(Protocol):
@@ -35,6 +36,8 @@ class Scorer(Protocol):
 
     A scorer whose models outlive a window has ``build(train, first, rng)``, which makes the packed model of one window, and
     ``rate(built, query)`` with the models of the ``back`` windows before and their ages. Then each model is made once.
+
+    Where it has them, ``score_windows`` and ``build_windows`` do the work of ``score`` and ``build`` for many windows in one call.
     """
 
     window: int
@@ -55,7 +58,10 @@ class HalfSpaceTrees:
     back = 1
 
     def score(self, train, ages, query, rng):
-        return part.half_space_scores(train, query, self.trees, self.depth, self.size_limit, self.seed)
+        return self.score_windows([train], [ages], [query], [rng])[0]
+
+    def score_windows(self, trains, ages, queries, rngs):
+        return part.half_space_scores(trains, queries, self.trees, self.depth, self.size_limit, self.seed)
 
 
 @dataclass(frozen=True)
@@ -70,15 +76,19 @@ class OnlineIsolationForest:
     back = 1
 
     def score(self, train, ages, query, rng):
+        return self.score_windows([train], [ages], [query], [rng])[0]
+
+    def score_windows(self, trains, ages, queries, rngs):
         full = max(np.log(self.window / self.max_leaf) / np.log(self.branching), 1.0)
         leaf = (lambda level: self.max_leaf * self.branching**level) if self.growth == "adaptive" else (lambda level: self.max_leaf)
-        total = np.zeros(len(query))
+        sizes = [len(q) for q in queries]
+        total = np.zeros(sum(sizes))
         for _ in range(self.trees):
-            sample = train[rng.random(len(train)) < self.subsample]
-            depth, size = part.isolation_depth(sample, query, rng, int(np.ceil(full)), leaf, self.branching)
+            samples = [train[rng.random(len(train)) < self.subsample] for train, rng in zip(trains, rngs)]
+            depth, size = part.isolation_depths(samples, queries, rngs, int(np.ceil(full)), leaf, self.branching)
             rest = np.log(np.maximum(size, 1) / self.max_leaf) / np.log(self.branching)
             total += depth + np.maximum(rest, 0)
-        return 2 ** (-total / self.trees / full)
+        return np.split(2 ** (-total / self.trees / full), np.cumsum(sizes)[:-1])
 
 
 @dataclass(frozen=True)
@@ -93,10 +103,14 @@ class RandomCutForest:
         return self.tree_size
 
     def score(self, train, ages, query, rng):
-        total = np.zeros(len(query))
+        return self.score_windows([train], [ages], [query], [rng])[0]
+
+    def score_windows(self, trains, ages, queries, rngs):
+        sizes = [len(q) for q in queries]
+        total, rows = np.zeros(sum(sizes)), np.repeat([len(t) for t in trains], sizes)
         for _ in range(self.trees):
-            total += part.collusive_displacement(train, query, rng) / len(train)
-        return total / self.trees
+            total += part.collusive_displacements(trains, queries, rngs) / rows
+        return np.split(total / self.trees, np.cumsum(sizes)[:-1])
 
 
 @dataclass(frozen=True)
@@ -123,7 +137,11 @@ class AdaptiveIsolationForest:
 
     def build(self, train, first, rng):
         """Trees grown on a window's rows, packed; ``first`` marks the first window of a stream."""
-        return part.grow_trees(train, self.trees if first else min(self.m_trees, self.trees), rng, self.height).packed()
+        return self.build_windows([train], [first], [rng])[0]
+
+    def build_windows(self, trains, firsts, rngs):
+        grown = part.grow_forests(trains, [self.trees if first else min(self.m_trees, self.trees) for first in firsts], rngs, self.height)
+        return [g.packed() for g in grown]
 
     def rate(self, built, query):
         """Scores by the trees still alive; ``built`` holds (age in windows, packed trees)."""
@@ -208,17 +226,31 @@ def _plain(key) -> tuple:
     return tuple(str(k) for k in key)
 
 
+def _run_windows(scorer) -> int:
+    """How many windows are worked on together."""
+    return max(1, RUN_ROWS // scorer.window)
+
+
+def _places(windows: np.ndarray) -> dict[int, slice]:
+    """Where the rows of each window stand; they stand window after window."""
+    ids, starts = np.unique(windows, return_index=True)
+    return {int(w): slice(a, b) for w, a, b in zip(ids, starts, [*starts[1:], len(windows)])}
+
+
 def window_models(df: DataFrame, features: Sequence[str], scorer, keys=None, seq: str = "seq") -> DataFrame:
     """The model of every window, made once: (keys, window, model). A model is used until later windows replace it."""
     keys = _keys(keys)
     rows = df.select(*keys, seq, *[F.col(c).cast("double").alias(c) for c in features if c not in (*keys, seq)], F.expr(f"`{seq}` div {scorer.window}").alias("window"))
+    rows = rows.withColumn("_run", F.expr(f"window div {_run_windows(scorer)}"))
 
     def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(seq)[list(features)].to_numpy(dtype=float)
-        blob = scorer.build(x, int(key[-1]) == 0, _rng(scorer.seed, *_plain(key)))
-        return pd.DataFrame([{**dict(zip(keys, key)), "window": int(key[-1]), "model": blob}])
+        pdf = pdf.sort_values(["window", seq])
+        x, places = pdf[list(features)].to_numpy(dtype=float), _places(pdf["window"].to_numpy())
+        work = [(x[at], w == 0, _rng(scorer.seed, *_plain((*key[:-1], w)))) for w, at in places.items()]
+        blobs = scorer.build_windows(*map(list, zip(*work))) if hasattr(scorer, "build_windows") else [scorer.build(*part) for part in work]
+        return pd.DataFrame([{**dict(zip(keys, key)), "window": w, "model": blob} for w, blob in zip(places, blobs)])
 
-    by = [*keys, "window"]
+    by = [*keys, "_run"]
     return spread_by(rows, by).groupBy(*by).applyInPandas(make, ", ".join(filter(None, [_ddl(df, keys), "window long, model binary"])))
 
 
@@ -233,13 +265,14 @@ def _scores_of_models(df: DataFrame, features: Sequence[str], scorer, keys: list
     models = models.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "window", "model", F.explode(used_in).alias("_to"))
 
     def run(key, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        pdf = pdf.sort_values(["_w", seq])
+        x, score = pdf[list(features)].to_numpy(dtype=float), np.full(len(pdf), np.nan)
         built = dict(zip(made["window"].astype(int), made["model"]))
-        for w, mine in pdf.sort_values(seq).groupby("_w"):
+        for w, at in _places(pdf["_w"].to_numpy()).items():
             known = [(age, built[w - age]) for age in range(1, scorer.back + 1) if w - age in built]
-            x = mine[list(features)].to_numpy(dtype=float)
-            parts.append(mine[carried].assign(score=scorer.rate(known, x) if known else np.nan))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*carried, "score"])
+            if known:
+                score[at] = scorer.rate(known, x[at])
+        return pdf[carried].assign(score=score)
 
     left, right = [*keys, "_run"], [*[f"_k{i}" for i in range(len(keys))], "_to"]
     both = spread_by(rows, left).groupBy(*left).cogroup(spread_by(models, right).groupBy(*right))
@@ -252,22 +285,31 @@ def window_scores(df: DataFrame, features: Sequence[str], scorer: Scorer, keys=N
     if hasattr(scorer, "build"):
         return _scores_of_models(df, features, scorer, keys, seq, keep)
     carried = list(dict.fromkeys([*keys, seq, *keep]))
-    own = F.expr(f"`{seq}` div {scorer.window}")
-    homes = F.transform(F.sequence(F.lit(0), F.lit(scorer.back)), lambda age: F.struct((own + age).alias("w"), age.alias("age")))
-    rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried], F.explode(homes).alias("_h"))
-    rows = rows.withColumn("_w", F.col("_h.w")).withColumn("_age", F.col("_h.age")).drop("_h")
+    per_run = _run_windows(scorer)
+    rows = df.select(*carried, *[F.col(c).cast("double").alias(c) for c in features if c not in carried], F.expr(f"`{seq}` div {scorer.window}").alias("_w"))
+    # the runs that score a row or learn from it
+    rows = rows.withColumn("_run", F.explode(F.sequence(F.expr(f"_w div {per_run}"), F.expr(f"(_w + {scorer.back}) div {per_run}"))))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_age", seq])
-        ages = pdf["_age"].to_numpy()
-        mine = ages == 0
-        out = pdf.loc[mine, carried]
-        if mine.all() or not mine.any():
-            return out.assign(score=np.nan)
-        x = pdf[list(features)].to_numpy(dtype=float)
-        return out.assign(score=scorer.score(x[~mine], ages[~mine], x[mine], _rng(scorer.seed, *_plain(key))))
-
-    return spread_by(rows, [*keys, "_w"]).groupBy(*keys, "_w").applyInPandas(run, f"{_ddl(df, carried)}, score double")
+        pdf = pdf.sort_values(["_w", seq])
+        windows = pdf["_w"].to_numpy()
+        x, score, places = pdf[list(features)].to_numpy(dtype=float), np.full(len(pdf), np.nan), _places(windows)
+        mine = windows // per_run == key[-1]
+        at, work = [], []
+        for w, here in places.items():
+            known = [(age, x[places[w - age]]) for age in range(1, scorer.back + 1) if w - age in places]
+            if w // per_run == key[-1] and known:
+                at.append(here)
+                ages = np.repeat([age for age, _ in known], [len(rows) for _, rows in known])
+                work.append((np.concatenate([rows for _, rows in known]), ages, x[here], _rng(scorer.seed, *_plain((*key[:-1], w)))))
+        if work:
+            got = scorer.score_windows(*map(list, zip(*work))) if hasattr(scorer, "score_windows") else [scorer.score(*part) for part in work]
+            for here, values in zip(at, got):
+                score[here] = values
+        return pdf.loc[mine, carried].assign(score=score[mine])
+
+    by = [*keys, "_run"]
+    return spread_by(rows, by).groupBy(*by).applyInPandas(run, f"{_ddl(df, carried)}, score double")
 
 
 def freeze_after_warmup(df: DataFrame, features: Sequence[str], scorer, warmup: int, keys=None, seq: str = "seq",

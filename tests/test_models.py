@@ -82,6 +82,38 @@ def test_pluggable_scorer(planted):
     assert E.auc(S.window_scores(planted, FEATURES, Distance(), keep=["truth"])).first()["auc"] > 0.99
 
 
+def test_windows_scored_together_get_the_scores_they_get_alone(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 2)).round(1)
+    x[rng.random((700, 2)) < 0.02] = np.nan
+    rows = [(k, i, *(None if np.isnan(v) else float(v) for v in p)) for k in ("u", None) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, seq long, a double, b double")
+    small = {"HST": {"window": 90, "trees": 4}, "OIF": {"window": 90, "trees": 4, "max_leaf": 4}, "RRCF": {"tree_size": 90, "trees": 3}}
+    for scorer in S.scorers(list(small), small).values():
+        got = {(r["k"], r["seq"]): r["score"] for r in S.window_scores(df, ["a", "b"], scorer, keys="k").collect()}
+        assert len(got) == 1400
+        for k in ("u", None):
+            for w in range(8):
+                here = range(90 * w, min(90 * w + 90, 700))
+                alone = [None] * len(here)
+                if w:
+                    alone = list(scorer.score(x[90 * w - 90:90 * w], np.ones(90, int), x[here], S._rng(scorer.seed, *S._plain((k, w)))))
+                assert [got[k, i] for i in here] == alone
+
+
+def test_scorers_see_many_windows_in_one_call(spark):
+    class Together:
+        window, back, seed = 10, 2, 0
+
+        def score_windows(self, trains, ages, queries, rngs):
+            return [np.full(len(q), 1000.0 * len(trains) + 100 * a.max() + t[0, 0]) for t, a, q in zip(trains, ages, queries)]
+
+    df = spark.range(40).select(F.col("id").alias("seq"), F.col("id").cast("double").alias("a"))
+    got = [r["score"] for r in S.window_scores(df, ["a"], Together()).orderBy("seq").collect()]
+    # three windows in one call; each learns from the latest window first
+    assert got == [None] * 10 + [3100.0] * 10 + [3210.0] * 10 + [3220.0] * 10
+
+
 def test_experiment_tables(planted):
     df = planted.withColumnRenamed("truth", "class_idx")
     for mode in ("fixed", "dspot", "frozen"):
