@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from flowstream.functions import hoeffding as H
 from flowstream.functions.partitions import collusive_displacement
 from flowstream.operators import evaluation as E
 from flowstream.operators import learners as L
+from flowstream.operators import ranking as R
 from flowstream.operators import scoring as S
 from flowstream.operators import sweeps as W
 from flowstream.operators.thresholds import dspot
@@ -114,6 +116,29 @@ def test_scorers_see_many_windows_in_one_call(spark):
     assert got == [None] * 10 + [3100.0] * 10 + [3210.0] * 10 + [3220.0] * 10
 
 
+def test_forests_of_many_equal_rows_grow_on_counts(spark):
+    rng = np.random.default_rng(3)
+    n = 20_000
+    a, b, c = rng.integers(0, 2, n), rng.integers(0, 2, n), np.where(rng.random(n) < 0.9, 0.0, rng.random(n))
+    y = np.where((a > 0) & (rng.random(n) < 0.5), 1, np.where(c > 0, 2, 0))
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c, "y": y}))
+    vectors = R._vectors(df, ["a", "b", "c"], "y", 4, 1)
+    rows = vectors.collect()
+    assert len(rows) < n / 50 and abs(sum(r["w3"] for r in rows) - n) < 6 * n**0.5
+    got, plain = R.rf_importances(df, ["a", "b", "c"], "y", trees=4, depth=3), dict(R._importances(R._assembled(R._flat(df, ["a", "b", "c"], "y")), ["a", "b", "c"], 4, 42, 3))
+    assert [f for f, _ in got][2] == "b" and abs(sum(v for _, v in got) - 1) < 1e-9
+    assert all(abs(v - plain[f]) < 0.25 for f, v in got)
+    ranked = {(r["class"], r["rank"]): r["feature"] for r in R.ovr_feature_importance(df, ["a", "b", "c"], "y", ["x", "big", "rare"], 1, trees=2, depth=3).collect()}
+    assert (ranked["big", 0], ranked["rare", 0]) == ("a", "c")
+
+
+def test_forests_refuse_missing_values_also_on_counts(spark):
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(float(i % 3), i % 2) for i in range(500)] + [(bad, 1)], "a double, y int")
+        with pytest.raises(Exception, match="(?i)null|nan"):
+            R.rf_importances(df, ["a"], "y", trees=2, depth=2)
+
+
 def test_experiment_tables(planted):
     df = planted.withColumnRenamed("truth", "class_idx")
     for mode in ("fixed", "dspot", "frozen"):
