@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
-Texts fall into units that no piece can cross: a run of word marks with the letters behind it, or one character that is
-in no longer piece. Each distinct unit is encoded once: its substrings are exploded and joined with the piece table (some
+Texts fall into units that no piece can cross: they are cut between two characters that stand side by side in no piece, so
+before each run of word marks, around a character that is in no longer piece, and mostly between letters, digits and
+signs. Each distinct unit is encoded once: its substrings are exploded and joined with the piece table (some
 ten thousand rows, broadcast), by up to four characters and then in full, the matching edges are grouped by unit, and a fold over the
 edges with Spark's higher-order functions picks the path. For a unigram model the fold is Viterbi over edge scores. A BPE
 model's scores are merge ranks, and the best path by their sum is not what its tokenizer produces; there the fold applies
@@ -9,8 +10,8 @@ the edges in rank order, each where it spans exactly two segments, which gives t
 
 Encoded units meet the texts by chunk, the part of an input file that one task reads: a task sends each of its units
 once, however often it occurs, and gets the ids back. Units travel in sorted lists, one for each chunk and lane
-(a share of all units by their hash), which take a fraction of the space of single rows; the ids travel back in the same order without them. Decoding joins the pieces of
-the ids, bytes included.
+(a share of all units by their hash), which take a fraction of the space of single rows; the ids travel back in the same order without them, the
+last of each unit as a negative number. Decoding joins the pieces of the ids, bytes included.
 
 Rules for odd input: null counts as empty, an empty text has no ids; characters without a piece become bytes; text that
 holds the word mark itself decodes to spaces there, as in the tokenizer, and reports round_trip false; repeated rows are
@@ -20,10 +21,12 @@ length, is cut wherever no piece crosses; what can't be cut, as a run of one let
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ MARK = "▁"
 CHUNK = 8 << 20  # bytes of an input file that share one dictionary of units
 LONG = 256  # characters of a unit that is looked at for places to cut
 KEY = 4  # characters of a piece that it is joined by
+TABLE_LETTERS = 4096  # up to so many different letters in pieces, the pairs that stand in pieces are tabulated
 GAP = " "  # between the units of a list; no unit holds it, as texts have marks in its place
 
 
@@ -55,18 +59,25 @@ class PieceModel:
     def longest(self) -> int:
         return max((len(p) for p, n in zip(self.pieces, self.normal) if n), default=1)
 
-    def unit_pattern(self) -> str:
-        """Matches the units of a marked text one after the other."""
-        long = [p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1]
-        if any(MARK in p.lstrip(MARK) for p in long):
-            raise ValueError("a piece has a word mark behind a letter: words are no units of this model")
-        inner = "".join(sorted(map(re.escape, set("".join(long)) - {MARK})))
-        return f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]" if inner else f"{MARK}+|[^{MARK}]"
-
     def splitter(self) -> Callable[[str], list[str]]:
-        """Splits a marked text into its units. Units over LONG characters are cut wherever no piece crosses."""
-        find, longest = re.compile(self.unit_pattern()).findall, self.longest
+        """Splits a marked text into its units: it is cut between characters that stand side by side in no piece. Units over
+        LONG characters are cut wherever no piece crosses."""
+        longest = self.longest
         long = {p for p, n in zip(self.pieces, self.normal) if n and len(p) > 1}
+        if any(MARK in p.lstrip(MARK) for p in long):
+            raise ValueError("a piece has a word mark behind a letter: words are no units of this model")
+        pairs = {pair for p in long for pair in pairwise(p)}
+        letters = sorted({c for pair in pairs for c in pair})
+        width = len(letters) + 1
+        number = np.zeros(0x110000, np.int32 if width <= TABLE_LETTERS else np.int64)
+        number[list(map(ord, letters))] = np.arange(1, width)
+        known = np.array([int(number[ord(a)]) * width + int(number[ord(b)]) for a, b in pairs], np.int64)
+        if width <= TABLE_LETTERS:
+            table = np.ones(width * width, bool)
+            table[known] = False
+            apart = table.take
+        else:
+            apart = lambda x: ~np.isin(x, known)
 
         def cut(unit: str) -> Iterator[str]:
             start = reach = 0
@@ -78,8 +89,20 @@ class PieceModel:
             yield unit[start:]
 
         def split(text: str) -> list[str]:
-            units = find(text)
-            return [x for u in units for x in (cut(u) if len(u) > LONG else (u,))] if max(map(len, units), default=0) > LONG else units
+            if not text:
+                return []
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            k = number.take(codes)
+            pair = k[:-1] * width
+            pair += k[1:]
+            ends = np.flatnonzero(apart(pair))
+            spaced, own = np.full(len(codes) + len(ends), ord(GAP), np.uint32), np.ones(len(codes) + len(ends), bool)
+            own[ends + np.arange(1, len(ends) + 1)] = False
+            spaced[own] = codes
+            units = spaced.tobytes().decode("utf-32-le").split(GAP)
+            if len(text) > LONG and np.diff(ends, prepend=-1, append=len(text) - 1).max() > LONG:
+                return [x for u in units for x in (cut(u) if len(u) > LONG else (u,))]
+            return units
 
         return split
 
@@ -164,10 +187,12 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     rows = docs.select(quoted(id_col).alias("_id"), _chunk(docs, id_col).alias("_chunk"), text_or_empty(text_col).alias("_t"))
     id_type = rows.schema["_id"].dataType
     split, decoded = model.splitter(), model.as_bytes()
+    id_bits = "short" if len(decoded) <= 1 << 15 else "int"
     lanes = 2 * shuffle_partitions(docs.sparkSession)
+    piece_bytes = np.array([len(p) for p in decoded])
     marked = lambda text: MARK + text.replace(" ", MARK) if text else ""
 
-    def dealt(own: set[str]) -> dict[int, list[str]]:
+    def dealt(own: Iterable[str]) -> dict[int, list[str]]:
         by_lane: dict[int, list[str]] = {}
         for unit in sorted(own):
             by_lane.setdefault(zlib.crc32(unit.encode()) % lanes, []).append(unit)
@@ -205,7 +230,8 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     units = sent.select("_chunk", "_lane", F.explode(F.split("_units", GAP)).alias("unit")).groupBy("unit", "_lane").agg(F.collect_set("_chunk").alias("_chunks"))
     known = encode_units(units, model, ["_lane"]).select("_lane", F.explode("_chunks").alias("_chunk"), "unit", "ids")
     known = known.groupBy("_lane", "_chunk").agg(F.array_sort(F.collect_list(F.struct("unit", "ids"))).alias("_known"))
-    known = known.select("_chunk", "_lane", F.transform("_known.ids", F.size).alias("_counts"), F.flatten("_known.ids").alias("_codes"))
+    # -1 - id marks a unit's last id
+    known = known.select("_chunk", "_lane", F.expr("flatten(transform(_known.ids, x -> transform(x, (id, i) -> if(i = size(x) - 1, -1 - id, id))))").cast(f"array<{id_bits}>").alias("_codes"))
     held = rows.mapInArrow(packed, StructType([StructField("_chunk", IntegerType()), StructField("_ids", ArrayType(id_type)), StructField("_sizes", ArrayType(LongType())), StructField("_blob", BinaryType())]))
     names = [id_col, "n_tokens", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
 
@@ -220,24 +246,29 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
                     yield data[at:at + size].decode()
                     at += size
 
+        # a text is kept as the numbers of its units
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        held_as = [(array("i", map(number.__getitem__, split(marked(text)))), MARK not in text) for text in each()]
+        units = list(number)
+        number.clear()
         # the ids of a lane's units come in the order of the units, which the texts tell
-        order: set[str] = set()
-        for text in each():
-            order.update(split(marked(text)))
-        by_lane, ids_of = dealt(order), {}
-        del order
-        for lane, counts, codes in zip(dictionary.column("_lane").to_pylist(), dictionary.column("_counts"), dictionary.column("_codes")):
-            values, ends = np.asarray(codes.values).astype("<i4").tobytes(), (4 * np.cumsum(np.asarray(counts.values), dtype=np.int64)).tolist()
-            ids_of.update((u, values[a:b]) for u, a, b in zip(by_lane[lane], [0, *ends], ends, strict=False))
+        by_lane, ids_of, lost = dealt(units), {}, set()
+        for lane, codes in zip(dictionary.column("_lane").to_pylist(), dictionary.column("_codes")):
+            values = np.asarray(codes.values).astype("<i4")
+            last = np.flatnonzero(values < 0)
+            values[last] = -1 - values[last]
+            plain, raw, ends = [u.replace(MARK, " ").encode() for u in by_lane[lane]], values.tobytes(), (4 * (last + 1)).tolist()
+            ids_of.update((u, raw[a:b]) for u, a, b in zip(by_lane[lane], [0, *ends], ends))
+            back = np.cumsum(piece_bytes[values])[last]
+            if (np.cumsum([len(p) for p in plain]) != back).any() or b"".join(map(decoded.__getitem__, values.tolist())) != b"".join(plain):
+                lost.update(u for u, p in zip(by_lane[lane], plain) if b"".join(map(decoded.__getitem__, np.frombuffer(ids_of[u], "<i4").tolist())) != p)
         # a text comes back if each of its units does, and no mark stood in it
-        plain = lambda code: b"".join(map(decoded.__getitem__, np.frombuffer(code, "<i4").tolist()))
-        lost = {u for u, code in ids_of.items() if plain(code) != u.replace(MARK, " ").encode()}
-        out = []
-        for text in each():
-            units = split(marked(text))
-            out.append((b"".join(map(ids_of.__getitem__, units)), MARK not in text and (not lost or lost.isdisjoint(units))))
+        wrong = {i for i, u in enumerate(units) if u in lost} if lost else lost
+        code_of = list(map(ids_of.__getitem__, units))
+        out = [(b"".join(map(code_of.__getitem__, own)), unmarked and (not wrong or wrong.isdisjoint(own))) for own, unmarked in held_as]
         ids = [key for keys in texts.column("_ids").to_pylist() for key in keys]
-        del ids_of, by_lane, dictionary
+        del ids_of, code_of, by_lane, held_as, units, dictionary
         code = [c for c, _ in out]
         table = {id_col: pa.array(ids, texts.schema.field("_ids").type.value_type), "n_tokens": pa.array([len(c) // 4 for c in code], pa.int64()),
                  "ids_crc32": pa.array([zlib.crc32(c) for c in code], pa.int64()), "round_trip": pa.array([ok for _, ok in out], pa.bool_())}

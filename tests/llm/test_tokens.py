@@ -118,6 +118,25 @@ def test_pieces_equal_the_library(spark):
     assert all(back[i] == sp.decode(got[i].ids) for i in got)
 
 
+def test_words_with_signs_share_a_unit(spark):
+    """A word with a sign or number behind it is no unit of its own, and the ids stay the library's, also where ids need over 16 bits."""
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), load_pieces(PIECES)
+    split, rng = model.splitter(), random.Random(3)
+    signs = [",", ".", ";", "!", "?", ")", "2024", "§", "é"]
+    assert len({split(f"▁onhatith{s}")[0] for s in signs[:6]}) == 1
+    for _ in range(300):
+        unit = "▁" + "".join(rng.choice([*signs, "th", "on", "'s", "(", "-", "_", "漢", "▁"]) for _ in range(rng.randrange(1, 9)))
+        assert "".join(split(unit)) == unit
+    texts = [" ".join("".join(rng.choice([*signs, "th", "on", "'s", "(", "-", "_", "漢"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    more = 40_000 - len(model.pieces)  # pieces that no text holds
+    wide = PieceModel(model.pieces + tuple(f"\ue000{chr(0xE001 + i)}" for i in range(more // 2)) + ("\ue000",) * (more - more // 2), model.scores + (-1e9,) * more,
+                      model.normal + (True,) * (more // 2) + (False,) * (more - more // 2), model.first_byte, model.kind)
+    assert len(wide.pieces) > 1 << 15
+    for m in (model, wide):
+        assert {r.doc_id: (r.ids, r.round_trip) for r in encode(docs, m).collect()} == {i: (sp.encode(t), True) for i, t in enumerate(texts)}
+
+
 def test_pieces_odd(spark):
     model = load_pieces(PIECES)
     got = encode(odd(spark), model, with_ids=False).collect()
