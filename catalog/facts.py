@@ -6,13 +6,15 @@ Each query runs the operators over the whole table and returns counts and findin
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.learned import FEATURES as LINE_FEATURES
 from catalog.learned import WINDOW_ROWS, _supplier_lines
 from catalog.scored import FEATURES, _stream
-from catalog.stateful import SETTINGS, WARMUP, _days, _user_errors
+from catalog.stateful import GRID, SETTINGS, WARMUP, _days, _user_errors
 from catalog.stepped import CLASSIFIER, _replayed
 from flowstream.operators import drift as D
 from flowstream.operators import evaluation as E
@@ -78,11 +80,12 @@ def dspot_parity(spark, d):
     values = ["pred", "threshold", "trend"]
     times = e.withColumn("ts", F.to_timestamp("stream_id") + F.make_dt_interval(secs=F.col("seq").cast("decimal(18,6)")))
     live = V.run_to_table(V.dspot_stream(_replayed(spark, times.select("stream_id", "seq", "ts", "score")), delay="1 hour", warmup=WARMUP, **SETTINGS), "alerts")
-    forms = {"whole": T.dspot(e, warmup=WARMUP, **SETTINGS), "segments": T.dspot(e, warmup=WARMUP, segment_rows=150, **SETTINGS), "live": live}
+    trial = T.dspot_trials(e, [*GRID, (SETTINGS["q"], SETTINGS["depth"], SETTINGS["t_quantile"])], WARMUP).filter(F.col("_trial") == str(len(GRID)))
+    forms = {"whole": T.dspot(e, warmup=WARMUP, **SETTINGS), "segments": T.dspot(e, warmup=WARMUP, segment_rows=150, **SETTINGS), "live": live, "trial": trial}
     parts = [df.select("stream_id", "seq", *values, F.lit(name).alias("form")) for name, df in forms.items()]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = reduce(DataFrame.unionByName, parts)
     same = rows.groupBy("stream_id", "seq").agg(F.count("*").alias("forms"), F.count_distinct(F.struct(*values)).alias("kinds"))
-    return same.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if((F.col("forms") != 3) | (F.col("kinds") != 1)).alias("differences"))
+    return same.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if((F.col("forms") != len(forms)) | (F.col("kinds") != 1)).alias("differences"))
 
 
 def adwin_facts(spark, d):

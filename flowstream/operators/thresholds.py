@@ -75,12 +75,19 @@ def dspot_evaluation(scores: DataFrame, warmup: int = 1000, target: int | None =
     return cumulative_report(alerts, warmup, target, by=list(keys))
 
 
+def dspot_trials(scores: DataFrame, grid: Sequence[tuple[float, int, float]], warmup: int = 1000, keys: Sequence[str] = ("stream_id",),
+                 keep: Sequence[str] = (), **settings) -> DataFrame:
+    """The alerts of every (q, depth, t_quantile): (keys, seq, kept columns, ``_trial``: its place in the grid, as text, pred, threshold, trend).
+    All trials step side by side over a stream's rows, which are shuffled once."""
+    trials = {str(i): DspotStep(float(q), int(d), float(t), warmup, **settings) for i, (q, d, t) in enumerate(grid)}
+    return run_steps(scores, trials, _keys(keys), keep=keep, reads=["score"], label="_trial")
+
+
 def dspot_sweep(scores: DataFrame, grid: Sequence[tuple[float, int, float]], warmup: int = 1000, target: int | None = None,
                 keys: Sequence[str] = ("stream_id",), **settings) -> DataFrame:
-    """One line per stream and (q, depth, t_quantile). All trials step side by side over a stream's rows, which are shuffled once."""
+    """One line per stream and (q, depth, t_quantile), from the alerts of all trials."""
     keys = _keys(keys)
-    trials = {str(i): DspotStep(float(q), int(d), float(t), warmup, **settings) for i, (q, d, t) in enumerate(grid)}
-    alerts = run_steps(scores, trials, keys, keep=["truth"], reads=["score"], label="_trial")
+    alerts = dspot_trials(scores, grid, warmup, keys, keep=["truth"], **settings)
     report = cumulative_report(alerts, warmup, target, by=[*keys, "_trial"])
     cells = scores.sparkSession.createDataFrame([(str(i), i, float(q), int(d), float(t)) for i, (q, d, t) in enumerate(grid)],
                                                 "_trial string, trial int, q double, depth int, t_quantile double")

@@ -242,6 +242,18 @@ def test_dspot_sweep_over_one_shuffle(spark, score_rows):
             assert (mine["q"], mine["depth"], mine["t_quantile"], mine["f1"], mine["precision"], mine["recall"]) == (q, depth, t, r["f1"], r["precision"], r["recall"])
 
 
+def test_parity_holds_the_trial_of_a_sweep_too(spark, tmp_path, monkeypatch):
+    from catalog import facts
+
+    rows = [(i, f"2024-01-0{1 + i % 2} 00:{i // 60 % 60:02d}:{i % 60:02d}", float(i * 37 % 101 + i % 7)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    days = {"2024-01-01", "2024-01-02"}
+    assert {(r["stream_id"], r["n"], r["differences"]) for r in facts.dspot_parity(spark, str(tmp_path)).collect()} == {(d, 150, 0) for d in days}
+    steps = T.run_steps
+    monkeypatch.setattr(T, "run_steps", lambda *a, **k: steps(*a, **k).withColumn("threshold", F.col("threshold") + F.when(F.col("seq") >= 140, 1.0).otherwise(0.0)))
+    assert {(r["stream_id"], r["n"], r["differences"]) for r in facts.dspot_parity(spark, str(tmp_path)).collect()} == {(d, 150, 10) for d in days}
+
+
 def test_segments_of_a_stream_need_no_jobs_of_their_own(spark):
     df = spark.range(400).select(F.lit("a").alias("stream_id"), F.col("id").alias("seq"), (F.col("id") * 7 % 31).cast("double").alias("score"))
     spark.sparkContext.setJobGroup("segments", "segments")
