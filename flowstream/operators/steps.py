@@ -24,7 +24,10 @@ from flowstream.operators.ordering import _keys
 
 
 class Step(Protocol):
-    """What a plug-in offers. ``outputs`` names the columns it adds, as DDL."""
+    """What a plug-in offers. ``outputs`` names the columns it adds, as DDL.
+
+    A class may also offer ``step_together(plugins, states, rows)``: ``step`` for several of its plug-ins over the same rows, a list of pairs.
+    """
 
     outputs: str
 
@@ -107,19 +110,27 @@ def start(plugins: dict[str, Step], key: tuple) -> dict[str, Any]:
 
 def advance(plugins: dict[str, Step], states: dict[str, Any], rows: pd.DataFrame, carried: Sequence[str], label: str, names: Sequence[str]) -> pd.DataFrame:
     """Steps every plug-in over the rows, in place in ``states``: carried columns, plug-in's name, its outputs."""
+    stepped = {}
+    for kind in dict.fromkeys(type(p) for p in plugins.values()):
+        mine = [name for name, p in plugins.items() if type(p) is kind]
+        if len(mine) > 1 and hasattr(kind, "step_together"):
+            stepped |= zip(mine, kind.step_together([plugins[name] for name in mine], [states[name] for name in mine], rows))
+        else:
+            stepped |= {name: plugins[name].step(states[name], rows) for name in mine}
     parts = []
-    for name, p in plugins.items():
-        states[name], got = p.step(states[name], rows)
+    for name in plugins:
+        states[name], got = stepped[name]
         values = got if isinstance(got, dict) else {names[0]: got}
         parts.append(pd.DataFrame({**{c: rows[c] for c in carried}, label: name, **{c: values[c] for c in names}}, index=rows.index))
     return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
 
 def run_steps(df: DataFrame, plugins: dict[str, Step], keys=(), seq: str = "seq", keep: Sequence[str] = (), reads: Sequence[str] = (),
-              label: str = "algorithm", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+              label: str = "algorithm", segment_rows: int = SEGMENT_ROWS, fold: tuple[Callable[[pd.DataFrame], pd.DataFrame], str] | None = None) -> DataFrame:
     """All plug-ins over each stream in order of ``seq``: (keys, seq, kept columns, ``label``, outputs).
 
     ``reads`` are the columns the plug-ins look at. Without keys the whole table is one stream, which is serial by definition.
+    ``fold`` (with its columns as DDL) turns the output rows of a stream's segment into others where they are, such as counts.
     """
     keys = _keys(keys)
     names = output_names(plugins)
@@ -135,6 +146,8 @@ def run_steps(df: DataFrame, plugins: dict[str, Step], keys=(), seq: str = "seq"
         return start(plugins, tuple(key) if keys else ())
 
     def go(states, pdf: pd.DataFrame) -> pd.DataFrame:
-        return advance(plugins, states, pdf, passed, label, names)
+        out = advance(plugins, states, pdf, passed, label, names)
+        return fold[0](out) if fold else out
 
-    return keyed_scan(rows, by, begin, go, schema, seq, segment_rows).select(*carried, label, *names)
+    out = keyed_scan(rows, by, begin, go, fold[1] if fold else schema, seq, segment_rows)
+    return out if fold else out.select(*carried, label, *names)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstream.functions.columns import discretize
-from flowstream.functions.evt import Dspot
-from flowstream.operators.evaluation import cumulative_report
+from flowstream.functions.evt import Dspot, process_together
+from flowstream.operators.evaluation import cumulative_report, metrics_from_confusion
 from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
 from flowstream.operators.ordering import _keys
 from flowstream.operators.steps import run_steps
@@ -41,6 +41,16 @@ class DspotStep:
     def step(self, state, rows):
         return state, dict(zip(("pred", "threshold", "trend"), state.process(rows[self.score].to_numpy())))
 
+    @staticmethod
+    def step_together(plugins, states, rows):
+        """All over the same rows, their tails fitted together; plug-ins that read other columns step apart."""
+        out = [None] * len(plugins)
+        for score in dict.fromkeys(p.score for p in plugins):
+            mine = [i for i, p in enumerate(plugins) if p.score == score]
+            for i, got in zip(mine, process_together([states[i] for i in mine], rows[score].to_numpy())):
+                out[i] = (states[i], dict(zip(("pred", "threshold", "trend"), got)))
+        return out
+
 
 def dspot(scores: DataFrame, keys: Sequence[str] = ("stream_id",), q: float = 1e-3, depth: int = 50, t_quantile: float = 0.98,
           warmup: int = 1000, bracket: str = "wide", refit_every: int = 1, keep: Sequence[str] = (), seq: str = "seq",
@@ -75,20 +85,34 @@ def dspot_evaluation(scores: DataFrame, warmup: int = 1000, target: int | None =
     return cumulative_report(alerts, warmup, target, by=list(keys))
 
 
+def _trials(grid: Sequence[tuple[float, int, float]], warmup: int, settings: dict) -> dict[str, DspotStep]:
+    return {str(i): DspotStep(float(q), int(d), float(t), warmup, **settings) for i, (q, d, t) in enumerate(grid)}
+
+
 def dspot_trials(scores: DataFrame, grid: Sequence[tuple[float, int, float]], warmup: int = 1000, keys: Sequence[str] = ("stream_id",),
                  keep: Sequence[str] = (), **settings) -> DataFrame:
     """The alerts of every (q, depth, t_quantile): (keys, seq, kept columns, ``_trial``: its place in the grid, as text, pred, threshold, trend).
     All trials step side by side over a stream's rows, which are shuffled once."""
-    trials = {str(i): DspotStep(float(q), int(d), float(t), warmup, **settings) for i, (q, d, t) in enumerate(grid)}
-    return run_steps(scores, trials, _keys(keys), keep=keep, reads=["score"], label="_trial")
+    return run_steps(scores, _trials(grid, warmup, settings), _keys(keys), keep=keep, reads=["score"], label="_trial")
 
 
 def dspot_sweep(scores: DataFrame, grid: Sequence[tuple[float, int, float]], warmup: int = 1000, target: int | None = None,
                 keys: Sequence[str] = ("stream_id",), **settings) -> DataFrame:
-    """One line per stream and (q, depth, t_quantile), from the alerts of all trials."""
+    """One line per stream and (q, depth, t_quantile): the report of ``dspot_trials``. Alerts are counted where they are made, so a
+    stream is stepped once and only counts leave its task."""
     keys = _keys(keys)
-    alerts = dspot_trials(scores, grid, warmup, keys, keep=["truth"], **settings)
-    report = cumulative_report(alerts, warmup, target, by=[*keys, "_trial"])
+
+    def counted(alerts: pd.DataFrame) -> pd.DataFrame:
+        alerts = alerts.assign(_early=~(alerts["seq"] >= warmup).fillna(False).astype(bool))
+        out = alerts.groupby(["_trial", "truth", "pred", "_early"], dropna=False, sort=False).agg(n=("pred", "size"), _last=("seq", "max")).reset_index()
+        return out.assign(truth=out["truth"].astype(alerts["truth"].dtype), **{k: alerts[k].iloc[[0] * len(out)].array for k in keys})
+
+    schema = f"{_ddl(scores, [*keys, 'truth'])}, _trial string, pred int, _early boolean, n long, _last {dict(scores.dtypes)['seq']}"
+    counts = run_steps(scores, _trials(grid, warmup, settings), keys, keep=["truth"], reads=["score"], label="_trial", fold=(counted, schema))
+    # the first rows are left out of streams that go beyond them, as in exclude_warmup
+    longest = F.max("_last").over(Window.partitionBy(*keys, "_trial"))
+    counts = counts.withColumn("_longest", longest).filter(~F.col("_early") | (F.col("_longest") < warmup))
+    report = metrics_from_confusion(counts.groupBy(*keys, "_trial", "truth", "pred").agg(F.sum("n").alias("n")), target, [*keys, "_trial"])
     cells = scores.sparkSession.createDataFrame([(str(i), i, float(q), int(d), float(t)) for i, (q, d, t) in enumerate(grid)],
                                                 "_trial string, trial int, q double, depth int, t_quantile double")
     out = report.join(F.broadcast(cells), "_trial")

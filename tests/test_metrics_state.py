@@ -275,3 +275,51 @@ def test_tail_fits_of_many_peaks_by_products(monkeypatch, shape):
     assert logs == pytest.approx([np.log1p(x * y).mean() for x in (-0.5 / y.max(), 0.0, 2.0)], rel=1e-12, abs=1e-15)
     monkeypatch.setattr(evt, "PRODUCT_PEAKS", len(y) + 1)
     assert fast == pytest.approx(fit_gpd(y), rel=1e-8)
+
+
+@pytest.mark.parametrize("shape", [-0.6, 0.0, 0.4])
+def test_tail_fits_of_many_peaks_see_cells(shape, monkeypatch):
+    u = np.random.default_rng(6).uniform(size=1200)
+    y = -3 * np.log(u) if shape == 0 else 3 * (u**-shape - 1) / shape
+    peaks = evt.Peaks()
+    for v in y.tolist():
+        peaks.append(v)
+        if len(peaks) % 7 == 0:
+            peaks.tail()  # fits on the way, so that cells grow peak by peak
+    tail = peaks.tail()
+    assert tail.clusters.n == len(y) and len(tail.clusters.center) < 70
+    for x in (-0.999999 / y.max(), -0.5 / y.max(), 1e-4, 1.0, 1e6):
+        inverse, log = tail.clusters.sums(np.array([x]))
+        assert inverse[0] == pytest.approx((1 / (1 + x * y)).mean(), rel=1e-11) and log[0] == pytest.approx(np.log1p(x * y).mean(), rel=1e-10)
+    assert evt.fit_many([tail])[0] == pytest.approx(fit_gpd(y), rel=1e-7)
+    others = [evt._Tail(y[:n]) for n in (3, 70, 500)]
+    assert evt.fit_many([*others, tail]) == [evt.fit_many([t])[0] for t in [*others, tail]]  # to the last bit
+    # a fit's time does not grow with the peaks: neither logarithms nor reciprocals of all of them are taken
+    monkeypatch.setattr(evt, "_mean_logs", None)
+    assert evt.fit_many([tail])[0] == pytest.approx(fit_gpd_of_cells(y), rel=1e-7)
+
+
+def fit_gpd_of_cells(y):
+    return evt.fit_many([evt._Tail(y, evt.Clusters(y))])[0]
+
+
+def test_dspot_sweep_steps_each_stream_once(spark, score_rows):
+    steps = spark.sparkContext.accumulator(0)
+
+    class Counted(T.DspotStep):
+        def init(self, key):
+            steps.add(1)
+            return super().init(key)
+
+    rows = [(k, i, float(v), int(v > 10)) for k in ("a", "b", "short") for i, v in enumerate(score_rows[k])] + [("a", 400, 1.0, None)]
+    df = spark.createDataFrame([(None if k == "b" else k, *r) for k, *r in rows], "stream_id string, seq long, score double, truth int")
+    grid = [(0.01, 20, 0.9), (0.05, 10, 0.95), (0.05, 10, 0.9)]
+    for target in (1, None):
+        want = {(r["stream_id"], i): tuple(r)[1:] for i, (q, d, t) in enumerate(grid)
+                for r in T.dspot_evaluation(df, 80, target, ["stream_id"], q=q, depth=d, t_quantile=t).collect()}
+        got = {(r["stream_id"], r["trial"]): tuple(r)[5:] for r in T.dspot_sweep(df, grid, 80, target).collect()}
+        assert got == want and len(got) == 9
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T, "DspotStep", Counted)
+        T.dspot_sweep(df, grid, 80, 1).collect()
+    assert steps.value == 9
