@@ -197,20 +197,20 @@ def _count_leaves(found: list[tuple], trees: Sequence[tuple], x: np.ndarray, y:
 
 
 def _impurity(p: np.ndarray, criterion: str) -> np.ndarray:
-    total = p.sum(axis=-1, keepdims=True)
+    total = p.sum(axis=0)
     f = np.divide(p, total, out=np.zeros_like(p), where=total > 0)
     if criterion == "gini":
-        return 1 - (f**2).sum(axis=-1)
-    return -(f * np.log2(np.maximum(f, 1e-300))).sum(axis=-1)
+        return 1 - (f**2).sum(axis=0)
+    return -(f * np.log2(np.maximum(f, 1e-300))).sum(axis=0)
 
 
 def _merit(left: np.ndarray, right: np.ndarray, criterion: str) -> np.ndarray:
-    """Gain of splitting class weights into left and right (last axis: classes)."""
+    """Gain of splitting class weights into left and right (first axis: classes)."""
     if criterion == "hellinger":
-        a = left[..., 1:].sum(axis=-1) / np.maximum((left + right)[..., 1:].sum(axis=-1), 1e-12)
-        b = left[..., 0] / np.maximum((left + right)[..., 0], 1e-12)
+        a = left[1:].sum(axis=0) / np.maximum((left + right)[1:].sum(axis=0), 1e-12)
+        b = left[0] / np.maximum((left + right)[0], 1e-12)
         return np.sqrt((np.sqrt(a) - np.sqrt(b)) ** 2 + (np.sqrt(np.maximum(1 - a, 0)) - np.sqrt(np.maximum(1 - b, 0))) ** 2)
-    nl, nr = left.sum(axis=-1), right.sum(axis=-1)
+    nl, nr = left.sum(axis=0), right.sum(axis=0)
     n = np.maximum(nl + nr, 1e-12)
     return _impurity(left + right, criterion) - (nl * _impurity(left, criterion) + nr * _impurity(right, criterion)) / n
 
@@ -219,37 +219,58 @@ def _range(criterion: str, classes: int) -> float:
     return {"gini": 1.0, "hellinger": math.sqrt(2)}.get(criterion, math.log2(max(classes, 2)))
 
 
-def best_cuts(leaves: Sequence[Leaf], picks: Sequence[np.ndarray], criterion: str) -> list[tuple | None]:
-    """Per leaf (gain, second feature's gain, feature, cut, class weights left of it) over the picked features; None where nothing can be cut."""
-    shape = leaves[0].s1.shape
-    n = np.array([leaf.n for leaf in leaves])
-    seen, mean = n > 0, np.array([leaf.s1 for leaf in leaves]) / np.maximum(n, 1e-12)[:, :, None]
-    sd = np.sqrt(np.maximum(np.array([leaf.s2 for leaf in leaves]) / np.maximum(n, 1e-12)[:, :, None] - mean**2, 1e-12))
-    lo = np.where(seen[:, :, None], np.array([leaf.lo for leaf in leaves]), np.inf).min(axis=1)
-    hi = np.where(seen[:, :, None], np.array([leaf.hi for leaf in leaves]), -np.inf).max(axis=1)
-    usable = np.zeros((len(leaves), shape[1]), dtype=bool)
-    for i, pick in enumerate(picks):
-        usable[i, pick] = True
-    usable &= (hi > lo) & (seen.sum(axis=1) >= 2)[:, None]
-    which, features = np.nonzero(usable)
-    best: list[tuple | None] = [None] * len(leaves)
+def cut_gains(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, lo: np.ndarray, hi: np.ndarray, usable: np.ndarray, criterion: str) -> tuple:
+    """Per leaf the best gain (-inf where nothing can be cut), the second feature's, the feature, the cut and the class weights left of it.
+
+    ``usable`` says which features of a leaf (first axis) may be cut.
+    """
+    seen, mean = n > 0, s1 / np.maximum(n, 1e-12)[:, :, None]
+    sd = np.sqrt(np.maximum(s2 / np.maximum(n, 1e-12)[:, :, None] - mean**2, 1e-12))
+    lo = np.where(seen[:, :, None], lo, np.inf).min(axis=1)
+    hi = np.where(seen[:, :, None], hi, -np.inf).max(axis=1)
+    which, features = np.nonzero(usable & (hi > lo) & (seen.sum(axis=1) >= 2)[:, None])
     if not len(which):
-        return best
-    # all cuts of all features of all leaves at once: (leaf and feature, cut, class)
-    low, weights = lo[which, features], n[which][:, None, :]
+        return np.full(len(n), -np.inf), np.zeros(len(n)), np.zeros(len(n), dtype=np.int64), np.zeros(len(n)), np.zeros(n.shape)
+    # all cuts of all features of all leaves at once: (class, leaf and feature, cut)
+    low, weights = lo[which, features], n[which].T[:, :, None]
     cuts = low[:, None] + (hi[which, features] - low)[:, None] * np.arange(1, SPLIT_POINTS + 1) / (SPLIT_POINTS + 1)
-    z = (cuts[:, :, None] - mean[which, :, features][:, None, :]) / (sd[which, :, features][:, None, :] * math.sqrt(2))
-    left = weights * 0.5 * (1 + np.array([math.erf(v) for v in z.ravel().tolist()]).reshape(z.shape))
+    z = (cuts - mean[which, :, features].T[:, :, None]) / (sd[which, :, features].T[:, :, None] * math.sqrt(2))
+    left = weights * 0.5 * (1 + np.fromiter(map(math.erf, z.ravel().tolist()), dtype=float, count=z.size).reshape(z.shape))
     gain = _merit(left, weights - left, criterion)
     at = gain.argmax(axis=1)
-    gains = gain[np.arange(len(at)), at].tolist()
-    firsts = np.searchsorted(which, np.arange(len(leaves) + 1)).tolist()
-    for i, (a, b) in enumerate(zip(firsts, firsts[1:])):
-        if a < b:
-            ranked = sorted(range(a, b), key=lambda j: -gains[j])
-            j = ranked[0]
-            best[i] = (gains[j], gains[ranked[1]] if b - a > 1 else 0.0, int(features[j]), float(cuts[j, at[j]]), left[j, at[j]])
-    return best
+    every = np.arange(len(at))
+    gains = np.full(lo.shape, -np.inf)
+    gains[which, features] = gain[every, at]
+    row = np.zeros(lo.shape, dtype=np.int64)
+    row[which, features] = every
+    leaf, feature = np.arange(len(n)), gains.argmax(axis=1)
+    unknown = np.nonzero(np.isnan(gains).any(axis=1))[0]  # features with missing values: only a gain that is less gives way
+    for i in unknown.tolist():
+        feature[i] = sorted(features[which == i].tolist(), key=lambda k: -gains[i, k])[0]
+    best = gains[leaf, feature]
+    gains[leaf, feature] = -np.inf
+    second = gains.max(axis=1)
+    for i in unknown.tolist():
+        others = [k for k in features[which == i].tolist() if k != feature[i]]
+        second[i] = gains[i, sorted(others, key=lambda k: -gains[i, k])[0]] if others else -np.inf
+    j = row[leaf, feature]
+    return best, np.where(second == -np.inf, 0.0, second), feature, cuts[j, at[j]], left[:, j, at[j]].T
+
+
+def split_allowed(gain: np.ndarray, second: np.ndarray, weight: np.ndarray, confidence: np.ndarray, tie: np.ndarray, criterion: str, classes: int) -> np.ndarray:
+    """Whether the Hoeffding bound lets leaves of these weights be split."""
+    with np.errstate(all="ignore"):
+        eps = np.sqrt(_range(criterion, classes) ** 2 * np.log(1 / confidence) / (2 * weight))
+        return (gain > 0) & ((gain - np.maximum(second, 0.0) > eps) | (eps < tie))
+
+
+def best_cuts(leaves: Sequence[Leaf], picks: Sequence[np.ndarray], criterion: str) -> list[tuple | None]:
+    """Per leaf what ``cut_gains`` finds over the picked features; None where nothing can be cut."""
+    usable = np.zeros((len(leaves), leaves[0].s1.shape[1]), dtype=bool)
+    for i, pick in enumerate(picks):
+        usable[i, pick] = True
+    gain, second, feature, cut, left = cut_gains(*(np.array([getattr(leaf, part) for leaf in leaves]) for part in ("n", "s1", "s2", "lo", "hi")), usable, criterion)
+    return [None if g == -np.inf else (g, s, f, c, w) for g, s, f, c, w in zip(gain.tolist(), second.tolist(), feature.tolist(), cut.tolist(), left)]
 
 
 def split_at(leaf: Leaf, best: tuple | None, criterion: str, confidence: float, tie: float):

@@ -6,15 +6,17 @@ through the shared folder, not through the driver. The trees as they stood befor
 single parallel pass. Training per window instead of per row is a deliberate change of granularity.
 
 With stream keys every stream has trees of its own. Then one job trains all streams side by side: a stream's rows
-meet in one task, window after window, and its trees are the state of ``keyed_scan``.
+meet in one task, window after window, and its trees are the state of ``keyed_scan``. Streams of a task that are no longer than a
+segment learn together, a window of each at a time (``flowstream.functions.groves``), unless a learner watches subtrees or limits its leaves.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -23,14 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string as _typed
 
 from flowstream.functions import hoeffding as H
+from flowstream.functions.groves import Grove
 from flowstream.functions.partitions import LEHMER, node_hash
-from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, keyed_scan
+from flowstream.operators.keyed import SEGMENT_ROWS, _ddl, _segments, keyed_scan
 from flowstream.operators.ordering import _keys
 from flowstream.operators.steps import run_steps
 from flowstream.session import fresh_path, spread_by
 
 CHUNK_ROWS = 100_000  # most rows of a piece of a window
 PIECE_ROWS = 100      # least rows of a piece, where cores allow it
+PACK_STREAMS = 256    # most streams that learn together
+PACK_ROWS = 400_000   # rows after which no further stream is taken along
 MAX_MODEL_BYTES = 256 << 20  # the trees of one window are sent to every task
 
 
@@ -198,13 +203,23 @@ def _split_due(trees: Sequence[tuple], window: int) -> list:
 
 def _pick(cfg: Learner, member: int, window: int, path: str, k: int) -> np.ndarray:
     """The features a split may use."""
+    return _pick_by(cfg, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path)), k)
+
+
+def _pick_by(cfg: Learner, member: int, window: int, depth: int, code: int, k: int) -> np.ndarray:
     wanted = max(1, round(cfg.max_features * k))
     if wanted >= k:
         return np.arange(k)
-    rng = np.random.default_rng([cfg.seed, member, window, len(path), sum(ord(c) * (i + 1) for i, c in enumerate(path))])
+    rng = np.random.default_rng([cfg.seed, member, window, depth, code])
     return np.sort(rng.permutation(k)[:wanted])
 
 
+@lru_cache(maxsize=1 << 18)
+def _usable(cfg: Learner, member: int, window: int, depth: int, code: int, k: int) -> list[bool]:
+    """``_pick`` as one truth value per feature, from the length of the path and its code."""
+    return np.isin(np.arange(k), _pick_by(cfg, member, window, depth, code, k)).tolist()
+
+
 def _grow(root, counts: dict, cfg: Learner, member: int, window: int):
     """Add the window's counts to the leaves and split those the Hoeffding bound allows."""
     _absorb(root, counts)
@@ -342,8 +357,110 @@ def _classify_streams(df: DataFrame, features: Sequence[str], configured: dict[s
         return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
     segment = max(1, SEGMENT_ROWS // window_rows) * window_rows
-    out = keyed_scan(rows, keys, make, advance, f"{_ddl(df, carried)}, learner string, pred int", seq, segment)
-    return out.withColumnRenamed(target, "truth")
+    schema = f"{_ddl(df, carried)}, learner string, pred int"
+    trees = sum(cfg.members for cfg in configured.values())
+    together = min(PACK_STREAMS, H.TOGETHER_VALUES // max(1, window_rows * trees * classes * k))
+    if together < 2 or any(cfg.drift == "subtree" or cfg.max_leaves is not None for cfg in configured.values()):
+        return keyed_scan(rows, keys, make, advance, schema, seq, segment).withColumnRenamed(target, "truth")
+
+    def learn(pack: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        odd = []
+        for pdf in pack:
+            y = pdf[target].to_numpy(dtype=np.int64)
+            odd.append(y.min() < 0 or y.max() >= classes or not np.isfinite(pdf[features].to_numpy(dtype=float)).all())
+        for pdf, alone in zip(pack, odd):
+            if alone:
+                yield advance(make(None), pdf)
+        pack = [pdf for pdf, alone in zip(pack, odd) if not alone]
+        if pack:
+            yield _learn_together(pack, features, configured, window_rows, classes, seq, target, carried)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, size = [], 0
+        for stream in _streams(batches, keys):
+            parts = _in_sequence(_segments((pdf.drop(columns="_key") for pdf in stream), seq, segment), seq)
+            first = next(parts)
+            second = next(parts, None)
+            if second is not None:  # a long stream: one state from segment to segment
+                models = make(None)
+                for pdf in chain([first, second], parts):
+                    yield advance(models, pdf)
+                continue
+            pack.append(first)
+            size += len(first)
+            if len(pack) == together or size >= PACK_ROWS:
+                yield from learn(pack)
+                pack, size = [], 0
+        if pack:
+            yield from learn(pack)
+
+    rows = spread_by(rows, keys).withColumn("_key", F.xxhash64(*keys)).sortWithinPartitions(*keys, F.col(seq).asc_nulls_last())
+    return rows.mapInPandas(run, schema).withColumnRenamed(target, "truth")
+
+
+def _streams(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[Iterator[pd.DataFrame]]:
+    """The pieces of one stream after the other, of rows sorted by the keys."""
+    def pieces():
+        number, last = 0, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            other = np.zeros(len(pdf), dtype=bool)
+            for c in [*keys, "_key"]:
+                own = pdf[c]
+                before = own.shift(1)
+                other[1:] |= ((own != before) & ~(own.isna() & before.isna())).to_numpy(dtype=bool, na_value=True)[1:]
+                if last is not None:
+                    a, b = last[c], own.iloc[0]
+                    other[0] |= not (pd.isna(a) and pd.isna(b) or (not pd.isna(a) and not pd.isna(b) and a == b))
+            last = {c: pdf[c].iloc[-1] for c in [*keys, "_key"]}
+            cuts = [0, *np.nonzero(other)[0].tolist(), len(pdf)]
+            for at, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                number += at > 0
+                if i < j:
+                    yield number, pdf.iloc[i:j]
+
+    for _, group in groupby(pieces(), key=lambda piece: piece[0]):
+        yield (pdf for _, pdf in group)
+
+
+def _in_sequence(parts: Iterator[pd.DataFrame], seq: str) -> Iterator[pd.DataFrame]:
+    last = -np.inf
+    for rows in parts:
+        at = rows[seq].to_numpy(dtype=float, na_value=np.inf)
+        if at[0] < last or (at[1:] < at[:-1]).any():
+            raise AssertionError("rows of a stream came out of order")
+        last = at[-1]
+        yield rows
+
+
+def _learn_together(pack: Sequence[pd.DataFrame], features: Sequence[str], configured: dict[str, Learner], window_rows: int, classes: int,
+                    seq: str, target: str, carried: Sequence[str]) -> pd.DataFrame:
+    """Predictions for whole streams that learn side by side, the first window of each, then the second of each that has one."""
+    pdf = pd.concat(pack, ignore_index=True) if len(pack) > 1 else pack[0]
+    x = np.column_stack([pdf[c].to_numpy(dtype=float) for c in features])
+    y, at = pdf[target].to_numpy(dtype=np.int64), pdf[seq].to_numpy(dtype=np.int64)
+    stream = np.repeat(np.arange(len(pack)), [len(p) for p in pack])
+    windows = at // window_rows
+    begins = np.concatenate([[0], np.nonzero((np.diff(windows) != 0) | (np.diff(stream) != 0))[0] + 1])
+    sizes, owner = np.diff(np.append(begins, len(at))), stream[begins]
+    turn = np.arange(len(begins)) - np.searchsorted(owner, owner)  # the window's place in its stream
+    members = [(i, cfg, j) for i, cfg in enumerate(configured.values()) for j in range(cfg.members)]
+    grove = Grove(len(pack), members, classes, len(features), _weights, _usable)
+    preds = [np.empty(len(at), dtype=np.int32) for _ in configured]
+    replaced = [[j for j, (l, _, _) in enumerate(members) if l == i] for i, cfg in enumerate(configured.values()) if cfg.drift == "member" and not cfg.background]
+    order = np.argsort(turn, kind="stable")
+    for chosen in np.split(order, np.nonzero(np.diff(turn[order]))[0] + 1):
+        rows = np.concatenate([np.arange(b, b + n) for b, n in zip(begins[chosen].tolist(), sizes[chosen].tolist())])
+        for pred, got in zip(preds, grove.window(owner[chosen], sizes[chosen], windows[begins[chosen]], x[rows], y[rows], at[rows])):
+            pred[rows] = got
+        for mine in replaced:
+            trees = owner[chosen][:, None] * grove.m + np.array(mine)
+            some = (grove.seen[trees] == 0).any(axis=1) & (grove.seen[trees] > 0).any(axis=1)
+            for own in trees[some].tolist():
+                grove.replace(own[_worst([(grove.ok[t], grove.seen[t]) for t in own])])
+    parts = [pd.DataFrame({**{c: pdf[c] for c in carried}, "learner": name, "pred": pred}) for name, pred in zip(configured, preds)]
+    return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
 
 def prequential_classify(df: DataFrame, features: Sequence[str], configured: dict[str, Learner], window_rows: int, classes: int,

@@ -545,3 +545,69 @@ def test_trees_of_one_long_stream_stay_off_the_driver(spark, monkeypatch):
     alone = L.prequential_classify(table.withColumn("one", F.lit(1)), ["a", "b"], configured, 300, 2, keys="one").drop("one")
     key = ["learner", "seq"]
     assert got.orderBy(*key).select(*key, "truth", "pred").collect() == alone.orderBy(*key).select(*key, "truth", "pred").collect()
+
+
+def _turning_streams(sizes, seed=2):
+    rng = np.random.default_rng(seed)
+    out = []
+    for i, n in enumerate(sizes):
+        x = rng.uniform(size=(n, 3)).round(3)
+        y = (x[:, i % 3] > 0.5).astype(int) ^ (np.arange(n) >= n // 2)
+        out.append(pd.DataFrame({"k": i, "seq": np.arange(n) * (2 if i == 3 else 1), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "class_idx": y}))
+    return out
+
+
+_GROVE = {"LB": {"members": 3}, "ARF": {"members": 3, "max_features": 0.7, "warning_delta": 0.2}, "HT": {"grace": 50, "criterion": "gini", "leaf": "nb"}}
+
+
+def test_streams_that_learn_together(spark, monkeypatch):
+    """Streams side by side get the predictions they get one by one: of several lengths, with gaps, without some values, longer than a segment, without a key."""
+    streams = _turning_streams([700, 1, 333, 400, 25, 650, 300])
+    streams[5].loc[7, "a"] = np.nan
+    df = spark.createDataFrame(pd.concat(streams)).withColumn("k", F.when(F.col("k") != 2, F.concat(F.lit("s"), "k"))).repartition(3)
+    configured = L.learners(["LB", "ARF", "HT"], _GROVE)
+    rows = lambda: L.prequential_classify(df, ["a", "b", "c"], configured, 25, 2, keys="k").orderBy("learner", "k", "seq").collect()
+    together = rows()
+    assert len(together) == 3 * df.count()
+    monkeypatch.setattr(L, "SEGMENT_ROWS", 500)
+    assert rows() == together
+    monkeypatch.setattr(L, "PACK_STREAMS", 0)
+    assert rows() == together
+    late = [r for r in together if r["k"] == "s0" and r["seq"] >= 525]
+    assert np.mean([r["truth"] == r["pred"] for r in late]) > 0.6
+
+
+def test_calls_of_a_window_do_not_grow_with_the_streams(monkeypatch):
+    from flowstream.functions import groves
+
+    streams, calls, plain = _turning_streams([200] * 60), [], groves.cut_gains
+    monkeypatch.setattr(groves, "cut_gains", lambda *a: calls.append(1) or plain(*a))
+    configured = L.learners(["LB", "ARF", "HT"], _GROVE)
+    got = L._learn_together(streams, ["a", "b", "c"], configured, 25, 2, "seq", "class_idx", ["k", "seq"])
+    assert len(got) == 3 * 60 * 200 and len(calls) <= 16 * 2  # windows (16 in the stream with gaps) and criteria
+    few = L._learn_together(streams[40:43], ["a", "b", "c"], configured, 25, 2, "seq", "class_idx", ["k", "seq"])
+    both = got[got["k"].between(40, 42)].reset_index(drop=True)
+    pd.testing.assert_frame_equal(both, few)
+
+
+def test_error_histories_in_arrays():
+    from flowstream.functions.groves import Histories
+
+    rng = np.random.default_rng(4)
+    plain, held = [H.RateHistory() for _ in range(6)], Histories(6)
+    forgotten = 0
+    for w in range(300):
+        some = np.nonzero(rng.uniform(size=6) < 0.8)[0]
+        n, e = rng.integers(1, 30, len(some)).astype(float), np.zeros(len(some))
+        e[:] = rng.binomial(n.astype(int), np.where((w // 60) % 2, 0.5, 0.1))
+        held.add(some, n, e)
+        deltas = rng.choice([0.002, 0.2], len(some))
+        old = held.changed(some, deltas)
+        for i, a, b, d, o in zip(some.tolist(), n.tolist(), e.tolist(), deltas.tolist(), old.tolist()):
+            plain[i].add(a, b)
+            assert plain[i].changed(d) == o
+            if o:
+                plain[i].forget(o)
+                held.forget(i, o)
+                forgotten += 1
+    assert forgotten > 5
